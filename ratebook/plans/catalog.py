@@ -35,6 +35,11 @@ def _round2(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.withColumns({c: F.round(F.col(c), 2) for c in cols})
 
 
+def rounded(df: DataFrame, cols: list[str], digits: int = 6) -> DataFrame:
+    """Round transcendental results (log/exp/tanh differ in the last ulp between engines)."""
+    return df.withColumns({c: F.round(F.col(c), digits) for c in cols})
+
+
 # ---------------------------------------------------------------------------
 # A7 segment report (the flagship)
 
@@ -64,3 +69,7 @@ LEFT JOIN (
 @register("segment_report", SEGMENT_SQL)
 def q_segment_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round2(R.segment_report(scored_portfolio(spark, sf_dir)), _EARN)
+
+
+# the other query families register themselves on import
+from . import q_build, q_reports, q_models  # noqa: E402,F401
