@@ -90,16 +90,16 @@ def with_multiplier(oneway: DataFrame, coef: DataFrame, feature: str = "feature"
                     value: str = "value") -> DataFrame:
     """Attach ``multiplier = exp(weight)`` to one-way rows by ``feature || value``.
 
-    ``coef`` has columns ``Feature`` (feature name followed by level) and
-    ``Weight``; unmatched rows get a null multiplier.
+    ``coef`` has columns ``feature_level`` (feature name followed by level)
+    and ``weight``; unmatched rows get a null multiplier.
     """
-    left = oneway.withColumn("__Feature", paste0(feature, value))
-    right = coef.select(F.col("Feature").alias("__Feature"), F.col("Weight"))
-    out = left.join(broadcast_if_small(right), "__Feature", "left")
-    return out.withColumn("multiplier", F.exp("Weight")).drop("__Feature", "Weight")
+    left = oneway.withColumn("__fl", paste0(feature, value))
+    right = coef.select(F.col("feature_level").alias("__fl"), F.col("weight").alias("__w"))
+    out = left.join(broadcast_if_small(right), "__fl", "left")
+    return out.withColumn("multiplier", F.exp("__w")).drop("__fl", "__w")
 
 
-def compare_coefficients(x: DataFrame, y: DataFrame, key: str = "Feature") -> DataFrame:
+def compare_coefficients(x: DataFrame, y: DataFrame, key: str = "feature_level") -> DataFrame:
     """Full outer merge of two coefficient tables by feature name."""
     return x.join(y, key, "full_outer")
 

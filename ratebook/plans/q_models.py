@@ -1 +1,450 @@
-"""Registered queries: objectives, encoding, fits and curves (filled in below)."""
+"""Registered queries: objectives, metrics, curves, densities, encoding, fits."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..config import CORRIDOR_CONVERSION, CORRIDOR_NORMALISED, CORRIDOR_PLOT, CORRIDOR_TARIFF, FitConfig
+from ..functions import objectives as O
+from ..functions.pricing import deviation_weight, targets
+from ..functions.semantics import paste0
+from ..operators import curves as CV
+from ..operators import fit as FT
+from ..operators import joins as J
+from ..operators import metrics as MT
+from ..operators import reports as R
+from ..operators import sampling as SP
+from ..operators import windows as W
+from ..sources import standin as SI
+from ..sources.standin import with_standin
+from .catalog import register, rounded
+from .q_build import SCORED_CTE
+from .q_reports import FEATURES, TEST_SPLIT
+from .scored import scored_portfolio
+
+# --- SQL text of the column expressions (oracle side) ------------------------
+
+
+def lg(x: str, alpha: float = 1.0) -> str:
+    return f"(1e0 / (1e0 + exp(-({x}) / {alpha!r})))"
+
+
+def conv(x: str) -> str:
+    return f"((1e0 + tanh(-8.78002e0 * ({x}) + 8.32548e0)) / 2e0)"
+
+
+def corridor_sql(p, t, u, m, w, su, so, sm, profit) -> tuple[str, str]:
+    g_under = f"({w.w_under!r} * (-2e0 * ({t} - {p})) + {w.w_mid!r} * (2e0 * ({p} - {u})))"
+    g_mid = f"({w.w_mid!r} * (2e0 * ({p} - {u})))"
+    g_over = f"({w.w_over!r} * (2e0 * ({p} - {u})) * ({u} - {t}))"
+    h_under = f"(2e0 * ({w.w_under!r} + {w.w_mid!r}))"
+    h_mid = f"(2e0 * {w.w_mid!r})"
+    h_over = f"(2e0 * {w.w_over!r} * ({u} - {t}))"
+    g_loss = f"({w.w_loss_low!r} * (-2e0 * ({m} - {p})) + {w.w_loss_high!r} * (-2e0 * ({t} - {p})))"
+    h_loss = f"(2e0 * {w.w_loss_low!r} + 2e0 * {w.w_loss_high!r})"
+    g = f"CASE WHEN {profit} THEN {g_under} * {su} + {g_mid} * {sm} + {g_over} * {so} ELSE {g_loss} END"
+    h = f"CASE WHEN {profit} THEN {h_under} * {su} + {h_mid} * {sm} + {h_over} * {so} ELSE {h_loss} END"
+    return g, h
+
+
+def _corridor_query_sql() -> str:
+    w1, w2, w3 = CORRIDOR_TARIFF, CORRIDOR_NORMALISED, CORRIDOR_CONVERSION
+    g1, h1 = corridor_sql("p", "t", "acc", "m", w1, "su1", "so1", "(1e0 - su1 - so1)", "acc > t")
+    tot = "(su2 + (1e0 - su2 - so2) + so2)"
+    g2, h2 = corridor_sql("p", "t", "m", "m", w2, f"(su2 / {tot})", f"(so2 / {tot})",
+                          f"((1e0 - su2 - so2) / {tot})", "m > t")
+    g3, h3 = corridor_sql("p", "t", "m", "m", w3, "su3", "so3", "(1e0 - su3 - so3)", "m > t")
+    ctes = SCORED_CTE + f""",
+tg AS (SELECT polref, p, t, m,
+  ln(CASE WHEN nm IS NOT NULL AND nt IS NOT NULL THEN greatest(nm - 100e0, nm * 0.992e0, nt) END) - 10.74e0 AS acc FROM scored),
+mk AS (SELECT *, {lg('t - p', w1.alpha_under)} AS su1, {lg('p - acc', w1.alpha_over)} AS so1,
+  {lg('t - p', w2.alpha_under)} AS su2, {lg('p - m', w2.alpha_over)} AS so2,
+  {lg('t - p', w3.alpha_under)} AS su3, {conv('p - m')} AS so3 FROM tg)"""
+    body = f"""SELECT polref, round({g1}, 6) AS g1, round({h1}, 6) AS h1, round({g2}, 6) AS g2,
+  round({h2}, 6) AS h2, round({g3}, 6) AS g3, round({h3}, 6) AS h3 FROM mk"""
+    return with_standin(body, ctes)
+
+
+def with_acc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = scored_portfolio(spark, sf_dir)
+    return targets(s.drop("t", "m"), nt_given=True)
+
+
+# --- O1, O2, O3 (+P35 logistic masks, P36 conversion curve) ---
+@register("corridor_objectives", _corridor_query_sql())
+def q_corridor_objectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = with_acc(spark, sf_dir)
+    g1, h1 = O.corridor_grad("p", "t", "m", "acc")
+    g2, h2 = O.normalised_grad("p", "t", "m")
+    g3, h3 = O.conversion_grad("p", "t", "m")
+    d = s.select("polref", g1.alias("g1"), h1.alias("h1"), g2.alias("g2"), h2.alias("h2"),
+                 g3.alias("g3"), h3.alias("h3"))
+    return rounded(d, ["g1", "h1", "g2", "h2", "g3", "h3"])
+
+
+# --- L1, L2, O6: loss values and the smooth hinge ---
+def _loss_sql() -> str:
+    w = CORRIDOR_PLOT
+    a = w.alpha_under
+    su, so = lg("t - p", a), lg("p - m", a)
+    sm = f"(1e0 - {su} - {so})"
+    tot = f"({su} + {sm} + {so})"
+    under = f"({w.w_under!r} * pow(t - p, 2) + {w.w_mid!r} * pow(p - m, 2))"
+    mid = f"({w.w_mid!r} * pow(p - m, 2))"
+    over = f"({w.w_over!r} * pow(p - m, 2) * (m - t))"
+    l1 = (f"CASE WHEN m > t THEN {under} * ({su} / {tot}) + {mid} * ({sm} / {tot}) + {over} * ({so} / {tot})"
+          f" ELSE {w.w_loss_low!r} * pow(m - p, 2) + {w.w_loss_high!r} * pow(t - p, 2) END")
+    s = lg("(p - m) / 0.1")
+    ds = f"({s} * (1e0 - {s}) / 0.1)"
+    d2 = f"({ds} * (1e0 - 2e0 * {s}) / 0.1)"
+    g6 = f"CASE WHEN t >= m THEN -(1e0 - {s}) - (t - p) * {ds} ELSE {ds} * (m - t) - (1e0 - {s}) END"
+    h6 = f"greatest(CASE WHEN t >= m THEN -{ds} + (t - p) * {d2} ELSE {d2} * (m - t) + {ds} END, 1e-6)"
+    v6 = f"CASE WHEN t >= m THEN (1e0 - {s}) * (p - t) ELSE {s} * (m - t) + (1e0 - {s}) * (m - p) END"
+    P, A, M = "(np / 1e4)", "(coalesce(claim, 0) / 1e4)", "(nm / 1e4)"
+    mx = f"greatest({M}, {A})"
+    l2 = f"{mx} - {P} + ({M} - {A} - ({mx} - {P})) * (1e0 / (1e0 + exp(-10e0 * ({P} - ({M} - 0.2e0)))))"
+    body = f"""SELECT polref, round({l1}, 6) AS l1, round({l2}, 6) AS l2, round({g6}, 6) AS hinge_g,
+  round({h6}, 6) AS hinge_h, round({v6}, 6) AS hinge_v FROM scored"""
+    return with_standin(body, SCORED_CTE)
+
+
+@register("loss_values", _loss_sql())
+def q_loss_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = scored_portfolio(spark, sf_dir)
+    g6, h6 = O.hinge_grad("p", "t", "m")
+    P, A, M = F.col("np") / 1e4, F.coalesce(F.col("claim"), F.lit(0)) / 1e4, F.col("nm") / 1e4
+    d = s.select("polref", O.convex_loss("p", "t", "m").alias("l1"), O.step_loss(P, A, M).alias("l2"),
+                 g6.alias("hinge_g"), h6.alias("hinge_h"), O.hinge_value("p", "t", "m").alias("hinge_v"))
+    return rounded(d, ["l1", "l2", "hinge_g", "hinge_h", "hinge_v"])
+
+
+# --- A17-A20: business metrics of the model price ---
+@register("business_metrics", with_standin("""SELECT
+  round(coalesce(avg(CASE WHEN m > t AND p < m THEN exp(m) - exp(p) END), 0e0), 6) AS avg_undercut,
+  CAST(count_if(m > t AND p < t) AS BIGINT) AS profit_missed_count,
+  round(coalesce(sum(CASE WHEN m > t AND greatest(0e0, t - p) > 0 THEN exp(t) - exp(p) END), 0e0), 6) AS profit_impact,
+  CAST(count_if(m <= t AND p >= t) AS BIGINT) AS loss_got_count
+FROM scored""", SCORED_CTE))
+def q_business_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(MT.business_metrics(scored_portfolio(spark, sf_dir)), ["avg_undercut", "profit_impact"])
+
+
+# --- P6, P8, M4, P34, A21, P35 (clipped), O4: claim classifier inputs and gradient ---
+CLASSIFIER_SQL = with_standin("""
+SELECT polref, split, round(nm / (SELECT med FROM med), 6) AS market_scaled,
+  round(typ, 6) AS typicality, round(g, 6) AS g, round(h, 6) AS h FROM (
+  SELECT *, typ * (mk * pr * (1e0 - pr) - label * (1e0 - pr)) AS g,
+         typ * (mk * (1e0 - 2e0 * pr) * pr * (1e0 - pr) + label * pr * (1e0 - pr)) AS h FROM (
+    SELECT s.*, nm / (SELECT med FROM med) AS mk,
+      exp(-0.5e0 * sqrt(pow((kw - st.mu_kw) / st.sd_kw, 2) + pow((clientage - st.mu_age) / st.sd_age, 2)
+                        + pow((zip - st.mu_zip) / st.sd_zip, 2))) AS typ,
+      1e0 / (1e0 + exp(-least(greatest(CAST(a - nm AS DOUBLE) / 1e4, -35e0), 35e0))) AS pr
+    FROM strat s, st))""", """
+cbase AS (SELECT polref, CAST(claim IS NOT NULL AS INTEGER) AS label, coalesce(kw, -1) AS kw, clientage, zip, nm, a
+  FROM priced WHERE clientage IS NOT NULL AND nm IS NOT NULL),
+strat AS (SELECT *, CASE WHEN r <= floor(n * 0.8e0) THEN 'train' ELSE 'test' END AS split FROM (
+  SELECT *, row_number() OVER (PARTITION BY label ORDER BY ((polref % 1000003) * 48271 + 42) % 1000003, polref) AS r,
+    count(*) OVER (PARTITION BY label) AS n FROM cbase)),
+med AS (SELECT quantile_cont(nm, 0.5) AS med FROM strat WHERE split = 'train'),
+st AS (SELECT avg(kw) AS mu_kw, CASE WHEN stddev_pop(kw) = 0 THEN 1e0 ELSE stddev_pop(kw) END AS sd_kw,
+  avg(clientage) AS mu_age, CASE WHEN stddev_pop(clientage) = 0 THEN 1e0 ELSE stddev_pop(clientage) END AS sd_age,
+  avg(zip) AS mu_zip, CASE WHEN stddev_pop(zip) = 0 THEN 1e0 ELSE stddev_pop(zip) END AS sd_zip
+  FROM strat WHERE split = 'train')""")
+
+
+def median_scaled(train: DataFrame, df: DataFrame, c: str, key: str, out: str) -> DataFrame:
+    """Price divided by the TRAIN median (P34); exact median by distributed rank."""
+    med = MT.exact_quantiles(train, c, [0.5], key).select("q_0").scalar()
+    return df.withColumn(out, F.col(c) / med)
+
+
+@register("claim_classifier", CLASSIFIER_SQL)
+def q_claim_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.scalar import fill_marker, require_all_except
+    pol = SI.policy_view(spark, sf_dir).select(
+        "polref", F.col("claim").isNotNull().cast("int").alias("label"), "kw", "clientage", "zip", "nm", "a")
+    pol = fill_marker(pol, ["kw"])
+    pol = require_all_except(pol, ["kw", "clientage", "zip", "nm"], exempt=["kw"])
+    st = SP.stratified_split(pol, "polref", "label", 0.8, seed=42)
+    train = st.filter(F.col("split") == "train")
+    d = median_scaled(train, st, "nm", "polref", "market_scaled")
+    cols = ["kw", "clientage", "zip"]
+    d = MT.typicality(d, MT.scaler_stats(train, cols), cols, alpha=0.5)
+    g, h = O.profit_logistic_grad((F.col("a") - F.col("nm")) / 1e4, "label", "market_scaled", "typicality")
+    d = d.select("polref", "split", "market_scaled", "typicality", g.alias("g"), h.alias("h"))
+    return rounded(d, ["market_scaled", "typicality", "g", "h"])
+
+
+# --- M3, P32, P33, O5: deviation-weighted logistic on the simulated-quote view ---
+DEVIATION_SQL = with_standin(f"""
+SELECT polref, split, round(v_shift, 6) AS v_shift, round(w, 6) AS weight,
+  round((1e0 / (1e0 + exp(-tt)) - label) * w, 6) AS g,
+  round((1e0 / (1e0 + exp(-tt))) * (1e0 - 1e0 / (1e0 + exp(-tt))) * w, 6) AS h FROM (
+  SELECT *, CASE WHEN v_shift - tt IS NULL OR isnan(v_shift - tt) THEN 1e0
+            WHEN least(greatest(v_shift - tt, 0e0), 1e0) > 0
+              THEN pow(least(greatest(v_shift - tt, 0e0), 1e0), 0.5e0) * exp(-least(greatest(v_shift - tt, 0e0), 1e0))
+            ELSE 1e0 END AS w FROM (
+    SELECT *, vv + abs((SELECT min(vv) FROM q WHERE split = 'train')) + 1e-6 AS v_shift FROM q))""", f"""
+q AS (SELECT polref, CAST(claim IS NOT NULL AS INTEGER) AS label, ln(nm) - ln(nt) AS tt,
+  CAST(np - nm AS DOUBLE) / 1e4 AS vv, CASE WHEN {TEST_SPLIT.replace('1234', '123')} THEN 'test' ELSE 'train' END AS split
+  FROM priced)""")
+
+
+@register("deviation_weights", DEVIATION_SQL)
+def q_deviation_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pol = SI.policy_view(spark, sf_dir).select(
+        "polref", F.col("claim").isNotNull().cast("int").alias("label"),
+        (F.log("nm") - F.log("nt")).alias("tt"), ((F.col("np") - F.col("nm")) / 1e4).alias("vv"))
+    pol = SP.split(pol, "polref", 0.8, seed=123)
+    mn = pol.filter(F.col("split") == "train").agg(F.min("vv")).scalar()
+    pol = pol.withColumn("v_shift", F.col("vv") + F.abs(mn) + F.lit(1e-6))
+    g, h = O.deviation_logistic_grad("tt", "label", "v_shift", "tt")
+    d = pol.select("polref", "split", "v_shift", deviation_weight("v_shift", "tt").alias("weight"),
+                   g.alias("g"), h.alias("h"))
+    return rounded(d, ["v_shift", "weight", "g", "h"])
+
+
+# --- A22: exact AUC with ties, log loss ---
+AUC_SQL = with_standin("""
+SELECT round(sum(pos * (cum_neg - neg * 0.5e0)) / (sum(pos) * sum(neg)), 9) AS auc,
+  (SELECT round(avg(-(label * ln(least(greatest(pr, 1e-15), 1 - 1e-15))
+          + (1 - label) * ln(1e0 - least(greatest(pr, 1e-15), 1 - 1e-15)))), 6) FROM sc) AS log_loss
+FROM (SELECT s, pos, neg, sum(neg) OVER (ORDER BY s ROWS UNBOUNDED PRECEDING) AS cum_neg FROM (
+  SELECT s, CAST(sum(label) AS DOUBLE) AS pos, CAST(sum(1 - label) AS DOUBLE) AS neg FROM sc GROUP BY s))""", """
+sc AS (SELECT CAST(claim IS NOT NULL AS INTEGER) AS label, CAST(floor((a - nm) / 100e0) AS BIGINT) AS s,
+  1e0 / (1e0 + exp(-(CAST(floor((a - nm) / 100e0) AS BIGINT) / 100e0))) AS pr FROM priced)""")
+
+
+@register("auc_logloss", AUC_SQL)
+def q_auc_logloss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pol = SI.policy_view(spark, sf_dir).select(
+        F.col("claim").isNotNull().cast("int").alias("label"),
+        F.floor((F.col("a") - F.col("nm")) / 100.0).alias("s"))
+    pol = pol.withColumn("pr", O.logistic(F.col("s") / 100.0))
+    a = rounded(MT.auc(pol, "label", "s"), ["auc"], 9)
+    ll = rounded(pol.agg(MT.log_loss(pol, "label", "pr").alias("log_loss")), ["log_loss"])
+    return a.select("auc", ll.select("log_loss").scalar().alias("log_loss"))
+
+
+# --- W8 + G1: loss curve of one representative policy per segment ---
+def _curve_sql() -> str:
+    w = CORRIDOR_PLOT
+    a = 1e-5
+    su, so = lg("t - price", a), lg("price - m", a)
+    sm = f"(1e0 - {su} - {so})"
+    tot = f"({su} + {sm} + {so})"
+    under = f"({w.w_under!r} * pow(t - price, 2) + {w.w_mid!r} * pow(price - m, 2))"
+    mid = f"({w.w_mid!r} * pow(price - m, 2))"
+    over = f"({w.w_over!r} * pow(price - m, 2) * (m - t))"
+    l1 = (f"CASE WHEN m > t THEN {under} * ({su} / {tot}) + {mid} * ({sm} / {tot}) + {over} * ({so} / {tot})"
+          f" ELSE {w.w_loss_low!r} * pow(m - price, 2) + {w.w_loss_high!r} * pow(t - price, 2) END")
+    from . import sqltext as S
+    ctes = SCORED_CTE + f""",
+reps AS (SELECT min(polref) AS polref FROM (SELECT polref, coalesce({S.SEGMENT_CASE}, 0) AS seg FROM scored) GROUP BY seg),
+pts AS (SELECT s.polref, s.t, s.m, least(s.t, s.m, s.p) - (greatest(s.t, s.m, s.p) - least(s.t, s.m, s.p)) / 10e0 AS lo,
+  greatest(s.t, s.m, s.p) + (greatest(s.t, s.m, s.p) - least(s.t, s.m, s.p)) / 10e0 AS hi
+  FROM scored s WHERE s.polref IN (SELECT polref FROM reps)),
+grid AS (SELECT polref, t, m, j, CASE WHEN j = 499 THEN hi WHEN j = 0 THEN lo ELSE lo + j * ((hi - lo) / 499) END AS price
+  FROM pts, (SELECT unnest(generate_series(0, 499)) AS j))"""
+    body = f"SELECT polref, CAST(j AS INTEGER) AS j, round(price, 6) AS price, round({l1}, 6) AS loss, round(exp(price), 4) AS ep FROM grid"
+    return with_standin(body, ctes)
+
+
+@register("loss_curves", _curve_sql())
+def q_loss_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = scored_portfolio(spark, sf_dir)
+    reps = (s.withColumn("seg", F.coalesce(R.segment_id(), F.lit(0)))
+            .groupBy("seg").agg(F.min("polref").alias("polref")))
+    chosen = J.restrict_to(s, reps, "polref")
+    d = CV.loss_curve(chosen)
+    return rounded(rounded(d, ["price", "loss"]), ["ep"], 4)
+
+
+@register("one_policy", with_standin("SELECT polref, a, nm, nt, np FROM priced WHERE polref = 1"))
+def q_one_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.one_policy(SI.policy_view(spark, sf_dir), "polref", 1).select("polref", "a", "nm", "nt", "np")
+
+
+# --- G2: profit curve and best price per product (part table) ---
+def _best_price_sql(key_sql: str, cost_sql: str, b0: str, b1: str, source: str, extra: str = "") -> str:
+    x = "CASE WHEN j = 499 THEN 60e0 ELSE j * (55e0 / 499) + 5e0 END"
+    return f"""
+SELECT {key_sql}, round(bx, 6) AS best_price, round(bp, 6) AS best_profit,
+  round((bx - cost) * greatest(100e0 - 2e0 * bx, 0e0), 6) AS true_profit FROM (
+  SELECT {key_sql}, cost, arg_min({x}, -profit * 1e6 + j) AS bx, max(profit) AS bp FROM (
+    SELECT *, ({x} - cost) * greatest({b0} - {b1} * ({x}), 0e0) AS profit
+    FROM (SELECT *, unnest(generate_series(0, 499)) AS j FROM {source})) GROUP BY {key_sql}, cost)"""
+
+
+BEST_SQL = with_standin(
+    _best_price_sql("p_partkey", "cost", "95e0", "b1", "prod"),
+    "prod AS (SELECT p_partkey, p_retailprice / 100e0 AS cost, 1.8e0 + p_size / 500e0 AS b1 FROM part)")
+
+
+@register("best_price", BEST_SQL)
+def q_best_price(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = SI.read_table(spark, sf_dir, "part").select(
+        "p_partkey", (F.col("p_retailprice") / 100.0).alias("cost"), F.lit(95.0).alias("b0"),
+        (F.lit(1.8) + F.col("p_size") / 500.0).alias("b1"))
+    d = CV.best_price(p, "p_partkey", "cost", "b0", "b1")
+    return rounded(d, ["best_price", "best_profit", "true_profit"])
+
+
+# --- G3: decision loss over a scan of guessed slopes, per brand ---
+SCAN_SQL = with_standin("""
+SELECT p_brand, CAST(k AS INTEGER) AS k, round(theta, 6) AS theta, round(bx, 6) AS best_price,
+  round(-((bx - cost) * greatest(100e0 - 2e0 * bx, 0e0)), 6) AS loss FROM (
+  SELECT p_brand, k, theta, cost, arg_min(x, -profit * 1e6 + j) AS bx FROM (
+    SELECT *, (x - cost) * greatest(100e0 - theta * x, 0e0) AS profit FROM (
+      SELECT *, CASE WHEN j = 499 THEN 60e0 ELSE j * (55e0 / 499) + 5e0 END AS x FROM (
+        SELECT *, unnest(generate_series(0, 499)) AS j FROM (
+          SELECT *, CASE WHEN k = 199 THEN 2.5e0 ELSE k * (1e0 / 199) + 1.5e0 END AS theta FROM (
+            SELECT *, unnest(generate_series(0, 199)) AS k FROM brands)))))
+  GROUP BY p_brand, k, theta, cost)""",
+    "brands AS (SELECT p_brand, round(avg(p_retailprice) / 100e0, 4) AS cost FROM part GROUP BY p_brand)")
+
+
+@register("parameter_scan", SCAN_SQL)
+def q_parameter_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    brands = SI.read_table(spark, sf_dir, "part").groupBy("p_brand").agg(
+        F.round(F.avg("p_retailprice") / 100.0, 4).alias("cost"))
+    d = CV.parameter_scan(brands, "p_brand", "cost").withColumn("k", F.col("k").cast("int"))
+    return rounded(d, ["theta", "best_price", "loss"])
+
+
+# --- H1: density histogram of log own and log model price (test split) ---
+HIST_SQL = with_standin(f"""
+SELECT b.series, CAST(b.bin AS INTEGER) AS bin, round(b.lo + b.bin * b.width, 6) AS "left",
+  round(coalesce(c.cnt, 0) / (b.n * b.width), 6) AS density
+FROM (SELECT *, unnest(generate_series(0, 29)) AS bin FROM st) b
+LEFT JOIN (SELECT l.series, CAST(least(floor((x - lo) / width), 29) AS INTEGER) AS bin, count(*) AS cnt
+           FROM lng l JOIN st USING (series) GROUP BY 1, 2) c ON b.series = c.series AND b.bin = c.bin""", f"""
+lng AS (SELECT 'a' AS series, ln(a) AS x FROM priced WHERE {TEST_SPLIT}
+        UNION ALL SELECT 'np' AS series, ln(np) AS x FROM priced WHERE {TEST_SPLIT}),
+st AS (SELECT series, min(x) AS lo, max(x) AS hi, count(*) AS n, (max(x) - min(x)) / 30 AS width FROM lng GROUP BY series)""")
+
+
+@register("density_histogram", HIST_SQL)
+def q_density_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    test = SP.split(scored_portfolio(spark, sf_dir), "polref").filter(F.col("split") == "test")
+    return rounded(CV.density_histogram(test, ["a", "np"], 30), ["left", "density"])
+
+
+# --- H2: kernel density of log own price on a grid (test split) ---
+KDE_SQL = with_standin("""
+SELECT CAST(j AS INTEGER) AS j, round(g, 6) AS g, round(exp(g)) AS price, round(sum(k) / (n * bw), 6) AS density FROM (
+  SELECT j, g, cnt * exp(-0.5e0 * ((g - (lo + (bin + 0.5e0) * bwid)) / bw) * ((g - (lo + (bin + 0.5e0) * bwid)) / bw))
+    / 2.5066282746310002e0 AS k, n, bw FROM (
+    SELECT *, CASE WHEN j = 511 THEN hi + 3e0 * bw WHEN j = 0 THEN lo - 3e0 * bw
+                   ELSE (lo - 3e0 * bw) + j * (((hi + 3e0 * bw) - (lo - 3e0 * bw)) / 511) END AS g
+    FROM (SELECT c.bin, c.cnt, st.*, unnest(generate_series(0, 511)) AS j FROM c, st)))
+GROUP BY j, g, n, bw""", f"""
+x AS (SELECT ln(a) AS x FROM priced WHERE {TEST_SPLIT}),
+st0 AS (SELECT count(*) AS n, stddev_samp(x) AS sd, min(x) AS lo, max(x) AS hi,
+  quantile_cont(x, 0.75) - quantile_cont(x, 0.25) AS iqr FROM x),
+st AS (SELECT *, 0.9e0 * least(sd, iqr / 1.34e0) * pow(CAST(n AS DOUBLE), -0.2e0) AS bw, (hi - lo) / 2048 AS bwid FROM st0),
+c AS (SELECT CAST(least(floor((x - lo) / bwid), 2047) AS INTEGER) AS bin, count(*) AS cnt FROM x, st GROUP BY 1)""")
+
+
+@register("kernel_density", KDE_SQL)
+def q_kernel_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    test = SP.split(scored_portfolio(spark, sf_dir), "polref").filter(F.col("split") == "test")
+    d = CV.kernel_density(test, "a", "polref").withColumn("j", F.col("j").cast("int"))
+    return rounded(d, ["g", "density"])
+
+
+# --- coefficient tables derived from the one-way report (log model/own ratio) ---
+def level_coefficients(df: DataFrame) -> DataFrame:
+    """``(feature, level, weight = ln(sum np / sum a))`` per level (log of the one-way ModMul)."""
+    ow = R.one_way(df, FEATURES, measures=["model", "own", "mod_mul"]).filter(F.col("value").isNotNull())
+    return ow.select("feature", F.col("value").alias("level"), F.log("mod_mul").alias("weight"))
+
+
+COEF_CTE = SCORED_CTE + ",\ncoef AS (" + " UNION ALL ".join(
+    f"SELECT '{f}' AS feature, CAST({f} AS VARCHAR) AS level, ln(CAST(sum(np) AS DOUBLE) / sum(a)) AS weight "
+    f"FROM scored WHERE {f} IS NOT NULL GROUP BY {f}" for f in FEATURES) + ")"
+
+
+# --- F4: score every policy with a coefficient table (unseen level -> 0) ---
+SCORE_SQL = with_standin(
+    "SELECT s.polref, round(" + " + ".join(
+        f"coalesce((SELECT weight FROM coef c WHERE c.feature = '{f}' AND c.level = CAST(s.{f} AS VARCHAR)), 0e0)"
+        for f in FEATURES) + ", 5) + 0e0 AS pred FROM scored s", COEF_CTE)
+
+
+@register("coefficient_score", SCORE_SQL)
+def q_coefficient_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = scored_portfolio(spark, sf_dir)
+    coef = level_coefficients(s)
+    return rounded(FT.score(s.select("polref", *FEATURES), coef, "polref", FEATURES).select("polref", "pred"),
+                   ["pred"], 5)
+
+
+# --- F5 + J7: multipliers attached to the one-way report ---
+def _mult_sql() -> str:
+    from .q_reports import _one_way_sql
+    rep = _one_way_sql(["count", "model", "own"], "scored")
+    return with_standin(f"""SELECT r.feature, r.value, r.count,
+  round(exp(c.weight), 6) AS multiplier FROM ({rep}) r
+LEFT JOIN coef c ON concat(c.feature, c.level) = concat(r.feature, coalesce(r.value, 'NA'))""", COEF_CTE)
+
+
+@register("one_way_multipliers", _mult_sql())
+def q_one_way_multipliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = scored_portfolio(spark, sf_dir)
+    coef = FT.multipliers(level_coefficients(s)).select(
+        "feature_level", F.log("multiplier").alias("weight"))
+    rep = R.one_way(s, FEATURES, measures=["count", "model", "own"])
+    out = J.with_multiplier(rep, coef).select("feature", "value", "count", "multiplier")
+    return rounded(out, ["multiplier"])
+
+
+# --- J8: full outer comparison of coefficient tables (train split vs all) ---
+def _compare_sql() -> str:
+    train_cte = ",\ncoef_tr AS (" + " UNION ALL ".join(
+        f"SELECT '{f}' AS feature, CAST({f} AS VARCHAR) AS level, ln(CAST(sum(np) AS DOUBLE) / sum(a)) AS weight "
+        f"FROM scored WHERE {f} IS NOT NULL AND NOT ({TEST_SPLIT}) GROUP BY {f}" for f in FEATURES) + ")"
+    body = """SELECT coalesce(a.feature_level, b.feature_level) AS feature_level, round(a.weight_all, 6) AS weight_all,
+  round(b.weight_train, 6) AS weight_train FROM
+  (SELECT concat(feature, level) AS feature_level, weight AS weight_all FROM coef) a FULL OUTER JOIN
+  (SELECT concat(feature, level) AS feature_level, weight AS weight_train FROM coef_tr) b ON a.feature_level = b.feature_level"""
+    return with_standin(body, COEF_CTE + train_cte)
+
+
+@register("coefficient_compare", _compare_sql())
+def q_coefficient_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = scored_portfolio(spark, sf_dir)
+    tr = SP.split(s, "polref").filter(F.col("split") == "train")
+    a = level_coefficients(s).select(paste0("feature", "level").alias("feature_level"), F.col("weight").alias("weight_all"))
+    b = level_coefficients(tr).select(paste0("feature", "level").alias("feature_level"), F.col("weight").alias("weight_train"))
+    return rounded(J.compare_coefficients(a, b, "feature_level"), ["weight_all", "weight_train"])
+
+
+# --- M1 + W6: sparse one-hot design in long form with global column index ---
+def _design_sql() -> str:
+    from .q_reports import _feature_map_sql
+    fm = _feature_map_sql()
+    lv = fm[fm.index("lv AS ("):]
+    lv_ctes = lv[:lv.index("\nSELECT l.feature")]
+    longs = " UNION ALL ".join(f"SELECT polref, '{f}' AS feature, CAST({f} AS VARCHAR) AS level FROM scored WHERE {f} IS NOT NULL"
+                               for f in FEATURES)
+    body = f"""SELECT d.polref, d.feature, d.level, CAST(l.level - 1 + o."offset" AS BIGINT) AS col_index
+FROM ({longs}) d JOIN lv l ON d.feature = l.feature AND d.level = l.value JOIN off o ON o.feature = d.feature"""
+    return with_standin(body, SCORED_CTE + ",\n" + lv_ctes)
+
+
+@register("design_matrix", _design_sql())
+def q_design_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = scored_portfolio(spark, sf_dir)
+    lv = W.level_table(s, FEATURES)
+    return FT.long_design(s, "polref", FEATURES, lv).withColumn("col_index", F.col("col_index").cast("long"))
+
+
+# --- F1 (rows only): additive fit of level weights under the tariff corridor objective ---
+@register("additive_fit")
+def q_additive_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = with_acc(spark, sf_dir)
+    model = FT.fit_additive(s, "polref", FEATURES, lambda p: O.corridor_grad(p, "t", "m", "acc"),
+                            ["t", "m", "acc"], FitConfig(max_rounds=100, l2=1e-5))
+    return model.coefficients(spark)
