@@ -101,7 +101,12 @@ def with_weights(wide: DataFrame, features: list[str], bias: float,
     more levels is attached with a broadcast hash join of its weights.
     """
     spark = wide.sparkSession
-    total = F.lit(float(bias))
+    if BIAS in wide.columns:
+        # looked up through a data column: the generated code does not embed the
+        # value, so every round reuses the compiled code of the previous one
+        total = F.create_map(F.lit(""), F.lit(float(bias)))[F.col(BIAS)]
+    else:
+        total = F.lit(float(bias))
     cur = wide
     for i, f in enumerate(features):
         wf = weights.get(f, {})
@@ -121,7 +126,8 @@ def _level_stats(wide: DataFrame, features: list[str], bias: float,
                  weights: dict[str, dict[str, float]], objective: Objective) -> pd.DataFrame:
     pred = with_weights(wide, features, bias, weights)
     g, h = objective(F.col("pred"))
-    gh = pred.select(*features, F.lit("").alias(BIAS), g.alias("g"), h.alias("h"))
+    bias_col = F.col(BIAS) if BIAS in wide.columns else F.lit("").alias(BIAS)
+    gh = pred.select(*features, bias_col, g.alias("g"), h.alias("h"))
     long = gh.unpivot(["g", "h"], [*features, BIAS], "feature", "level").filter(F.col("level").isNotNull())
     stats = long.groupBy("feature", "level").agg(F.sum("g").alias("G"), F.sum("h").alias("H"),
                                                 F.count(F.lit(1)).alias("n"))
@@ -143,7 +149,7 @@ def fit_additive(df: DataFrame, key: str, features: list[str], objective: Object
     columns it reads.  Damped step ``1/(features+1)`` for all levels at
     once, bias fitted first, Nesterov momentum with gradient restart.
     """
-    wide = cut_lineage(encode_wide(df, key, features, keep))
+    wide = cut_lineage(encode_wide(df, key, features, keep).withColumn(BIAS, F.lit("")))
     n_levels = (wide.select(F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).alias("v"))
                                                     for f in features])).alias("x"))
                 .select("x.*").filter(F.col("v").isNotNull()).distinct().count())
