@@ -81,3 +81,26 @@ def paste0(*parts: str | Column) -> Column:
 def nan_to_null(c: str | Column) -> Column:
     x = col(c)
     return F.when(~F.isnan(x), x)
+
+
+def _sql_literal(v) -> str:
+    if v is None:
+        return "NULL"
+    if isinstance(v, bool):
+        return "true" if v else "false"
+    if isinstance(v, int):
+        return f"{v}L" if abs(v) > 2**31 - 1 else str(v)
+    if isinstance(v, float):
+        if v != v:
+            return "double('NaN')"
+        if v in (float("inf"), float("-inf")):
+            return f"double('{'-' if v < 0 else ''}Infinity')"
+        return f"{v!r}D"
+    return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def literal_map(d: dict) -> Column:
+    """A map literal built in ONE call (one SQL expression, not one py4j call per entry)."""
+    if not d:
+        return F.expr("map()")
+    return F.expr("map(" + ", ".join(f"{_sql_literal(k)}, {_sql_literal(v)}" for k, v in d.items()) + ")")

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import FitConfig
+from ..functions.semantics import literal_map
 from ..session import cut_lineage
 from .joins import broadcast_if_small
 
@@ -104,7 +105,7 @@ def with_weights(wide: DataFrame, features: list[str], bias: float,
     if BIAS in wide.columns:
         # looked up through a data column: the generated code does not embed the
         # value, so every round reuses the compiled code of the previous one
-        total = F.create_map(F.lit(""), F.lit(float(bias)))[F.col(BIAS)]
+        total = literal_map({"": float(bias)})[F.col(BIAS)]
     else:
         total = F.lit(float(bias))
     cur = wide
@@ -113,7 +114,7 @@ def with_weights(wide: DataFrame, features: list[str], bias: float,
         if not wf:
             continue
         if len(wf) <= MAP_LEVELS:
-            m = F.create_map(*[x for k, v in wf.items() for x in (F.lit(k), F.lit(float(v)))])
+            m = literal_map({k: float(v) for k, v in wf.items()})
             total = total + F.coalesce(m[F.col(f)], F.lit(0.0))
         else:
             t = spark.createDataFrame(list(wf.items()), f"{f} string, __w{i} double")

@@ -448,3 +448,60 @@ def q_additive_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = FT.fit_additive(s, "polref", FEATURES, lambda p: O.corridor_grad(p, "t", "m", "acc"),
                             ["t", "m", "acc"], FitConfig(max_rounds=100, l2=1e-5))
     return model.coefficients(spark)
+
+
+# --- S6 + S1 (+S3): decimal-comma CSV round trip of the fit input ---
+@register("csv_roundtrip", with_standin("SELECT * FROM rated WHERE pp IS NOT NULL",
+                                        __import__("ratebook.plans.q_build", fromlist=["lookup_ctes"]).lookup_ctes()))
+def q_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources import files as FL
+    from . import input_build as IB
+    df = IB.fit_input_columns(spark, sf_dir)
+    path = FL.scratch_path(spark, "fit-input-csv")
+    FL.write_decimal_comma(df, path)
+    return FL.read_decimal_comma(spark, path, df.schema)
+
+
+# --- S7 + F5: coefficient table persisted as Parquet, read back as multipliers ---
+@register("coefficient_io", with_standin(
+    "SELECT concat(feature, level) AS feature_level, feature, level, round(exp(weight), 6) AS multiplier FROM coef",
+    COEF_CTE))
+def q_coefficient_io(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources import files as FL
+    path = FL.scratch_path(spark, "coefficients")
+    FT.save_coefficients(level_coefficients(scored_portfolio(spark, sf_dir)), path)
+    return rounded(FT.multipliers(FT.load_coefficients(spark, path)), ["multiplier"])
+
+
+# --- A23 (rows only): distribution summary of the prices ---
+@register("price_summary")
+def q_price_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.aggregates import summary
+    return summary(scored_portfolio(spark, sf_dir), ["a", "nm", "nt", "np"])
+
+
+# --- M2, P32, F3, F6 (rows only): squared-error trees with weights and a held-out stop ---
+def sim_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Simulated-quote view: A label, T log margin, V price gap, three rating features."""
+    pol = SI.policy_view(spark, sf_dir)
+    return pol.select(
+        "polref", F.col("claim").isNotNull().cast("double").alias("A"),
+        (F.log("nm") - F.log("nt")).alias("T"), ((F.col("np") - F.col("nm")) / 1e4).alias("V"),
+        F.col("kw").cast("double").alias("VehPower"), (F.col("polref") % 20).cast("double").alias("VehAge"),
+        F.col("clientage").cast("double").alias("DrivAge"))
+
+
+@register("tree_importance")
+def q_tree_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import trees as TR
+    d = SP.split(sim_quotes(spark, sf_dir), "polref", 0.8, seed=123)
+    d = d.withColumn("is_val", F.col("split") == "test")
+    # shift the weight column on the training rows (P32); base margin T enters as offset
+    mn = d.filter(~F.col("is_val")).agg(F.min("V")).scalar()
+    d = d.withColumns({"V": F.col("V") + F.abs(mn) + F.lit(1e-6), "resid": F.col("A") - F.col("T")})
+    feats = ["VehPower", "VehAge", "DrivAge"]
+    from ..functions.scalar import fill_features
+    d = fill_features(d, feats)  # pyspark.ml trees take no missing values: -999 level (P5)
+    _, model = TR.gbt_baseline(d, feats, "resid", weight="V", validation="is_val",
+                               max_depth=3, step=0.1, max_iter=500)
+    return TR.importance(spark, model, feats)
