@@ -505,3 +505,16 @@ def q_tree_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, model = TR.gbt_baseline(d, feats, "resid", weight="V", validation="is_val",
                                max_depth=3, step=0.1, max_iter=500)
     return TR.importance(spark, model, feats)
+
+
+# --- A1 as a Structured Streaming job over arriving claim files ---
+@register("claims_stream", with_standin("SELECT polref, CAST(claim AS BIGINT) AS claim FROM clm"))
+def q_claims_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources import files as FL
+    from ..streaming.claims import claims_stream, publish_available
+    src = FL.scratch_path(spark, "claim-files")
+    snap = SI.claim_snapshot(spark, sf_dir)
+    snap.repartition(4).write.mode("overwrite").parquet(src)  # four files -> four micro-batches
+    out, ckpt = FL.scratch_path(spark, "claims-out"), FL.scratch_path(spark, "claims-ckpt")
+    publish_available(claims_stream(spark, src, snap.schema, "F", files_per_batch=1), out, ckpt)
+    return spark.read.parquet(out)
