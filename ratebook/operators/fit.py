@@ -150,7 +150,8 @@ def fit_additive(df: DataFrame, key: str, features: list[str], objective: Object
     columns it reads.  Damped step ``1/(features+1)`` for all levels at
     once, bias fitted first, Nesterov momentum with gradient restart.
     """
-    wide = cut_lineage(encode_wide(df, key, features, keep).withColumn(BIAS, F.lit("")))
+    # checkpointed (survives executor loss) and cached: every round re-reads it
+    wide = cut_lineage(encode_wide(df, key, features, keep).withColumn(BIAS, F.lit(""))).persist()
     n_levels = (wide.select(F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).alias("v"))
                                                     for f in features])).alias("x"))
                 .select("x.*").filter(F.col("v").isNotNull()).distinct().count())
@@ -196,6 +197,7 @@ def fit_additive(df: DataFrame, key: str, features: list[str], objective: Object
         x_bias, x_w, tk = new_bias, new_w, t_next
         if rnd >= bias_rounds and move < cfg.tol:
             break
+    wide.unpersist()
     w = x_w.reset_index()
     w.columns = ["feature", "level", "weight"]
     return AdditiveModel(bias=x_bias, weights=w, rounds=len(history), history=history)

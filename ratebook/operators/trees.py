@@ -132,7 +132,7 @@ def fit_trees(df: DataFrame, features: list[str], objective: Objective, keep: li
     model = TreeModel(features, points, base)
     bcols = [_bcol(f) for f in features]
     data = cut_lineage(_bucketize(df.select(*features, *keep), features, points)
-                       .select(*bcols, *keep).withColumn("__pred", F.lit(float(base))))
+                       .select(*bcols, *keep).withColumn("__pred", F.lit(float(base)))).persist()
     lam = cfg.reg_lambda
     for r in range(cfg.rounds):
         g, h = objective(F.col("__pred"))
@@ -173,7 +173,9 @@ def fit_trees(df: DataFrame, features: list[str], objective: Objective, keep: li
         model.trees.append(t)
         data = _apply_tree(data, t, features, "__pred")
         if (r + 1) % checkpoint_every == 0:
-            data = cut_lineage(data)
+            old, data = data, cut_lineage(data).persist()
+            old.unpersist()
+    data.unpersist()
     return model
 
 

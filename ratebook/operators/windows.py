@@ -78,33 +78,38 @@ def distributed_rank(df: DataFrame, group: list[str], order: list[str],
     return ranked.withColumn("rank", F.col("cum___one").cast("long")).drop("__one", "cum___one")
 
 
-def sorted_curves(df: DataFrame, series: list[str], key: str, points: int | None = None) -> DataFrame:
+def sorted_curves(df: DataFrame, series: list[str], key: str, points: int | None = None,
+                  by: list[str] | None = None) -> DataFrame:
     """Distribution curves (W1): each series sorted on its own, aligned by rank.
 
     Missing values are dropped per series (R ``sort``); a shorter series
-    repeats from its start up to the longest length.  Long form
-    ``(idx, series, value)``.  With ``points`` only that many evenly spaced
-    ranks are returned per series (a quantile grid, exact ranks).
+    repeats from its start up to the longest length (within each ``by``
+    group).  Long form ``(*by, idx, series, value)``.  With ``points`` only
+    that many evenly spaced ranks are returned per series (exact ranks).
+    All groups and series are ranked in ONE distributed rank.
     """
-    long = (df.select(key, *[F.col(s).cast("double").alias(s) for s in series])
-            .unpivot([key], series, "series", "value").filter(F.col("value").isNotNull()))
-    ranked = distributed_rank(long, ["series"], ["value", key])
-    # one row per series: its length n and the longest length L
-    sizes = (long.groupBy("series").agg(F.count(F.lit(1)).alias("n"))
-             .withColumn("L", F.max("n").over(Window.partitionBy())))
+    by = by or []
+    long = (df.select(*by, key, *[F.col(s).cast("double").alias(s) for s in series])
+            .unpivot([*by, key], series, "series", "value").filter(F.col("value").isNotNull()))
+    grp = [*by, "series"]
+    ranked = distributed_rank(long, grp, ["value", key])
+    # one row per (group, series): its length n and the group's longest length L
+    wl = Window.partitionBy(*by) if by else Window.partitionBy()
+    sizes = (long.groupBy(*grp).agg(F.count(F.lit(1)).alias("n"))
+             .withColumn("L", F.max("n").over(wl)))
     if points is None:
         # rank r of a series of length n fills idx r, r+n, r+2n, ... <= L
-        rep = ranked.join(F.broadcast(sizes), "series")
+        rep = ranked.join(F.broadcast(sizes), grp)
         k = F.explode(F.sequence(F.lit(0).cast("long"),
                                  F.floor((F.col("L") - F.col("rank")) / F.col("n")).cast("long")))
         rep = rep.withColumn("k", k)
-        return rep.select((F.col("rank") + F.col("k") * F.col("n")).alias("idx"), "series", "value")
+        return rep.select(*by, (F.col("rank") + F.col("k") * F.col("n")).alias("idx"), "series", "value")
     step = F.lit(1.0) * (F.col("L") - 1) / F.lit(max(points - 1, 1))
     want = (sizes.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
             .withColumn("idx", F.round(F.lit(1.0) + F.col("j") * step).cast("long"))
             .withColumn("rank", F.pmod(F.col("idx") - 1, F.col("n")) + 1)
-            .select("series", "rank", "idx"))
-    return ranked.join(F.broadcast(want), ["series", "rank"]).select("idx", "series", "value")
+            .select(*grp, "rank", "idx"))
+    return ranked.join(F.broadcast(want), [*grp, "rank"]).select(*by, "idx", "series", "value")
 
 
 def ordered_levels(report: DataFrame, feature: str = "feature", value: str = "value") -> DataFrame:

@@ -173,11 +173,10 @@ JOIN ranked r ON r.part = w.part AND r.series = w.series AND r.r = w.rk"""
 
 def _curves(spark: SparkSession, sf_dir: str, points: int | None) -> DataFrame:
     s = scored_portfolio(spark, sf_dir)
-    out = []
-    for part, cond in (("profit", F.col("m") > F.col("t")), ("loss", F.col("m") <= F.col("t"))):
-        c = W.sorted_curves(s.filter(cond), ["nt", "nm", "np", "a"], "polref", points)
-        out.append(c.select(F.lit(part).alias("part"), "idx", "series", "value"))
-    return out[0].unionByName(out[1])
+    # profit-making (m > t) and loss-making (m <= t) quotes; unknown comparisons drop out
+    part = F.when(F.col("m") > F.col("t"), "profit").when(F.col("m") <= F.col("t"), "loss")
+    s = s.withColumn("part", part).filter(F.col("part").isNotNull())
+    return W.sorted_curves(s, ["nt", "nm", "np", "a"], "polref", points, by=["part"])
 
 
 @register("distribution_curves", _curves_sql(None))
