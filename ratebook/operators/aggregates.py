@@ -37,12 +37,14 @@ def earned_by_policy(earned: DataFrame, period: Column, key: str = "polref",
     return earned.filter(period).groupBy(key).agg(strict_sum(value).alias(value))
 
 
+def is_unique_exprs(key: str) -> list[Column]:
+    return [F.count(F.lit(1)).alias("n"),
+            (F.count_distinct(F.col(key)) + F.max(F.col(key).isNull().cast("int"))).alias("n_distinct")]
+
+
 def is_unique(df: DataFrame, key: str) -> DataFrame:
     """``N == uniqueN(key)``, a missing key counted as one value (A10)."""
-    return df.agg(
-        F.count(F.lit(1)).alias("n"),
-        (F.count_distinct(F.col(key)) + F.max(F.col(key).isNull().cast("int"))).alias("n_distinct"),
-    ).withColumn("unique", F.col("n") == F.col("n_distinct"))
+    return df.agg(*is_unique_exprs(key)).withColumn("unique", F.col("n") == F.col("n_distinct"))
 
 
 def varying_features(df: DataFrame, features: list[str]) -> DataFrame:
@@ -62,9 +64,13 @@ def varying_feature_names(df: DataFrame, features: list[str]) -> list[str]:
     return [f for f in features if f in keep]
 
 
+def mean_exprs(cols: list[str]) -> list[Column]:
+    return [F.avg(c).alias(f"mean_{c}") for c in cols]
+
+
 def mean_prices(df: DataFrame, cols: list[str]) -> DataFrame:
     """Portfolio means, missing skipped."""
-    return df.agg(*[F.avg(c).alias(f"mean_{c}") for c in cols])
+    return df.agg(*mean_exprs(cols))
 
 
 def split_counts(df: DataFrame, split: str = "split") -> DataFrame:

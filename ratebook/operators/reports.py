@@ -217,14 +217,17 @@ def class_report(df: DataFrame, class_col: str = "ujclass", cfg: ReportConfig =
     return out.select("class_id", "label", "own_flag", "model_flag", *CLASS_MEASURES)
 
 
-def outcome_counts(df: DataFrame, m: str = "m", t: str = "t", p: str = "p") -> DataFrame:
-    """Lost / won / avoided / swallowed quote counts of the model."""
+def outcome_counts(df: DataFrame, m: str = "m", t: str = "t", p: str = "p",
+                   cfg: ReportConfig = C) -> DataFrame:
+    """Lost / won / avoided / swallowed quote counts of the model (A16), and the
+    ``nm == nt`` ties that fall in no segment (Q12), in one aggregation."""
     M, T, P = F.col(m), F.col(t), F.col(p)
     return df.agg(
         F.count_if((M > T) & (M <= P)).alias("lost"),
         F.count_if((M > T) & (M > P)).alias("won"),
         F.count_if((M < T) & (M <= P)).alias("avoided"),
         F.count_if((M < T) & (M > P)).alias("swallowed"),
+        F.count_if(F.col(cfg.market) == F.col(cfg.breakeven)).alias("ties"),
     )
 
 

@@ -117,7 +117,8 @@ def _best_split(st: pd.DataFrame, G: float, H: float, cfg: TreeConfig):
         ok = (hl >= cfg.min_child_hess) & (hr >= cfg.min_child_hess)
         if not ok.any():
             continue
-        gain = gl ** 2 / (hl + cfg.reg_lambda) + gr ** 2 / (hr + cfg.reg_lambda) - parent
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gain = gl ** 2 / (hl + cfg.reg_lambda) + gr ** 2 / (hr + cfg.reg_lambda) - parent
         gain = np.where(ok, gain, -np.inf)
         i = int(np.argmax(gain))
         if best is None or gain[i] > best[2]:

@@ -94,8 +94,7 @@ def q_segment_report_age19(spark: SparkSession, sf_dir: str) -> DataFrame:
   CAST(count_if(nm = nt) AS BIGINT) AS ties
 FROM scored""", SCORED_CTE))
 def q_outcome_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = scored_portfolio(spark, sf_dir)
-    return R.outcome_counts(s).join(R.segment_ties(s).select("ties"))
+    return R.outcome_counts(scored_portfolio(spark, sf_dir))
 
 
 # --- A11 + U3: levels per feature, varying features ---
