@@ -11,6 +11,7 @@ partition count plus the group count.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,21 +40,33 @@ def prefix_sums(df: DataFrame, group: list[str], order: list[str], values: list[
         + [T.StructField(c, T.DoubleType(), True) for c in loc])
 
     def number(batches):
+        # rows arrive sorted by (group, order): a group is a contiguous run, and
+        # only the first run of a batch can continue the previous batch's run
         from pyspark import TaskContext
         pid = TaskContext.get().partitionId()
-        carry: dict = {}
+        carry_key, carry = None, {v: 0.0 for v in values}
         for pdf in batches:
             if pdf.empty:
                 continue
-            gkey = pdf[group].astype(str).agg("\x1f".join, axis=1) if group else pd.Series("", index=pdf.index)
+            if group:
+                g = pdf[group].astype(object).where(pdf[group].notna(), "\x00null")
+                start = (g != g.shift()).any(axis=1).to_numpy()
+                start[0] = True
+                run = np.cumsum(start) - 1
+                first_key = tuple(g.iloc[0])
+                last_key = tuple(g.iloc[-1])
+            else:
+                run = np.zeros(len(pdf), dtype=np.int64)
+                first_key = last_key = ()
+            cont = first_key == carry_key
             for v, lc in zip(values, loc):
-                x = pd.to_numeric(pdf[v], errors="coerce").fillna(0.0).astype("float64")
-                cs = x.groupby(gkey.values).cumsum()
-                base = gkey.map(lambda g: carry.get((g, v), 0.0)).astype("float64")
-                pdf[lc] = cs.values + base.values
-                last = pd.Series(pdf[lc].values, index=gkey.values).groupby(level=0).last()
-                for g, val in last.items():
-                    carry[(g, v)] = float(val)
+                x = pd.to_numeric(pdf[v], errors="coerce").fillna(0.0).to_numpy(dtype="float64")
+                cs = pd.Series(x).groupby(run).cumsum().to_numpy()
+                if cont:
+                    cs[run == 0] += carry[v]
+                pdf[lc] = cs
+                carry[v] = float(cs[-1])
+            carry_key = last_key
             pdf[PID] = pid
             yield pdf[[f.name for f in out_schema.fields]]
 
@@ -152,8 +165,9 @@ def level_table(df: DataFrame, features: list[str]) -> DataFrame:
                         for f in features])
     lv = (df.select(F.explode(triples).alias("t")).select("t.*")
           .filter(F.col("value").isNotNull()).distinct())
-    w = Window.partitionBy("feature").orderBy(F.col("num"), F.col("value"))
-    lv = lv.withColumn("level", F.row_number().over(w) + 1).drop("num")
+    # level order per feature by the distributed rank: a feature with very many
+    # levels (postal code, correction key) is not gathered into one task
+    lv = distributed_rank(lv, ["feature"], ["num", "value"]).withColumn("level", F.col("rank") + 1).drop("num", "rank")
     blanks = spark.createDataFrame([(f, " ", 1) for f in features], "feature string, value string, level int")
     lv = lv.select("feature", "value", F.col("level").cast("int")).unionByName(blanks)
     order = spark.createDataFrame([(f, i) for i, f in enumerate(features)], "feature string, f_pos int")
@@ -169,8 +183,10 @@ def baseline_level(df: DataFrame, features: list[str]) -> DataFrame:
     """Most frequent level of each feature, ties to the smaller text."""
     from .reports import long_levels
     counts = long_levels(df, features, []).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("feature").orderBy(F.desc("n"), F.col("value").asc_nulls_last())
-    return counts.withColumn("r", F.row_number().over(w)).filter("r = 1").drop("r")
+    # an aggregation, not a window: highest count, then the smallest level, null last
+    order = F.struct((-F.col("n")).alias("a"), F.col("value").isNull().alias("b"), F.col("value").alias("c"))
+    best = counts.groupBy("feature").agg(F.min_by(F.struct("value", "n"), order).alias("best"))
+    return best.select("feature", "best.value", "best.n")
 
 
 def union_reports(reports: list[DataFrame]) -> DataFrame:
