@@ -41,10 +41,22 @@ def rate_policies(pol: DataFrame, zips: DataFrame, competitors: list[str],
     return require(out, ["pp"])
 
 
+# the original feed's column names and the short names the pricing code uses
+FEED_NAMES = {"vehicle_power": "kw", "contractor_age": "clientage", "postal_code": "zip"}
+
+
+def policy_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stand-in policy feed under the original feed column names."""
+    return policy_view(spark, sf_dir).drop("nm").withColumnsRenamed({v: k for k, v in FEED_NAMES.items()})
+
+
 def fit_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rated stand-in portfolio (policy feed -> fit input)."""
-    pol = policy_view(spark, sf_dir).drop("nm")
-    return rate_policies(pol, zip_multiplier(spark, sf_dir), ["price_c1", "price_c2", "price_c3"])
+    from ..functions.scalar import cols_like, rename_inputs
+    pol = rename_inputs(policy_feed(spark, sf_dir), FEED_NAMES)          # P1
+    competitors = cols_like(pol, r"^price_c[0-9]+$")                      # P20
+    rated = rate_policies(pol, zip_multiplier(spark, sf_dir), competitors)
+    return rated.drop("bonus_malus_current")                              # P2: coded into bmcorr
 
 
 INPUT_COLUMNS = ["polref", "zip", "bmcorr", "kw_band", "age_band", "poli", *FREQ_SEV, "pp", "nm"]

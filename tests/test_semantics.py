@@ -125,3 +125,17 @@ def test_bonus_codes_and_yes_no(spark):
 def test_ascii_name(spark):
     r = spark.range(1).select(SC.ascii_name(F.lit("Kár-rendezési költség")).alias("x")).first()
     assert r.x == "Kar_rendezesi_koltseg"
+
+
+def test_portfolio_filter_and_id_prefix(spark):
+    from ratebook.operators.portfolio import id_prefix, portfolio_filter
+    df = spark.createDataFrame([(81100000706, "calculation"), (81200000001, "calculation"),
+                                (81100000707, "offer")], "unique_id long, quote_type string")
+    out = id_prefix(portfolio_filter(df, "quote_type", "calculation"), "unique_id", "811")
+    assert [r.unique_id for r in out.collect()] == [81100000706]
+
+
+def test_column_choice_helpers(spark):
+    df = spark.createDataFrame([(1, 2, 3, 4)], "price_c1 int, price_c2 int, a int, nm int")
+    assert SC.cols_like(df, r"^price_c[0-9]+$") == ["price_c1", "price_c2"]
+    assert SC.cols_except(df, ["a", "nm"]) == ["price_c1", "price_c2"]
