@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ..config import FitConfig
 from ..functions.semantics import literal_map
 from ..session import cut_lineage
-from .joins import broadcast_if_small
+from .joins import broadcast_if_few
 
 BIAS = "(bias)"
 Objective = Callable[[Column], tuple[Column, Column]]
@@ -61,33 +61,33 @@ def long_design(df: DataFrame, key: str, features: list[str], levels: DataFrame
     if levels is None:
         return long
     lv = levels.select("feature", F.col("value").alias("level"), "col_index")
-    return long.join(broadcast_if_small(lv), ["feature", "level"], "left")
+    return long.join(broadcast_if_few(lv), ["feature", "level"], "left")
 
 
-def add_predictions(wide: DataFrame, coef: DataFrame, features: list[str], out: str = "pred",
-                    limit_rows: int = 200_000) -> DataFrame:
-    """``bias + sum_f weight_f[level_f]`` (F4); an unseen level contributes 0.
+def score(df: DataFrame, coef: DataFrame, key: str, features: list[str], out: str = "pred",
+          limit: int = FitConfig().map_lookup_limit) -> DataFrame:
+    """``bias + sum_f weight_f[level_f]`` (F4); an unseen or missing level contributes 0.
 
-    One broadcast hash join per feature (no shuffle) while the feature's
-    coefficient table is small; a larger one falls back to a shuffle join.
+    A coefficient table of at most ``limit`` rows (checked by fetching at most
+    limit + 1 rows) is turned into literal maps: no join, no shuffle.  A
+    larger model is applied in long form: one join of (key, feature, level)
+    to the coefficients, one ``groupBy(key)``, one join back.
     """
-    bias = coef.filter(F.col("feature") == BIAS).agg(F.sum("weight")).scalar()
-    cur = wide
-    terms = []
-    for i, f in enumerate(features):
-        wf = coef.filter(F.col("feature") == f).select(F.col("level").alias(f), F.col("weight").alias(f"__w{i}"))
-        cur = cur.join(broadcast_if_small(wf), f, "left")
-        terms.append(F.coalesce(F.col(f"__w{i}"), F.lit(0.0)))
-    total = F.coalesce(bias, F.lit(0.0))
-    for t in terms:
-        total = total + t
-    return cur.withColumn(out, total).drop(*[f"__w{i}" for i in range(len(features))])
-
-
-def score(df: DataFrame, coef: DataFrame, key: str, features: list[str], out: str = "pred") -> DataFrame:
-    """Score policies with a coefficient table."""
     wide = df.withColumns({f: F.col(f).cast("string") for f in features})
-    return add_predictions(wide, coef, features, out)
+    rows = coef.select("feature", "level", "weight").limit(limit + 1).collect()
+    if len(rows) <= limit:
+        bias = sum(r.weight for r in rows if r.feature == BIAS)
+        weights: dict[str, dict[str, float]] = {}
+        for r in rows:
+            if r.feature != BIAS and r.level is not None:
+                weights.setdefault(r.feature, {})[r.level] = float(r.weight)
+        return with_weights(wide, features, bias, weights, out)
+    bias = coef.filter(F.col("feature") == BIAS).agg(F.sum("weight")).scalar()
+    long = long_design(wide, key, features)
+    summed = (long.join(coef.filter(F.col("feature") != BIAS), ["feature", "level"], "left")
+              .groupBy(key).agg(F.sum(F.coalesce("weight", F.lit(0.0))).alias("__s")))
+    return (wide.join(summed, key, "left")
+            .withColumn(out, F.coalesce(bias, F.lit(0.0)) + F.coalesce("__s", F.lit(0.0))).drop("__s"))
 
 
 # features with at most this many levels are looked up in a literal map

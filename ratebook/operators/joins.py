@@ -30,6 +30,19 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame
     return F.broadcast(df) if estimated_bytes(df) <= limit else df
 
 
+def broadcast_if_few(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """Broadcast a table DERIVED from the data when it has at most ``max_rows`` rows.
+
+    The optimizer's size estimate of an aggregate is its input size, so small
+    derived tables (rank offsets, level tables, coefficients) would otherwise
+    be joined by shuffling the big side.  The row bound is checked by counting
+    at most ``max_rows + 1`` rows of the (cached) table.
+    """
+    cached = df.persist()
+    n = cached.limit(max_rows + 1).count()
+    return F.broadcast(cached) if n <= max_rows else cached
+
+
 def _prefix_clashes(left: DataFrame, right: DataFrame, keys: list[str], prefix: str = "i_") -> DataFrame:
     """Rename left columns that clash with right non-key columns (Q17: ``i.`` prefix)."""
     clash = (set(left.columns) & set(right.columns)) - set(keys)
@@ -95,7 +108,7 @@ def with_multiplier(oneway: DataFrame, coef: DataFrame, feature: str = "feature"
     """
     left = oneway.withColumn("__fl", paste0(feature, value))
     right = coef.select(F.col("feature_level").alias("__fl"), F.col("weight").alias("__w"))
-    out = left.join(broadcast_if_small(right), "__fl", "left")
+    out = left.join(broadcast_if_few(right), "__fl", "left")
     return out.withColumn("multiplier", F.exp("__w")).drop("__fl", "__w")
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .joins import broadcast_if_small
+from .joins import broadcast_if_few
 from .windows import distributed_rank
 
 MODULUS = 1_000_003
@@ -37,7 +37,7 @@ def stratified_split(df: DataFrame, key: str, label: str, frac: float = 0.8, see
     h = df.withColumn("__h", key_hash(key, seed))
     ranked = distributed_rank(h, [label], ["__h", key])
     sizes = h.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
-    out = ranked.join(broadcast_if_small(sizes), label)  # one row per class
+    out = ranked.join(broadcast_if_few(sizes), label)  # one row per class
     return (out.withColumn(col, F.when(F.col("rank") <= F.floor(F.col("__n") * F.lit(frac)), "train")
                            .otherwise("test"))
             .drop("__h", "__n", "rank"))

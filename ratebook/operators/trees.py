@@ -172,10 +172,13 @@ def fit_trees(df: DataFrame, features: list[str], objective: Objective, keep: li
                         nxt.append(k)
             active = nxt
         model.trees.append(t)
+        # materialise the updated prediction once, so the next tree's level jobs
+        # do not re-walk all earlier trees for every row
+        old = data
         data = _apply_tree(data, t, features, "__pred")
-        if (r + 1) % checkpoint_every == 0:
-            old, data = data, cut_lineage(data).persist()
-            old.unpersist()
+        data = (cut_lineage(data) if (r + 1) % checkpoint_every == 0 else data).persist()
+        data.count()
+        old.unpersist()
     data.unpersist()
     return model
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut_lineage
-from .joins import broadcast_if_small
+from .joins import broadcast_if_few
 
 PID = "__pid"
 
@@ -78,7 +78,7 @@ def prefix_sums(df: DataFrame, group: list[str], order: list[str], values: list[
     # totals has at most (partitions + groups) rows: the offset window is tiny
     offsets = totals.select(PID, *group, *[F.coalesce(F.sum(f"__tot_{v}").over(w), F.lit(0.0))
                                           .alias(f"__off_{v}") for v in values])
-    joined = numbered.join(broadcast_if_small(offsets), [PID, *group], "left")
+    joined = numbered.join(broadcast_if_few(offsets), [PID, *group], "left")
     return joined.select(*df.columns, *[(F.col(lc) + F.col(f"__off_{v}")).alias(f"cum_{v}")
                                        for v, lc in zip(values, loc)])
 
@@ -175,7 +175,7 @@ def level_table(df: DataFrame, features: list[str]) -> DataFrame:
     wo = Window.orderBy("f_pos").rowsBetween(Window.unboundedPreceding, -1)
     # one row per feature: the offset window is tiny
     offs = sizes.select("feature", F.coalesce(F.sum("n_levels").over(wo), F.lit(0)).alias("offset"))
-    return (lv.join(F.broadcast(offs), "feature")
+    return (lv.join(F.broadcast(offs), "feature")  # one row per feature
             .select("feature", "value", "level", (F.col("level") - 1 + F.col("offset")).alias("col_index")))
 
 
