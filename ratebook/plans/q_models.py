@@ -261,9 +261,14 @@ def q_loss_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rounded(d, ["price", "loss"]), ["ep"], 4)
 
 
-@register("one_policy", with_standin("SELECT polref, a, nm, nt, np FROM priced WHERE polref = 1"))
+@register("one_policy", with_standin("""SELECT polref, a, nm, nt, np, advantage FROM (
+  SELECT *, (CASE WHEN m <= p THEN 0 WHEN m > p THEN np - nt END) - (CASE WHEN nm <= a THEN 0 WHEN nm > a THEN a - nt END) AS advantage
+  FROM scored) ORDER BY advantage DESC, polref DESC LIMIT 1""", SCORED_CTE))
 def q_one_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.one_policy(SI.policy_view(spark, sf_dir), "polref", 1).select("polref", "a", "nm", "nt", "np")
+    """The policy where the model gains most over the own price (W8 with a data-chosen key)."""
+    s = scored_portfolio(spark, sf_dir)
+    key = s.agg(F.max(F.struct("advantage", "polref")).alias("b")).select("b.polref").scalar()
+    return W.one_policy(s, "polref", key).select("polref", "a", "nm", "nt", "np", "advantage")
 
 
 # --- G2: profit curve and best price per product (part table) ---
