@@ -76,28 +76,40 @@ def _bucketize(df: DataFrame, features: list[str], points: dict[str, list[float]
     return out.withColumns({_bcol(f): F.col(_bcol(f)).cast("int") for f in features})
 
 
+def _paths(t: Tree) -> dict[int, list[tuple[str, int, bool]]]:
+    """Root-to-node conditions ``(feature, bin threshold, goes left)`` of every unsplit node."""
+    out: dict[int, list[tuple[str, int, bool]]] = {}
+    stack = [(0, [])]
+    while stack:
+        n, path = stack.pop()
+        if n in t.splits:
+            f, b = t.splits[n]
+            stack.append((2 * n + 1, path + [(f, b, True)]))
+            stack.append((2 * n + 2, path + [(f, b, False)]))
+        else:
+            out[n] = path
+    return out
+
+
 def _route(cur: DataFrame, t: Tree, features: list[str], col: str = "__node") -> DataFrame:
-    """Node each row ends in: ONE higher-order ``aggregate`` walking the tree.
+    """Node each row ends in, compiled to ONE ``CASE WHEN`` over root-to-node paths.
 
-    Per step ``node -> 2 node + 1 + (bin[feature(node)] > threshold(node))``
-    for split nodes; feature index and threshold come from literal maps.
-    (Chaining one projection per level lets Catalyst inline each level into
-    the next, which grows the expression exponentially with the depth.)
+    Each branch is a conjunction of at most ``depth`` comparisons of bin
+    columns, so the expression is linear in the tree size and stays inside
+    whole-stage codegen.  (Chaining one projection per level lets Catalyst
+    inline each level into the next and grows the expression exponentially.)
     """
-    if not t.splits:
-        return cur.withColumn(col, F.lit(0))
-    fidx = {f: i for i, f in enumerate(features)}
-    fmap = literal_map({n: fidx[f] for n, (f, _) in t.splits.items()})
-    tmap = literal_map({n: b for n, (_, b) in t.splits.items()})
-    bins = F.array(*[F.col(_bcol(f)) for f in features])
-
-    def step(node, _):
-        fi = F.element_at(fmap, node)
-        go_right = (F.element_at(bins, fi + 1) > F.element_at(tmap, node)).cast("int")
-        return F.when(fi.isNull(), node).otherwise(node * 2 + 1 + go_right)
-
-    walk = F.aggregate(F.sequence(F.lit(0), F.lit(max(t.depth, 1) - 1)), F.lit(0), step)
-    return cur.withColumn(col, walk)
+    paths = _paths(t)
+    if len(paths) == 1:
+        return cur.withColumn(col, F.lit(next(iter(paths))))
+    expr = None
+    for n, path in paths.items():
+        cond = F.lit(True)
+        for f, b, left in path:
+            c = F.col(_bcol(f))
+            cond = cond & ((c <= b) if left else (c > b))
+        expr = F.when(cond, n) if expr is None else expr.when(cond, n)
+    return cur.withColumn(col, expr)
 
 
 def _apply_tree(cur: DataFrame, t: Tree, features: list[str], out: str) -> DataFrame:
