@@ -34,15 +34,18 @@ Objective = Callable[[Column], tuple[Column, Column]]
 @dataclass
 class AdditiveModel:
     bias: float
-    weights: pd.DataFrame  # feature, level, weight
+    weights: pd.DataFrame | DataFrame  # feature, level, weight (a DataFrame for large models)
     rounds: int = 0
     history: list = field(default_factory=list)
 
     def coefficients(self, spark: SparkSession) -> DataFrame:
         """Coefficient table ``(feature, level, weight)`` with the bias as a row."""
-        rows = [(BIAS, "", float(self.bias))] + [
-            (str(f), str(lv), float(w)) for f, lv, w in self.weights[["feature", "level", "weight"]].itertuples(index=False)]
-        return spark.createDataFrame(rows, "feature string, level string, weight double")
+        bias = spark.createDataFrame([(BIAS, "", float(self.bias))], "feature string, level string, weight double")
+        if isinstance(self.weights, DataFrame):
+            return bias.unionByName(self.weights.select("feature", "level", "weight"))
+        rows = [(str(f), str(lv), float(w))
+                for f, lv, w in self.weights[["feature", "level", "weight"]].itertuples(index=False)]
+        return bias.unionByName(spark.createDataFrame(rows, "feature string, level string, weight double"))
 
 
 def encode_wide(df: DataFrame, key: str, features: list[str], keep: list[str]) -> DataFrame:
@@ -156,8 +159,7 @@ def fit_additive(df: DataFrame, key: str, features: list[str], objective: Object
                                                     for f in features])).alias("x"))
                 .select("x.*").filter(F.col("v").isNotNull()).distinct().count())
     if n_levels > cfg.map_lookup_limit:
-        raise ValueError(f"{n_levels} levels exceed FitConfig.map_lookup_limit={cfg.map_lookup_limit}; "
-                         "raise the limit (driver holds levels x 2 sums per round)")
+        return _fit_additive_large(wide, key, features, objective, cfg, bias_rounds)
 
     eta = 1.0 / (len(features) + 1)
     x_bias, y_bias = 0.0, 0.0
@@ -203,6 +205,73 @@ def fit_additive(df: DataFrame, key: str, features: list[str], objective: Object
     return AdditiveModel(bias=x_bias, weights=w, rounds=len(history), history=history)
 
 
+def _fit_additive_large(wide: DataFrame, key: str, features: list[str], objective: Objective,
+                        cfg: FitConfig, bias_rounds: int) -> AdditiveModel:
+    """The same rounds as ``fit_additive`` with the coefficients kept as a DataFrame.
+
+    Used above ``map_lookup_limit`` levels: nothing level-sized reaches the
+    driver.  Per round the long design is joined to the extrapolated weights
+    and summed per policy; the objective's (g, h) are summed per level by a
+    join back; the proximal step, the restart test (one scalar aggregation)
+    and the momentum are DataFrame operations on the coefficient table,
+    which is checkpointed every round so lineage stays flat.
+    """
+    eta = 1.0 / (len(features) + 1)
+    long = cut_lineage(wide.select(key, *features).unpivot([key], features, "feature", "level")
+                       .filter(F.col("level").isNotNull())).persist()
+    coef = cut_lineage(long.select("feature", "level").distinct()
+                       .withColumns({"x": F.lit(0.0), "y": F.lit(0.0)})).persist()
+    x_bias = y_bias = 0.0
+    tk = 1.0
+    history = []
+    for rnd in range(cfg.max_rounds):
+        contrib = (long.join(coef.select("feature", "level", "y"), ["feature", "level"])
+                   .groupBy(key).agg(F.sum("y").alias("__s")))
+        pred = wide.join(contrib, key, "left").withColumn(
+            "pred", F.lit(y_bias) + F.coalesce(F.col("__s"), F.lit(0.0)))
+        g, h = objective(F.col("pred"))
+        gh = cut_lineage(pred.select(key, g.alias("g"), h.alias("h"))).persist()
+        bG, bH = gh.agg(F.sum("g"), F.sum("h")).first()
+        lvl = long.join(gh, key).groupBy("feature", "level").agg(F.sum("g").alias("G"), F.sum("h").alias("H"))
+        cur = coef.join(lvl, ["feature", "level"], "left").fillna(0.0, subset=["G", "H"])
+        y = F.col("y")
+        if rnd < bias_rounds:
+            new_bias = float(y_bias - bG / max(bH, cfg.hess_floor))
+            new, grad = y, F.lit(0.0)
+            bias_grad = bG
+        else:
+            Hf = F.greatest(F.col("H"), F.lit(cfg.hess_floor))
+            z = y - F.lit(eta) * (F.col("G") + F.lit(cfg.l2) * y) / (Hf + F.lit(cfg.l2))
+            thr = F.lit(eta * cfg.l1) / (Hf + F.lit(cfg.l2))
+            new = F.signum(z) * F.greatest(F.abs(z) - thr, F.lit(0.0))
+            grad = F.col("G") + F.lit(cfg.l2) * y
+            new_bias = float(y_bias - eta * bG / max(bH, cfg.hess_floor))
+            bias_grad = bG
+        stepped = cut_lineage(cur.select("feature", "level", "x", new.alias("new"), grad.alias("grad"))).persist()
+        dot, move = stepped.agg(F.sum(F.col("grad") * (F.col("new") - F.col("x"))),
+                                F.max(F.abs(F.col("new") - F.col("x")))).first()
+        dot = (dot or 0.0) + bias_grad * (new_bias - x_bias)
+        move = max(move or 0.0, abs(new_bias - x_bias))
+        history.append({"round": rnd, "bias": new_bias, "move": move})
+        restart = dot > 0 or rnd < bias_rounds
+        t_next = 1.0 if restart else (1.0 + np.sqrt(1.0 + 4.0 * tk * tk)) / 2.0
+        beta = 0.0 if restart else (tk - 1.0) / t_next
+        nxt = stepped.select("feature", "level", F.col("new").alias("x"),
+                             (F.col("new") + F.lit(beta) * (F.col("new") - F.col("x"))).alias("y"))
+        old = [coef, gh, stepped]
+        coef = cut_lineage(nxt).persist()
+        for o in old:
+            o.unpersist()
+        y_bias = new_bias + beta * (new_bias - x_bias)
+        x_bias, tk = new_bias, t_next
+        if rnd >= bias_rounds and move < cfg.tol:
+            break
+    long.unpersist()
+    wide.unpersist()
+    return AdditiveModel(bias=x_bias, weights=coef.select("feature", "level", F.col("x").alias("weight")),
+                         rounds=len(history), history=history)
+
+
 def multipliers(coef: DataFrame) -> DataFrame:
     """Weights to multipliers ``exp(w)`` with the name ``feature || level``."""
     return coef.select(F.concat("feature", "level").alias("feature_level"), "feature", "level",

@@ -44,3 +44,15 @@ def test_duplicated_factor_does_not_diverge_and_rerun_is_equal(spark):
     wa = a.weights.set_index(["feature", "level"]).weight.sort_index()
     wb = b.weights.set_index(["feature", "level"]).weight.sort_index()
     np.testing.assert_allclose(wa.to_numpy(), wb.to_numpy(), atol=1e-9)
+
+
+def test_large_model_path_matches_driver_path(spark):
+    """Above the level limit the fit runs on DataFrames only and gives the same weights."""
+    pdf, df = loss_rows(spark, n=800, dup=True)
+    small = fit_additive(df, "k", ["f", "f2"], obj, ["t", "m", "u"], FitConfig(max_rounds=12, l2=1e-5))
+    large = fit_additive(df, "k", ["f", "f2"], obj, ["t", "m", "u"],
+                         FitConfig(max_rounds=12, l2=1e-5, map_lookup_limit=2))
+    assert abs(small.bias - large.bias) < 1e-9
+    a = small.weights.set_index(["feature", "level"]).weight.sort_index()
+    b = large.weights.toPandas().set_index(["feature", "level"]).weight.sort_index()
+    np.testing.assert_allclose(a.to_numpy(), b.to_numpy(), atol=1e-9)
