@@ -90,6 +90,7 @@ def density_histogram(df: DataFrame, cols: list[str], bins: int = 30, log: bool
                                     F.count(F.lit(1)).alias("n"))
     st = st.withColumn("width", (F.col("hi") - F.col("lo")) / F.lit(bins))
     b = F.least(F.floor((F.col("x") - F.col("lo")) / F.col("width")), F.lit(bins - 1)).cast("int")
+    # st has one row per listed series
     counts = long.join(F.broadcast(st), "series").groupBy("series", b.alias("bin")).agg(
         F.count(F.lit(1)).alias("cnt"))
     allb = st.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))

@@ -121,7 +121,7 @@ def with_weights(wide: DataFrame, features: list[str], bias: float,
             total = total + F.coalesce(m[F.col(f)], F.lit(0.0))
         else:
             t = spark.createDataFrame(list(wf.items()), f"{f} string, __w{i} double")
-            cur = cur.join(F.broadcast(t), f, "left")
+            cur = cur.join(F.broadcast(t), f, "left")  # at most map_lookup_limit rows
             total = total + F.coalesce(F.col(f"__w{i}"), F.lit(0.0))
     return cur.withColumn(out, total)
 

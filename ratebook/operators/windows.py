@@ -112,7 +112,7 @@ def sorted_curves(df: DataFrame, series: list[str], key: str, points: int | None
              .withColumn("L", F.max("n").over(wl)))
     if points is None:
         # rank r of a series of length n fills idx r, r+n, r+2n, ... <= L
-        rep = ranked.join(F.broadcast(sizes), grp)
+        rep = ranked.join(broadcast_if_few(sizes), grp)
         k = F.explode(F.sequence(F.lit(0).cast("long"),
                                  F.floor((F.col("L") - F.col("rank")) / F.col("n")).cast("long")))
         rep = rep.withColumn("k", k)
@@ -122,7 +122,7 @@ def sorted_curves(df: DataFrame, series: list[str], key: str, points: int | None
             .withColumn("idx", F.round(F.lit(1.0) + F.col("j") * step).cast("long"))
             .withColumn("rank", F.pmod(F.col("idx") - 1, F.col("n")) + 1)
             .select(*grp, "rank", "idx"))
-    return ranked.join(F.broadcast(want), [*grp, "rank"]).select(*by, "idx", "series", "value")
+    return ranked.join(broadcast_if_few(want), [*grp, "rank"]).select(*by, "idx", "series", "value")
 
 
 def ordered_levels(report: DataFrame, feature: str = "feature", value: str = "value") -> DataFrame:
