@@ -135,7 +135,8 @@ def _level_stats(wide: DataFrame, features: list[str], bias: float,
     long = gh.unpivot(["g", "h"], [*features, BIAS], "feature", "level").filter(F.col("level").isNotNull())
     stats = long.groupBy("feature", "level").agg(F.sum("g").alias("G"), F.sum("h").alias("H"),
                                                 F.count(F.lit(1)).alias("n"))
-    return stats.toPandas()
+    rows = stats.collect()  # levels x 3 numbers (size checked before the fit)
+    return pd.DataFrame(rows, columns=["feature", "level", "G", "H", "n"])
 
 
 def _as_maps(w: pd.Series) -> dict[str, dict[str, float]]:
