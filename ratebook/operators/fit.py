@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..config import FitConfig
 from ..functions.semantics import literal_map
-from ..session import cut_lineage
+from ..session import cut_lineage, spread
 from .joins import broadcast_if_few
 
 BIAS = "(bias)"
@@ -127,9 +127,9 @@ def with_weights(wide: DataFrame, features: list[str], bias: float,
 
 
 def _level_stats(wide: DataFrame, features: list[str], bias: float,
-                 weights: dict[str, dict[str, float]], objective: Objective) -> pd.DataFrame:
+                 weights: dict[str, dict[str, float]], gh_cols: tuple[Column, Column]) -> pd.DataFrame:
     pred = with_weights(wide, features, bias, weights)
-    g, h = objective(F.col("pred"))
+    g, h = gh_cols
     bias_col = F.col(BIAS) if BIAS in wide.columns else F.lit("").alias(BIAS)
     gh = pred.select(*features, bias_col, g.alias("g"), h.alias("h"))
     long = gh.unpivot(["g", "h"], [*features, BIAS], "feature", "level").filter(F.col("level").isNotNull())
@@ -155,7 +155,7 @@ def fit_additive(df: DataFrame, key: str, features: list[str], objective: Object
     once, bias fitted first, Nesterov momentum with gradient restart.
     """
     # checkpointed (survives executor loss) and cached: every round re-reads it
-    wide = cut_lineage(encode_wide(df, key, features, keep).withColumn(BIAS, F.lit(""))).persist()
+    wide = cut_lineage(spread(encode_wide(df, key, features, keep).withColumn(BIAS, F.lit("")), key)).persist()
     n_levels = (wide.select(F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).alias("v"))
                                                     for f in features])).alias("x"))
                 .select("x.*").filter(F.col("v").isNotNull()).distinct().count())
@@ -169,8 +169,10 @@ def fit_additive(df: DataFrame, key: str, features: list[str], objective: Object
     tk = 1.0
     history = []
 
+    # the objective's columns refer to ``pred`` only: build them once
+    gh_cols = objective(F.col("pred"))
     for rnd in range(cfg.max_rounds):
-        st = _level_stats(wide, features, y_bias, _as_maps(y_w), objective)
+        st = _level_stats(wide, features, y_bias, _as_maps(y_w), gh_cols)
         b = st[st.feature == BIAS].iloc[0]
         lv = st[st.feature != BIAS].set_index(["feature", "level"])
         H = np.maximum(lv["H"].to_numpy(), cfg.hess_floor)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..config import TreeConfig
 from ..functions.semantics import literal_map
-from ..session import cut_lineage
+from ..session import cut_lineage, spread
 
 Objective = Callable[[Column], tuple[Column, Column]]
 
@@ -144,11 +144,11 @@ def fit_trees(df: DataFrame, features: list[str], objective: Objective, keep: li
     points = split_points(df, features, cfg.bins)
     model = TreeModel(features, points, base)
     bcols = [_bcol(f) for f in features]
-    data = cut_lineage(_bucketize(df.select(*features, *keep), features, points)
-                       .select(*bcols, *keep).withColumn("__pred", F.lit(float(base)))).persist()
+    data = cut_lineage(spread(_bucketize(df.select(*features, *keep), features, points)
+                              .select(*bcols, *keep).withColumn("__pred", F.lit(float(base))))).persist()
     lam = cfg.reg_lambda
+    g, h = objective(F.col("__pred"))  # refers to the running prediction only: built once
     for r in range(cfg.rounds):
-        g, h = objective(F.col("__pred"))
         gh = data.withColumns({"__g": g, "__h": h})
         t = Tree(depth=cfg.max_depth)
         totals = {0: None}

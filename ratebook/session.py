@@ -53,3 +53,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared folder (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-repartition to the cluster's parallelism before an iterative loop.
+
+    An upstream plan may end in very few partitions (AQE coalesces small
+    shuffles); every round of a fit re-reads the table, so it must be spread
+    over all cores once.  An explicit partition count is not coalesced.
+    """
+    spark = df.sparkSession
+    n = max(spark.sparkContext.defaultParallelism,
+            int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, *keys) if keys else df.repartition(n)
