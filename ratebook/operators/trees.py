@@ -102,14 +102,12 @@ def _route(cur: DataFrame, t: Tree, features: list[str], col: str = "__node") ->
     paths = _paths(t)
     if len(paths) == 1:
         return cur.withColumn(col, F.lit(next(iter(paths))))
-    expr = None
+    branches = []
     for n, path in paths.items():
-        cond = F.lit(True)
-        for f, b, left in path:
-            c = F.col(_bcol(f))
-            cond = cond & ((c <= b) if left else (c > b))
-        expr = F.when(cond, n) if expr is None else expr.when(cond, n)
-    return cur.withColumn(col, expr)
+        cond = " AND ".join(f"`{_bcol(f)}` {'<=' if left else '>'} {b}" for f, b, left in path) or "true"
+        branches.append(f"WHEN {cond} THEN {n}")
+    # one SQL expression: one call into the JVM however large the tree
+    return cur.withColumn(col, F.expr("CASE " + " ".join(branches) + " END"))
 
 
 def _apply_tree(cur: DataFrame, t: Tree, features: list[str], out: str) -> DataFrame:
