@@ -108,7 +108,8 @@ def sorted_curves(df: DataFrame, series: list[str], key: str, points: int | None
     ranked = distributed_rank(long, grp, ["value", key])
     # one row per (group, series): its length n and the group's longest length L
     wl = Window.partitionBy(*by) if by else Window.partitionBy()
-    sizes = (long.groupBy(*grp).agg(F.count(F.lit(1)).alias("n"))
+    # sizes from the ranked (checkpointed) rows: no second pass over the source
+    sizes = (ranked.groupBy(*grp).agg(F.max("rank").alias("n"))
              .withColumn("L", F.max("n").over(wl)))
     if points is None:
         # rank r of a series of length n fills idx r, r+n, r+2n, ... <= L
