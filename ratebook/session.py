@@ -62,7 +62,6 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     shuffles); every round of a fit re-reads the table, so it must be spread
     over all cores once.  An explicit partition count is not coalesced.
     """
-    spark = df.sparkSession
-    n = max(spark.sparkContext.defaultParallelism,
-            int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # two tasks per core: every round then keeps all cores busy
+    n = max(2, 2 * df.sparkSession.sparkContext.defaultParallelism)
     return df.repartition(n, *keys) if keys else df.repartition(n)
