@@ -523,3 +523,14 @@ def q_claims_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, ckpt = FL.scratch_path(spark, "claims-out"), FL.scratch_path(spark, "claims-ckpt")
     publish_available(claims_stream(spark, src, snap.schema, "F", files_per_batch=1), out, ckpt)
     return spark.read.parquet(out)
+
+
+# --- S3 + A1: plain CSV claim snapshot read back with an explicit schema ---
+@register("claims_from_csv", with_standin("SELECT polref, CAST(claim AS BIGINT) AS claim FROM clm"))
+def q_claims_from_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.aggregates import claims_by_policy
+    from ..sources import files as FL
+    snap = SI.claim_snapshot(spark, sf_dir)
+    path = FL.scratch_path(spark, "claims-csv")
+    snap.write.mode("overwrite").csv(path, header=True)
+    return claims_by_policy(FL.read_csv(spark, path, snap.schema), "F")
