@@ -6,6 +6,7 @@ distributed rank; none gathers a column on the driver or in one task.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -55,22 +56,63 @@ def typicality(df: DataFrame, stats: DataFrame, cols: list[str], alpha: float =
     return df.withColumn("typicality", F.exp(F.lit(-alpha) * F.sqrt(z2)))
 
 
-def exact_quantiles(df: DataFrame, c: str, probs: list[float], key: str) -> DataFrame:
-    """Type-7 quantiles (numpy/R default), exact, via the distributed rank; one row.
-
-    ``key`` breaks ties so the rank is total.  Output columns ``q_<i>``.
+def _quantiles_by_full_rank(x: DataFrame, probs: list[float], key: str, n: int) -> list[float]:
+    ranked = distributed_rank(x, [], ["x", key])
+    aggs = []
+    for i, pr in enumerate(probs):
+        h = (n - 1) * pr + 1
+        aggs += [F.max(F.when(F.col("rank") == math.floor(h), F.col("x"))).alias(f"lo{i}"),
+                 F.max(F.when(F.col("rank") == math.ceil(h), F.col("x"))).alias(f"hi{i}")]
+    r = ranked.agg(*aggs).first()
+    return [r[f"lo{i}"] + ((n - 1) * pr + 1 - math.floor((n - 1) * pr + 1)) * (r[f"hi{i}"] - r[f"lo{i}"])
+            for i, pr in enumerate(probs)]
+
+
+def exact_quantiles(df: DataFrame, c: str, probs: list[float], key: str,
+                    accuracy: int = 10_000) -> DataFrame:
+    """Type-7 quantiles (numpy/R default), exact, one row ``q_0, q_1, ...``.
+
+    Sorting every row for a few quantiles does not scale, so each quantile is
+    first bracketed with ``percentile_approx`` (rank error <= n/accuracy) and
+    only the rows inside the brackets are ranked (distributed rank), offset by
+    the count below the bracket.  If a bracket misses the target rank (the
+    approximation failed) that quantile falls back to the full distributed
+    rank, so the result is always exact.  ``key`` makes the order total.
     """
+    spark = df.sparkSession
     x = df.select(F.col(c).cast("double").alias("x"), key).filter(F.col("x").isNotNull())
-    ranked = distributed_rank(x, [], ["x", key])
-    n = x.agg(F.count(F.lit(1))).scalar()
-    aggs, outs = [], []
+    n = x.count()
+    eps = 2.0 / accuracy
+    edges = sorted({min(max(p + d, 0.0), 1.0) for p in probs for d in (-eps, eps)})
+    approx = dict(zip(edges, x.agg(F.percentile_approx("x", edges, accuracy)).first()[0]))
+    out: list[float | None] = []
+    windows = []
+    for i, pr in enumerate(probs):
+        lo, hi = approx[min(max(pr - eps, 0.0), 1.0)], approx[min(max(pr + eps, 0.0), 1.0)]
+        windows.append((i, lo, hi))
+    # one pass: rows below each bracket, and the bracketed rows tagged by quantile
+    below = x.agg(*[F.count_if(F.col("x") < lo).alias(f"b{i}") for i, lo, _ in windows]).first()
+    tagged = x.withColumn("q", F.explode(F.array(*[
+        F.when((F.col("x") >= lo) & (F.col("x") <= hi), F.lit(i)) for i, lo, hi in windows])))
+    tagged = tagged.filter(F.col("q").isNotNull())
+    ranked = distributed_rank(tagged, ["q"], ["x", key])
+    aggs = []
+    for i, pr in enumerate(probs):
+        h = (n - 1) * pr + 1
+        base = below[f"b{i}"]
+        aggs += [F.max(F.when((F.col("q") == i) & (F.col("rank") + base == math.floor(h)), F.col("x"))).alias(f"lo{i}"),
+                 F.max(F.when((F.col("q") == i) & (F.col("rank") + base == math.ceil(h)), F.col("x"))).alias(f"hi{i}")]
+    r = ranked.agg(*aggs).first()
+    missing = [i for i in range(len(probs)) if r[f"lo{i}"] is None or r[f"hi{i}"] is None]
+    full = _quantiles_by_full_rank(x, [probs[i] for i in missing], key, n) if missing else []
     for i, pr in enumerate(probs):
-        h = (n - 1) * F.lit(pr) + 1
-        aggs += [F.max(F.when(F.col("rank") == F.floor(h), F.col("x"))).alias(f"__lo{i}"),
-                 F.max(F.when(F.col("rank") == F.ceil(h), F.col("x"))).alias(f"__hi{i}")]
-        lo, hi = F.col(f"__lo{i}"), F.col(f"__hi{i}")
-        outs.append((lo + (h - F.floor(h)) * (hi - lo)).alias(f"q_{i}"))
-    return ranked.agg(*aggs).select(*outs)
+        if i in missing:
+            out.append(full[missing.index(i)])
+        else:
+            h = (n - 1) * pr + 1
+            out.append(r[f"lo{i}"] + (h - math.floor(h)) * (r[f"hi{i}"] - r[f"lo{i}"]))
+    schema = ", ".join(f"q_{i} double" for i in range(len(probs)))
+    return spark.createDataFrame([tuple(float(v) for v in out)], schema)
 
 
 def shift_positive(df: DataFrame, c: str, eps: float = 1e-6) -> DataFrame:

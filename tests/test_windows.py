@@ -51,3 +51,11 @@ def test_auc_with_ties_matches_pairs(spark):
     pos, neg = s[y == 1], s[y == 0]
     exp = ((pos[:, None] > neg[None, :]).sum() + 0.5 * (pos[:, None] == neg[None, :]).sum()) / (len(pos) * len(neg))
     assert abs(got - exp) < 1e-12
+
+
+def test_exact_quantiles_fallback_when_bracket_misses(spark):
+    pdf, df = skewed(spark, n=2000)
+    q = MT.exact_quantiles(df, "v", [0.1, 0.5, 0.9], "k", accuracy=2).first()  # brackets too wide/narrow
+    np.testing.assert_allclose([q.q_0, q.q_1, q.q_2], np.quantile(pdf.v, [0.1, 0.5, 0.9]), atol=1e-12)
+    q2 = MT.exact_quantiles(df, "v", [0.1, 0.5, 0.9], "k").first()
+    np.testing.assert_allclose([q2.q_0, q2.q_1, q2.q_2], np.quantile(pdf.v, [0.1, 0.5, 0.9]), atol=1e-12)
