@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .joins import broadcast_if_few
-from .windows import distributed_rank
+from .windows import distributed_rank, prefix_sums
 
 MODULUS = 1_000_003
 MULTIPLIER = 48_271
@@ -32,12 +32,29 @@ def split(df: DataFrame, key: str, frac: float = 0.8, seed: int = 1234,
 def stratified_split(df: DataFrame, key: str, label: str, frac: float = 0.8, seed: int = 42,
                      col: str = "split") -> DataFrame:
     """Exact stratified split (M4): in every label class the ``floor(frac*n)``
-    rows with the smallest key hash are train.  Ranks are computed with the
-    distributed rank (no single-partition window, no per-class collect)."""
+    rows with the smallest (key hash, key) are train.
+
+    No row-level sort: the hash takes at most 1 000 003 values, so the
+    per-class threshold comes from a running count over (class, hash) counts
+    (bounded by the modulus, whatever the row count); only the rows sharing
+    the threshold hash are ranked by key.
+    """
     h = df.withColumn("__h", key_hash(key, seed))
-    ranked = distributed_rank(h, [label], ["__h", key])
-    sizes = h.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
-    out = ranked.join(broadcast_if_few(sizes), label)  # one row per class
-    return (out.withColumn(col, F.when(F.col("rank") <= F.floor(F.col("__n") * F.lit(frac)), "train")
-                           .otherwise("test"))
-            .drop("__h", "__n", "rank"))
+    counts = h.groupBy(label, "__h").agg(F.count(F.lit(1)).cast("double").alias("__c"))
+    cum = prefix_sums(counts, [label], ["__h"], ["__c"])
+    sizes = counts.groupBy(label).agg(F.sum("__c").alias("__n"))
+    cum = cum.join(broadcast_if_few(sizes), label).withColumn("__k", F.floor(F.col("__n") * F.lit(frac)))
+    # threshold hash per class: first hash whose running count reaches k
+    thr = (cum.filter(F.col("cum___c") >= F.col("__k"))
+           .groupBy(label).agg(F.min(F.struct("__h", "cum___c", "__c", "__k")).alias("t"))
+           .select(label, F.col("t.__h").alias("__th"),
+                   (F.col("t.__k") - (F.col("t.cum___c") - F.col("t.__c"))).alias("__r")))
+    thr = broadcast_if_few(thr)
+    tie = h.join(thr, label).filter(F.col("__h") == F.col("__th"))
+    tie_ranked = distributed_rank(tie.select(label, key, "__r"), [label], [key])
+    cut_key = (tie_ranked.filter(F.col("rank") == F.col("__r"))
+               .select(label, F.col(key).alias("__kk")))
+    out = h.join(thr, label, "left").join(broadcast_if_few(cut_key), label, "left")
+    train = (F.col("__h") < F.col("__th")) | ((F.col("__h") == F.col("__th")) & (F.col(key) <= F.col("__kk")))
+    return (out.withColumn(col, F.when(F.coalesce(train, F.lit(False)), "train").otherwise("test"))
+            .drop("__h", "__th", "__r", "__kk"))

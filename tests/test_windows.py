@@ -59,3 +59,18 @@ def test_exact_quantiles_fallback_when_bracket_misses(spark):
     np.testing.assert_allclose([q.q_0, q.q_1, q.q_2], np.quantile(pdf.v, [0.1, 0.5, 0.9]), atol=1e-12)
     q2 = MT.exact_quantiles(df, "v", [0.1, 0.5, 0.9], "k").first()
     np.testing.assert_allclose([q2.q_0, q2.q_1, q2.q_2], np.quantile(pdf.v, [0.1, 0.5, 0.9]), atol=1e-12)
+
+
+def test_stratified_split_exact_per_class(spark):
+    from ratebook.operators.sampling import key_hash, stratified_split
+    rng = np.random.default_rng(9)
+    n = 3000
+    pdf = pd.DataFrame({"k": rng.permutation(n) * 7 + 11, "y": (rng.random(n) < 0.2).astype(int)})
+    out = stratified_split(spark.createDataFrame(pdf), "k", "y", 0.8, seed=42).toPandas()
+    h = ((pdf.k % 1000003) * 48271 + 42) % 1000003
+    exp = pdf.assign(h=h).sort_values(["y", "h", "k"])
+    exp["r"] = exp.groupby("y").cumcount() + 1
+    exp["n"] = exp.groupby("y")["k"].transform("size")
+    exp["split"] = np.where(exp.r <= np.floor(exp.n * 0.8), "train", "test")
+    got = out.set_index("k")["split"]
+    assert (got.loc[exp.k].to_numpy() == exp.split.to_numpy()).all()
