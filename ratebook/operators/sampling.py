@@ -7,11 +7,11 @@ in the same split whatever the partitioning, on any engine.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import broadcast_if_few
-from .windows import distributed_rank, prefix_sums
+from .windows import distributed_rank
 
 MODULUS = 1_000_003
 MULTIPLIER = 48_271
@@ -39,9 +39,12 @@ def stratified_split(df: DataFrame, key: str, label: str, frac: float = 0.8, see
     (bounded by the modulus, whatever the row count); only the rows sharing
     the threshold hash are ranked by key.
     """
-    h = df.withColumn("__h", key_hash(key, seed))
+    # cached: the threshold jobs and the final split all read it
+    h = df.withColumn("__h", key_hash(key, seed)).persist()
     counts = h.groupBy(label, "__h").agg(F.count(F.lit(1)).cast("double").alias("__c"))
-    cum = prefix_sums(counts, [label], ["__h"], ["__c"])
+    # at most 1 000 003 rows per class whatever the data size: a class window is bounded
+    w = Window.partitionBy(label).orderBy("__h").rowsBetween(Window.unboundedPreceding, 0)
+    cum = counts.withColumn("cum___c", F.sum("__c").over(w))
     sizes = counts.groupBy(label).agg(F.sum("__c").alias("__n"))
     cum = cum.join(broadcast_if_few(sizes), label).withColumn("__k", F.floor(F.col("__n") * F.lit(frac)))
     # threshold hash per class: first hash whose running count reaches k
