@@ -19,7 +19,7 @@ from ..operators import windows as W
 from ..sources import standin as SI
 from ..sources.standin import with_standin
 from .catalog import register, rounded
-from .q_build import SCORED_CTE
+from .q_build import SCORED_CTE, lookup_ctes
 from .q_reports import FEATURES, TEST_SPLIT
 from .scored import scored_portfolio
 
@@ -456,8 +456,7 @@ def q_additive_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- S6 + S1 (+S3): decimal-comma CSV round trip of the fit input ---
-@register("csv_roundtrip", with_standin("SELECT * FROM rated WHERE pp IS NOT NULL",
-                                        __import__("ratebook.plans.q_build", fromlist=["lookup_ctes"]).lookup_ctes()))
+@register("csv_roundtrip", with_standin("SELECT * FROM rated WHERE pp IS NOT NULL", lookup_ctes()))
 def q_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources import files as FL
     from . import input_build as IB
