@@ -24,15 +24,27 @@ def claims_stream(spark: SparkSession, path: str, schema: T.StructType, snapshot
     return claims_by_policy(reader.parquet(path), snapshot)
 
 
-def publish_available(sdf: DataFrame, out_path: str, checkpoint: str) -> None:
+def publish_available(sdf: DataFrame, out_path: str, checkpoint: str,
+                      state_partitions: int | None = None) -> None:
     """Run the stream over all available input, then stop.
 
     Complete mode: each micro-batch rewrites the per-policy table; the
-    checkpoint (in the shared folder) makes a restart resume exactly.
+    checkpoint (in the shared folder) makes a restart resume exactly.  The
+    state store gets ``state_partitions`` partitions (default: two per core);
+    the number is fixed by the checkpoint at the first start, so it is set
+    only around ``start()`` (the stream runs on a clone of the session).
     """
     def publish(batch: DataFrame, _epoch: int) -> None:
         batch.write.mode("overwrite").parquet(out_path)
 
-    q = (sdf.writeStream.outputMode("complete").foreachBatch(publish)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    spark = sdf.sparkSession
+    parts = state_partitions or max(2, 2 * spark.sparkContext.defaultParallelism)
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(parts))
+    try:
+        q = (sdf.writeStream.outputMode("complete").foreachBatch(publish)
+             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    finally:
+        spark.conf.set(key, before)
     q.awaitTermination()
