@@ -139,3 +139,15 @@ def test_column_choice_helpers(spark):
     df = spark.createDataFrame([(1, 2, 3, 4)], "price_c1 int, price_c2 int, a int, nm int")
     assert SC.cols_like(df, r"^price_c[0-9]+$") == ["price_c1", "price_c2"]
     assert SC.cols_except(df, ["a", "nm"]) == ["price_c1", "price_c2"]
+
+
+def test_renewal_corridor_propagates_missing_and_chooses_by_claim(spark):
+    from ratebook.functions.pricing import renewal_corridor
+    rows = [(1, 100.0, 50.0, None, 80.0, 120.0),      # clean risk: min(1.2P, max(nt, max(1.05P, min comp)))
+            (2, 100.0, 50.0, 10.0, 80.0, 300.0),      # claim: min(max comp, max(nt, max(mean comp, 2P)))
+            (3, 100.0, 50.0, None, None, None)]       # no competitor: min comp missing -> strict pmax missing
+    df = spark.createDataFrame(rows, "polref int, policy_premium double, nt double, claim double, c1 double, c2 double")
+    out = {r.polref: r for r in renewal_corridor(df.withColumn("a", F.lit(100.0)), competitors=["c1", "c2"]).collect()}
+    assert out[1].dij == min(120.0, max(50.0, max(105.0, 80.0)))
+    assert out[2].dij == min(300.0, max(50.0, max(200.0, 200.0)))
+    assert out[3].dij is None and out[3].szorzo is None
