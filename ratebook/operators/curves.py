@@ -72,12 +72,13 @@ def parameter_scan(products: DataFrame, key: str, cost: str,
     For every product and slope ``theta`` on the scan grid: the best price
     under ``max(100 - theta x, 0)``, and ``-(true profit)`` there.
     """
-    th = products.select(key, cost).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(cfg.n_thetas - 1))))
-    th = th.withColumn("theta", _linspace(cfg.theta_lo, cfg.theta_hi, F.col("k"), cfg.n_thetas))
-    th = th.withColumn("b0", F.lit(cfg.true_intercept))
-    best = best_price(th.withColumn("__pk", F.struct(key, "k", "theta")), "__pk", cost, "b0", "theta", cfg)
-    return best.select(F.col("__pk." + key).alias(key), F.col("__pk.k").alias("k"),
-                       F.col("__pk.theta").alias("theta"), "best_price",
+    th = products.select(key, cost).withColumn("__ti", F.explode(F.sequence(F.lit(0), F.lit(cfg.n_thetas - 1))))
+    th = th.withColumn("__theta", _linspace(cfg.theta_lo, cfg.theta_hi, F.col("__ti"), cfg.n_thetas))
+    th = th.withColumn("__b0", F.lit(cfg.true_intercept))
+    pk = F.struct(F.col(key).alias("__key"), "__ti", "__theta")
+    best = best_price(th.withColumn("__pk", pk), "__pk", cost, "__b0", "__theta", cfg)
+    return best.select(F.col("__pk.__key").alias(key), F.col("__pk.__ti").alias("k"),
+                       F.col("__pk.__theta").alias("theta"), "best_price",
                        (-F.col("true_profit")).alias("loss"))
 
 
