@@ -27,6 +27,8 @@ from .common import text_key
 # fixed values: the word class and the letters that are lower-cased
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+# the same classes before A-Z are lower-cased
+RAW_WORD, RAW_GAP = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 10
 #: windows of a benchmark that are broadcast at most (about 300 bytes each); more are joined by shuffle
 BROADCAST_WINDOWS = 500_000
@@ -139,8 +141,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text")
 
 def remove_spans(marked: DataFrame, text: str = "text") -> DataFrame:
     """The result of decontaminate() with the hit words (and what separates them) cut out of the text."""
-    parts = F.regexp_extract_all(F.col(text), F.lit(f"({WORD}|[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+)"), 1)
-    first = F.when(F.col("_parts")[0].rlike(f"^{WORD}$"), 0).otherwise(1)
+    parts = F.regexp_extract_all(F.col(text), F.lit(f"({RAW_WORD}|{RAW_GAP})"), 1)
+    first = F.when(F.col("_parts")[0].rlike(f"^{RAW_WORD}$"), 0).otherwise(1)
     word = lambda j: F.floor((j - F.col("_first")) / 2)
     kept = F.filter("_parts", lambda p, j: ~F.exists("spans", lambda s: (word(j) >= s["start"]) & (word(j) < s["end"])))
     cut = F.when(F.size("spans") > 0, F.concat_ws("", kept)).otherwise(F.col(text))
