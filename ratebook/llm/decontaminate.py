@@ -19,6 +19,8 @@ column are replaced.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,10 +42,10 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(low, F.lit(f"({WORD})"), 1)
 
 
-def _joined(a: Column, b: Column, shift: int) -> Column:
+def _joined(a: Column, b: Column, shift: int, hashed: Callable[..., Column] = F.xxhash64) -> Column:
     """Hash of a[i] and b[i + shift] for each i that has both."""
     n = F.greatest(F.size(b) - shift, F.lit(0))
-    return F.zip_with(F.slice(a, 1, n), F.slice(b, shift + 1, n), lambda x, y: F.xxhash64(x, y))
+    return F.zip_with(F.slice(a, 1, n), F.slice(b, shift + 1, n), lambda x, y: hashed(x, y))
 
 
 def _with_hashes(df: DataFrame, lengths: list[int]) -> DataFrame:
