@@ -395,11 +395,10 @@ def shapes(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
                     "slots": pa.array(list(seen.values()), pa.list_(pa.int64()))})
 
     rows = pages.select(host_of(F.col(url)).alias("host"), F.col(html).alias("html")).mapInArrow(run, "host string, shape string, slots array<long>")
-    # an order that doesn't depend on tasks: equal shapes meet in one row
-    at = rows.select("host", "shape", F.posexplode("slots").alias("i", "n")).groupBy("host", "shape", "i").agg(F.sum("n").alias("n"))
-    whole = at.groupBy("host", "shape").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "n"))), lambda x: x["n"]).alias("slots"))
-    empty = rows.where(F.size("slots") == 0).select("host", "shape", F.array().cast("array<bigint>").alias("slots")).distinct()
-    return whole.unionByName(empty)
+    # equal shapes meet in one row, with their slots summed
+    at = rows.select("host", "shape", F.posexplode_outer("slots").alias("i", "n")).groupBy("host", "shape", "i").agg(F.sum("n").alias("n"))
+    slots = F.array_sort(F.filter(F.collect_list(F.struct("i", "n")), lambda x: x["i"].isNotNull()))
+    return at.groupBy("host", "shape").agg(F.transform(slots, lambda x: x["n"]).alias("slots"))
 
 
 def wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
