@@ -15,8 +15,9 @@ def to_key(c: str | Column) -> Column:
 
 
 def to_number(c: str | Column) -> Column:
-    """Numeric parse without error: bad text -> null."""
-    return col(c).try_cast("double")
+    """Numeric parse without error: bad text -> null (P31), type suffixes such as ``1d`` or ``3F`` too."""
+    text = col(c).cast("string")
+    return F.when(text.rlike(r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"), text.try_cast("double"))
 
 
 def decimal_comma(c: str | Column) -> Column:

@@ -82,6 +82,8 @@ def exact_quantiles(df: DataFrame, c: str, probs: list[float], key: str,
     spark = df.sparkSession
     x = df.select(F.col(c).cast("double").alias("x"), key).filter(F.col("x").isNotNull())
     n = x.count()
+    if not n:
+        return spark.createDataFrame([(None,) * len(probs)], ", ".join(f"q_{i} double" for i in range(len(probs))))
     eps = 2.0 / accuracy
     edges = sorted({min(max(p + d, 0.0), 1.0) for p in probs for d in (-eps, eps)})
     approx = dict(zip(edges, x.agg(F.percentile_approx("x", edges, accuracy)).first()[0]))

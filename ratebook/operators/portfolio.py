@@ -33,12 +33,12 @@ def missing_prices(cols: list[str]) -> Column:
 
 
 def centred_benefit(df: DataFrame) -> DataFrame:
-    """``advantage - mean(modp) + mean(omip)``.
+    """``advantage - mean(model_margin) + mean(own_margin)``.
 
     The two portfolio means are scalar subqueries: Spark runs them once and
     feeds the values into the projection (no join, no single-partition window).
     """
-    means = df.agg(F.avg("modp").alias("mm"), F.avg("omip").alias("mo"))
+    means = df.agg(F.avg("model_margin").alias("mm"), F.avg("own_margin").alias("mo"))
     return df.withColumn(
         "benefit",
         F.col("advantage").cast("double") - means.select("mm").scalar() + means.select("mo").scalar())

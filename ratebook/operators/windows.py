@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.scalar import to_number
 from ..session import cut_lineage
 from .joins import broadcast_if_few
 
@@ -128,7 +129,7 @@ def sorted_curves(df: DataFrame, series: list[str], key: str, points: int | None
 
 def ordered_levels(report: DataFrame, feature: str = "feature", value: str = "value") -> DataFrame:
     """Level order for plotting (W2): numeric levels by number, then text levels by text."""
-    num = F.col(value).try_cast("double")
+    num = to_number(value)
     w = Window.partitionBy(feature).orderBy(num.isNull(), num, F.col(value))
     return report.withColumn("level_order", F.row_number().over(w))
 
