@@ -63,7 +63,7 @@ FROM {_SEG_DEFS} d(segment, own_flag, model_flag, label)
 LEFT JOIN (
   SELECT {S.SEGMENT_CASE} AS segment,
   {S.measures_sql(R.MEASURES_FULL)}
-  FROM priced GROUP BY 1) g ON d.segment = g.segment""")
+  FROM priced WHERE nt IS NOT NULL AND nm IS NOT NULL AND earned IS NOT NULL GROUP BY 1) g ON d.segment = g.segment""")
 
 
 @register("segment_report", SEGMENT_SQL)

@@ -325,8 +325,8 @@ SELECT b.series, CAST(b.bin AS INTEGER) AS bin, round(b.lo + b.bin * b.width, 6)
 FROM (SELECT *, unnest(generate_series(0, 29)) AS bin FROM st) b
 LEFT JOIN (SELECT l.series, CAST(least(floor((x - lo) / width), 29) AS INTEGER) AS bin, count(*) AS cnt
            FROM lng l JOIN st USING (series) GROUP BY 1, 2) c ON b.series = c.series AND b.bin = c.bin""", f"""
-lng AS (SELECT 'a' AS series, ln(a) AS x FROM priced WHERE {TEST_SPLIT}
-        UNION ALL SELECT 'np' AS series, ln(np) AS x FROM priced WHERE {TEST_SPLIT}),
+lng AS (SELECT 'a' AS series, ln(a) AS x FROM priced WHERE ({TEST_SPLIT}) AND nt IS NOT NULL AND nm IS NOT NULL AND earned IS NOT NULL
+        UNION ALL SELECT 'np' AS series, ln(np) AS x FROM priced WHERE ({TEST_SPLIT}) AND nt IS NOT NULL AND nm IS NOT NULL AND earned IS NOT NULL),
 st AS (SELECT series, min(x) AS lo, max(x) AS hi, count(*) AS n, (max(x) - min(x)) / 30 AS width FROM lng GROUP BY series)""")
 
 
@@ -345,7 +345,7 @@ SELECT CAST(j AS INTEGER) AS j, round(g, 6) AS g, round(exp(g)) AS price, round(
                    ELSE (lo - 3e0 * bw) + j * (((hi + 3e0 * bw) - (lo - 3e0 * bw)) / 511) END AS g
     FROM (SELECT c.bin, c.cnt, st.*, unnest(generate_series(0, 511)) AS j FROM c, st)))
 GROUP BY j, g, n, bw""", f"""
-x AS (SELECT ln(a) AS x FROM priced WHERE {TEST_SPLIT}),
+x AS (SELECT ln(a) AS x FROM priced WHERE ({TEST_SPLIT}) AND nt IS NOT NULL AND nm IS NOT NULL AND earned IS NOT NULL),
 st0 AS (SELECT count(*) AS n, stddev_samp(x) AS sd, min(x) AS lo, max(x) AS hi,
   quantile_cont(x, 0.75) - quantile_cont(x, 0.25) AS iqr FROM x),
 st AS (SELECT *, 0.9e0 * least(sd, iqr / 1.34e0) * pow(CAST(n AS DOUBLE), -0.2e0) AS bw, (hi - lo) / 2048 AS bwid FROM st0),

@@ -78,7 +78,7 @@ FROM {_SEG_DEFS} d(segment, own_flag, model_flag, label)
 LEFT JOIN (
   SELECT {S.SEGMENT_CASE} AS segment,
   {S.measures_sql(R.MEASURES_FULL)}
-  FROM priced WHERE clientage = 19 GROUP BY 1) g ON d.segment = g.segment""")
+  FROM priced WHERE clientage = 19 AND nt IS NOT NULL AND nm IS NOT NULL AND earned IS NOT NULL GROUP BY 1) g ON d.segment = g.segment""")
 
 
 @register("segment_report_age19", _segment_sub_sql())
@@ -126,7 +126,7 @@ def q_baseline_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- M3 + A13: split counts ---
 @register("split_counts", with_standin(f"""SELECT CASE WHEN {TEST_SPLIT} THEN 'test' ELSE 'train' END AS split,
-  CAST(count(*) AS BIGINT) AS n FROM priced GROUP BY 1"""))
+  CAST(count(*) AS BIGINT) AS n FROM scored GROUP BY 1""", SCORED_CTE))
 def q_split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return AG.split_counts(SP.split(scored_portfolio(spark, sf_dir), "polref"))
 
@@ -135,8 +135,8 @@ def q_split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 STRAT_SQL = with_standin("""
 SELECT label, CASE WHEN r <= floor(n * 0.8e0) THEN 'train' ELSE 'test' END AS split, CAST(count(*) AS BIGINT) AS n
 FROM (SELECT label, row_number() OVER (PARTITION BY label ORDER BY h, polref) AS r, count(*) OVER (PARTITION BY label) AS n
-      FROM (SELECT polref, CAST(claim IS NOT NULL AS INTEGER) AS label, ((polref % 1000003) * 48271 + 42) % 1000003 AS h FROM priced))
-GROUP BY 1, 2""")
+      FROM (SELECT polref, CAST(claim IS NOT NULL AS INTEGER) AS label, ((polref % 1000003) * 48271 + 42) % 1000003 AS h FROM scored))
+GROUP BY 1, 2""", SCORED_CTE)
 
 
 @register("stratified_split", STRAT_SQL)

@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..config import PricingConfig
 from ..functions.pricing import quote_profit, to_scale
+from ..functions.scalar import require
 from ..sources.standin import policy_view
 
 CFG = PricingConfig()
+#: a policy without one of these takes no part in fits and reports
+REQUIRED = ["nt", "nm", "earned"]
 
 
 def scored_portfolio(spark: SparkSession, sf_dir: str, cfg: PricingConfig = CFG) -> DataFrame:
@@ -17,7 +20,7 @@ def scored_portfolio(spark: SparkSession, sf_dir: str, cfg: PricingConfig = CFG)
     ``np`` of the stand-in plays the fitted model price; ``p`` is it on the
     fit scale, so ``m <= p`` is the model-loses test of the reports.
     """
-    pol = policy_view(spark, sf_dir)
+    pol = require(policy_view(spark, sf_dir), REQUIRED)
     pol = pol.withColumns({
         "t": to_scale("nt", "a", cfg),
         "m": to_scale("nm", "a", cfg),
