@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import by_size, checkpoint
+
+#: links within which the least neighbours are broadcast; more are joined by shuffle
+BROADCAST_LINKS = 200_000
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -22,9 +25,9 @@ def components(links: DataFrame) -> DataFrame:
         mark = now
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = both.where("b > a").join(by_size(least, 2 * now[0], BROADCAST_LINKS), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a")
+        small = large.join(by_size(low, now[0], BROADCAST_LINKS), "a")
         edges = checkpoint(small.select(F.col("b").alias("a"), F.col("m").alias("b"))
                            .unionByName(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
     roots = edges.select(F.col("b").alias("id")).distinct()
