@@ -13,10 +13,9 @@ from ..operators import windows as W
 from ..sources.standin import with_standin
 from . import sqltext as S
 from .catalog import _round2, register, rounded
-from .q_build import SCORED_CTE
-from .scored import scored_portfolio
+from .q_build import SCORED_CTE, UNFILLED_CTE
+from .scored import FEATURES, scored_portfolio
 
-FEATURES = ["zip", "kw", "clientage", "bonus_malus_current", "f_segment", "f_priority", "f_status"]
 TEST_SPLIT = "((polref % 1000003) * 48271 + 1234) % 1000003 >= 800002"
 
 
@@ -35,7 +34,7 @@ def q_one_way(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- M3 + A4 + A5 + W3: one-way with claims on the test split, claim-ratio change ---
 def _one_way_claims_sql() -> str:
     inner = _one_way_sql(R.ONE_WAY_CLAIM_MEASURES, "testset")
-    ctes = SCORED_CTE + f",\ntestset AS (SELECT * FROM scored WHERE {TEST_SPLIT}),\nrep AS ({inner}),\n" + """
+    ctes = UNFILLED_CTE + f",\ntestset AS (SELECT * FROM scored WHERE {TEST_SPLIT}),\nrep AS ({inner}),\n" + """
 imp AS (SELECT *, CAST(model_claim AS DOUBLE) / own_claim * own / model AS x FROM rep),
 imp2 AS (SELECT * EXCLUDE (x), CASE WHEN x IS NULL OR isnan(x) THEN 1e0 ELSE least(2e0, greatest(0e0, x)) END AS improve FROM imp)"""
     body = """SELECT *, round(count * (max(improve) OVER (PARTITION BY feature) / max(count) OVER (PARTITION BY feature)), 6) AS count_scaled
@@ -45,7 +44,7 @@ FROM imp2"""
 
 @register("one_way_claims", _one_way_claims_sql())
 def q_one_way_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    test = SP.split(scored_portfolio(spark, sf_dir), "polref").filter(F.col("split") == "test")
+    test = SP.split(scored_portfolio(spark, sf_dir, fill=False), "polref").filter(F.col("split") == "test")
     rep = R.one_way_claims(test, FEATURES)
     return rounded(W.axis_scaled(rep, "improve"), ["count_scaled"])
 
@@ -58,12 +57,12 @@ def _one_way_base_sql() -> str:
                      TRY_CAST(value AS DOUBLE), value) AS level_order,
   round(actual_claim * (CAST(sum(market) OVER (PARTITION BY feature) AS DOUBLE) / sum(actual_claim) OVER (PARTITION BY feature)), 4) AS actual_claim_scaled
 FROM rep"""
-    return with_standin(body, SCORED_CTE + f",\nrep AS ({inner})")
+    return with_standin(body, UNFILLED_CTE + f",\nrep AS ({inner})")
 
 
 @register("one_way_base", _one_way_base_sql())
 def q_one_way_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rep = R.one_way_base(scored_portfolio(spark, sf_dir), FEATURES)
+    rep = R.one_way_base(scored_portfolio(spark, sf_dir, fill=False), FEATURES)
     rep = W.normalised_claims(W.ordered_levels(rep))
     return rounded(rep, ["actual_claim_scaled"], 4)
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..config import FitConfig, PricingConfig
 from ..functions.objectives import corridor_grad
 from ..functions.pricing import from_scale, price_list, quote_profit, renewal_corridor, targets
-from ..functions.scalar import cols_like, require
+from ..functions.scalar import cols_like
 from ..operators import fit as FT
 from ..operators import joins as J
 from ..operators import reports as R
@@ -29,9 +29,7 @@ from ..operators.portfolio import centred_benefit, renewing_in
 from ..session import cut_lineage
 from ..sources import files as FL
 from ..sources import standin as SI
-from .scored import REQUIRED
-
-FEATURES = ["zip", "kw", "clientage", "bonus_malus_current", "f_segment", "f_priority", "f_status"]
+from .scored import FEATURES, prepared
 
 
 @dataclass(frozen=True)
@@ -44,7 +42,7 @@ class JobConfig:
 
 def run_tariff_job(spark: SparkSession, sf_dir: str, out_dir: str, cfg: JobConfig = JobConfig()) -> dict:
     """Run the job; write sinks and reports under ``out_dir``; return small summaries."""
-    pol = require(SI.policy_view(spark, sf_dir).drop("np"), REQUIRED)
+    pol = prepared(SI.policy_view(spark, sf_dir).drop("np"))
     pol = targets(pol, cfg.pricing, nt_given=True)
     pol = SP.split(pol, "polref")
     if cfg.use_external_price:
