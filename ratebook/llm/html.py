@@ -11,12 +11,13 @@ Alignment runs over the distinct shapes of a host only (counted by a map-side
 combined aggregation, so a host with a third of all pages sends each shape once a
 task).  Shapes are folded in salted parts first, then the parts of a host.
 
-Every slot of the wrapper knows its path and how much text, in and outside links, the
-host's pages have there.  An element is boilerplate by tag, role or class (menu,
-header, footer, sidebar, notice, advert, form, comments, script, style).  The main
-region is the wrapper's article, else its main element, else a container named like
-one that holds most of the text, else the element that holds nearly all of it.  Every
-page of the host is then read through that region.
+Every slot of the wrapper knows its path, how much text, in and outside links, the
+host's pages have there, and whether they all have the same.  An element is
+boilerplate by tag, role or class (menu, header, footer, sidebar, notice, advert,
+form, comments, script, style).  The main region is the wrapper's outermost article
+and main elements, if they hold most of the text, else the whole page; from there
+it goes inward only while all that it leaves behind is boilerplate or slots of links
+or of repeated text.  Every page of the host is then read through that region.
 
 Defined cases: a null html counts as empty and has no text; a null or unusable url
 is a host of its own (empty name); broken markup, unclosed elements and cut-off
@@ -28,7 +29,9 @@ from __future__ import annotations
 
 import html as entities
 import json
+import math
 import re
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -41,6 +44,15 @@ from .common import by_size, checkpoint, chunks
 
 #: parts that a host's shapes are dealt into before its wrapper is folded
 PARTS = 16
+#: share of a host's pages with one and the same text in a slot (three pages at least) that makes it repeated text
+REPEATED, REPEATED_PAGES = 0.5, 3
+#: element of a shape that counts the pages
+PAGE = "#page"
+#: between the labels of a path
+SEP = "\x1f"
+#: elements that are parts of a text
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+LEAVES = {"p", "li", "td", "th", "dt", "dd", "pre", "blockquote", *HEADINGS}
 #: hosts whose wrappers are broadcast at most; more are joined by shuffle
 BROADCAST_HOSTS = 20_000
 
@@ -66,7 +78,6 @@ JUNK_NAMES = {"nav", "navbar", "navigation", "menu", "submenu", "topbar", "bread
 #: of these, what an article or main element may be named if it isn't the page's own
 CARD_NAMES = {"comment", "comments", "reply", "replies", "related", "recommended", "promo", "promoted", "sponsor", "sponsored", "ad", "ads", "advert",
               "advertisement", "teaser", "notice", "widget"}
-MAIN_NAMES = {"article", "content", "main", "post", "story", "entry", "body", "text", "maincontent"}
 OUT = {"text": T.StringType(), "n_chars": T.LongType()}
 
 
@@ -189,8 +200,15 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str, int]]:
     yield from flush()
 
 
-# A shape or wrapper is a list of nodes: ["<label", ...] or [">"] tags, ["T", n] text slots with their text outside
-# links, and groups ["+", nodes] (repeated) or ["?", nodes] (optional).
+# A shape or wrapper is a list of nodes: ["E", label, nodes] elements, ["T", ...] text slots and groups ["+", nodes]
+# (repeated) or ["?", nodes] (optional).  A slot has sums over its texts: characters outside and in links, texts,
+# and hashes and squares of hashes, which tell whether all texts are the same.
+EMPTY = [0, 0, 0, 0, 0]
+
+
+def _slot(text: str, linked: int) -> list:
+    h = zlib.crc32(text.encode("utf-8", "surrogatepass")) & 0x7FFF
+    return ["T", len(text) - linked, linked, 1, h, h * h]
 
 
 def _fold(nodes: list) -> list:
@@ -225,7 +243,7 @@ def _merge(a: list, b: list) -> list:
         x, y = (n[1][0] if n[0] in "+?" else n for n in (a, b))
         return [kind, [_merge(x, y)]]
     if a[0] == "T":
-        return ["T", a[1] + b[1], a[2] + b[2]]
+        return ["T", *(x + y for x, y in zip(a[1:], b[1:], strict=True))]
     return ["E", a[1], align(a[2], b[2])]
 
 
@@ -279,9 +297,9 @@ def shape(page: str) -> list:
             node: list = ["E", label, []]
             stack[-1][2].append(node)
             stack.append(node)
-        stack[-1][2].append(["T", len(text) - linked, linked])
+        stack[-1][2].append(_slot(text, linked))
         path = p
-    return _folded(root)[2]
+    return [["E", PAGE, [["T", 0, 0, 1, 0, 0]]], *_folded(root)[2]]
 
 
 def _folded(node: list) -> list:
@@ -290,114 +308,143 @@ def _folded(node: list) -> list:
 
 def _bare(nodes: list) -> list:
     """A shape without text lengths, to count equal shapes."""
-    return [["T", 0, 0] if n[0] == "T" else ["E", n[1], _bare(n[2])] if n[0] == "E" else [n[0], _bare(n[1])] for n in nodes]
+    return [["T", *EMPTY] if n[0] == "T" else ["E", n[1], _bare(n[2])] if n[0] == "E" else [n[0], _bare(n[1])] for n in nodes]
 
 
-def _slots(nodes: list) -> list[int]:
-    out: list[int] = []
+def _slots(nodes: list) -> list[list[int]]:
+    out: list[list[int]] = []
     for n in nodes:
-        out += n[1:3] if n[0] == "T" else _slots(n[2] if n[0] == "E" else n[1])
+        out += [n[1:]] if n[0] == "T" else _slots(n[2] if n[0] == "E" else n[1])
     return out
 
 
-def _filled(nodes: list, values: Iterator[int]) -> list:
-    """A bare shape with its slots' lengths put back."""
+def _filled(nodes: list, values: Iterator[list[int]]) -> list:
+    """A bare shape with its slots' sums put back."""
     out = []
     for n in nodes:
         if n[0] == "T":
-            out.append(["T", next(values), next(values)])
+            out.append(["T", *map(int, next(values))])
         else:
             out.append(["E", n[1], _filled(n[2], values)] if n[0] == "E" else [n[0], _filled(n[1], values)])
     return out
 
 
+def _kids(nodes: list) -> list:
+    return [x for n in nodes for x in (_kids(n[1]) if n[0] in "+?" else [n])]
+
+
+def _repeats(wrapper: list) -> int:
+    """Texts that a slot needs to be repeated text, if they are all the same; 0: the host's pages are copies."""
+    def varies(nodes: list) -> bool:
+        return any(n[1] > 0 and n[3] * n[5] != n[4] ** 2 if n[0] == "T" else n[1] != PAGE and not is_junk(n[1]) and varies(_kids(n[2])) for n in _kids(nodes))
+
+    pages = sum(n[2][0][3] for n in wrapper if n[0] == "E" and n[1] == PAGE)
+    return max(REPEATED_PAGES, math.ceil(REPEATED * pages)) if varies(wrapper) else 0
+
+
+def _sums(nodes: list, repeats: int, heading: bool = False) -> tuple[int, int, int]:
+    """Text outside links, in links, and outside links in slots whose texts differ, of what isn't boilerplate; a
+    heading's links count as outside."""
+    plain = linked = own = 0
+    for n in _kids(nodes):
+        if n[0] == "T":
+            same = repeats and n[3] >= repeats and n[3] * n[5] == n[4] ** 2
+            p, k = (n[1] + n[2], 0) if heading else n[1:3]
+            o = 0 if same else p
+        elif is_junk(n[1]):
+            continue
+        else:
+            p, k, o = _sums(n[2], repeats, heading or n[1].split(" ", 1)[0] in HEADINGS)
+        plain, linked, own = plain + p, linked + k, own + o
+    return plain, linked, own
+
+
+def _boilerplate(n: list, repeats: int) -> bool:
+    """A node without text of its own: all of it boilerplate by name, in links for the most part, or repeated."""
+    plain, linked, own = _sums([n], repeats)
+    return linked > plain or not own
+
+
 def region(wrapper: list) -> list[str]:
-    """Path of labels of the element that holds the main text; empty: the whole page."""
-    found: list[tuple[int, int, int, int, list[str]]] = []  # kind, not in boilerplate, text outside links, -depth, path
-
-    def walk(nodes: list, path: list[str], junk: bool) -> int:
-        """Text outside links of what isn't boilerplate."""
-        plain = 0
-        for n in nodes:
-            if n[0] == "T":
-                plain += n[1]
-            elif n[0] != "E":
-                plain += walk(n[1], path, junk)
+    """Paths of the elements that hold the main text, each as its labels joined by SEP; empty: the whole page."""
+    repeats = _repeats(wrapper)
+    found: dict[tuple[str, ...], tuple[int, list]] = {}  # outermost articles and main elements with their text and nodes
+
+    def walk(nodes: list, path: tuple[str, ...], junk: bool, want: bool) -> None:
+        for n in _kids(nodes):
+            if n[0] != "E":
+                continue
+            own, bad = (*path, n[1]), is_junk(n[1])
+            if is_main(n[1]) and not bad and junk == want and (p := _sums(n[2], repeats)[0]):
+                old = found.get(own, (0, []))
+                found[own] = old[0] + p, old[1] + n[2]
             else:
-                own, bad = [*path, n[1]], is_junk(n[1])
-                p = walk(n[2], own, junk or bad)
-                if not bad:
-                    plain += p
-                    if (kind := main_kind(n[1])) and p:
-                        found.append((kind, not junk, p, -len(own), own))
-        return plain
-
-    total = walk(wrapper, [], False)
-    for kind in (3, 2, 1):
-        # outside boilerplate first; of those that hold most of the text the innermost
-        some = [x for x in found if x[0] == kind and x[1]] or [x for x in found if x[0] == kind and kind > 1]
-        rich = [x for x in some if 2 * x[2] >= (total if x[1] else x[2])]
-        if rich:
-            return min(rich, key=lambda x: x[3])[4]
-        if some and kind > 1:
-            return max(some, key=lambda x: x[2])[4]
-    # no such element: go down while one child holds nearly all of the text
-    path: list[str] = []
-    nodes = wrapper
-    while True:
-        kids = [x for n in nodes for x in (n[1] if n[0] in "+?" else [n]) if x[0] == "E" and not is_junk(x[1])]
-        sums = [walk(k[2], [], False) for k in kids]
-        if not kids or 5 * max(sums) < 4 * max(1, walk(nodes, [], False)) or kids[sums.index(max(sums))][1].split(" ", 1)[0] in ("p", "li", "td"):
-            return path
-        best = kids[sums.index(max(sums))]
-        path, nodes = [*path, best[1]], best[2]
-
-
-def main_kind(label: str) -> int:
-    """3: an article, 2: a main element, 1: a container named like one, else 0."""
+                walk(n[2], own, junk or bad, want)
+
+    total = _sums(wrapper, repeats)[0]
+    for inside in (False, True):  # outside boilerplate first; what is in it must be more than all that is outside
+        found.clear()
+        walk(wrapper, (), False, inside)
+        held = sum(p for p, _ in found.values())
+        if found and (held > total if inside else 2 * held >= total):
+            break
+        found.clear()
+    out = []
+    for path, nodes in [(p, n) for p, (_, n) in found.items()] or [((), wrapper)]:
+        # go inward while nothing but boilerplate is left behind
+        while True:
+            rich = [k for k in _kids(nodes) if not _boilerplate(k, repeats)]
+            labels = {k[1] for k in rich if k[0] == "E"}
+            if len(labels) != 1 or any(k[0] == "T" for k in rich) or (label := labels.pop()).split(" ", 1)[0] in LEAVES:
+                break
+            path, nodes = (*path, label), [x for k in rich for x in k[2]]
+        out.append(path)
+    return [SEP.join(p) for p in out] if () not in out else []
+
+
+def is_main(label: str) -> bool:
+    """An article or a main element."""
     tag, _, rest = label.partition(" ")
-    if tag == "article" or "role=article" in rest:
-        return 3
-    if tag == "main" or "role=main" in rest:
-        return 2
-    return int(tag in ("div", "section", "td") and bool(MAIN_NAMES & _names(rest.replace("class=", " ").replace("id=", " "))))
+    return tag in ("article", "main") or "role=article" in rest or "role=main" in rest
 
 
 def main_text(page: str | None, inside: list[str]) -> str:
     """The blocks of the region that aren't boilerplate, joined by one space; of the whole page if it lacks the region."""
     found, anywhere = [], []
-    n, whole = len(inside), tuple(inside)
+    paths = [tuple(p.split(SEP)) for p in inside]
     for path, text, _ in blocks(page or ""):
-        if n and path[:n] == whole:  # what wraps the region doesn't tell what is in it
+        n = max((len(p) for p in paths if path[: len(p)] == p), default=0)
+        if n:  # what wraps the region doesn't tell what is in it
             if not any(map(is_junk, path[n:])):
                 found.append(text)
         elif not any(map(is_junk, path)):
             anywhere.append(text)
-            if n and whole[-1] in path and main_kind(whole[-1]):
+            if any(p[-1] in path and is_main(p[-1]) for p in paths):
                 found.append(text)
     return " ".join(found or anywhere)
 
 
 def shapes(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(host, shape, slots): each host's distinct shapes, and the sum of their slots' text lengths."""
+    """(host, shape, slots): each host's distinct shapes, and the sums of their slots."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "html"):
-                seen: dict[tuple[str, str], list[int]] = {}
+                seen: dict[tuple[str, str], list[list[int]]] = {}
                 for h, page in zip(part.column("host").to_pylist(), part.column("html").to_pylist(), strict=True):
                     s = shape(page or "")
                     slots = _slots(s)
                     if (old := seen.get(key := (h, json.dumps(_bare(s), separators=(",", ":"))))) is not None:
-                        slots = [x + y for x, y in zip(old, slots, strict=True)]
+                        slots = [[x + y for x, y in zip(a, b, strict=True)] for a, b in zip(old, slots, strict=True)]
                     seen[key] = slots
                 yield pa.RecordBatch.from_pydict({
                     "host": pa.array([k[0] for k in seen], pa.string()), "shape": pa.array([k[1] for k in seen], pa.string()),
-                    "slots": pa.array(list(seen.values()), pa.list_(pa.int64()))})
+                    "slots": pa.array(list(seen.values()), pa.list_(pa.list_(pa.int64())))})
 
-    rows = pages.select(host_of(F.col(url)).alias("host"), F.col(html).alias("html")).mapInArrow(run, "host string, shape string, slots array<long>")
+    rows = pages.select(host_of(F.col(url)).alias("host"), F.col(html).alias("html")).mapInArrow(run, "host string, shape string, slots array<array<long>>")
     # equal shapes meet in one row, with their slots summed
-    at = rows.select("host", "shape", F.posexplode_outer("slots").alias("i", "n")).groupBy("host", "shape", "i").agg(F.sum("n").alias("n"))
-    slots = F.array_sort(F.filter(F.collect_list(F.struct("i", "n")), lambda x: x["i"].isNotNull()))
+    at = rows.select("host", "shape", F.posexplode("slots").alias("i", "n")).groupBy("host", "shape", "i").agg(
+        F.array(*[F.sum(F.col("n")[k]) for k in range(len(EMPTY))]).alias("n"))
+    slots = F.array_sort(F.collect_list(F.struct("i", "n")))
     return at.groupBy("host", "shape").agg(F.transform(slots, lambda x: x["n"]).alias("slots"))
 
 
@@ -407,19 +454,19 @@ def wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFram
         rows = rows.sort_values("shape")
         out: list | None = None
         for s, slots in zip(rows["shape"], rows["slots"], strict=True):
-            nodes = _filled(json.loads(s), iter([int(x) for x in slots]))
+            nodes = _filled(json.loads(s), iter(slots))
             out = nodes if out is None else align(out, nodes)
         out = out or []
         return pd.DataFrame({"host": [key[0]], "shape": [json.dumps(_bare(out), separators=(",", ":"))], "slots": [_slots(out)]})
 
-    kind = "host string, shape string, slots array<long>"
+    kind = "host string, shape string, slots array<array<long>>"
     parts = shapes(pages, url, html).withColumn("part", F.pmod(F.xxhash64("shape"), F.lit(PARTS)))
     partial = parts.groupBy("host", "part").applyInPandas(fold, kind)
     whole = partial.groupBy("host").applyInPandas(fold, kind)
 
     @F.pandas_udf("array<string>")
     def region_of(shape: pd.Series, slots: pd.Series) -> pd.Series:
-        return pd.Series([region(_filled(json.loads(s), iter([int(x) for x in n]))) for s, n in zip(shape, slots, strict=True)])
+        return pd.Series([region(_filled(json.loads(s), iter(n))) for s, n in zip(shape, slots, strict=True)])
 
     return whole.select("host", F.col("shape").alias("wrapper"), region_of("shape", "slots").alias("region"))
 

@@ -27,6 +27,40 @@ def test_main_text(spark):
     assert html.extract(df.limit(0)).count() == 0
 
 
+def spans_of(host, body, n=8):
+    """n pages of a host whose texts differ, with a menu, a notice and a footer line that don't."""
+    def words(i, k):
+        return " ".join(f"{k}{i}x{j}" for j in range(12))
+
+    top = '<div class="top"><a href="/a">Home</a> <a href="/b">All stories</a></div><div class="line">Nothing but the truth</div>'
+    return [(f"http://{host}.example/{i}", top + re.sub(r"\{(\w+)\}", lambda m: words(i, m[1]), body), words) for i in range(n)]
+
+
+def texts_of(spark, pages):
+    df = spark.createDataFrame([(k, u, p) for k, (u, p, _) in enumerate(pages)], "page_id long, url string, html string")
+    return {r.page_id: r.text for r in html.extract(df).collect()}
+
+
+def test_region_keeps_all_of_the_article(spark):
+    bodies = {
+        "post": ("<div class=post><h1>{title}</h1><p>{lead}</p><div class=post-body><p>{a}</p><p>{b}</p><p>{c}</p></div></div>", "title lead a b c"),
+        "plain": ("<div><div class=x><p>{lead}</p></div><div class=y><p>{a}</p><p>{b}</p><p>{c}</p><p>{d}</p><p>{e}</p></div></div>", "lead a b c d e"),
+        "nested": ("<article><h1>{title}</h1><p>{lead}</p><article class=part><p>{a}</p><p>{b}</p><p>{c}</p></article></article>", "title lead a b c"),
+        "outer": ("<main><h1>{title}</h1><p>{lead}</p><article><p>{a}</p><p>{b}</p><p>{c}</p></article></main>", "title lead a b c"),
+        "linked": ("<div><h1><a href=/t>{title}</a></h1><div><p>{a}</p><p>{b}</p></div></div>", "title a b"),
+        "two": ("<article class=one><p>{a}</p></article><article class=two><p>{b}</p></article>", "a b"),
+    }
+    pages = [p for host, (body, _) in bodies.items() for p in spans_of(host, body)]
+    got = texts_of(spark, pages)
+    for k, (_, _, words) in enumerate(pages):
+        assert got[k] == " ".join(words(k % 8, x) for x in list(bodies.values())[k // 8][1].split())
+
+
+def test_copies_of_one_page_keep_their_text(spark):
+    pages = [("http://c.example/", "<div><div class=a><p>one text</p></div><div class=b><p>another text</p></div></div>", None)] * 6
+    assert set(texts_of(spark, pages).values()) == {"one text another text"}
+
+
 def test_differencing_and_shards(spark):
     bins = sharding.differencing([8, 7, 6, 5, 4], 2)
     sums = [sum(s for s, b in zip([8, 7, 6, 5, 4], bins, strict=True) if b == k) for k in (0, 1)]
