@@ -13,8 +13,11 @@ task).  Shapes are folded in salted parts first, then the parts of a host.
 
 Every slot of the wrapper knows its path, how much text, in and outside links, the
 host's pages have there, and whether they all have the same.  An element is
-boilerplate by tag, role or class (menu, header, footer, sidebar, notice, advert,
-form, comments, script, style).  The main region is the wrapper's outermost article
+boilerplate by tag (script, style, nav, header, ...), role, or a whole class token or id
+that is a sure name (sidebar, cookie-notice, comments, ...); any other word of a class
+or id (search, discussion, legal, ...) counts only where the wrapper shows link-heavy
+or repeated text at that place.  Modifiers (with-sidebar) and the ids of headings,
+paragraphs and items tell nothing.  The main region is the wrapper's outermost article
 and main elements, if they hold most of the text, else the whole page; from there
 it goes inward only while all that it leaves behind is boilerplate or slots of links
 or of repeated text.  Every page of the host is then read through that region.
@@ -75,9 +78,16 @@ JUNK_NAMES = {"nav", "navbar", "navigation", "menu", "submenu", "topbar", "bread
               "alert", "ad", "ads", "adv", "advert", "adverts", "advertisement", "adsense", "promo", "promoted", "promotion", "sponsor", "sponsored",
               "form", "newsletter", "subscribe", "subscription", "signup", "login", "search", "comment", "comments", "respond", "reply", "replies",
               "disqus", "discussion", "share", "sharing", "social", "related", "recommended", "pagination", "pager", "legal", "copyright", "disclaimer"}
-#: of these, what an article or main element may be named if it isn't the page's own
+#: of these, what names boilerplate if it is a whole class token or id; the others need evidence of the wrapper
+SURE_NAMES = {"nav", "navbar", "navigation", "submenu", "topbar", "breadcrumb", "breadcrumbs", "masthead", "footer", "sidebar", "widget", "widgets", "cookie",
+              "cookies", "gdpr", "popup", "modal", "ad", "ads", "advert", "adverts", "advertisement", "adsense", "promo", "sponsored", "newsletter", "signup",
+              "comment", "comments", "disqus", "pagination", "pager"}
+#: of all, what an article or main element may be named if it isn't the page's own
 CARD_NAMES = {"comment", "comments", "reply", "replies", "related", "recommended", "promo", "promoted", "sponsor", "sponsored", "ad", "ads", "advert",
               "advertisement", "teaser", "notice", "widget"}
+#: words beside such names that change nothing, and first words of tokens that speak of another element
+NEUTRAL = {"top", "bottom", "site", "primary", "secondary", "main", "global", "mobile", "links", "list", "item"}
+MODIFIERS = {"with", "without", "has", "no", "not", "is", "hide", "show"}
 OUT = {"text": T.StringType(), "n_chars": T.LongType()}
 
 
@@ -85,9 +95,9 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def _names(value: str) -> set[str]:
-    """The words of a class or id: split at anything but letters, and at a change of case."""
-    return {w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", value)}
+def _names(token: str) -> list[str]:
+    """The words of a class token or id: split at anything but letters, and at a change of case."""
+    return [w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", token)]
 
 
 def _label(tag: str, attrs: str) -> str:
@@ -103,24 +113,38 @@ def _label(tag: str, attrs: str) -> str:
     return tag + "".join(f" {k}={got[k]}" for k in sorted(got))
 
 
-_JUNK: dict[str, bool] = {}
+_JUNK: dict[str, int] = {}
 
 
-def is_junk(label: str) -> bool:
+def junk_kind(label: str) -> int:
+    """2: boilerplate; 1: only where the wrapper shows link-heavy or repeated text; else 0."""
     known = _JUNK.get(label)
     if known is None:
         tag, *rest = label.split(" ", 1)
         got = dict(re.findall(r"(class|id|role|hidden)=(.*?)(?= (?:class|id|role|hidden)=|$)", rest[0])) if rest else {}
-        known = tag in JUNK_TAGS or got.get("role", "").lower() in JUNK_ROLES or "hidden" in got
+        known = 2 if tag in JUNK_TAGS or got.get("role", "").lower() in JUNK_ROLES or "hidden" in got else 0
         if not known and tag not in ("html", "body"):
-            names = _names(got.get("class", "")) | _names(got.get("id", ""))
-            known = bool((CARD_NAMES if tag in ("article", "main") else JUNK_NAMES) & names)
+            card = tag in ("article", "main")
+            names, sure = (CARD_NAMES, CARD_NAMES - {"notice"}) if card else (JUNK_NAMES, SURE_NAMES)
+            if tag in INLINE:
+                sure = sure - {"comment", "comments"}  # code listings mark comments
+            for kind in ("class",) if tag in LEAVES or tag in INLINE else ("class", "id"):
+                for token in got.get(kind, "").split():
+                    words = _names(token)
+                    if names.isdisjoint(words) or words[0] in MODIFIERS:
+                        continue
+                    whole = not sure.isdisjoint(words) and (names | NEUTRAL).issuperset(words)
+                    known = max(known, 2 if whole and (kind == "class" or tag != "section") else 1)
         if len(_JUNK) > 50_000:
             _JUNK.clear()
         _JUNK[label] = known
     return known
 
 
+def is_junk(label: str) -> bool:
+    return junk_kind(label) == 2
+
+
 def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str, int]]:
     """(path of labels, text of the block with white space folded, characters of it in links), in page order."""
     path: list[str] = []  # labels of the open block elements
@@ -365,9 +389,42 @@ def _boilerplate(n: list, repeats: int) -> bool:
     return linked > plain or not own
 
 
+def dropped(wrapper: list) -> list[str]:
+    """Paths of the elements, none with a main element inside or most of the text, that a word of their name and their text tell as boilerplate."""
+    repeats = _repeats(wrapper)
+    at: dict[tuple[str, ...], list] = {}
+
+    def walk(nodes: list, path: tuple[str, ...]) -> bool:
+        held = False
+        for n in _kids(nodes):
+            if n[0] == "E" and not is_junk(n[1]):
+                own = (*path, n[1])
+                holds = walk(n[2], own)
+                if junk_kind(n[1]) and not holds:
+                    at.setdefault(own, []).append(n)
+                held = held or holds or is_main(n[1])
+        return held
+
+    walk(wrapper, ())
+    total = _sums(wrapper, repeats)[0]
+    out = []
+    for path, nodes in at.items():
+        plain, linked, own = _sums(nodes, repeats)
+        if 2 * plain < max(total, 1) and (linked > plain or not own):
+            out.append(SEP.join(path))
+    return sorted(out)
+
+
+def _without(nodes: list, paths: set[str], path: tuple[str, ...] = ()) -> list:
+    """The nodes without the elements of these paths."""
+    return [["E", n[1], _without(n[2], paths, own)] if n[0] == "E" else n
+            for n in _kids(nodes) if n[0] == "T" or SEP.join(own := (*path, n[1])) not in paths]
+
+
 def region(wrapper: list) -> list[str]:
     """Paths of the elements that hold the main text, each as its labels joined by SEP; empty: the whole page."""
     repeats = _repeats(wrapper)
+    wrapper = _without(wrapper, set(dropped(wrapper)))
     found: dict[tuple[str, ...], tuple[int, list]] = {}  # outermost articles and main elements with their text and nodes
 
     def walk(nodes: list, path: tuple[str, ...], junk: bool, want: bool) -> None:
@@ -408,11 +465,14 @@ def is_main(label: str) -> bool:
     return tag in ("article", "main") or "role=article" in rest or "role=main" in rest
 
 
-def main_text(page: str | None, inside: list[str]) -> str:
+def main_text(page: str | None, inside: list[str], without: list[str]) -> str:
     """The blocks of the region that aren't boilerplate, joined by one space; of the whole page if it lacks the region."""
+    drop = set(without)
     found, anywhere = [], []
     paths = [tuple(p.split(SEP)) for p in inside]
     for path, text, _ in blocks(page or ""):
+        if drop and any(junk_kind(x) == 1 and SEP.join(path[: k + 1]) in drop for k, x in enumerate(path)):
+            continue
         n = max((len(p) for p in paths if path[: len(p)] == p), default=0)
         if n:  # what wraps the region doesn't tell what is in it
             if not any(map(is_junk, path[n:])):
@@ -449,7 +509,7 @@ def shapes(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
 
 
 def wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(host, wrapper, region): a host's union-free expression as JSON, and the path of its main region."""
+    """(host, wrapper, region, dropped): a host's union-free expression as JSON, the paths of its main region and of boilerplate known by its text."""
     def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("shape")
         out: list | None = None
@@ -464,26 +524,27 @@ def wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFram
     partial = parts.groupBy("host", "part").applyInPandas(fold, kind)
     whole = partial.groupBy("host").applyInPandas(fold, kind)
 
-    @F.pandas_udf("array<string>")
-    def region_of(shape: pd.Series, slots: pd.Series) -> pd.Series:
-        return pd.Series([region(_filled(json.loads(s), iter(n))) for s, n in zip(shape, slots, strict=True)])
+    @F.pandas_udf("region array<string>, dropped array<string>")
+    def region_of(shape: pd.Series, slots: pd.Series) -> pd.DataFrame:
+        nodes = [_filled(json.loads(s), iter(n)) for s, n in zip(shape, slots, strict=True)]
+        return pd.DataFrame({"region": [region(n) for n in nodes], "dropped": [dropped(n) for n in nodes]})
 
-    return whole.select("host", F.col("shape").alias("wrapper"), region_of("shape", "slots").alias("region"))
+    return whole.select("host", F.col("shape").alias("wrapper"), region_of("shape", "slots").alias("r")).select("host", "wrapper", "r.region", "r.dropped")
 
 
 def extract(pages: DataFrame, url: str = "url", html: str = "html", limit: int = BROADCAST_HOSTS) -> DataFrame:
     """The pages (without html) with text and n_chars."""
     kept = [c for c in pages.columns if c not in OUT and c != html]
     schema = T.StructType([*(pages.schema[c] for c in kept), *(T.StructField(n, t) for n, t in OUT.items())])
-    regions = checkpoint(wrappers(pages, url, html).select(F.col("host").alias("_host"), F.col("region").alias("_region")))
+    regions = checkpoint(wrappers(pages, url, html).select(F.col("host").alias("_host"), F.col("region").alias("_region"), F.col("dropped").alias("_dropped")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "_html"):
-                texts = [main_text(p, r or []) for p, r in zip(part.column("_html").to_pylist(), part.column("_region").to_pylist(), strict=True)]
+                texts = [main_text(p, r or [], d or []) for p, r, d in zip(*(part.column(c).to_pylist() for c in ("_html", "_region", "_dropped")), strict=True)]
                 arrays = [part.column(i) for i in range(len(kept))]
                 yield pa.RecordBatch.from_arrays([*arrays, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*kept, *OUT])
 
     rows = pages.select(*kept, F.col(html).alias("_html"), host_of(F.col(url)).alias("_host"))
     rows = rows.join(by_size(regions, regions.count(), limit), "_host", "left")
-    return rows.select(*kept, "_html", "_region").mapInArrow(run, schema)
+    return rows.select(*kept, "_html", "_region", "_dropped").mapInArrow(run, schema)

@@ -56,6 +56,20 @@ def test_region_keeps_all_of_the_article(spark):
         assert got[k] == " ".join(words(k % 8, x) for x in list(bodies.values())[k // 8][1].split())
 
 
+def test_names_alone_drop_nothing_in_the_article(spark):
+    bodies = {
+        "parts": ("<article><section id=side-effects><h2 id=related-work>{h}</h2><p id=legal-basis>{a}</p></section><section class=discussion><p>{b}</p></section>"
+                  "<p>{c} <span class='search-term'>{s}</span></p></article>", "h a b c s"),
+        "modifier": ("<div class='content with-sidebar'><h1>{t}</h1><p>{a}</p></div>", "t a"),
+        "both": ("<article><p>{a}</p><div class=sidebar><p>{x}</p></div><div class=related-posts><a href=/1>{y}</a></div><div class=legal>All rights reserved</div>"
+                 "<div class='cookie-notice'>{z}</div><p>{b}</p></article>", "a b"),
+    }
+    got = texts_of(spark, [p for host, (body, _) in bodies.items() for p in spans_of(host, body)])
+    for k, text in got.items():
+        _, keep = list(bodies.values())[k // 8]
+        assert text == " ".join(spans_of("", "")[0][2](k % 8, x) for x in keep.split())
+
+
 def test_copies_of_one_page_keep_their_text(spark):
     pages = [("http://c.example/", "<div><div class=a><p>one text</p></div><div class=b><p>another text</p></div></div>", None)] * 6
     assert set(texts_of(spark, pages).values()) == {"one text another text"}
