@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -142,11 +143,12 @@ def _x(best: float, n_sig: int, n: int, rate: float) -> list[float]:
     return [_significance(best, n, rate), best + math.log1p(n_sig)]
 
 
-def _rate(weights: list[float], words: int) -> float:
-    """lambda with the mean of exp(lambda weight) over the clean words equal to 1; at most 1, the value of true log-odds."""
+def _rate(weights: dict[float, int], words: int) -> float:
+    """lambda with the mean of exp(lambda weight) over the clean words equal to 1, from the words of each weight; at most 1, the value of true log-odds."""
     if not words:
         return 1.0
-    value = lambda t: (math.exp(GAP * t) * (words - len(weights)) + sum(math.exp(t * w) for w in weights)) / words - 1
+    gaps = words - sum(weights.values())
+    value = lambda t: (math.exp(GAP * t) * gaps + sum(n * math.exp(t * w) for w, n in weights.items())) / words - 1
     lo, hi = 1e-3, 1.0
     if value(hi) <= 0:
         return hi
@@ -165,25 +167,31 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SA
     # two folds, so that the curve is fitted on documents whose words the lexicon hasn't seen
     lexicons = [_lexicon(picked.where(f"half = {1 - k}")) for k in (0, 1)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # over whole texts: the clean words of each weight (as many weights as the lexicons have at most), then each text's measures
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            found, words = Counter(), 0
             for half, text in zip(batch.column("half").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 hits, n = word_weights(text, lexicons[half])
-                found = segments(hits)
-                out.append({"w": [h[1] for h in hits][:1000], "n": n, "s": [s[0] for s in found][:1000]})
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("y"), pa.array([o["n"] for o in out], pa.int64()), pa.array([o["w"] for o in out], pa.list_(pa.float64())),
-                 pa.array([o["s"] for o in out], pa.list_(pa.float64()))], names=["y", "n", "w", "s"])
-
-    seen = picked.select(F.col("y").cast("int").alias("y"), F.col("half").cast("int").alias("half"), "text").mapInArrow(
-        run, "y int, n long, w array<double>, s array<double>").collect()
-    clean = [r for r in seen if r["y"] == 0]
-    rate = _rate([w for r in clean for w in r["w"]], sum(r["n"] for r in clean))
-    x = []
-    for r in seen:
-        bound = math.log(max(r["n"], 1) / 0.05) / rate
-        x.append(_x(max(r["s"], default=0.0), sum(s >= bound for s in r["s"]), r["n"], rate))
+                found.update(w for _, w in hits)
+                words += n
+            yield pa.RecordBatch.from_arrays([pa.array([None, *found], pa.float64()), pa.array([words, *found.values()], pa.int64())], names=["w", "n"])
+
+    rows = picked.select(F.col("y").cast("int").alias("y"), F.col("half").cast("int").alias("half"), "text")
+    weights = {r["w"]: r["n"] for r in rows.where("y = 0").mapInArrow(counted, "w double, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()}
+    words = weights.pop(None, 0)
+    rate = _rate(weights, words)
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for half, text in zip(batch.column("half").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                best, n_sig, _, n = _measure(text, lexicons[half], rate)
+                out.append(_x(best, n_sig, n, rate))
+            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array([o[0] for o in out], pa.float64()), pa.array([o[1] for o in out], pa.float64())], names=["y", "a", "b"])
+
+    seen = rows.mapInArrow(measured, "y int, a double, b double").collect()
+    x = [[r["a"], r["b"]] for r in seen]
     w = logistic(np.array(x).reshape(-1, 2), np.array([r["y"] for r in seen]), counts, ridge=1.0)
     return Model(_lexicon(picked), rate, tuple(map(float, w)))
 

@@ -1,6 +1,8 @@
 import re
 import zlib
 
+import numpy as np
+
 from ratebook.llm import html, quality, secrets, sharding, toxicity
 from ratebook.llm.queries import tokenizer
 
@@ -134,6 +136,28 @@ def test_toxicity(spark):
     assert len(toxicity.toxicity(docs_df(spark, docs), labels.limit(0)).collect()) == len(docs)
 
 
+def test_toxicity_is_fitted_on_whole_texts(spark):
+    """A clean text with thousands of known words, and a toxic one with its passage after as many segments."""
+    gap = " ".join(f"g{k}" for k in range(40))
+    long = " ".join(f"{gap} loser" for _ in range(1500))
+    docs, labels = labelled(spark, lambda i: passage(i, 30) + f" you awful scum{i % 3} loser " + passage(i + 1, 20))
+    docs = [(i, long if i == 1 else f"{long} you loser you loser" if i == 4 else t) for i, t in docs]
+    frame = docs_df(spark, docs).select("doc_id", "text")
+    picked, counts = toxicity.sample(frame, labels, "toxic", toxicity.MODULO, toxicity.HELD_OUT, toxicity.SAMPLE_ROWS)
+    lexicons = [toxicity._lexicon(picked.where(f"half = {1 - k}")) for k in (0, 1)]
+    rows = [(r.y, *toxicity.word_weights(r.text, lexicons[r.half])) for r in picked.collect()]
+    assert any(len(hits) > 1000 for _, hits, _ in rows)
+    clean = [r for r in rows if r[0] == 0]
+    rate = toxicity._rate(toxicity.Counter(w for r in clean for _, w in r[1]), sum(r[2] for r in clean))
+    x = []
+    for _, hits, n in rows:
+        found = [s for s, _, _ in toxicity.segments(hits)]
+        x.append(toxicity._x(max(found, default=0.0), sum(s >= np.log(max(n, 1) / 0.05) / rate for s in found), n, rate))
+    want = toxicity.logistic(np.array(x), np.array([r[0] for r in rows]), counts, ridge=1.0)
+    model = toxicity.fit(frame, labels)
+    assert abs(model.rate - rate) < 1e-9 and np.allclose(model.weights, want, atol=1e-6)
+
+
 def test_segments_equal_brute_force():
     import random
 
