@@ -1,12 +1,15 @@
 """Secret scans: fixed patterns plus a token-efficiency test.
 
 Patterns give the kinds assign, access and hex.  The token test adds the kind
-token: runs of 20 or more of ``[A-Za-z0-9+/_=-]`` that need many tokens of a
+token: runs of 12 or more of ``[A-Za-z0-9+/_=-]`` that need many tokens of a
 tiktoken vocabulary, that is few characters a token, look random; natural words
-and code names need few.  Excluded before the test: runs of letters or of digits
-alone, digests (hexadecimal runs of the length of a known digest), UUIDs, and
-identifiers whose parts (split at ``_ - / = +``) are each letters or digits alone.
-A token run that overlaps a pattern span is dropped; pattern spans always stay.
+and code names need few.  Runs under 20 characters need a stricter ratio, since
+some short rare words need as many tokens as short random ones.  Excluded before
+the test: runs of digits alone, digests (hexadecimal runs of the length of a known
+digest), UUIDs, dates and hardware addresses, and identifiers whose parts (split at
+``_ - / = +``) are each digits alone or letters that the vocabulary has as one token
+or needs few tokens for.  A token run that overlaps a pattern span is dropped;
+pattern spans always stay.
 
 Defined cases: a null or empty text has no spans; offsets count code points of the
 whole text; ties are ordered by start, then by kind; other columns are carried,
@@ -37,12 +40,14 @@ ASSIGN_MIN, ACCESS_MIN, HEX_MIN = 6, 20, 24
 KINDS = ("assign", "access", "hex", "token")
 # fixed values: hexadecimal lengths of md5, sha1, sha224, sha256, sha384, sha512
 DIGESTS = {32, 40, 56, 64, 96, 128}
-#: characters of a run at least, and characters a token of a random one at most
-RUN_MIN, RATIO_MAX = 20, 2.0
+#: characters of a run at least, of one that isn't short, and characters a token of a random one at most, if short and else
+RUN_MIN, RUN_LONG, RATIO_SHORT, RATIO_MAX = 12, 20, 1.6, 2.0
 RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{RUN_MIN},}}")
 #: a run of 24 or more hexadecimal digits is what HEX leaves after the length test
 LONG_HEX = re.compile(rf"[0-9a-f]{{{HEX_MIN},}}")
 UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
+DATE = re.compile(r"[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}")
+ADDRESS = re.compile(r"[0-9a-fA-F]{2}(-[0-9a-fA-F]{2}){5,7}")
 SCHEMA = [("n_assign", T.LongType()), ("n_access", T.LongType()), ("n_hex", T.LongType()), ("n_token", T.LongType()),
           ("base_sha256", T.StringType()), ("spans", T.StringType())]
 
@@ -65,22 +70,28 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def excluded(run: str) -> bool:
-    """Digests and identifiers, which the token test leaves alone."""
-    if run.isalpha() or run.isdigit() or UUID.fullmatch(run):
+def random_like(run: str, n: int, encoding) -> bool:  # noqa: ANN001
+    """Few characters a token, by the limit for a run of n characters."""
+    return len(run) <= (RATIO_MAX if n >= RUN_LONG else RATIO_SHORT) * len(encoding.encode_ordinary(run))
+
+
+def excluded(run: str, encoding) -> bool:  # noqa: ANN001
+    """Digests, dates, addresses and identifiers, which the token test leaves alone."""
+    if run.isdigit() or UUID.fullmatch(run) or DATE.fullmatch(run) or ADDRESS.fullmatch(run):
         return True
     if len(run) in DIGESTS and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", run):
         return True
-    return all(p.isalpha() or p.isdigit() or not p for p in re.split(r"[_\-/=+]", run))
+    parts = [p for p in re.split(r"[_\-/=+]", run) if p and not p.isdigit()]
+    return all(p.isalpha() for p in parts) and all(len(encoding.encode_ordinary(p)) == 1 or not random_like(p, len(run), encoding) for p in parts)
 
 
 def token_spans(text: str, encoding, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:  # noqa: ANN001
     out = []
     for m in RUN.finditer(text):
         run = m[0]
-        if excluded(run) or any(s < m.end() and m.start() < e for s, _, e in taken):
+        if any(s < m.end() and m.start() < e for s, _, e in taken) or not random_like(run, len(run), encoding):
             continue
-        if len(run) <= RATIO_MAX * len(encoding.encode_ordinary(run)):
+        if not excluded(run, encoding):
             out.append((m.start(), 3, m.end()))
     return out
 

@@ -111,6 +111,16 @@ def test_secrets(spark):
     assert secrets.scan(docs_df(spark, []), *tokenizer()).count() == 0
 
 
+def test_random_letters_and_short_keys(spark):
+    keys = ["qzjxkvbwpfhgtrmdqclznxyvkwjbhpfqgsdtzmxr", "QwZxKjVbHnPfTrLmXcGdYsUzQkWvJhNbRtPxMfZq", "xQ7zKp2Wv9Lf", "kV8rZq-3TxWm9Hb", "wqXzkJvHbTqR", "zqxjv-kwpbf-qhgzt-xrmvd"]
+    words = ["averyverylongwordwithoutdigits", "antidisestablishmentarianism", "Donaudampfschifffahrtsgesellschaft", "getElementsByClassName", "internationalization",
+             "identifier_with_many_words_2024", "configuration", "my_id_of_db_to_go", "2024-01-15T10:00", "00-1A-2B-3C-4D-5E", "202401151015001234567", "well-known-words", "-" * 30]
+    got = {r.doc_id: r for r in secrets.scan(docs_df(spark, [(i, f"see {t} here") for i, t in enumerate(keys + words)]), *tokenizer()).collect()}
+    assert [got[i].n_token for i in range(len(keys))] == [1] * len(keys)
+    assert [got[i].n_token for i in range(len(keys), len(keys + words))] == [0] * len(words)
+    assert got[0].spans == f"token:4:{4 + len(keys[0])}"
+
+
 def labelled(spark, bad, n=160):
     docs = [(i, bad(i) if i % 4 == 0 else passage(i, 60)) for i in range(n)] + [(1000, None), (1001, ""), (None, "x")]
     return docs, spark.createDataFrame([(i, int(i % 4 != 0), int(i % 4 == 0)) for i in range(n)] + [(5, 1, 0), (None, 1, 1), (7, None, None)],
