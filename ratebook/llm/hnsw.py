@@ -5,7 +5,9 @@ give no pairs.  A label's nodes are hashed into shards of about SHARD_ROWS; each
 builds one graph and is a single row from then on.  Every shard's nodes query every
 shard of their label, as a join of blocks by label.  Queries run as one vectorised
 beam search; the beam is widened for a query whose hits fill it, and for all while a
-recall audit (AUDIT queries compared with all nodes of the shard) stays below RECALL.
+recall audit stays below RECALL.  The audit compares queries, block by block, with all
+nodes of the shard until it has seen AUDIT true pairs of different nodes or has no
+queries left; the pairs that it sees are hits too.
 The cosine of each hit is computed again in double precision; only 0.98 and more is a
 link, and links are united to components.
 
@@ -32,8 +34,8 @@ SIMILARITY = 0.98
 SHARD_ROWS = 8192
 #: neighbours a node keeps on upper levels, twice as many on the lowest; beams of building and querying
 NEIGHBOURS, BUILD_BEAM, BEAM = 12, 40, 24
-AUDIT, RECALL = 64, 0.999
-BLOCK = 1024
+AUDIT, RECALL = 1000, 0.999
+BLOCK, AUDIT_BLOCK = 1024, 256
 
 
 def _search(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, entry: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -170,15 +172,31 @@ def descend(x: np.ndarray, upper: list[np.ndarray], queries: np.ndarray, order:
     return entry
 
 
-def hits(x: np.ndarray, levels: list[np.ndarray], order: np.ndarray, queries: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+def _audit(x: np.ndarray, queries: np.ndarray, least: float, own: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(query, node) of all true pairs of queries drawn until AUDIT pairs of different nodes are seen; own: the queries are the nodes."""
+    drawn = np.random.default_rng(len(queries)).permutation(len(queries))
+    out, n = [], 0
+    for lo in range(0, len(drawn), AUDIT_BLOCK):
+        q = drawn[lo : lo + AUDIT_BLOCK]
+        r, c = np.nonzero(queries[q] @ x.T >= least)
+        out.append((q[r], c))
+        n += int((q[r] != c).sum()) if own else len(c)
+        if n >= AUDIT:
+            break
+    a, b = map(np.concatenate, zip(*out, strict=True))
+    return a, b
+
+
+def hits(x: np.ndarray, levels: list[np.ndarray], order: np.ndarray, queries: np.ndarray, least: float, own: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(query, node) of all pairs of a similarity of about `least` or more that the audited search finds."""
     n, beam = len(x), min(BEAM, len(x))
-    sample = np.unique(np.linspace(0, len(queries) - 1, min(AUDIT, len(queries))).astype(int))
-    truth = queries[sample] @ x.T >= least
-    n_true = truth.sum()
     out: list[tuple[np.ndarray, np.ndarray]] = []
     todo = np.arange(len(queries))
-    audited = False
+    true_q = true_n = np.empty(0, np.int64)
+    if beam < n and len(queries):
+        true_q, true_n = _audit(x, queries, least, own)
+        out.append((true_q, true_n))
+    other = true_q != true_n if own else np.ones(len(true_q), bool)
     while len(todo):
         more, found = [], []
         for lo in range(0, len(todo), BLOCK):
@@ -194,15 +212,13 @@ def hits(x: np.ndarray, levels: list[np.ndarray], order: np.ndarray, queries: np
             more.append(q[full])
             r, c = np.nonzero(good & ~full[:, None])
             found.append((q[r], ids[r, c].astype(np.int64)))
-        if not audited and beam < n:
-            wide = np.concatenate(more) if more else np.empty(0, np.int64)
-            known = np.isin(sample, wide)
-            pairs = {(int(a), int(b)) for a, b in zip(*map(np.concatenate, zip(*found, strict=True)), strict=True)} if found else set()
-            want = [(int(sample[i]), int(j)) for i, j in zip(*np.nonzero(truth), strict=True) if not known[i]]
-            if n_true and sum(p in pairs for p in want) < RECALL * len(want):
+        if beam < n:
+            # queries that go on with a wider beam are audited then
+            here = other & np.isin(true_q, todo) & ~np.isin(true_q, np.concatenate(more))
+            want = true_q[here] * n + true_n[here]
+            if np.isin(want, np.concatenate([q * n + c for q, c in found])).sum() < RECALL * len(want):
                 beam = min(2 * beam, n)
                 continue  # all again, with a wider beam
-            audited = True
         out += found
         todo = np.concatenate(more) if more and beam < n else np.empty(0, np.int64)
         beam = min(4 * beam, n)
@@ -259,7 +275,7 @@ def _levels(data: bytes, n: int, levels: int) -> list[np.ndarray]:
 def node_links(packed: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """(a, b), a < b: linked nodes, each shard's nodes looked up in every shard of its label."""
     query = packed.select("label", "d", F.col("shard").alias("_from"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
-    work = query.join(packed, ["label", "d"]).where(F.col("_from") <= F.col("shard"))
+    work = query.join(packed, ["label", "d"])  # both directions
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -269,7 +285,7 @@ def node_links(packed: DataFrame, least: float = SIMILARITY) -> DataFrame:
                 x = _unit(np.frombuffer(r["vectors"], np.float64).reshape(len(ids), -1))
                 q = _unit(np.frombuffer(r["q_vectors"], np.float64).reshape(len(q_ids), -1))
                 x32, q32 = x.astype(np.float32), q.astype(np.float32)
-                a, b = hits(x32, _levels(r["graph"], len(ids), r["levels"]), np.frombuffer(r["order"], np.int64), q32, least - 1e-5)
+                a, b = hits(x32, _levels(r["graph"], len(ids), r["levels"]), np.frombuffer(r["order"], np.int64), q32, least - 1e-5, r["_from"] == r["shard"])
                 for lo in range(0, max(len(a), 1), 200_000):
                     s, t = a[lo : lo + 200_000], b[lo : lo + 200_000]
                     good = np.einsum("nd,nd->n", q[s], x[t]) >= least

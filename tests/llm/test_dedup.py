@@ -198,3 +198,16 @@ def test_graph_search_recall():
     a, b = hnsw.hits(x, levels, order, x, 0.98)
     truth = x @ x.T >= 0.98
     assert len(set(zip(a.tolist(), b.tolist(), strict=True))) >= 0.99 * truth.sum()
+
+
+def test_audit_sees_rare_partners():
+    """A graph without edges finds nothing; the audit notices it with one query in 200 that has a partner."""
+    rng = np.random.default_rng(5)
+    x, q = (hnsw._unit(rng.normal(size=(3000, 32))).astype(np.float32) for _ in range(2))
+    at = np.arange(100, 3000, 200)
+    q[at] = x[at[::-1]]
+    levels, order = hnsw.build(x)
+    for broken in (False, True):
+        graphs = [np.full_like(g, -1) for g in levels] if broken else levels
+        a, b = hnsw.hits(x, graphs, order, q, 0.98)
+        assert set(zip(a.tolist(), b.tolist(), strict=True)) == set(zip(at.tolist(), at[::-1].tolist(), strict=True))
