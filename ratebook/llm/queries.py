@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, hnsw, html, lines, minhash, quality, secrets, sharding, toxicity
+from . import bpe, decontaminate, hnsw, html, lines, minhash, quality, rank_bpe, secrets, sharding, toxicity
 from .common import table
 from .decontaminate import WORD
 
@@ -61,9 +62,18 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, *tokenizer(), outputs=("n_tokens", "ids_sha256", "decoded_sha256")).drop("text")
 
 
+def op11_rank_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    coded = rank_bpe.decode(rank_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text"), path)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_decontamination, op2_html_extraction, op3_sharding, op4_quality, op5_embedding_dedup, op6_toxicity,
-                            op7_minhash_dedup, op8_line_dedup, op9_secrets, op10_bpe)
+                            op7_minhash_dedup, op8_line_dedup, op9_secrets, op10_bpe, op11_rank_bpe)
 }
 
 _CLASS = WORD.replace("'", "''")
