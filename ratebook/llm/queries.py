@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, hnsw, html, lines, minhash, quality, rank_bpe, secrets, sharding, toxicity
+from . import bpe, decontaminate, hnsw, html, lines, minhash, quality, rank_bpe, secrets, sharding, toxicity, variants
 from .common import table
 from .decontaminate import WORD
 
@@ -71,9 +71,14 @@ def op11_rank_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_decontamination, op2_html_extraction, op3_sharding, op4_quality, op5_embedding_dedup, op6_toxicity,
-                            op7_minhash_dedup, op8_line_dedup, op9_secrets, op10_bpe, op11_rank_bpe)
+                            op7_minhash_dedup, op8_line_dedup, op9_secrets, op10_bpe, op11_rank_bpe,
+                            op12_spelling_variants)
 }
 
 _CLASS = WORD.replace("'", "''")
