@@ -6,8 +6,9 @@ block keeps, for each dimension, the order of its rows by that component.  An an
 reads these lists from the end that its sign asks for, scores each row that it meets in
 full, and stops once no unread row can count: the threshold, the score of a row that has
 the last read component in every dimension, lies strictly below the score of the last
-row wanted in each window, or below the window where it isn't full yet.  Where all rows
-of the block have been met it stops too.  A first pass finds an anchor's positives this
+row wanted in each window, or below the window where it isn't full yet.  Where fewer
+rows are left than the next step would read from a list, they are all scored, and the
+block is done.  A first pass finds an anchor's positives this
 way, over the rows of its label; a second one the negatives of all its windows, over the
 rows of the other labels.  What the blocks return, a bounded number of rows an anchor and
 window, is ranked over all blocks, so results are exact and ties go to the smaller id.
@@ -41,8 +42,8 @@ ROWS, GROUP = 16_384, 2_048
 POSITIVES, NEGATIVES = 5, 3
 #: a negative's score in hundredths of its positive's
 LOW, HIGH = 50, 95
-#: rows of each list that are read first; then twice as many, and so on
-DEPTH = 32
+#: rows of each list that are read first, and how many times as many are read next
+DEPTH, GROWTH = 32, 4
 
 
 def prepared(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", relabel: int | None = 7) -> DataFrame:
@@ -62,12 +63,12 @@ class Block:
     def __init__(self, ids: np.ndarray, x: np.ndarray) -> None:
         by = np.argsort(ids, kind="stable")
         self.by, self.ids, self.x = by, ids[by], x[by]  # among equal scores the smaller id comes first
-        self.order = np.argsort(self.x, axis=0, kind="stable").T.astype(np.int32)
-        self.sorted = np.take_along_axis(self.x, self.order.T.astype(np.int64), 0).T
+        self.order = np.argsort(self.x, axis=0, kind="stable").T.copy()
+        self.sorted = np.take_along_axis(self.x, self.order.T, 0).T.copy()
         self.most = int(np.abs(x).max(initial=0))
         self.exact = x.astype(np.float64)[by] if self.most < 1 << 53 else None
 
-    def scores(self, rows: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    def scores(self, rows: np.ndarray | slice, anchor: np.ndarray) -> np.ndarray:
         """Inner products in integers: by doubles while they are exact, else by longs."""
         bound = self.most * int(np.abs(anchor).astype(object).sum()) if len(anchor) else 0
         if bound >= 1 << 63:
@@ -85,43 +86,39 @@ class Block:
         used = np.flatnonzero(anchor)
         # reading from the end with the greatest products; a zero needs no list
         lists = [self.order[d] if anchor[d] < 0 else self.order[d][::-1] for d in used]
-        ends = [self.sorted[d] if anchor[d] < 0 else self.sorted[d][::-1] for d in used]
-        weight = anchor[used]
-        met = np.zeros(n, bool)
-        places, scores = np.empty(0, np.int64), np.empty(0, np.int64)
-        depth, found = 0, []
+        weight = anchor[used].tolist()
+        met, whole = np.zeros(n, bool), None
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64)) for _ in windows]
+        depth = 0
         while True:
-            before, depth = depth, min(n, max(DEPTH, 2 * depth))
-            if not len(used):
-                depth = n
+            before, depth, old = depth, min(n, max(DEPTH, GROWTH * depth)) if len(used) else n, met.copy()
+            if n - np.count_nonzero(met) <= depth - before:
+                depth = n  # the rows left are fewer than each list would give: all are scored
                 met[:] = True
-                new = np.arange(n)
             else:
-                old = met.copy()
                 for order in lists:
                     met[order[before:depth]] = True
-                new = np.flatnonzero(met & ~old)
-            s = self.scores(new, anchor)
-            if wanted is not None:
-                new, s = new[wanted[new]], s[wanted[new]]
+            new = np.flatnonzero(met & ~old)
+            if whole is None and len(new) * 4 > n:  # one product is cheaper than gathering so many rows
+                whole = self.scores(slice(None), anchor)
+            s = self.scores(new, anchor) if whole is None else whole[new]
+            counts = np.ones(len(new), bool) if wanted is None else wanted[new]
             if own >= 0:
-                new, s = new[new != own], s[new != own]
-            places, scores = np.concatenate([places, new]), np.concatenate([scores, s])
-            by = np.lexsort((places, -scores))
-            places, scores = places[by], scores[by]
-            falling = -scores
-            first = np.searchsorted(falling, -windows[:, 1], "left")
-            last = np.searchsorted(falling, -windows[:, 0], "right")
-            stop = np.minimum(last, first + k)
-            if depth >= n or met.all():
-                break
-            threshold = sum(int(w) * int(e[depth - 1]) for w, e in zip(weight, ends, strict=True))
-            kth = [scores[b - 1] if b - a == k else low for a, b, low in zip(first, stop, windows[:, 0], strict=True)]
-            if threshold < min(kth):
-                break
-        for a, b in zip(first, stop, strict=True):
-            found.append((places[a:b], scores[a:b]))
-        return found
+                counts &= new != own
+            new, s = new[counts], s[counts]
+            for j, (low, high) in enumerate(windows):
+                at = np.flatnonzero((s >= low) & (s <= high))
+                if len(at) > k:
+                    at = at[s[at] >= np.partition(s[at], len(at) - k)[len(at) - k]]
+                places, scores = np.concatenate([found[j][0], new[at]]), np.concatenate([found[j][1], s[at]])
+                by = np.lexsort((places, -scores))[:k]
+                found[j] = places[by], scores[by]
+            if met.all():
+                return found
+            last = self.sorted[used, np.where(anchor[used] < 0, depth - 1, n - depth)]
+            threshold = sum(w * x for w, x in zip(weight, last.tolist(), strict=True))
+            if threshold < min(scores[-1] if len(scores) == k else low for (_, scores), low in zip(found, windows[:, 0], strict=True)):
+                return found
 
 
 def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
