@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_size, checkpoint
+from .common import checkpoint
 
 RUN = r"[A-Za-zÀ-ÿ]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -40,8 +40,6 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LEAST_LENGTH, LEAST_COUNT, RATIO = 6, 5, 5
 #: every so many checksums a character is lost
 LOST = 199
-#: words whose forms are broadcast to follow them; more are joined by shuffle
-BROADCAST_FORMS = 200_000
 #: characters of words whose nodes are numbered at a time
 CHARS = 1_000_000
 
@@ -192,10 +190,9 @@ def forms(known: DataFrame, ratio: int = RATIO) -> DataFrame:
     known = known.withColumn("form_id", F.when(F.col("best_n") >= ratio * F.col("n"), F.col("best")))
     known = checkpoint(known)
     step = known.where("form_id IS NOT NULL").select("id", F.col("form_id").alias("root"))
-    n_step = step.count()
     while True:
         # each word jumps to what its target points at, so the way left halves
-        jump = by_size(step.select(F.col("id").alias("root"), F.col("root").alias("next")), n_step, BROADCAST_FORMS)
+        jump = step.select(F.col("id").alias("root"), F.col("root").alias("next"))
         ahead = checkpoint(step.join(jump, "root", "left").select("id", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
         step = ahead.select("id", "root")
         if ahead.where("moved").isEmpty():
@@ -203,7 +200,7 @@ def forms(known: DataFrame, ratio: int = RATIO) -> DataFrame:
     names = lambda a, b: known.select(F.col("id").alias(a), F.col("word").alias(b))
     targets = step.join(known.select("id", "form_id", F.col("best_n").alias("form_n")), "id")
     targets = targets.join(names("form_id", "form"), "form_id").join(names("root", "root_word"), "root").select("id", "form", F.col("root_word").alias("root"), "form_n")
-    return known.select("id", "word", "n", "n_near").join(by_size(targets, n_step, BROADCAST_FORMS), "id", "left").select(
+    return known.select("id", "word", "n", "n_near").join(targets, "id", "left").select(
         "word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
