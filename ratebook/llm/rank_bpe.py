@@ -28,14 +28,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .bpe import ragged
-from .common import chunks
 
-#: bytes of a word that is merged by scanning, at most; ids decoded at a time
-LONGEST, IDS = 128, 4_000_000
+#: bytes of a word that is merged by scanning, at most; bytes of text encoded and ids decoded at a time
+LONGEST, CHARS, IDS = 128, 2_000_000, 1_000_000
 #: the rank of two adjacent parts that don't merge, and above all pairs of ids
 NEVER = (1 << 63) - 1
 
@@ -222,31 +222,44 @@ def merges(path: str) -> Merges:
     return Merges(path)
 
 
-def _carried(df: DataFrame, name: str, kind: T.DataType) -> tuple[list[str], T.StructType]:
-    kept = [c for c in df.columns if c != name]
-    return kept, T.StructType([*(df.schema[c] for c in kept), T.StructField(name, kind)])
+def _carried(df: DataFrame, made: dict[str, T.DataType]) -> tuple[list[str], T.StructType]:
+    kept = [c for c in df.columns if c not in made]
+    return kept, T.StructType([*(df.schema[c] for c in kept), *(T.StructField(c, kind) for c, kind in made.items())])
 
 
-def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """The rows with the ids of their text (array of int); added tokens are recognised, none is put around the text."""
-    kept, schema = _carried(df, ids, T.ArrayType(T.IntegerType()))
+def sliced(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices with about CHARS bytes of text in the last column each (one row at least)."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_numpy(zero_copy_only=False))
+    for rows in np.split(np.arange(len(ends)), np.flatnonzero(np.diff(ends // CHARS)) + 1):
+        if len(rows):
+            yield batch.slice(rows[0], len(rows))
+
+
+def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """The rows with the ids of their text (array of int); added tokens are recognised, none is put around the text.
+
+    decoded: name of a further column, the text that the ids stand for, made in the same pass.
+    """
+    made = {ids: T.ArrayType(T.IntegerType())} | ({decoded: T.StringType()} if decoded else {})
+    kept, schema = _carried(df, made)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = merges(path)
         for batch in batches:
-            names = [str(i) for i in range(batch.num_columns)]
-            batch = pa.RecordBatch.from_arrays(batch.columns, names=names)
-            for part in chunks(batch, names[-1]):
-                flat, n = v.encode([t or "" for t in part.column(names[-1]).to_pylist()])
+            for part in sliced(batch):
+                flat, n = v.encode([t or "" for t in part.column(part.num_columns - 1).to_pylist()])
                 ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=schema.names)
+                new = [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
+                if decoded:
+                    new.append(pa.array([v.decode(flat[a:b].tolist()) for a, b in zip(ends, ends[1:])], pa.string()))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *new], names=schema.names)
 
     return df.select(*(df[c] for c in kept), df[text]).mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """The rows with the text that their ids stand for; special tokens are written out."""
-    kept, schema = _carried(df, decoded, T.StringType())
+    kept, schema = _carried(df, {decoded: T.StringType()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = merges(path)

@@ -57,6 +57,8 @@ def test_tables_equal_the_library(spark, library):
     for r in rank_bpe.decode(coded, PATH).collect():
         assert r.ids == library.encode(r.text or "", add_special_tokens=False).ids
         assert r.decoded == library.decode(r.ids, skip_special_tokens=False) == (r.text or "")
+    same = rank_bpe.encode(docs_df(spark, docs), PATH, decoded="back").collect()
+    assert all(r.back == (r.text or "") for r in same) and len(same) == len(docs)
     assert rank_bpe.decode(rank_bpe.encode(docs_df(spark, []), PATH), PATH).count() == 0
 
 
