@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..config import PricingConfig
 from ..functions.pricing import to_scale
 from ..functions.semantics import paste0
+from ..session import cut_lineage
 
 # largest side (bytes, optimizer estimate) we hint for broadcast
 BROADCAST_LIMIT = 64 * 1024 * 1024
@@ -35,12 +36,19 @@ def broadcast_if_few(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
 
     The optimizer's size estimate of an aggregate is its input size, so small
     derived tables (rank offsets, level tables, coefficients) would otherwise
-    be joined by shuffling the big side.  The row bound is checked by counting
-    at most ``max_rows + 1`` rows of the (cached) table.
+    be joined by shuffling the big side.  The table is written once to the
+    checkpoint folder, and its row bound is checked by counting at most
+    ``max_rows + 1`` of its rows.
     """
-    cached = df.persist()
-    n = cached.limit(max_rows + 1).count()
-    return F.broadcast(cached) if n <= max_rows else cached
+    kept = cut_lineage(df)
+    return F.broadcast(kept) if kept.limit(max_rows + 1).count() <= max_rows else kept
+
+
+def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi join in which a null key matches a null key; the keys of the left side stay."""
+    other = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
+    on = [left[k].eqNullSafe(other[f"__r_{k}"]) for k in keys]
+    return left.join(other, on, how).drop(*[f"__r_{k}" for k in keys])
 
 
 def _prefix_clashes(left: DataFrame, right: DataFrame, keys: list[str], prefix: str = "i_") -> DataFrame:

@@ -7,12 +7,13 @@ distributed rank; none gathers a column on the driver or in one task.
 from __future__ import annotations
 
 import math
+import struct
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .windows import distributed_rank, prefix_sums
+from .windows import prefix_sums
 
 
 def business_metrics(df: DataFrame, pred: str = "p", label: str = "t", margin: str = "m") -> DataFrame:
@@ -56,65 +57,106 @@ def typicality(df: DataFrame, stats: DataFrame, cols: list[str], alpha: float =
     return df.withColumn("typicality", F.exp(F.lit(-alpha) * F.sqrt(z2)))
 
 
-def _quantiles_by_full_rank(x: DataFrame, probs: list[float], key: str, n: int) -> list[float]:
-    ranked = distributed_rank(x, [], ["x", key])
-    aggs = []
-    for i, pr in enumerate(probs):
-        h = (n - 1) * pr + 1
-        aggs += [F.max(F.when(F.col("rank") == math.floor(h), F.col("x"))).alias(f"lo{i}"),
-                 F.max(F.when(F.col("rank") == math.ceil(h), F.col("x"))).alias(f"hi{i}")]
-    r = ranked.agg(*aggs).first()
-    return [r[f"lo{i}"] + ((n - 1) * pr + 1 - math.floor((n - 1) * pr + 1)) * (r[f"hi{i}"] - r[f"lo{i}"])
-            for i, pr in enumerate(probs)]
-
-
-def exact_quantiles(df: DataFrame, c: str, probs: list[float], key: str,
-                    accuracy: int = 10_000) -> DataFrame:
-    """Type-7 quantiles (numpy/R default), exact, one row ``q_0, q_1, ...``.
-
-    Sorting every row for a few quantiles does not scale, so each quantile is
-    first bracketed with ``percentile_approx`` (rank error <= n/accuracy) and
-    only the rows inside the brackets are ranked (distributed rank), offset by
-    the count below the bracket.  If a bracket misses the target rank (the
-    approximation failed) that quantile falls back to the full distributed
-    rank, so the result is always exact.  ``key`` makes the order total.
+def ordered_code(c: str | Column) -> Column:
+    """A long whose order is that of the doubles: their IEEE bits, negated below zero, NaN last.
+
+    Built from the exponent and the fraction, which are exact: a division by a
+    power of two loses nothing.
     """
-    spark = df.sparkSession
-    x = df.select(F.col(c).cast("double").alias("x"), key).filter(F.col("x").isNotNull())
-    n = x.count()
-    if not n:
-        return spark.createDataFrame([(None,) * len(probs)], ", ".join(f"q_{i} double" for i in range(len(probs))))
-    eps = 2.0 / accuracy
-    edges = sorted({min(max(p + d, 0.0), 1.0) for p in probs for d in (-eps, eps)})
-    approx = dict(zip(edges, x.agg(F.percentile_approx("x", edges, accuracy)).first()[0]))
-    out: list[float | None] = []
-    windows = []
-    for i, pr in enumerate(probs):
-        lo, hi = approx[min(max(pr - eps, 0.0), 1.0)], approx[min(max(pr + eps, 0.0), 1.0)]
-        windows.append((i, lo, hi))
-    # one pass: rows below each bracket, and the bracketed rows tagged by quantile
-    below = x.agg(*[F.count_if(F.col("x") < lo).alias(f"b{i}") for i, lo, _ in windows]).first()
-    tagged = x.withColumn("q", F.explode(F.array(*[
-        F.when((F.col("x") >= lo) & (F.col("x") <= hi), F.lit(i)) for i, lo, hi in windows])))
-    tagged = tagged.filter(F.col("q").isNotNull())
-    ranked = distributed_rank(tagged, ["q"], ["x", key])
-    aggs = []
-    for i, pr in enumerate(probs):
-        h = (n - 1) * pr + 1
-        base = below[f"b{i}"]
-        aggs += [F.max(F.when((F.col("q") == i) & (F.col("rank") + base == math.floor(h)), F.col("x"))).alias(f"lo{i}"),
-                 F.max(F.when((F.col("q") == i) & (F.col("rank") + base == math.ceil(h)), F.col("x"))).alias(f"hi{i}")]
-    r = ranked.agg(*aggs).first()
-    missing = [i for i in range(len(probs)) if r[f"lo{i}"] is None or r[f"hi{i}"] is None]
-    full = _quantiles_by_full_rank(x, [probs[i] for i in missing], key, n) if missing else []
-    for i, pr in enumerate(probs):
-        if i in missing:
-            out.append(full[missing.index(i)])
-        else:
-            h = (n - 1) * pr + 1
-            out.append(r[f"lo{i}"] + (h - math.floor(h)) * (r[f"hi{i}"] - r[f"lo{i}"]))
+    x = (F.col(c) if isinstance(c, str) else c).cast("double")
+    size = F.abs(x)
+    # the logarithm may be off by one next to a power of two; the quotient tells
+    near = F.least(F.greatest(F.floor(F.log2(size)), F.lit(-1022)), F.lit(1023))
+    part = size / F.pow(F.lit(2.0), near)
+    exponent = F.when(part >= 2, near + 1).when((part < 1) & (near > -1022), near - 1).otherwise(near)
+    part = size / F.pow(F.lit(2.0), exponent)
+    unit = F.lit(float(1 << 52))
+    bits = F.when(part >= 1, (exponent + 1023) * F.lit(1 << 52) + ((part - 1) * unit).cast("long")).otherwise((part * unit).cast("long"))
+    top = F.lit(2047 << 52)
+    bits = F.when(size == 0, F.lit(0).cast("long")).when(F.isnan(x), top + 1).when(size == float("inf"), top).otherwise(bits)
+    return F.when(x < 0, -bits).otherwise(bits)
+
+
+def decoded(code: int) -> float:
+    """The double of an ``ordered_code``."""
+    size = struct.unpack("<d", struct.pack("<q", abs(code)))[0]
+    return -size if code < 0 else size
+
+
+#: bits of a code that a pass leaves undecided, and values that are counted one by one at once
+SHIFTS, FEW_VALUES = (48, 32, 16, 0), 200_000
+
+
+def radix_quantiles(df: DataFrame, cols: list[str], probs: list[float], few: int = FEW_VALUES) -> dict[str, list[float | None]]:
+    """Exact type-7 quantiles (numpy/R default) of several columns at once, null for a column without values.
+
+    A pass counts rows by the leading 16 bits of their code (at most 65536
+    counts a column reach the driver), the next one only the rows whose
+    leading bits are those of a wanted rank, by 16 bits more.  Once no more
+    than ``few`` rows share them, their values are counted one by one.  So two
+    or three scans with partial sums and no sort give all quantiles; missing
+    values don't count, NaN is the largest value.
+    """
+    codes = df.select(*[ordered_code(c).alias(f"__c{i}") for i, c in enumerate(cols)])
+    rows = codes.select(F.explode(F.array(*[F.struct(F.lit(i).alias("col"), F.col(f"__c{i}").alias("code")) for i in range(len(cols))])).alias("r"))
+    rows = rows.select("r.*").filter(F.col("code").isNotNull())
+    chosen: dict[int, list[int]] | None = None  # leading bits of the wanted ranks, by column
+    wanted: dict[int, dict[int, tuple[int, int]]] = {}  # column -> rank from 0 -> (leading bits, rows below them)
+    sizes: dict[int, int] = {}
+    shift, level, shared = SHIFTS[0], 0, None
+    while True:
+        some = rows
+        if chosen is not None:
+            keep = [(F.col("col") == i) & F.shiftright("code", prev).isin(bins) for i, bins in chosen.items()]
+            some = rows.filter(reduce(lambda a, b: a | b, keep))
+        counts = some.groupBy("col", F.shiftright("code", shift).alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect()
+        by: dict[int, list[tuple[int, int]]] = {}
+        for r in counts:
+            by.setdefault(r["col"], []).append((r["bin"], r["n"]))
+        if chosen is None:
+            for i, bins in by.items():
+                sizes[i] = n = sum(x for _, x in bins)
+                ranks = {f((n - 1) * p) for p in probs for f in (math.floor, math.ceil)}
+                wanted[i] = {k: (0, 0) for k in ranks}
+        shared = 0
+        for i, bins in by.items():
+            bins.sort()
+            for k, (lead, below) in wanted[i].items():
+                at = below
+                for b, n in bins:
+                    if chosen is not None and b >> (prev - shift) != lead:
+                        continue
+                    if at + n > k:
+                        wanted[i][k] = (b, at)
+                        break
+                    at += n
+            hit = {b for b, _ in wanted[i].values()}
+            shared += sum(n for b, n in bins if b in hit)
+        if shift == 0 or not by:
+            break
+        chosen = {i: sorted({b for b, _ in w.values()}) for i, w in wanted.items()}
+        prev, level = shift, level + 1
+        shift = 0 if shared <= few else SHIFTS[level]
+    out: dict[str, list[float | None]] = {}
+    for i, c in enumerate(cols):
+        values: list[float | None] = []
+        for p in probs:
+            h = (sizes.get(i, 0) - 1) * p
+            if i not in sizes:
+                values.append(None)
+                continue
+            low, high = (decoded(wanted[i][f(h)][0]) for f in (math.floor, math.ceil))
+            values.append(low if low == high else low + (h - math.floor(h)) * (high - low))
+        out[c] = values
+    return out
+
+
+def exact_quantiles(df: DataFrame, c: str, probs: list[float], key: str | None = None,
+                    accuracy: int = FEW_VALUES) -> DataFrame:
+    """Type-7 quantiles of one column, one row ``q_0, q_1, ...``; exact for any ``accuracy``,
+    the number of rows whose values are counted one by one at once.  ``key`` isn't needed."""
     schema = ", ".join(f"q_{i} double" for i in range(len(probs)))
-    return spark.createDataFrame([tuple(float(v) for v in out)], schema)
+    return df.sparkSession.createDataFrame([tuple(radix_quantiles(df, [c], probs, accuracy)[c])], schema)
 
 
 def shift_positive(df: DataFrame, c: str, eps: float = 1e-6) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import broadcast_if_few
+from .joins import broadcast_if_few, null_safe
 from .windows import distributed_rank
 
 MODULUS = 1_000_003
@@ -37,27 +37,23 @@ def stratified_split(df: DataFrame, key: str, label: str, frac: float = 0.8, see
     No row-level sort: the hash takes at most 1 000 003 values, so the
     per-class threshold comes from a running count over (class, hash) counts
     (bounded by the modulus, whatever the row count); only the rows sharing
-    the threshold hash are ranked by key.
+    the threshold hash are ranked by key.  A null label is a class.
     """
-    # cached: the threshold jobs and the final split all read it
-    h = df.withColumn("__h", key_hash(key, seed)).persist()
-    counts = h.groupBy(label, "__h").agg(F.count(F.lit(1)).cast("double").alias("__c"))
+    h = df.withColumn("__h", key_hash(key, seed))
+    counts = h.groupBy(label, "__h").agg(F.count(F.lit(1)).alias("__c"))
     # at most 1 000 003 rows per class whatever the data size: a class window is bounded
-    w = Window.partitionBy(label).orderBy("__h").rowsBetween(Window.unboundedPreceding, 0)
-    cum = counts.withColumn("cum___c", F.sum("__c").over(w))
-    sizes = counts.groupBy(label).agg(F.sum("__c").alias("__n"))
-    cum = cum.join(broadcast_if_few(sizes), label).withColumn("__k", F.floor(F.col("__n") * F.lit(frac)))
-    # threshold hash per class: first hash whose running count reaches k
-    thr = (cum.filter(F.col("cum___c") >= F.col("__k"))
-           .groupBy(label).agg(F.min(F.struct("__h", "cum___c", "__c", "__k")).alias("t"))
-           .select(label, F.col("t.__h").alias("__th"),
-                   (F.col("t.__k") - (F.col("t.cum___c") - F.col("t.__c"))).alias("__r")))
+    whole = Window.partitionBy(label)
+    running = whole.orderBy("__h").rowsBetween(Window.unboundedPreceding, 0)
+    cum = counts.select(label, "__h", "__c", F.sum("__c").over(running).alias("__cum"),
+                        F.floor(F.sum("__c").over(whole) * F.lit(frac)).alias("__k"))
+    # threshold hash per class: first hash whose running count reaches k, and how many of its rows are train
+    thr = (cum.filter(F.col("__cum") >= F.col("__k")).groupBy(label).agg(F.min(F.struct("__h", "__cum", "__c", "__k")).alias("t"))
+           .select(label, F.col("t.__h").alias("__th"), (F.col("t.__k") - F.col("t.__cum") + F.col("t.__c")).alias("__r")))
     thr = broadcast_if_few(thr)
-    tie = h.join(thr, label).filter(F.col("__h") == F.col("__th"))
-    tie_ranked = distributed_rank(tie.select(label, key, "__r"), [label], [key])
-    cut_key = (tie_ranked.filter(F.col("rank") == F.col("__r"))
-               .select(label, F.col(key).alias("__kk")))
-    out = h.join(thr, label, "left").join(broadcast_if_few(cut_key), label, "left")
+    tie = null_safe(h.select(label, key, "__h"), thr, [label]).filter(F.col("__h") == F.col("__th"))
+    ranked = distributed_rank(tie.select(label, key, "__r"), [label], [key])
+    cut_key = ranked.filter(F.col("rank") == F.col("__r")).select(label, F.col(key).alias("__kk"))
+    out = null_safe(null_safe(h, thr, [label], "left"), broadcast_if_few(cut_key), [label], "left")
     train = (F.col("__h") < F.col("__th")) | ((F.col("__h") == F.col("__th")) & (F.col(key) <= F.col("__kk")))
     return (out.withColumn(col, F.when(F.coalesce(train, F.lit(False)), "train").otherwise("test"))
             .drop("__h", "__th", "__r", "__kk"))

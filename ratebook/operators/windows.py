@@ -1,95 +1,88 @@
 """Ordered computations: distributed ranks / prefix sums, curves, level order.
 
 A global rank or running total must not go through a single-partition
-window.  ``prefix_sums`` does it the scalable way: range-partition on the
-order (with a unique tie-breaker, so even a value that holds a third of
-all rows is split across tasks), number rows inside each partition
-(Arrow-batched pandas, one pass), then add per-partition offsets computed
-from a table of (partition, group) totals whose size is bounded by the
-partition count plus the group count.
+window.  The rows are range-partitioned on the order (with a unique
+tie-breaker, so even a value that holds a third of all rows is split across
+tasks), sorted inside each partition and numbered by
+``monotonically_increasing_id``, whose high bits are the partition and whose
+low bits the place in it.  A rank is then the place plus an offset from a
+table of (partition, group) counts, whose size is bounded by the partitions
+plus the groups.  Everything runs in the JVM on the columns' own types.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalar import to_number
 from ..session import cut_lineage
-from .joins import broadcast_if_few
+from .joins import broadcast_if_few, null_safe
 
-PID = "__pid"
+PID, POS = "__pid", "__pos"
+#: bits of a row's number that are its place in the partition
+PLACE_BITS = 33
+
+
+def _placed(df: DataFrame, keys: list[str], num_partitions: int | None) -> DataFrame:
+    """The rows sorted by ``keys`` over range partitions and written, with partition and place."""
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    rows = cut_lineage(rows.withColumn(POS, F.monotonically_increasing_id()))
+    return rows.withColumns({PID: F.shiftright(POS, PLACE_BITS), POS: F.col(POS).bitwiseAND((1 << PLACE_BITS) - 1)})
+
+
+def _before(group: list[str]):
+    """What earlier partitions hold of a group; over a table of a row for each partition and group."""
+    w = Window.partitionBy(*group) if group else Window.partitionBy()
+    return w.orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)
 
 
 def prefix_sums(df: DataFrame, group: list[str], order: list[str], values: list[str],
                 num_partitions: int | None = None) -> DataFrame:
     """Inclusive running sums of ``values`` within ``group``, ordered by ``order``.
 
-    ``order`` must make the row order total (end it with a unique key).
-    Output: input columns plus ``cum_<value>`` for each value column.
+    ``order`` must make the row order total (end it with a unique key); a null
+    group is a group, a null value adds nothing.  Output: input columns plus
+    ``cum_<value>`` for each value column.
     """
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = [*group, *order]
-    part = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-    loc = [f"__loc_{v}" for v in values]
-    out_schema = T.StructType(
-        list(part.schema.fields) + [T.StructField(PID, T.IntegerType(), False)]
-        + [T.StructField(c, T.DoubleType(), True) for c in loc])
-
-    def number(batches):
-        # rows arrive sorted by (group, order): a group is a contiguous run, and
-        # only the first run of a batch can continue the previous batch's run
-        from pyspark import TaskContext
-        pid = TaskContext.get().partitionId()
-        carry_key, carry = None, {v: 0.0 for v in values}
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            if group:
-                g = pdf[group].astype(object).where(pdf[group].notna(), "\x00null")
-                start = (g != g.shift()).any(axis=1).to_numpy()
-                start[0] = True
-                run = np.cumsum(start) - 1
-                first_key = tuple(g.iloc[0])
-                last_key = tuple(g.iloc[-1])
-            else:
-                run = np.zeros(len(pdf), dtype=np.int64)
-                first_key = last_key = ()
-            cont = first_key == carry_key
-            for v, lc in zip(values, loc):
-                x = pd.to_numeric(pdf[v], errors="coerce").fillna(0.0).to_numpy(dtype="float64")
-                cs = pd.Series(x).groupby(run).cumsum().to_numpy()
-                if cont:
-                    cs[run == 0] += carry[v]
-                pdf[lc] = cs
-                carry[v] = float(cs[-1])
-            carry_key = last_key
-            pdf[PID] = pid
-            yield pdf[[f.name for f in out_schema.fields]]
-
-    numbered = cut_lineage(part.mapInPandas(number, out_schema))
-    totals = numbered.groupBy(PID, *group).agg(
-        *[F.sum(F.coalesce(F.col(v).cast("double"), F.lit(0.0))).alias(f"__tot_{v}") for v in values])
-    w = Window.partitionBy(*group).orderBy(PID).rowsBetween(Window.unboundedPreceding, -1) if group \
-        else Window.orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)
-    # totals has at most (partitions + groups) rows: the offset window is tiny
-    offsets = totals.select(PID, *group, *[F.coalesce(F.sum(f"__tot_{v}").over(w), F.lit(0.0))
-                                          .alias(f"__off_{v}") for v in values])
-    joined = numbered.join(broadcast_if_few(offsets), [PID, *group], "left")
-    return joined.select(*df.columns, *[(F.col(lc) + F.col(f"__off_{v}")).alias(f"cum_{v}")
-                                       for v, lc in zip(values, loc)])
+    placed = _placed(df, [*group, *order], num_partitions)
+    number = {v: F.coalesce(F.col(v).cast("double"), F.lit(0.0)) for v in values}
+    totals = placed.groupBy(PID, *group).agg(*[F.sum(x).alias(f"__tot_{v}") for v, x in number.items()])
+    offsets = totals.select(PID, *group, *[F.coalesce(F.sum(f"__tot_{v}").over(_before(group)), F.lit(0.0)).alias(f"__off_{v}")
+                                           for v in values])
+    # a window here is a range partition's part of a group
+    inside = Window.partitionBy(PID, *group).orderBy(POS).rowsBetween(Window.unboundedPreceding, 0)
+    local = placed.withColumns({f"__loc_{v}": F.sum(x).over(inside) for v, x in number.items()})
+    joined = null_safe(local, broadcast_if_few(offsets), [PID, *group], "left")
+    return joined.select(*df.columns, *[(F.col(f"__loc_{v}") + F.col(f"__off_{v}")).alias(f"cum_{v}") for v in values])
 
 
 def distributed_rank(df: DataFrame, group: list[str], order: list[str],
                      num_partitions: int | None = None) -> DataFrame:
-    """1-based row number within ``group`` by ``order`` (total order), scalably."""
-    ones = df.withColumn("__one", F.lit(1))
-    ranked = prefix_sums(ones, group, order, ["__one"], num_partitions)
-    return ranked.withColumn("rank", F.col("cum___one").cast("long")).drop("__one", "cum___one")
+    """1-based row number within ``group`` by ``order`` (total order), scalably; a null group is a group."""
+    placed = _placed(df, [*group, *order], num_partitions)
+    spans = placed.groupBy(PID, *group).agg(F.count(F.lit(1)).alias("__n"), F.min(POS).alias("__first"))
+    earlier = F.coalesce(F.sum("__n").over(_before(group)), F.lit(0))
+    offsets = spans.select(PID, *group, (earlier - F.col("__first") + 1).alias("__add"))
+    ranked = null_safe(placed, broadcast_if_few(offsets), [PID, *group])
+    return ranked.select(*df.columns, (F.col(POS) + F.col("__add")).alias("rank"))
+
+
+#: repeats of a row that are listed at once
+RUN = 1024
+
+
+def _repeated(df: DataFrame, times: str, out: str) -> DataFrame:
+    """Each row for ``out`` = 0 .. times; a row of many repeats is dealt out in blocks first, so no task lists them all."""
+    k = F.col(times)
+    block = F.explode(F.sequence(F.lit(0).cast("long"), F.floor(k / RUN)))
+    many = df.where(k >= RUN).withColumn("__block", block).repartition("__block", *df.columns)
+    last = F.least(F.lit(RUN - 1).cast("long"), k - F.col("__block") * RUN)
+    many = many.withColumn(out, F.explode(F.sequence(F.lit(0).cast("long"), last)) ).withColumn(out, F.col(out) + F.col("__block") * RUN)
+    few = df.where(k < RUN).withColumn(out, F.explode(F.sequence(F.lit(0).cast("long"), k)))
+    return few.unionByName(many.drop("__block"))
 
 
 def sorted_curves(df: DataFrame, series: list[str], key: str, points: int | None = None,
@@ -114,17 +107,15 @@ def sorted_curves(df: DataFrame, series: list[str], key: str, points: int | None
              .withColumn("L", F.max("n").over(wl)))
     if points is None:
         # rank r of a series of length n fills idx r, r+n, r+2n, ... <= L
-        rep = ranked.join(broadcast_if_few(sizes), grp)
-        k = F.explode(F.sequence(F.lit(0).cast("long"),
-                                 F.floor((F.col("L") - F.col("rank")) / F.col("n")).cast("long")))
-        rep = rep.withColumn("k", k)
+        rep = null_safe(ranked, broadcast_if_few(sizes), grp)
+        rep = _repeated(rep.withColumn("__times", F.floor((F.col("L") - F.col("rank")) / F.col("n"))), "__times", "k")
         return rep.select(*by, (F.col("rank") + F.col("k") * F.col("n")).alias("idx"), "series", "value")
     step = F.lit(1.0) * (F.col("L") - 1) / F.lit(max(points - 1, 1))
     want = (sizes.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
             .withColumn("idx", F.round(F.lit(1.0) + F.col("j") * step).cast("long"))
             .withColumn("rank", F.pmod(F.col("idx") - 1, F.col("n")) + 1)
             .select(*grp, "rank", "idx"))
-    return ranked.join(broadcast_if_few(want), [*grp, "rank"]).select(*by, "idx", "series", "value")
+    return null_safe(ranked, broadcast_if_few(want), [*grp, "rank"]).select(*by, "idx", "series", "value")
 
 
 def ordered_levels(report: DataFrame, feature: str = "feature", value: str = "value") -> DataFrame:

@@ -1,8 +1,8 @@
 """Spark session and lineage helpers.
 
 The library never assumes a machine-local folder: the checkpoint folder is
-whatever the cluster names in ``spark.checkpoint.dir``.  Only when that is
-unset (tests, a laptop) do we create one ourselves.
+whatever the cluster names in ``spark.checkpoint.dir``.  Only in local mode
+(tests, a laptop) do we create one ourselves where that is unset.
 """
 
 from __future__ import annotations
@@ -28,7 +28,8 @@ def build_session(app: str = "ratebook", cpus: int | str = "*",
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", "8g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")  # checkpoints go with their tables
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
