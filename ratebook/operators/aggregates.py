@@ -102,5 +102,12 @@ def duplicates(df: DataFrame, key: str) -> DataFrame:
 
 
 def summary(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Distribution summary (A23): count, mean, sd, min, quartiles, max."""
-    return df.select(*cols).summary("count", "mean", "stddev", "min", "25%", "50%", "75%", "max")
+    """Distribution summary (A23), a row a column: n, mean, sd, min, exact quartiles, max; missing values don't count."""
+    from .metrics import radix_quantiles
+    quartiles = radix_quantiles(df, cols, [0.25, 0.5, 0.75])
+    q = df.sparkSession.createDataFrame([(c, *v) for c, v in quartiles.items()], "column string, q1 double, median double, q3 double")
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], cols, "column", "x")
+    stats = long.groupBy("column").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"),
+                                       F.min("x").alias("min"), F.max("x").alias("max"))
+    # a row for each column on both sides
+    return stats.join(F.broadcast(q), "column").select("column", "n", "mean", "sd", "min", "q1", "median", "q3", "max")

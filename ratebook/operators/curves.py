@@ -1,9 +1,8 @@
 """Plot data: loss curves, profit curves and best prices, histograms, densities.
 
-Grids are generated per input row with ``explode(sequence(...))`` and
-reduced with a ``groupBy`` right after, so Spark combines the grid rows of
-a product inside the task (partial aggregation) before any shuffle; no
-pair table is built with a join.
+Loss curves list their grid a row at a time with ``explode(sequence(...))``;
+best prices compare a fixed number of grid points in closed form; histograms
+and densities reduce the data to bins in one partial aggregation.
 """
 
 from __future__ import annotations
@@ -15,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..config import CORRIDOR_PLOT, CorridorWeights, DemandConfig
 from ..functions.objectives import convex_loss
-from .metrics import exact_quantiles
+from .metrics import radix_quantiles
 
 
 def _grid_point(lo: Column, hi: Column, j: Column, n: int) -> Column:
@@ -45,23 +44,35 @@ def loss_curve(df: DataFrame, key: str = "polref", t: str = "t", m: str = "m", p
 
 def best_price(products: DataFrame, key: str, cost: str, intercept: str, slope: str,
                cfg: DemandConfig = DemandConfig()) -> DataFrame:
-    """Profit curve ``(x - c) * max(b0 - b1 x, 0)`` on the price grid; best price.
-
-    Ties go to the lowest price (``argmax`` takes the first).  The true-demand
-    profit at the chosen price is reported too.
+    """Best price of the profit curve ``(x - c) * max(b0 - b1 x, 0)`` on the price grid.
+
+    No grid is listed.  The profit is a parabola where there is demand and 0
+    elsewhere, so on the grid it is greatest next to the vertex, next to the
+    price at which demand ends, next to the cost (where the profit changes
+    its sign) or at an end of the grid.  Those points alone are compared.
+    Ties go to the lowest price (``argmax`` takes the first).  One row for
+    each input row; the true-demand profit at the chosen price is reported too.
     """
     n = cfg.n_prices
-    g = products.select(key, cost, intercept, slope).withColumn(
-        "j", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    x = _linspace(cfg.price_lo, cfg.price_hi, F.col("j"), n)
-    g = g.withColumn("price", x).withColumn(
-        "profit", (F.col("price") - F.col(cost))
-        * F.greatest(F.col(intercept) - F.col(slope) * F.col("price"), F.lit(0.0)))
-    best = g.groupBy(key, cost).agg(F.max(F.struct(F.col("profit"), (-F.col("j")).alias("nj"))).alias("b"))
-    bx = _linspace(cfg.price_lo, cfg.price_hi, -F.col("b.nj"), n)
-    true_profit = (bx - F.col(cost)) * F.greatest(
+    c, b0, b1 = F.col(cost), F.col(intercept), F.col(slope)
+    sloped = F.when(b1 != 0, b1)
+    near = [(b0 + b1 * c) / (sloped * 2), b0 / sloped, c]
+    step = (cfg.price_hi - cfg.price_lo) / (n - 1)
+    places = [F.lit(0), F.lit(n - 1)]
+    for x in near:
+        # two places on each side: the quotient may round across a grid point
+        at = F.least(F.greatest(F.floor((x - F.lit(cfg.price_lo)) / step), F.lit(-2)), F.lit(n + 1))
+        places += [F.least(F.greatest(F.coalesce(at + d, F.lit(0)), F.lit(0)), F.lit(n - 1)).cast("int") for d in (-1, 0, 1, 2)]
+
+    def point(j: Column) -> Column:
+        x = _linspace(cfg.price_lo, cfg.price_hi, j, n)
+        return F.struct(((x - c) * F.greatest(b0 - b1 * x, F.lit(0.0))).alias("profit"), (-j).alias("nj"))
+
+    best = products.select(key, c.alias("__c"), F.array_max(F.transform(F.array(*places), point)).alias("__b"))
+    bx = _linspace(cfg.price_lo, cfg.price_hi, -F.col("__b.nj"), n)
+    true_profit = (bx - F.col("__c")) * F.greatest(
         F.lit(cfg.true_intercept) - F.lit(cfg.true_slope) * bx, F.lit(0.0))
-    return best.select(key, bx.alias("best_price"), F.col("b.profit").alias("best_profit"),
+    return best.select(key, bx.alias("best_price"), F.col("__b.profit").alias("best_profit"),
                        true_profit.alias("true_profit"))
 
 
@@ -82,48 +93,81 @@ def parameter_scan(products: DataFrame, key: str, cost: str,
                        (-F.col("true_profit")).alias("loss"))
 
 
+def _series(df: DataFrame, cols: list[str], log: bool) -> DataFrame:
+    """(series, x) of the values that aren't missing; logarithms of positive ones."""
+    x = {c: F.log(F.when(F.col(c) > 0, F.col(c))) if log else F.col(c).cast("double") for c in cols}
+    return df.select(*[v.alias(c) for c, v in x.items()]).unpivot([], cols, "series", "x").filter(F.col("x").isNotNull())
+
+
 def density_histogram(df: DataFrame, cols: list[str], bins: int = 30, log: bool = True) -> DataFrame:
-    """Equal-width density histogram per series on ``[min, max]`` (H1); empty bins as 0."""
-    x = F.log if log else (lambda c: F.col(c))
-    long = (df.select(*[x(c).alias(c) for c in cols]).unpivot([], cols, "series", "x")
-            .filter(F.col("x").isNotNull()))
-    st = long.groupBy("series").agg(F.min("x").alias("lo"), F.max("x").alias("hi"),
-                                    F.count(F.lit(1)).alias("n"))
-    st = st.withColumn("width", (F.col("hi") - F.col("lo")) / F.lit(bins))
-    b = F.least(F.floor((F.col("x") - F.col("lo")) / F.col("width")), F.lit(bins - 1)).cast("int")
-    # st has one row per listed series
-    counts = long.join(F.broadcast(st), "series").groupBy("series", b.alias("bin")).agg(
-        F.count(F.lit(1)).alias("cnt"))
-    allb = st.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
-    out = allb.join(counts, ["series", "bin"], "left").fillna(0, subset=["cnt"])
-    return out.select("series", "bin", (F.col("lo") + F.col("bin") * F.col("width")).alias("left"),
-                      (F.col("cnt") / (F.col("n") * F.col("width"))).alias("density"))
-
-
-def kernel_density(df: DataFrame, c: str, key: str, n_grid: int = 512, bins: int = 2048,
-                   log: bool = True) -> DataFrame:
-    """Gaussian kernel density on a grid, R defaults (bandwidth nrd0, cut 3) (H2).
-
-    The data are pre-binned into ``bins`` equal bins (one partial
-    aggregation); each bin then contributes to the ``n_grid`` points, so the
-    work after the scan is bins x grid, independent of the row count.
+    """Density histogram of several series on ONE range (H1), as the plot layers share their scale.
+
+    The width is ``range / (bins - 1)`` and the first bin is centred on the
+    least value of all series; bins are closed on the right; empty bins are 0.
+    Where all values are equal the width is 0.1.
+    """
+    long = _series(df, cols, log)
+    sides = long.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    lo, span = sides.select("lo").scalar(), sides.select(F.col("hi") - F.col("lo")).scalar()
+    width = F.when(span > 0, span / F.lit(bins - 1)).otherwise(F.lit(0.1))
+    first = lo - width / 2
+    at = F.least(F.greatest(F.ceil((F.col("x") - first) / width) - 1, F.lit(0)), F.lit(bins - 1)).cast("int")
+    counts = long.groupBy("series", at.alias("bin")).agg(F.count(F.lit(1)).alias("cnt"))
+    total = counts.groupBy("series").agg(F.sum("cnt").alias("n"))
+    # one row for each listed series and bin
+    every = total.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    out = every.join(counts, ["series", "bin"], "left").fillna(0, subset=["cnt"])
+    return out.select("series", "bin", (first + F.col("bin") * width).alias("left"), (F.col("cnt") / (F.col("n") * width)).alias("density"))
+
+
+def bandwidth(sd: float | None, iqr: float, n: int, first: float) -> float:
+    """R's ``bw.nrd0``: 0.9 min(sd, iqr / 1.34) n^-0.2; where that is 0 the deviation, then |first|, then 1 take its place."""
+    spread = min(sd or 0.0, iqr / 1.34) or sd or abs(first) or 1.0
+    return 0.9 * spread * n ** -0.2
+
+
+def kernel_density(df: DataFrame, cols: list[str], n_grid: int = 512, log: bool = True) -> DataFrame:
+    """Gaussian kernel densities of several series on ONE range, from the least to the greatest value of all (H2).
+
+    As R does it: a value's weight is split between the two points of a grid
+    that it lies between (linear binning), the grid reaches four bandwidths
+    beyond the range, the weights are convolved with the kernel, and the
+    result is interpolated at ``n_grid`` points of the range.  The data are
+    reduced to at most ``n_grid`` weights a series in one partial aggregation;
+    what follows doesn't depend on the number of rows.  Columns ``series, j,
+    g, price, density``; a series without values has no rows.
     """
-    x = df.select((F.log(c) if log else F.col(c)).alias("x"), key).filter(F.col("x").isNotNull())
-    q = exact_quantiles(x, "x", [0.25, 0.75], key)
-    st = x.agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("x").alias("sd"),
-               F.min("x").alias("lo"), F.max("x").alias("hi"))
-    # one-row statistics enter the plan as scalar subqueries (computed once)
-    n, sd, lo, hi = (st.select(k).scalar() for k in ("n", "sd", "lo", "hi"))
-    iqr = q.select(F.col("q_1") - F.col("q_0")).scalar()
-    bw = F.lit(0.9) * F.least(sd, iqr / F.lit(1.34)) * F.pow(n.cast("double"), F.lit(-0.2))
-    bwid = (hi - lo) / F.lit(bins)
-    b = F.least(F.floor((F.col("x") - lo) / bwid), F.lit(bins - 1)).cast("int")
-    counts = x.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("cnt"))
-    glo, ghi = lo - F.lit(3.0) * bw, hi + F.lit(3.0) * bw
-    g = counts.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n_grid - 1))))
-    g = g.withColumn("g", _grid_point(glo, ghi, F.col("j"), n_grid))
-    centre = lo + (F.col("bin") + F.lit(0.5)) * bwid
-    z = (F.col("g") - centre) / bw
-    g = g.withColumn("k", F.col("cnt") * F.exp(F.lit(-0.5) * z * z) / F.lit(math.sqrt(2 * math.pi)))
-    d = g.groupBy("j", "g").agg(F.sum("k").alias("ksum")).withColumn("density", F.col("ksum") / (n * bw))
-    return d.select("j", "g", F.round(F.exp("g")).alias("price"), "density")
+    spark = df.sparkSession
+    long = _series(df, cols, log)
+    stats = {r.series: r for r in long.groupBy("series").agg(  # one row a listed series
+        F.count("x").alias("n"), F.stddev_samp("x").alias("sd"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()}
+    quartiles = radix_quantiles(df.select(*[(F.log(F.when(F.col(c) > 0, F.col(c))) if log else F.col(c)).alias(c) for c in cols]), cols, [0.25, 0.75])
+    kind = "series string, n long, bw double, lo double, step double, x0 double, span double"
+    if not stats:
+        return spark.createDataFrame([], "series string, j int, g double, price double, density double")
+    x0, x1 = min(r.lo for r in stats.values()), max(r.hi for r in stats.values())
+    rows = []
+    for c, r in stats.items():
+        bw = bandwidth(r.sd, quartiles[c][1] - quartiles[c][0], r.n, r.lo)
+        lo, hi = x0 - 4 * bw, x1 + 4 * bw
+        rows.append((c, r.n, bw, lo, (hi - lo) / (n_grid - 1), x0, x1 - x0))
+    grid = F.broadcast(spark.createDataFrame(rows, kind))  # one row a listed series
+    place = (F.col("x") - F.col("lo")) / F.col("step")
+    k = F.floor(place).cast("int")
+    share = long.join(grid, "series").select("series", F.explode(F.array(F.struct(k.alias("k"), (1 - (place - k)).alias("w")),
+                                                                        F.struct((k + 1).alias("k"), (place - k).alias("w")))).alias("p"))
+    mass = share.groupBy("series", F.col("p.k").alias("k")).agg(F.sum("p.w").alias("w"))
+    mass = mass.groupBy("series").agg(F.sort_array(F.collect_list(F.struct("k", "w"))).alias("mass"))  # n_grid weights at most
+
+    def smoothed(at: Column) -> Column:
+        def add(total: Column, m: Column) -> Column:
+            z = (at - m.k) * F.col("step") / F.col("bw")
+            return total + m.w * F.exp(z * z * F.lit(-0.5))
+        return F.aggregate("mass", F.lit(0.0), add) / (F.col("n") * F.col("bw") * F.lit(math.sqrt(2 * math.pi)))
+
+    out = grid.join(mass, "series").withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n_grid - 1))))
+    out = out.withColumn("g", F.col("x0") + F.col("j") * F.col("span") / F.lit(n_grid - 1))
+    out = out.withColumn("at", (F.col("g") - F.col("lo")) / F.col("step")).withColumn("k", F.floor("at").cast("int"))
+    low, high = smoothed(F.col("k")), smoothed(F.col("k") + 1)
+    density = low + (F.col("at") - F.col("k")) * (high - low)
+    return out.select("series", "j", "g", F.round(F.exp("g") if log else F.col("g")).alias("price"), density.alias("density"))

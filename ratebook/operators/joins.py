@@ -8,6 +8,8 @@ join selection and AQE, which switch to sort-merge joins when a side grows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -164,3 +166,29 @@ def smooth_territory(exposure: DataFrame, distance: DataFrame, alpha: float,
     )
 
 
+def smooth_territories(exposure: DataFrame, hours: Callable[[Column, Column], Column], alpha: float,
+                       zip_col: str = "zip", claims: str = "claims", expo: str = "exposure", block: int = 1024) -> DataFrame:
+    """``smooth_territory`` over ALL other territories, for travel times that are a function of two of them.
+
+    The territories are hashed into blocks of about ``block``.  A block is one
+    row, an array; each territory meets each block once and adds up what its
+    members give, so rows are made for (territory, block) and not for pairs.
+    A territory without a code, or without a travel time to another one, gets
+    nothing from it.
+    """
+    own = cut_lineage(exposure.select(F.col(zip_col).alias("p"), F.col(claims).alias("c_p"), F.col(expo).alias("e_p")))
+    n_blocks = max(1, -(-own.count() // block))
+    members = own.groupBy(F.pmod(F.xxhash64("p"), F.lit(n_blocks)).alias("b")).agg(
+        F.collect_list(F.struct(F.col("p").alias("i"), F.col("c_p").alias("c"), F.col("e_p").alias("e"))).alias("members"))
+    met = own.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long")))).join(members, "b")
+
+    def total(field: str) -> Column:
+        def add(acc: Column, x: Column) -> Column:
+            return acc + F.coalesce(F.when(x.i != F.col("p"), x[field] * F.exp(-hours(x.i, F.col("p")))), F.lit(0.0))
+        return F.aggregate("members", F.lit(0.0), add)
+
+    part = met.select("p", "c_p", "e_p", total("c").alias("sc"), total("e").alias("se"))
+    a = F.lit(float(alpha))
+    # the parts of a territory are as many as there are blocks
+    whole = part.groupBy("p", "c_p", "e_p").agg(F.sum("sc").alias("sc"), F.sum("se").alias("se"))
+    return whole.select(F.col("p").alias(zip_col), ((F.col("c_p") + a * F.col("sc")) / (F.col("e_p") + a * F.col("se"))).alias("smoothed_freq"))

@@ -318,16 +318,19 @@ def q_parameter_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(d, ["theta", "best_price", "loss"])
 
 
-# --- H1: density histogram of log own and log model price (test split) ---
-HIST_SQL = with_standin(f"""
-SELECT b.series, CAST(b.bin AS INTEGER) AS bin, round(b.lo + b.bin * b.width, 6) AS "left",
+# --- H1: density histogram of log own and log model price on one range (test split) ---
+LNG_CTE = f"""
+lng AS (SELECT unnest(['a', 'np']) AS series, unnest([ln(a), ln(np)]) AS x FROM priced
+  WHERE ({TEST_SPLIT}) AND nt IS NOT NULL AND nm IS NOT NULL AND earned IS NOT NULL)"""
+
+HIST_SQL = with_standin("""
+SELECT b.series, CAST(b.bin AS INTEGER) AS bin, round(b.first + b.bin * b.width, 6) AS "left",
   round(coalesce(c.cnt, 0) / (b.n * b.width), 6) AS density
-FROM (SELECT *, unnest(generate_series(0, 29)) AS bin FROM st) b
-LEFT JOIN (SELECT l.series, CAST(least(floor((x - lo) / width), 29) AS INTEGER) AS bin, count(*) AS cnt
-           FROM lng l JOIN st USING (series) GROUP BY 1, 2) c ON b.series = c.series AND b.bin = c.bin""", f"""
-lng AS (SELECT 'a' AS series, ln(a) AS x FROM priced WHERE ({TEST_SPLIT}) AND nt IS NOT NULL AND nm IS NOT NULL AND earned IS NOT NULL
-        UNION ALL SELECT 'np' AS series, ln(np) AS x FROM priced WHERE ({TEST_SPLIT}) AND nt IS NOT NULL AND nm IS NOT NULL AND earned IS NOT NULL),
-st AS (SELECT series, min(x) AS lo, max(x) AS hi, count(*) AS n, (max(x) - min(x)) / 30 AS width FROM lng GROUP BY series)""")
+FROM (SELECT series, n, first, width, unnest(generate_series(0, 29)) AS bin
+      FROM (SELECT series, count(*) AS n FROM lng GROUP BY series), st) b
+LEFT JOIN (SELECT series, CAST(least(greatest(ceil((x - first) / width) - 1, 0), 29) AS INTEGER) AS bin, count(*) AS cnt
+           FROM lng, st GROUP BY 1, 2) c ON b.series = c.series AND b.bin = c.bin""", LNG_CTE + """,
+st AS (SELECT min(x) - (max(x) - min(x)) / 29 / 2 AS first, (max(x) - min(x)) / 29 AS width FROM lng)""")
 
 
 @register("density_histogram", HIST_SQL)
@@ -336,27 +339,30 @@ def q_density_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(CV.density_histogram(test, ["a", "np"], 30), ["left", "density"])
 
 
-# --- H2: kernel density of log own price on a grid (test split) ---
+# --- H2: kernel densities of log own and log model price on one range (test split) ---
 KDE_SQL = with_standin("""
-SELECT CAST(j AS INTEGER) AS j, round(g, 6) AS g, round(exp(g)) AS price, round(sum(k) / (n * bw), 6) AS density FROM (
-  SELECT j, g, cnt * exp(-0.5e0 * ((g - (lo + (bin + 0.5e0) * bwid)) / bw) * ((g - (lo + (bin + 0.5e0) * bwid)) / bw))
-    / 2.5066282746310002e0 AS k, n, bw FROM (
-    SELECT *, CASE WHEN j = 511 THEN hi + 3e0 * bw WHEN j = 0 THEN lo - 3e0 * bw
-                   ELSE (lo - 3e0 * bw) + j * (((hi + 3e0 * bw) - (lo - 3e0 * bw)) / 511) END AS g
-    FROM (SELECT c.bin, c.cnt, st.*, unnest(generate_series(0, 511)) AS j FROM c, st)))
-GROUP BY j, g, n, bw""", f"""
-x AS (SELECT ln(a) AS x FROM priced WHERE ({TEST_SPLIT}) AND nt IS NOT NULL AND nm IS NOT NULL AND earned IS NOT NULL),
-st0 AS (SELECT count(*) AS n, stddev_samp(x) AS sd, min(x) AS lo, max(x) AS hi,
-  quantile_cont(x, 0.75) - quantile_cont(x, 0.25) AS iqr FROM x),
-st AS (SELECT *, 0.9e0 * least(sd, iqr / 1.34e0) * pow(CAST(n AS DOUBLE), -0.2e0) AS bw, (hi - lo) / 2048 AS bwid FROM st0),
-c AS (SELECT CAST(least(floor((x - lo) / bwid), 2047) AS INTEGER) AS bin, count(*) AS cnt FROM x, st GROUP BY 1)""")
+SELECT series, CAST(j AS INTEGER) AS j, round(g, 6) AS g, round(exp(g)) AS price,
+  round(max(CASE WHEN kk = k THEN d END) + (max(place) - max(k)) * (max(CASE WHEN kk = k + 1 THEN d END) - max(CASE WHEN kk = k THEN d END)), 6) AS density
+FROM (
+  SELECT o.series, o.j, o.g, o.place, o.k, o.kk, sum(m.w * exp(-0.5e0 * pow((o.kk - m.k) * o.step / o.bw, 2))) / (max(o.n) * max(o.bw) * sqrt(2e0 * pi())) AS d
+  FROM (SELECT *, floor(place) AS k, unnest([floor(place), floor(place) + 1]) AS kk
+        FROM (SELECT *, (g - lo) / step AS place FROM (SELECT *, x0 + j * (x1 - x0) / 511 AS g FROM (SELECT *, unnest(generate_series(0, 511)) AS j FROM st)))) o
+  JOIN mass m USING (series) GROUP BY o.series, o.j, o.g, o.place, o.k, o.kk)
+GROUP BY series, j, g""", LNG_CTE + """,
+sides AS (SELECT min(x) AS x0, max(x) AS x1 FROM lng),
+bws AS (SELECT series, count(*) AS n, stddev_samp(x) AS sd, quantile_cont(x, 0.75) - quantile_cont(x, 0.25) AS iqr, min(x) AS least FROM lng GROUP BY series),
+bw AS (SELECT series, n, 0.9e0 * pow(CAST(n AS DOUBLE), -0.2e0) *
+  CASE WHEN least(sd, iqr / 1.34e0) > 0 THEN least(sd, iqr / 1.34e0) WHEN sd > 0 THEN sd WHEN least <> 0 THEN abs(least) ELSE 1e0 END AS bw FROM bws),
+st AS (SELECT series, n, bw, x0, x1, x0 - 4 * bw AS lo, (x1 + 4 * bw - (x0 - 4 * bw)) / 511 AS step FROM bw, sides),
+mass AS (SELECT series, k, sum(w) AS w FROM (
+  SELECT series, unnest([floor(place), floor(place) + 1]) AS k, unnest([1e0 - (place - floor(place)), place - floor(place)]) AS w
+  FROM (SELECT series, (x - lo) / step AS place FROM lng JOIN st USING (series))) GROUP BY 1, 2)""")
 
 
 @register("kernel_density", KDE_SQL)
 def q_kernel_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     test = SP.split(scored_portfolio(spark, sf_dir), "polref").filter(F.col("split") == "test")
-    d = CV.kernel_density(test, "a", "polref").withColumn("j", F.col("j").cast("int"))
-    return rounded(d, ["g", "density"])
+    return rounded(CV.kernel_density(test, ["a", "np"]), ["g", "density"])
 
 
 # --- coefficient tables derived from the one-way report (log model/own ratio) ---
@@ -477,11 +483,14 @@ def q_coefficient_io(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(FT.multipliers(FT.load_coefficients(spark, path)), ["multiplier"])
 
 
-# --- A23 (rows only): distribution summary of the prices ---
-@register("price_summary")
+# --- A23: distribution summary of the prices, exact quartiles ---
+@register("price_summary", with_standin("""
+SELECT "column", count(x) AS n, round(avg(x), 6) AS mean, round(stddev_samp(x), 6) AS sd, min(x) AS min, quantile_cont(x, 0.25) AS q1,
+  quantile_cont(x, 0.5) AS median, quantile_cont(x, 0.75) AS q3, max(x) AS max
+FROM (SELECT unnest(['a', 'nm', 'nt', 'np']) AS "column", unnest([CAST(a AS DOUBLE), nm, nt, np]) AS x FROM scored) GROUP BY 1""", SCORED_CTE))
 def q_price_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.aggregates import summary
-    return summary(scored_portfolio(spark, sf_dir), ["a", "nm", "nt", "np"])
+    return rounded(summary(scored_portfolio(spark, sf_dir), ["a", "nm", "nt", "np"]), ["mean", "sd"])
 
 
 # --- M2, P32, F3, F6 (rows only): squared-error trees with weights and a held-out stop ---

@@ -164,14 +164,9 @@ def zip_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count(F.lit(1)).cast("bigint").alias("exposure"))
 
 
-def zip_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Travel time between territories: ``abs(i - p) * 0.25`` hours, same region."""
-    n = read_table(spark, sf_dir, "nation")
-    i = n.select(F.col("n_nationkey").cast("int").alias("zip_i"), F.col("n_regionkey").alias("ri"))
-    p = n.select(F.col("n_nationkey").cast("int").alias("zip_p"), F.col("n_regionkey").alias("rp"))
-    return (i.join(p, i.ri == p.rp)
-            .select("zip_i", "zip_p",
-                    (F.abs(F.col("zip_i") - F.col("zip_p")) * F.lit(0.25)).alias("hours")))
+def travel_hours(i: Column, p: Column) -> Column:
+    """Travel time between two territories: ``abs(i - p) * 0.25`` hours."""
+    return F.abs(i - p) * F.lit(0.25)
 
 
 # ---------------------------------------------------------------------------
