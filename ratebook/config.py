@@ -54,8 +54,6 @@ class FitConfig:
     l2: float = 1e-5
     tol: float = 1e-7
     hess_floor: float = 1e-9
-    # coefficients above this many levels are scored by join, not by map
-    map_lookup_limit: int = 50_000
 
 
 @dataclass(frozen=True)

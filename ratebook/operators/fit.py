@@ -1,14 +1,16 @@
 """Additive (generalised linear) fit under any column-expression objective (F1),
 scoring (F4), multipliers (F5), coefficient persistence (S7), designs (M1, M2).
 
-Each round is ONE Spark job over the checkpointed policy table:
-predictions are ``bias + sum of level weights`` attached by broadcast joins
-of the current coefficient table (one per feature, each size-checked), the
-objective gives (g, h) per policy as Catalyst expressions, and one
-``unpivot`` + ``groupBy(feature, level)`` sums them with map-side partial
-aggregation.  Only the (levels x 2) sums come back to the driver, where the
-damped Newton step with Nesterov momentum and gradient restart is taken
-(proximal step for L1).  The plan of a round never refers to the previous
+The levels of all features are numbered once, densely, by a distributed rank;
+a policy is then a row of integers.  Weights and the bias are one array,
+looked up by these integers, so a round is ONE job over the checkpointed
+table whatever the number of levels: predictions by array lookups, the
+objective's (g, h) as Catalyst expressions, and their sums by integer key
+with map-side partial aggregation.  The driver holds the weights as dense
+vectors, as pyspark.ml's linear models do (8 bytes a level), and takes the
+damped Newton step with Nesterov momentum and gradient restart (proximal
+step for L1).  No row identity is used, so repeated and missing policy keys
+are rows like others.  The plan of a round never refers to the previous
 round's plan, so lineage does not grow.
 """
 
@@ -16,16 +18,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import FitConfig
-from ..functions.semantics import literal_map
 from ..session import cut_lineage, spread
 from .joins import broadcast_if_few
+from .windows import distributed_rank
 
 BIAS = "(bias)"
 Objective = Callable[[Column], tuple[Column, Column]]
@@ -34,23 +37,20 @@ Objective = Callable[[Column], tuple[Column, Column]]
 @dataclass
 class AdditiveModel:
     bias: float
-    weights: pd.DataFrame | DataFrame  # feature, level, weight (a DataFrame for large models)
+    weights: DataFrame  # feature, level, weight
     rounds: int = 0
     history: list = field(default_factory=list)
 
     def coefficients(self, spark: SparkSession) -> DataFrame:
         """Coefficient table ``(feature, level, weight)`` with the bias as a row."""
         bias = spark.createDataFrame([(BIAS, "", float(self.bias))], "feature string, level string, weight double")
-        if isinstance(self.weights, DataFrame):
-            return bias.unionByName(self.weights.select("feature", "level", "weight"))
-        rows = [(str(f), str(lv), float(w))
-                for f, lv, w in self.weights[["feature", "level", "weight"]].itertuples(index=False)]
-        return bias.unionByName(spark.createDataFrame(rows, "feature string, level string, weight double"))
+        return bias.unionByName(self.weights)
 
 
-def encode_wide(df: DataFrame, key: str, features: list[str], keep: list[str]) -> DataFrame:
-    """Policy table with every feature as its level text (null = no level)."""
-    return df.select(key, *keep, *[F.col(f).cast("string").alias(f) for f in features])
+def _texts(df: DataFrame, features: list[str]) -> DataFrame:
+    """(feature, level) of every row and feature that isn't missing."""
+    pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("string").alias("level")) for f in features])
+    return df.select(F.explode(pairs).alias("x")).select("x.*").filter(F.col("level").isNotNull())
 
 
 def long_design(df: DataFrame, key: str, features: list[str], levels: DataFrame | None = None) -> DataFrame:
@@ -59,94 +59,73 @@ def long_design(df: DataFrame, key: str, features: list[str], levels: DataFrame
     Missing values are not levels (no row).  With a level table (W6) the
     global column index of the design matrix is attached.
     """
-    long = (encode_wide(df, key, features, []).unpivot([key], features, "feature", "level")
-            .filter(F.col("level").isNotNull()))
+    wide = df.select(key, *[F.col(f).cast("string").alias(f) for f in features])
+    long = wide.unpivot([key], features, "feature", "level").filter(F.col("level").isNotNull())
     if levels is None:
         return long
     lv = levels.select("feature", F.col("value").alias("level"), "col_index")
     return long.join(broadcast_if_few(lv), ["feature", "level"], "left")
 
 
-def score(df: DataFrame, coef: DataFrame, key: str, features: list[str], out: str = "pred",
-          limit: int = FitConfig().map_lookup_limit) -> DataFrame:
-    """``bias + sum_f weight_f[level_f]`` (F4); an unseen or missing level contributes 0.
+def _attached(df: DataFrame, table: DataFrame, features: list[str], value: str, names: list[str]) -> DataFrame:
+    """The rows with a column ``names[i]`` for each feature: ``value`` of its level in a written table (feature, level, value).
 
-    A coefficient table of at most ``limit`` rows (checked by fetching at most
-    limit + 1 rows) is turned into literal maps: no join, no shuffle.  A
-    larger model is applied in long form: one join of (key, feature, level)
-    to the coefficients, one ``groupBy(key)``, one join back.
-    """
-    wide = df.withColumns({f: F.col(f).cast("string") for f in features})
-    rows = coef.select("feature", "level", "weight").limit(limit + 1).collect()
-    if len(rows) <= limit:
-        bias = sum(r.weight for r in rows if r.feature == BIAS)
-        weights: dict[str, dict[str, float]] = {}
-        for r in rows:
-            if r.feature != BIAS and r.level is not None:
-                weights.setdefault(r.feature, {})[r.level] = float(r.weight)
-        return with_weights(wide, features, bias, weights, out)
-    bias = coef.filter(F.col("feature") == BIAS).agg(F.sum("weight")).scalar()
-    long = long_design(wide, key, features)
-    summed = (long.join(coef.filter(F.col("feature") != BIAS), ["feature", "level"], "left")
-              .groupBy(key).agg(F.sum(F.coalesce("weight", F.lit(0.0))).alias("__s")))
-    return (wide.join(summed, key, "left")
-            .withColumn(out, F.coalesce(bias, F.lit(0.0)) + F.coalesce("__s", F.lit(0.0))).drop("__s"))
-
-
-# features with at most this many levels are looked up in a literal map
-MAP_LEVELS = 256
-
-
-def with_weights(wide: DataFrame, features: list[str], bias: float,
-                 weights: dict[str, dict[str, float]], out: str = "pred") -> DataFrame:
-    """``bias + sum_f w_f[level_f]`` from driver-side weights (the fit's own path).
-
-    Small features use a literal map (no join, no extra job); a feature with
-    more levels is attached with a broadcast hash join of its weights.
+    The table has a row a level at most, so rows neither multiply nor get
+    lost.  A feature's part is broadcast if it is counted to be small; a
+    larger one is joined by shuffle.
     """
-    spark = wide.sparkSession
-    if BIAS in wide.columns:
-        # looked up through a data column: the generated code does not embed the
-        # value, so every round reuses the compiled code of the previous one
-        total = literal_map({"": float(bias)})[F.col(BIAS)]
-    else:
-        total = F.lit(float(bias))
-    cur = wide
-    for i, f in enumerate(features):
-        wf = weights.get(f, {})
-        if not wf:
+    sizes = {r.feature: r["count"] for r in table.groupBy("feature").count().filter(F.col("feature").isin(features)).collect()}
+    for f, name in zip(features, names, strict=True):
+        if not sizes.get(f):
+            df = df.withColumn(name, F.lit(None).cast(table.schema[value].dataType))
             continue
-        if len(wf) <= MAP_LEVELS:
-            m = literal_map({k: float(v) for k, v in wf.items()})
-            total = total + F.coalesce(m[F.col(f)], F.lit(0.0))
-        else:
-            t = spark.createDataFrame(list(wf.items()), f"{f} string, __w{i} double")
-            cur = cur.join(F.broadcast(t), f, "left")  # at most map_lookup_limit rows
-            total = total + F.coalesce(F.col(f"__w{i}"), F.lit(0.0))
-    return cur.withColumn(out, total)
+        side = table.filter(F.col("feature") == f).select(F.col("level").alias(f"{name}_level"), F.col(value).alias(name))
+        side = F.broadcast(side) if sizes[f] <= BROADCAST_LEVELS else side
+        df = df.join(side, df[f].cast("string") == side[f"{name}_level"], "left").drop(f"{name}_level")
+    return df
+
+
+#: levels of a feature that are broadcast to the rows; more are joined by shuffle
+BROADCAST_LEVELS = 100_000
+
+
+def _free(df: DataFrame, n: int) -> list[str]:
+    """Column names that the table doesn't have."""
+    stem = "__w"
+    while any(c.startswith(stem) for c in df.columns):
+        stem += "_"
+    return [f"{stem}{i}" for i in range(n)]
+
+
+def score(df: DataFrame, coef: DataFrame, features: list[str], out: str = "pred") -> DataFrame:
+    """``bias + sum_f weight_f[level_f]`` (F4); an unseen or missing level contributes 0.
+
+    Coefficient rows of the same level add up, so do bias rows; rows of the
+    table stay as they are, repeated ones and those without a key too.
+    """
+    # written: its parts are counted and then joined
+    table = cut_lineage(coef.filter(F.col("level").isNotNull() | (F.col("feature") == BIAS))
+                        .groupBy("feature", "level").agg(F.sum("weight").alias("weight")))
+    bias = table.filter(F.col("feature") == BIAS).agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("b")).scalar()
+    names = _free(df, len(features))
+    wide = _attached(df, table.filter(F.col("feature") != BIAS), features, "weight", names)
+    total = reduce(lambda a, b: a + b, [F.coalesce(F.col(w), F.lit(0.0)) for w in names], bias)
+    return wide.withColumn(out, total).drop(*names)
 
 
-def _level_stats(wide: DataFrame, features: list[str], bias: float,
-                 weights: dict[str, dict[str, float]], gh_cols: tuple[Column, Column]) -> pd.DataFrame:
-    pred = with_weights(wide, features, bias, weights)
-    g, h = gh_cols
-    bias_col = F.col(BIAS) if BIAS in wide.columns else F.lit("").alias(BIAS)
-    gh = pred.select(*features, bias_col, g.alias("g"), h.alias("h"))
-    long = gh.unpivot(["g", "h"], [*features, BIAS], "feature", "level").filter(F.col("level").isNotNull())
-    stats = long.groupBy("feature", "level").agg(F.sum("g").alias("G"), F.sum("h").alias("H"),
-                                                F.count(F.lit(1)).alias("n"))
-    rows = stats.collect()  # levels x 3 numbers (size checked before the fit)
-    return pd.DataFrame(rows, columns=["feature", "level", "G", "H", "n"])
+def level_numbers(df: DataFrame, features: list[str]) -> DataFrame:
+    """(feature, level, at): all levels that occur, numbered 1, 2, ... over all features without gaps."""
+    return distributed_rank(_texts(df, features).distinct(), [], ["feature", "level"]).withColumnRenamed("rank", "at")
 
 
-def _as_maps(w: pd.Series) -> dict[str, dict[str, float]]:
-    out: dict[str, dict[str, float]] = {}
-    for (f, lv), v in w.items():
-        out.setdefault(f, {})[lv] = float(v)
-    return out
+def _lookup(spark: SparkSession, weights: np.ndarray) -> Column:
+    """The weights as one array, a scalar subquery; element 0 is the bias."""
+    flat = pa.array(np.ascontiguousarray(weights, np.float64))
+    one = pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat)
+    return spark.createDataFrame(pa.table({"w": one})).select("w").scalar()
 
 
-def fit_additive(df: DataFrame, key: str, features: list[str], objective: Objective,
+def fit_additive(df: DataFrame, features: list[str], objective: Objective,
                  keep: list[str], cfg: FitConfig = FitConfig(), bias_rounds: int = 5) -> AdditiveModel:
     """Fit level weights of ``features`` under ``objective`` (F1).
 
@@ -154,125 +133,54 @@ def fit_additive(df: DataFrame, key: str, features: list[str], objective: Object
     columns it reads.  Damped step ``1/(features+1)`` for all levels at
     once, bias fitted first, Nesterov momentum with gradient restart.
     """
+    spark = df.sparkSession
+    levels = cut_lineage(level_numbers(df, features))
+    n = levels.count() + 1
+    names = [f"__at{i}" for i in range(len(features))]
+    coded = _attached(df.select(*dict.fromkeys([*keep, *features])), levels, features, "at", names)
     # checkpointed (survives executor loss) and cached: every round re-reads it
-    wide = cut_lineage(spread(encode_wide(df, key, features, keep).withColumn(BIAS, F.lit("")), key)).persist()
-    n_levels = (wide.select(F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).alias("v"))
-                                                    for f in features])).alias("x"))
-                .select("x.*").filter(F.col("v").isNotNull()).distinct().count())
-    if n_levels > cfg.map_lookup_limit:
-        return _fit_additive_large(wide, key, features, objective, cfg, bias_rounds)
+    rows = cut_lineage(spread(coded.select(*keep, *[F.col(c).cast("int").alias(c) for c in names]))).persist()
+    g, h = objective(F.col("pred"))  # they refer to ``pred`` only: built once
+
+    def sums(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w = _lookup(spark, weights)
+        pred = reduce(lambda a, c: a + F.coalesce(F.get(w, F.col(c)), F.lit(0.0)), names, F.get(w, F.lit(0)))
+        gh = rows.withColumn("pred", pred).select(*names, F.lit(0).alias("__bias"), g.alias("g"), h.alias("h"))
+        long = gh.unpivot(["g", "h"], ["__bias", *names], "feature", "at").filter(F.col("at").isNotNull())
+        got = long.groupBy("at").agg(F.sum("g").alias("G"), F.sum("h").alias("H")).toArrow()  # a row a level
+        G, H = np.zeros(n), np.zeros(n)
+        at = got.column("at").to_numpy()
+        G[at], H[at] = got.column("G").to_numpy(), got.column("H").to_numpy()
+        return G, np.maximum(H, cfg.hess_floor)
 
     eta = 1.0 / (len(features) + 1)
-    x_bias, y_bias = 0.0, 0.0
-    x_w: pd.Series = pd.Series(dtype="float64")
-    y_w: pd.Series = pd.Series(dtype="float64")
+    x = y = np.zeros(n)
     tk = 1.0
     history = []
-
-    # the objective's columns refer to ``pred`` only: build them once
-    gh_cols = objective(F.col("pred"))
     for rnd in range(cfg.max_rounds):
-        st = _level_stats(wide, features, y_bias, _as_maps(y_w), gh_cols)
-        b = st[st.feature == BIAS].iloc[0]
-        lv = st[st.feature != BIAS].set_index(["feature", "level"])
-        H = np.maximum(lv["H"].to_numpy(), cfg.hess_floor)
+        G, H = sums(y)
+        new, grad = y.copy(), np.zeros(n)
+        grad[0] = G[0]
         if rnd < bias_rounds:
-            new_bias = float(y_bias - float(b.G) / max(float(b.H), cfg.hess_floor))
-            new_w = y_w.reindex(lv.index).fillna(0.0)
-            grad_vec = np.concatenate([[float(b.G)], np.zeros(len(lv))])
+            new[0] = y[0] - G[0] / H[0]
         else:
-            w0 = y_w.reindex(lv.index).fillna(0.0).to_numpy()
-            z = w0 - eta * (lv["G"].to_numpy() + cfg.l2 * w0) / (H + cfg.l2)
-            thr = eta * cfg.l1 / (H + cfg.l2)
-            new = np.sign(z) * np.maximum(np.abs(z) - thr, 0.0)
-            new_w = pd.Series(new, index=lv.index)
-            new_bias = float(y_bias - eta * float(b.G) / max(float(b.H), cfg.hess_floor))
-            grad_vec = np.concatenate([[float(b.G)], lv["G"].to_numpy() + cfg.l2 * w0])
-        old_w = x_w.reindex(new_w.index).fillna(0.0)
-        step_vec = np.concatenate([[new_bias - x_bias], (new_w - old_w).to_numpy()])
-        move = float(np.max(np.abs(step_vec))) if len(step_vec) else 0.0
-        history.append({"round": rnd, "bias": new_bias, "grad_norm": float(np.linalg.norm(grad_vec)),
-                        "move": move})
+            grad[1:] = G[1:] + cfg.l2 * y[1:]
+            z = y[1:] - eta * grad[1:] / (H[1:] + cfg.l2)
+            new[1:] = np.sign(z) * np.maximum(np.abs(z) - eta * cfg.l1 / (H[1:] + cfg.l2), 0.0)
+            new[0] = y[0] - eta * G[0] / H[0]
+        step = new - x
+        move = float(np.abs(step).max())
+        history.append({"round": rnd, "bias": float(new[0]), "grad_norm": float(np.linalg.norm(grad)), "move": move})
         # gradient restart: momentum only while the step still descends
-        restart = float(np.dot(grad_vec, step_vec)) > 0 or rnd < bias_rounds
-        t_next = 1.0 if restart else (1.0 + np.sqrt(1.0 + 4.0 * tk * tk)) / 2.0
-        beta = 0.0 if restart else (tk - 1.0) / t_next
-        y_bias = new_bias + beta * (new_bias - x_bias)
-        y_w = new_w + beta * (new_w - old_w)
-        x_bias, x_w, tk = new_bias, new_w, t_next
-        if rnd >= bias_rounds and move < cfg.tol:
-            break
-    wide.unpersist()
-    w = x_w.reset_index()
-    w.columns = ["feature", "level", "weight"]
-    return AdditiveModel(bias=x_bias, weights=w, rounds=len(history), history=history)
-
-
-def _fit_additive_large(wide: DataFrame, key: str, features: list[str], objective: Objective,
-                        cfg: FitConfig, bias_rounds: int) -> AdditiveModel:
-    """The same rounds as ``fit_additive`` with the coefficients kept as a DataFrame.
-
-    Used above ``map_lookup_limit`` levels: nothing level-sized reaches the
-    driver.  Per round the long design is joined to the extrapolated weights
-    and summed per policy; the objective's (g, h) are summed per level by a
-    join back; the proximal step, the restart test (one scalar aggregation)
-    and the momentum are DataFrame operations on the coefficient table,
-    which is checkpointed every round so lineage stays flat.
-    """
-    eta = 1.0 / (len(features) + 1)
-    long = cut_lineage(wide.select(key, *features).unpivot([key], features, "feature", "level")
-                       .filter(F.col("level").isNotNull())).persist()
-    coef = cut_lineage(long.select("feature", "level").distinct()
-                       .withColumns({"x": F.lit(0.0), "y": F.lit(0.0)})).persist()
-    x_bias = y_bias = 0.0
-    tk = 1.0
-    history = []
-    for rnd in range(cfg.max_rounds):
-        contrib = (long.join(coef.select("feature", "level", "y"), ["feature", "level"])
-                   .groupBy(key).agg(F.sum("y").alias("__s")))
-        pred = wide.join(contrib, key, "left").withColumn(
-            "pred", F.lit(y_bias) + F.coalesce(F.col("__s"), F.lit(0.0)))
-        g, h = objective(F.col("pred"))
-        gh = cut_lineage(pred.select(key, g.alias("g"), h.alias("h"))).persist()
-        bG, bH = gh.agg(F.sum("g"), F.sum("h")).first()
-        lvl = long.join(gh, key).groupBy("feature", "level").agg(F.sum("g").alias("G"), F.sum("h").alias("H"))
-        cur = coef.join(lvl, ["feature", "level"], "left").fillna(0.0, subset=["G", "H"])
-        y = F.col("y")
-        if rnd < bias_rounds:
-            new_bias = float(y_bias - bG / max(bH, cfg.hess_floor))
-            new, grad = y, F.lit(0.0)
-            bias_grad = bG
-        else:
-            Hf = F.greatest(F.col("H"), F.lit(cfg.hess_floor))
-            z = y - F.lit(eta) * (F.col("G") + F.lit(cfg.l2) * y) / (Hf + F.lit(cfg.l2))
-            thr = F.lit(eta * cfg.l1) / (Hf + F.lit(cfg.l2))
-            new = F.signum(z) * F.greatest(F.abs(z) - thr, F.lit(0.0))
-            grad = F.col("G") + F.lit(cfg.l2) * y
-            new_bias = float(y_bias - eta * bG / max(bH, cfg.hess_floor))
-            bias_grad = bG
-        stepped = cut_lineage(cur.select("feature", "level", "x", new.alias("new"), grad.alias("grad"))).persist()
-        dot, move = stepped.agg(F.sum(F.col("grad") * (F.col("new") - F.col("x"))),
-                                F.max(F.abs(F.col("new") - F.col("x")))).first()
-        dot = (dot or 0.0) + bias_grad * (new_bias - x_bias)
-        move = max(move or 0.0, abs(new_bias - x_bias))
-        history.append({"round": rnd, "bias": new_bias, "move": move})
-        restart = dot > 0 or rnd < bias_rounds
+        restart = float(grad @ step) > 0 or rnd < bias_rounds
         t_next = 1.0 if restart else (1.0 + np.sqrt(1.0 + 4.0 * tk * tk)) / 2.0
-        beta = 0.0 if restart else (tk - 1.0) / t_next
-        nxt = stepped.select("feature", "level", F.col("new").alias("x"),
-                             (F.col("new") + F.lit(beta) * (F.col("new") - F.col("x"))).alias("y"))
-        old = [coef, gh, stepped]
-        coef = cut_lineage(nxt).persist()
-        for o in old:
-            o.unpersist()
-        y_bias = new_bias + beta * (new_bias - x_bias)
-        x_bias, tk = new_bias, t_next
+        y = new + (0.0 if restart else (tk - 1.0) / t_next) * step
+        x, tk = new, t_next
         if rnd >= bias_rounds and move < cfg.tol:
             break
-    long.unpersist()
-    wide.unpersist()
-    return AdditiveModel(bias=x_bias, weights=coef.select("feature", "level", F.col("x").alias("weight")),
-                         rounds=len(history), history=history)
+    rows.unpersist()
+    weights = levels.select("feature", "level", F.get(_lookup(spark, x), F.col("at").cast("int")).alias("weight"))
+    return AdditiveModel(bias=float(x[0]), weights=weights, rounds=len(history), history=history)
 
 
 def multipliers(coef: DataFrame) -> DataFrame:

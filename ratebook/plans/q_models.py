@@ -388,7 +388,7 @@ SCORE_SQL = with_standin(
 def q_coefficient_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = scored_portfolio(spark, sf_dir)
     coef = level_coefficients(s)
-    return rounded(FT.score(s.select("polref", *FEATURES), coef, "polref", FEATURES).select("polref", "pred"),
+    return rounded(FT.score(s.select("polref", *FEATURES), coef, FEATURES).select("polref", "pred"),
                    ["pred"], 5)
 
 
@@ -452,13 +452,53 @@ def q_design_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FT.long_design(s, "polref", FEATURES, lv).withColumn("col_index", F.col("col_index").cast("long"))
 
 
-# --- F1 (rows only): additive fit of level weights under the tariff corridor objective ---
+# --- F1: additive fit of level weights under the tariff corridor objective ---
+def tariff_fit(spark: SparkSession, sf_dir: str, rounds: int) -> DataFrame:
+    model = FT.fit_additive(with_acc(spark, sf_dir), FEATURES, lambda p: O.corridor_grad(p, "t", "m", "acc"),
+                            ["t", "m", "acc"], FitConfig(max_rounds=rounds, l2=1e-5))
+    return model.coefficients(spark)
+
+
 @register("additive_fit")
 def q_additive_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = with_acc(spark, sf_dir)
-    model = FT.fit_additive(s, "polref", FEATURES, lambda p: O.corridor_grad(p, "t", "m", "acc"),
-                            ["t", "m", "acc"], FitConfig(max_rounds=100, l2=1e-5))
-    return model.coefficients(spark)
+    return tariff_fit(spark, sf_dir, 100)
+
+
+def _fit_rounds_sql() -> str:
+    """Five rounds for the bias and three for all levels, the last one after a step with momentum, written out."""
+    w = CORRIDOR_TARIFF
+
+    def gh(rows: str) -> str:
+        su, so = lg("t - p", w.alpha_under), lg("p - acc", w.alpha_over)
+        g, h = corridor_sql("p", "t", "acc", "m", w, "su", "so", "(1e0 - su - so)", "acc > t")
+        return f"SELECT polref, {g} AS g, {h} AS h FROM (SELECT *, {su} AS su, {so} AS so FROM ({rows}))"
+
+    texts = ", ".join(f"CAST({f} AS VARCHAR)" for f in FEATURES)
+    ctes = [f"""tg AS MATERIALIZED (SELECT polref, t, m, acc FROM (SELECT polref, t, m,
+  ln(CASE WHEN nm IS NOT NULL AND nt IS NOT NULL THEN greatest(nm - 100e0, nm * 0.992e0, nt) END) - 10.74e0 AS acc FROM scored))""",
+            f"""lng AS MATERIALIZED (SELECT * FROM (SELECT polref, unnest({FEATURES!r}) AS feature, unnest([{texts}]) AS level FROM scored) WHERE level IS NOT NULL)""",
+            "b0 AS (SELECT 0e0 AS b)"]
+    for k in range(5):
+        rows = f"SELECT tg.*, b AS p FROM tg, b{k}"
+        ctes.append(f"b{k + 1} AS MATERIALIZED (SELECT any_value(b) - sum(g) / greatest(sum(h), 1e-9) AS b FROM ({gh(rows)}), b{k})")
+    # x: weights after a round, y: where the next one starts; the bias is the level '' of '(bias)'
+    ctes.append("""y0 AS MATERIALIZED (SELECT DISTINCT feature, level, 0e0 AS y, 0e0 AS x FROM lng
+  UNION ALL SELECT '(bias)', '', b, b FROM b5),
+every AS MATERIALIZED (SELECT * FROM lng UNION ALL SELECT polref, '(bias)', '' FROM tg)""")
+    for k in range(3):
+        rows = f"SELECT tg.*, p FROM tg JOIN (SELECT polref, sum(y) AS p FROM every JOIN y{k} USING (feature, level) GROUP BY polref) USING (polref)"
+        momentum = {0: "0e0", 1: "CASE WHEN dot > 0 THEN 0e0 ELSE (t1 - 1e0) / ((1e0 + sqrt(1e0 + 4e0 * t1 * t1)) / 2e0) END", 2: "0e0"}[k]
+        l2 = "CASE WHEN feature = '(bias)' THEN 0e0 ELSE 1e-5 END"
+        ctes.append(f"""n{k} AS MATERIALIZED (SELECT feature, level, x, G + {l2} * y AS grad, y - (1e0 / 8) * (G + {l2} * y) / (greatest(H, 1e-9) + {l2}) AS new
+  FROM y{k} JOIN (SELECT feature, level, sum(g) AS G, sum(h) AS H FROM every JOIN ({gh(rows)}) USING (polref) GROUP BY 1, 2) USING (feature, level)),
+y{k + 1} AS MATERIALIZED (SELECT feature, level, new + {momentum} * (new - x) AS y, new AS x
+  FROM n{k}, (SELECT sum(grad * (new - x)) AS dot, (1e0 + sqrt(5e0)) / 2e0 AS t1 FROM n{k}))""")
+    return with_standin("SELECT feature, level, round(x, 6) + 0e0 AS weight FROM y3", SCORED_CTE + ",\n" + ",\n".join(ctes))
+
+
+@register("additive_fit_rounds", _fit_rounds_sql())
+def q_additive_fit_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tariff_fit(spark, sf_dir, 8).withColumn("weight", F.round("weight", 6) + F.lit(0.0))
 
 
 # --- S6 + S1 (+S3): decimal-comma CSV round trip of the fit input ---

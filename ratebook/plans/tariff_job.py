@@ -49,10 +49,10 @@ def run_tariff_job(spark: SparkSession, sf_dir: str, out_dir: str, cfg: JobConfi
         pol = J.override_price(pol, SI.external_price(spark, sf_dir), cfg.pricing)
         coef = None
     else:
-        model = FT.fit_additive(pol, "polref", FEATURES, lambda p: corridor_grad(p, "t", "m", "acc"),
+        model = FT.fit_additive(pol, FEATURES, lambda p: corridor_grad(p, "t", "m", "acc"),
                                 ["t", "m", "acc"], cfg.fit)
         coef = model.coefficients(spark)
-        pol = FT.score(pol, coef, "polref", FEATURES, out="p")
+        pol = FT.score(pol, coef, FEATURES, out="p")
     pol = pol.withColumn("np", from_scale("p", "a", cfg.pricing))
     pol = centred_benefit(quote_profit(pol))
     pol = renewal_corridor(pol, competitors=cols_like(pol, r"^price_c[0-9]+$"))
