@@ -9,6 +9,8 @@ exact 0/1 limits) unless stated.
 
 from __future__ import annotations
 
+from dataclasses import dataclass, replace
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,73 +28,93 @@ def logistic(x: Column, alpha: float = 1.0) -> Column:
     return ONE / (ONE + F.exp(-x / F.lit(alpha)))
 
 
-def _corridor(p: Column, t: Column, u: Column, m: Column, w: CorridorWeights,
-              su: Column, so: Column, sm: Column, profit: Column) -> tuple[Column, Column]:
-    wu, wo, wm = F.lit(w.w_under), F.lit(w.w_over), F.lit(w.w_mid)
-    wl, wh = F.lit(w.w_loss_low), F.lit(w.w_loss_high)
-    d_tp, d_pu = t - p, p - u
-    g_under = wu * (-TWO * d_tp) + wm * (TWO * d_pu)
-    g_mid = wm * (TWO * d_pu)
-    g_over = wo * (TWO * d_pu) * (u - t)
-    h_under = TWO * (wu + wm)
-    h_mid = TWO * wm
-    h_over = TWO * wo * (u - t)
-    g_profit = g_under * su + g_mid * sm + g_over * so
-    h_profit = h_under * su + h_mid * sm + h_over * so
-    g_loss = wl * (-TWO * (m - p)) + wh * (-TWO * d_tp)
-    h_loss = TWO * wl + TWO * wh
-    return (F.when(profit, g_profit).otherwise(g_loss),
-            F.when(profit, h_profit).otherwise(h_loss))
+@dataclass(frozen=True)
+class Pulls:
+    """What draws a policy's prediction: ``low`` with strength ``to_low``, ``high`` with strength ``to_high``.
+
+    The corridor family is a sum of two weighted squares
+    ``to_low (p - low)^2 + to_high (p - high)^2`` whose strengths are held fixed
+    in the derivatives, so value, gradient and Hessian follow from the pulls.
+    """
+    low: Column
+    high: Column
+    to_low: Column
+    to_high: Column
 
+    def value(self, p: Column) -> Column:
+        return self.to_low * F.pow(p - self.low, 2) + self.to_high * F.pow(p - self.high, 2)
+
+    def grad(self, p: Column) -> tuple[Column, Column]:
+        return (TWO * (self.to_low * (p - self.low) + self.to_high * (p - self.high)), TWO * (self.to_low + self.to_high))
+
+    def staged(self, name: str) -> tuple[dict[str, Column], Pulls]:
+        """(columns to project first, the pulls in terms of them): gradient and Hessian then share each mask.
+
+        Catalyst doesn't merge a projection into the next one if that would
+        compute an exponential twice, so a mask costs one exponential a row.
+        """
+        names = {k: f"{name}_{k}" for k in ("high", "to_low", "to_high")}
+        return {v: getattr(self, k) for k, v in names.items()}, Pulls(self.low, *(F.col(v) for v in names.values()))
 
-def corridor_grad(p, t, m, u, w: CorridorWeights = CORRIDOR_TARIFF) -> tuple[Column, Column]:
-    """O1: profit branch when the ceiling ``u`` exceeds the break-even ``t``.
 
-    Under/mid/over masks have their own sharpness; the loss branch pulls
-    ``p`` to a weighted mean of market ``m`` and break-even ``t``.
+def _pulls(t: Column, u: Column, m: Column, w: CorridorWeights, under: Column, over: Column) -> Pulls:
+    """A policy whose ceiling ``u`` lies above its break-even ``t`` is drawn to ``t`` where the ``under`` mask
+    holds, and to ``u``: by the middle weight, or where the ``over`` mask holds by the upper one times the
+    corridor's width.  Any other policy is drawn to break-even and market by fixed weights.
+
+    The three masks of the family (under, over and what is left) sum to 1, so normalising them changes nothing.
     """
+    profit = u > t
+    middle, loss = F.lit(w.w_mid), F.lit(w.w_loss_low)
+    return Pulls(low=t, high=F.when(profit, u).otherwise(m),
+                 to_low=F.when(profit, under * F.lit(w.w_under)).otherwise(F.lit(w.w_loss_high)),
+                 to_high=F.when(profit, middle + over * (F.lit(w.w_over) * (u - t) - middle)).otherwise(loss))
+
+
+def corridor_pulls(p, t, m, u, w: CorridorWeights = CORRIDOR_TARIFF) -> Pulls:
+    """O1: logistic masks with their own sharpness on each side, any ceiling ``u``."""
     p, t, m, u = col(p), col(t), col(m), col(u)
-    su = logistic(t - p, w.alpha_under)
-    so = logistic(p - u, w.alpha_over)
-    sm = ONE - su - so
-    return _corridor(p, t, u, m, w, su, so, sm, u > t)
+    return _pulls(t, u, m, w, logistic(t - p, w.alpha_under), logistic(p - u, w.alpha_over))
 
 
-def normalised_grad(p, t, m, w: CorridorWeights = CORRIDOR_NORMALISED) -> tuple[Column, Column]:
-    """O2: masks divided by their sum, the market (base margin) as ceiling."""
+def normalised_pulls(p, t, m, w: CorridorWeights = CORRIDOR_NORMALISED) -> Pulls:
+    """O2: the market (base margin) as ceiling."""
+    return corridor_pulls(p, t, m, m, w)
+
+
+def conversion_pulls(p, t, m, w: CorridorWeights = CORRIDOR_CONVERSION) -> Pulls:
+    """O3: the conversion curve of ``p - m`` as the upper mask (the middle weight may go negative)."""
     p, t, m = col(p), col(t), col(m)
-    su = logistic(t - p, w.alpha_under)
-    so = logistic(p - m, w.alpha_over)
-    sm = ONE - su - so
-    total = su + sm + so
-    return _corridor(p, t, m, m, w, su / total, so / total, sm / total, m > t)
+    return _pulls(t, m, m, w, logistic(t - p, w.alpha_under), conversion(p - m))
+
+
+def corridor_grad(p, t, m, u, w: CorridorWeights = CORRIDOR_TARIFF) -> tuple[Column, Column]:
+    """O1: gradient and Hessian."""
+    return corridor_pulls(p, t, m, u, w).grad(col(p))
+
+
+def normalised_grad(p, t, m, w: CorridorWeights = CORRIDOR_NORMALISED) -> tuple[Column, Column]:
+    """O2: gradient and Hessian."""
+    return normalised_pulls(p, t, m, w).grad(col(p))
 
 
 def conversion_grad(p, t, m, w: CorridorWeights = CORRIDOR_CONVERSION) -> tuple[Column, Column]:
-    """O3: the conversion curve of ``p - m`` as the upper mask (mid weight may go negative)."""
-    p, t, m = col(p), col(t), col(m)
-    su = logistic(t - p, w.alpha_under)
-    so = conversion(p - m)
-    sm = ONE - su - so
-    return _corridor(p, t, m, m, w, su, so, sm, m > t)
+    """O3: gradient and Hessian."""
+    return conversion_pulls(p, t, m, w).grad(col(p))
+
+
+def corridor_objective(t, m, u, w: CorridorWeights = CORRIDOR_TARIFF):
+    """O1 for a fit: prediction -> (gradient, Hessian, columns that the fit projects first)."""
+    def objective(p: Column) -> tuple[Column, Column, dict[str, Column]]:
+        columns, pulls = corridor_pulls(p, t, m, u, w).staged("__pull")
+        return (*pulls.grad(p), columns)
+    return objective
 
 
 def convex_loss(p, t, m, w: CorridorWeights = CORRIDOR_PLOT, alpha: float | None = None) -> Column:
-    """L1: loss value of the normalised corridor family."""
-    p, t, m = col(p), col(t), col(m)
+    """L1: loss value of the corridor family with the market as ceiling and one sharpness."""
     a = w.alpha_under if alpha is None else alpha
-    su, so = logistic(t - p, a), logistic(p - m, a)
-    sm = ONE - su - so
-    total = su + sm + so
-    su, sm, so = su / total, sm / total, so / total
-    wu, wo, wm = F.lit(w.w_under), F.lit(w.w_over), F.lit(w.w_mid)
-    wl, wh = F.lit(w.w_loss_low), F.lit(w.w_loss_high)
-    under = wu * F.pow(t - p, 2) + wm * F.pow(p - m, 2)
-    mid = wm * F.pow(p - m, 2)
-    over = wo * F.pow(p - m, 2) * (m - t)
-    profit = under * su + mid * sm + over * so
-    loss = wl * F.pow(m - p, 2) + wh * F.pow(t - p, 2)
-    return F.when(m > t, profit).otherwise(loss)
+    return corridor_pulls(p, t, m, m, replace(w, alpha_under=a, alpha_over=a)).value(col(p))
 
 
 def profit_logistic_grad(margin, label, market, weight) -> tuple[Column, Column]:
@@ -112,16 +134,19 @@ def deviation_logistic_grad(margin, label, own, market, a: float = 1.5,
 
 
 def hinge_grad(p, tap, m, alpha: float = 0.1, floor: float = 1e-6) -> tuple[Column, Column]:
-    """Smooth hinge; gradient and Hessian (floored) of ``hinge_value``."""
+    """Smooth hinge; surrogate gradient and floored Hessian.
+
+    The gap that the mask opens is ``m - tap`` where the market is above
+    break-even; elsewhere it is ``tap - p``, and the mask's slope counts against it.
+    """
     p, tap, m = col(p), col(tap), col(m)
     a = F.lit(alpha)
-    s = logistic((p - m) / a)
-    ds = s * (ONE - s) / a
-    d2 = ds * (ONE - TWO * s) / a
-    above = tap >= m
-    g = F.when(above, -(ONE - s) - (tap - p) * ds).otherwise(ds * (m - tap) - (ONE - s))
-    h = F.when(above, -ds + (tap - p) * d2).otherwise(d2 * (m - tap) + ds)
-    return g, F.greatest(h, F.lit(floor))
+    mask = logistic((p - m) / a)
+    slope = mask * (ONE - mask) / a
+    bend = slope * (ONE - TWO * mask) / a
+    closed = tap >= m
+    gap, sign = F.when(closed, tap - p).otherwise(m - tap), F.when(closed, F.lit(-ONE)).otherwise(F.lit(ONE))
+    return sign * slope * gap - (ONE - mask), F.greatest(gap * bend + sign * slope, F.lit(floor))
 
 
 def hinge_value(p, tap, m, alpha: float = 0.1) -> Column:

@@ -31,7 +31,8 @@ from .joins import broadcast_if_few
 from .windows import distributed_rank
 
 BIAS = "(bias)"
-Objective = Callable[[Column], tuple[Column, Column]]
+#: prediction -> (gradient, Hessian), or these in terms of further columns that are projected first
+Objective = Callable[[Column], tuple[Column, Column] | tuple[Column, Column, dict[str, Column]]]
 
 
 @dataclass
@@ -129,8 +130,8 @@ def fit_additive(df: DataFrame, features: list[str], objective: Objective,
                  keep: list[str], cfg: FitConfig = FitConfig(), bias_rounds: int = 5) -> AdditiveModel:
     """Fit level weights of ``features`` under ``objective`` (F1).
 
-    ``objective(pred)`` returns the (grad, hess) columns; ``keep`` lists the
-    columns it reads.  Damped step ``1/(features+1)`` for all levels at
+    ``objective(pred)`` returns the (grad, hess) columns, and those that it
+    wants projected first; ``keep`` lists the columns it reads.  Damped step ``1/(features+1)`` for all levels at
     once, bias fitted first, Nesterov momentum with gradient restart.
     """
     spark = df.sparkSession
@@ -140,12 +141,13 @@ def fit_additive(df: DataFrame, features: list[str], objective: Objective,
     coded = _attached(df.select(*dict.fromkeys([*keep, *features])), levels, features, "at", names)
     # checkpointed (survives executor loss) and cached: every round re-reads it
     rows = cut_lineage(spread(coded.select(*keep, *[F.col(c).cast("int").alias(c) for c in names]))).persist()
-    g, h = objective(F.col("pred"))  # they refer to ``pred`` only: built once
+    g, h, *first = objective(F.col("pred"))  # they refer to ``pred`` only: built once
 
     def sums(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         w = _lookup(spark, weights)
         pred = reduce(lambda a, c: a + F.coalesce(F.get(w, F.col(c)), F.lit(0.0)), names, F.get(w, F.lit(0)))
-        gh = rows.withColumn("pred", pred).select(*names, F.lit(0).alias("__bias"), g.alias("g"), h.alias("h"))
+        priced = rows.withColumn("pred", pred)
+        gh = (priced.withColumns(first[0]) if first else priced).select(*names, F.lit(0).alias("__bias"), g.alias("g"), h.alias("h"))
         long = gh.unpivot(["g", "h"], ["__bias", *names], "feature", "at").filter(F.col("at").isNotNull())
         got = long.groupBy("at").agg(F.sum("g").alias("G"), F.sum("h").alias("H")).toArrow()  # a row a level
         G, H = np.zeros(n), np.zeros(n)

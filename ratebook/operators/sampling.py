@@ -29,6 +29,11 @@ def split(df: DataFrame, key: str, frac: float = 0.8, seed: int = 1234,
     return df.withColumn(col, F.when(key_hash(key, seed) < threshold, "train").otherwise("test"))
 
 
+def exact_split(df: DataFrame, key: str, frac: float = 0.8, seed: int = 1234, col: str = "split") -> DataFrame:
+    """Split with exactly ``floor(frac * n)`` train rows (M3): those of smallest (key hash, key)."""
+    return stratified_split(df.withColumn("__all", F.lit(0)), key, "__all", frac, seed, col).drop("__all")
+
+
 def stratified_split(df: DataFrame, key: str, label: str, frac: float = 0.8, seed: int = 42,
                      col: str = "split") -> DataFrame:
     """Exact stratified split (M4): in every label class the ``floor(frac*n)``

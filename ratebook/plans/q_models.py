@@ -16,6 +16,7 @@ from ..operators import metrics as MT
 from ..operators import reports as R
 from ..operators import sampling as SP
 from ..operators import windows as W
+from ..operators.aggregates import varying_feature_names
 from ..sources import standin as SI
 from ..sources.standin import with_standin
 from .catalog import register, rounded
@@ -75,11 +76,12 @@ def with_acc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("corridor_objectives", _corridor_query_sql())
 def q_corridor_objectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = with_acc(spark, sf_dir)
-    g1, h1 = O.corridor_grad("p", "t", "m", "acc")
-    g2, h2 = O.normalised_grad("p", "t", "m")
-    g3, h3 = O.conversion_grad("p", "t", "m")
-    d = s.select("polref", g1.alias("g1"), h1.alias("h1"), g2.alias("g2"), h2.alias("h2"),
-                 g3.alias("g3"), h3.alias("h3"))
+    pulls = [O.corridor_pulls("p", "t", "m", "acc"), O.normalised_pulls("p", "t", "m"), O.conversion_pulls("p", "t", "m")]
+    staged = [x.staged(f"o{k}") for k, x in enumerate(pulls, 1)]
+    for columns, _ in staged:
+        s = s.withColumns(columns)
+    out = [c.alias(f"{kind}{k}") for k, (_, x) in enumerate(staged, 1) for kind, c in zip("gh", x.grad(F.col("p")))]
+    d = s.select("polref", *out)
     return rounded(d, ["g1", "h1", "g2", "h2", "g3", "h3"])
 
 
@@ -205,6 +207,13 @@ def q_deviation_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(d, ["v_shift", "weight", "g", "h"])
 
 
+# --- M3: a split with exactly the share of the rows ---
+@register("exact_split", with_standin("""SELECT polref, CASE WHEN r <= floor(n * 0.8e0) THEN 'train' ELSE 'test' END AS split FROM (
+  SELECT polref, row_number() OVER (ORDER BY ((polref % 1000003) * 48271 + 1234) % 1000003, polref) AS r, count(*) OVER () AS n FROM priced)"""))
+def q_exact_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return SP.exact_split(SI.policy_view(spark, sf_dir).select("polref"), "polref")
+
+
 # --- A22: exact AUC with ties, log loss ---
 AUC_SQL = with_standin("""
 SELECT round(sum(pos * (cum_neg - neg * 0.5e0)) / (sum(pos) * sum(neg)), 9) AS auc,
@@ -454,7 +463,8 @@ def q_design_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- F1: additive fit of level weights under the tariff corridor objective ---
 def tariff_fit(spark: SparkSession, sf_dir: str, rounds: int) -> DataFrame:
-    model = FT.fit_additive(with_acc(spark, sf_dir), FEATURES, lambda p: O.corridor_grad(p, "t", "m", "acc"),
+    s = with_acc(spark, sf_dir)
+    model = FT.fit_additive(s, varying_feature_names(s, FEATURES), O.corridor_objective("t", "m", "acc"),
                             ["t", "m", "acc"], FitConfig(max_rounds=rounds, l2=1e-5))
     return model.coefficients(spark)
 

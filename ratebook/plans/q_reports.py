@@ -216,8 +216,15 @@ def feature_map(levels: DataFrame) -> DataFrame:
 
 @register("feature_map", _feature_map_sql())
 def q_feature_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written as a tab-separated file and read back."""
+    from ..sources import files as FL
     lv = W.level_table(scored_portfolio(spark, sf_dir), FEATURES)
-    return feature_map(lv).withColumn("col_index", F.col("col_index").cast("long"))
+    table = feature_map(lv).withColumn("col_index", F.col("col_index").cast("long"))
+    path = FL.scratch_path(spark, "feature-map")
+    # a blank level is text too: nothing is trimmed on the way
+    keep = {"sep": "\t", "header": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    table.write.csv(path, **keep)
+    return spark.read.csv(path, schema=table.schema, **keep)
 
 
 # --- U1: reports appended by column name ---

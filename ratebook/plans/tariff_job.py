@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import FitConfig, PricingConfig
-from ..functions.objectives import corridor_grad
+from ..functions.objectives import corridor_objective
 from ..functions.pricing import from_scale, price_list, quote_profit, renewal_corridor, targets
 from ..functions.scalar import cols_like
 from ..operators import fit as FT
@@ -25,6 +25,7 @@ from ..operators import joins as J
 from ..operators import reports as R
 from ..operators import sampling as SP
 from ..operators import windows as W
+from ..operators.aggregates import varying_feature_names
 from ..operators.portfolio import centred_benefit, renewing_in
 from ..session import cut_lineage
 from ..sources import files as FL
@@ -49,7 +50,7 @@ def run_tariff_job(spark: SparkSession, sf_dir: str, out_dir: str, cfg: JobConfi
         pol = J.override_price(pol, SI.external_price(spark, sf_dir), cfg.pricing)
         coef = None
     else:
-        model = FT.fit_additive(pol, FEATURES, lambda p: corridor_grad(p, "t", "m", "acc"),
+        model = FT.fit_additive(pol, varying_feature_names(pol, FEATURES), corridor_objective("t", "m", "acc"),
                                 ["t", "m", "acc"], cfg.fit)
         coef = model.coefficients(spark)
         pol = FT.score(pol, coef, FEATURES, out="p")

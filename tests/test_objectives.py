@@ -119,3 +119,19 @@ def test_l1_plot_weights(rows):
             + w.w_over * (p - m) ** 2 * (m - t) * so / tot)
     exp = np.where(m > t, prof, w.w_loss_low * (m - p) ** 2 + w.w_loss_high * (t - p) ** 2)
     np.testing.assert_allclose(got, exp, rtol=1e-9, atol=1e-9)
+
+
+def test_each_mask_is_computed_once(rows):
+    """Gradient and Hessian of the three variants: five exponentials and one tanh in the whole plan."""
+    _, df = rows
+    df = df.selectExpr("i", "p + i * 0 AS p", "t", "m", "u")
+    pulls = [O.corridor_pulls("p", "t", "m", "u"), O.normalised_pulls("p", "t", "m"), O.conversion_pulls("p", "t", "m")]
+    staged = [x.staged(f"o{k}") for k, x in enumerate(pulls)]
+    for columns, _ in staged:
+        df = df.withColumns(columns)
+    out = df.select("i", *[c.alias(f"{kind}{k}") for k, (_, x) in enumerate(staged) for kind, c in zip("gh", x.grad(O.F.col("p")))])
+    plan = out._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("exp(") == 5 and plan.count("tanh(") == 1
+    inline = collect(df.select("i", *[c.alias(f"{kind}{k}") for k, x in enumerate(pulls) for kind, c in zip("gh", x.grad(O.F.col("p")))]), ["g0", "h1", "g2"])
+    for a, b in zip(collect(out, ["g0", "h1", "g2"]), inline):
+        np.testing.assert_allclose(a, b, rtol=1e-12)

@@ -148,6 +148,6 @@ def test_renewal_corridor_propagates_missing_and_chooses_by_claim(spark):
             (3, 100.0, 50.0, None, None, None)]       # no competitor: min comp missing -> strict pmax missing
     df = spark.createDataFrame(rows, "polref int, policy_premium double, nt double, claim double, c1 double, c2 double")
     out = {r.polref: r for r in renewal_corridor(df.withColumn("a", F.lit(100.0)), competitors=["c1", "c2"]).collect()}
-    assert out[1].dij == min(120.0, max(50.0, max(105.0, 80.0)))
-    assert out[2].dij == min(300.0, max(50.0, max(200.0, 200.0)))
-    assert out[3].dij is None and out[3].szorzo is None
+    assert out[1].renewal_premium == min(120.0, max(50.0, max(105.0, 80.0)))
+    assert out[2].renewal_premium == min(300.0, max(50.0, max(200.0, 200.0)))
+    assert out[3].renewal_premium is None and out[3].renewal_factor is None
