@@ -123,13 +123,12 @@ def test_l1_plot_weights(rows):
 
 def test_each_mask_is_computed_once(rows):
     """Gradient and Hessian of the three variants: five exponentials and one tanh in the whole plan."""
-    _, df = rows
-    df = df.selectExpr("i", "p + i * 0 AS p", "t", "m", "u")
+    df = rows[1].sparkSession.range(400).selectExpr("id AS i", "(id % 37) / 40 AS p", "(id % 11) / 30 AS t", "(id % 13) / 25 AS m", "(id % 17) / 20 AS u")
     pulls = [O.corridor_pulls("p", "t", "m", "u"), O.normalised_pulls("p", "t", "m"), O.conversion_pulls("p", "t", "m")]
-    staged = [x.staged(f"o{k}") for k, x in enumerate(pulls)]
+    staged, first = [x.staged(f"o{k}") for k, x in enumerate(pulls)], df
     for columns, _ in staged:
-        df = df.withColumns(columns)
-    out = df.select("i", *[c.alias(f"{kind}{k}") for k, (_, x) in enumerate(staged) for kind, c in zip("gh", x.grad(O.F.col("p")))])
+        first = first.withColumns(columns)
+    out = first.select("i", *[c.alias(f"{kind}{k}") for k, (_, x) in enumerate(staged) for kind, c in zip("gh", x.grad(O.F.col("p")))])
     plan = out._jdf.queryExecution().optimizedPlan().toString().lower()
     assert plan.count("exp(") == 5 and plan.count("tanh(") == 1
     inline = collect(df.select("i", *[c.alias(f"{kind}{k}") for k, x in enumerate(pulls) for kind, c in zip("gh", x.grad(O.F.col("p")))]), ["g0", "h1", "g2"])
