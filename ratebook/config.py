@@ -64,7 +64,7 @@ class TreeConfig:
     eta: float = 0.05
     reg_lambda: float = 1.0
     min_child_hess: float = 1.0
-    bins: int = 32
+    bins: int = 256
 
 
 @dataclass(frozen=True)

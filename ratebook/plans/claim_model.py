@@ -35,13 +35,18 @@ def classifier_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return MT.typicality(st, MT.scaler_stats(train, FEATURES), FEATURES, alpha=0.5)
 
 
+def custom_trees(train: DataFrame, trees: TreeConfig) -> TR.TreeModel:
+    """Boosted trees under the profit objective (F2)."""
+    return TR.fit_trees(train, FEATURES, lambda p: profit_logistic_grad(p, "label", "market", "typicality"),
+                        ["label", "market", "typicality"], trees)
+
+
 def compare_models(spark: SparkSession, sf_dir: str, trees: TreeConfig = TreeConfig(),
                    baseline_iter: int = 100) -> DataFrame:
     """Test-split log loss and AUC of the custom-loss trees and the baseline."""
     df = classifier_frame(spark, sf_dir)
     train, test = df.filter(F.col("split") == "train"), df.filter(F.col("split") == "test")
-    model = TR.fit_trees(train, FEATURES, lambda p: profit_logistic_grad(p, "label", "market", "typicality"),
-                         ["label", "market", "typicality"], trees)
+    model = custom_trees(train, trees)
     custom = model.predict(test, "margin").withColumn("prob", logistic(F.col("margin")))
     va, gbt = TR.gbt_baseline(train, FEATURES, "label", max_depth=trees.max_depth, step=trees.eta,
                               max_iter=baseline_iter, classifier=True)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import CORRIDOR_CONVERSION, CORRIDOR_NORMALISED, CORRIDOR_PLOT, CORRIDOR_TARIFF, FitConfig
+from ..config import CORRIDOR_CONVERSION, CORRIDOR_NORMALISED, CORRIDOR_PLOT, CORRIDOR_TARIFF, FitConfig, TreeConfig
 from ..functions import objectives as O
 from ..functions.pricing import deviation_weight, targets
 from ..functions.semantics import paste0
@@ -133,16 +135,7 @@ def q_business_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- P6, P8, M4, P34, A21, P35 (clipped), O4: claim classifier inputs and gradient ---
-CLASSIFIER_SQL = with_standin("""
-SELECT polref, split, round(nm / (SELECT med FROM med), 6) AS market_scaled,
-  round(typ, 6) AS typicality, round(g, 6) AS g, round(h, 6) AS h FROM (
-  SELECT *, typ * (mk * pr * (1e0 - pr) - label * (1e0 - pr)) AS g,
-         typ * (mk * (1e0 - 2e0 * pr) * pr * (1e0 - pr) + label * pr * (1e0 - pr)) AS h FROM (
-    SELECT s.*, nm / (SELECT med FROM med) AS mk,
-      exp(-0.5e0 * sqrt(pow((kw - st.mu_kw) / st.sd_kw, 2) + pow((clientage - st.mu_age) / st.sd_age, 2)
-                        + pow((zip - st.mu_zip) / st.sd_zip, 2))) AS typ,
-      1e0 / (1e0 + exp(-least(greatest(CAST(a - nm AS DOUBLE) / 1e4, -35e0), 35e0))) AS pr
-    FROM strat s, st))""", """
+CLASSIFIER_CTES = """
 cbase AS (SELECT polref, CAST(claim IS NOT NULL AS INTEGER) AS label, coalesce(kw, -1) AS kw, clientage, zip, nm, a
   FROM priced WHERE clientage IS NOT NULL AND nm IS NOT NULL),
 strat AS (SELECT *, CASE WHEN r <= floor(n * 0.8e0) THEN 'train' ELSE 'test' END AS split FROM (
@@ -152,7 +145,19 @@ med AS (SELECT quantile_cont(nm, 0.5) AS med FROM strat WHERE split = 'train'),
 st AS (SELECT avg(kw) AS mu_kw, CASE WHEN stddev_pop(kw) = 0 THEN 1e0 ELSE stddev_pop(kw) END AS sd_kw,
   avg(clientage) AS mu_age, CASE WHEN stddev_pop(clientage) = 0 THEN 1e0 ELSE stddev_pop(clientage) END AS sd_age,
   avg(zip) AS mu_zip, CASE WHEN stddev_pop(zip) = 0 THEN 1e0 ELSE stddev_pop(zip) END AS sd_zip
-  FROM strat WHERE split = 'train')""")
+  FROM strat WHERE split = 'train')"""
+
+CLASSIFIER_SQL = with_standin("""
+SELECT polref, split, round(nm / (SELECT med FROM med), 6) AS market_scaled,
+  round(typ, 6) AS typicality, round(g, 6) AS g, round(h, 6) AS h FROM (
+  SELECT *, typ * (mk * pr * (1e0 - pr) - label * (1e0 - pr)) AS g,
+         typ * (mk * (1e0 - 2e0 * pr) * pr * (1e0 - pr) + label * pr * (1e0 - pr)) AS h FROM (
+    SELECT s.*, nm / (SELECT med FROM med) AS mk,
+      exp(-0.5e0 * sqrt(pow((kw - st.mu_kw) / st.sd_kw, 2) + pow((clientage - st.mu_age) / st.sd_age, 2)
+                        + pow((zip - st.mu_zip) / st.sd_zip, 2))) AS typ,
+      1e0 / (1e0 + exp(-least(greatest(CAST(a - nm AS DOUBLE) / 1e4, -35e0), 35e0))) AS pr
+    FROM strat s, st))""", CLASSIFIER_CTES)
+
 
 
 def median_scaled(train: DataFrame, df: DataFrame, c: str, key: str, out: str) -> DataFrame:
@@ -543,7 +548,6 @@ def q_price_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(summary(scored_portfolio(spark, sf_dir), ["a", "nm", "nt", "np"]), ["mean", "sd"])
 
 
-# --- M2, P32, F3, F6 (rows only): squared-error trees with weights and a held-out stop ---
 def sim_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Simulated-quote view: A label, T log margin, V price gap, three rating features."""
     pol = SI.policy_view(spark, sf_dir)
@@ -554,20 +558,110 @@ def sim_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("clientage").cast("double").alias("DrivAge"))
 
 
+SIM_FEATURES = ["VehPower", "VehAge", "DrivAge"]
+REFERENCE_TREES = TreeConfig(rounds=500, max_depth=3, eta=0.1)
+
+
+def reference_trees(spark: SparkSession, sf_dir: str, cfg: TreeConfig):
+    """weights V shifted on the training rows only (P32), base margin T, held-out stop after 50 rounds."""
+    from ..functions.scalar import fill_features
+    from ..operators import trees as TR
+    d = fill_features(SP.split(sim_quotes(spark, sf_dir), "polref", 0.8, seed=123), SIM_FEATURES)
+    train = MT.shift_positive(d.filter(F.col("split") == "train"), "V")
+    return TR.fit_reference_trees(train, d.filter(F.col("split") == "test"), SIM_FEATURES, "A", "V", "T", cfg, patience=50)
+
+
+# --- M2, P32, F3, F6 (rows only): squared-error trees with weights, base margin and a held-out stop; mean gains ---
 @register("tree_importance")
 def q_tree_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reference_trees(spark, sf_dir, REFERENCE_TREES).importance(spark)
+
+
+def _tree_sql(rows: str, features: list[str], eta: float, ctes: str, lam: str = "1e0") -> str:
+    """First tree of depth 2 over rows (g, h, features), every value a cut; its splits and leaves."""
+    longs = " UNION ALL ".join(f"SELECT 0 AS node, {i} AS f, CAST({c} AS DOUBLE) AS x, g, h FROM rws" for i, c in enumerate(features))
+    score = f"(G * G / (H + {lam}))"
+
+    def best(k: int) -> str:
+        """The best split of each node of level k from its sums by value."""
+        return f"""
+vals{k} AS MATERIALIZED (SELECT node, f, x, sum(g) AS G, sum(h) AS H FROM long{k} GROUP BY ALL),
+tot{k} AS MATERIALIZED (SELECT node, sum(g) AS G, sum(h) AS H FROM long{k} WHERE f = 0 GROUP BY node),
+cand{k} AS (SELECT t.node, c.f, c.x AS cut, sum(CASE WHEN v.x < c.x THEN v.G ELSE 0e0 END) AS GL, sum(CASE WHEN v.x < c.x THEN v.H ELSE 0e0 END) AS HL,
+  any_value(t.G) AS G, any_value(t.H) AS H
+  FROM tot{k} t JOIN cuts c ON true JOIN vals{k} v ON v.node = t.node AND v.f = c.f GROUP BY t.node, c.f, c.x),
+best{k} AS MATERIALIZED (SELECT node, f, cut, gain FROM (
+  SELECT *, GL * GL / (HL + {lam}) + (G - GL) * (G - GL) / (H - HL + {lam}) - {score} AS gain FROM cand{k} WHERE HL >= 1 AND H - HL >= 1)
+  WHERE gain > 1e-12 QUALIFY row_number() OVER (PARTITION BY node ORDER BY round(gain, 6) DESC, f, cut) = 1)"""
+
+    def down(k: int) -> str:
+        """The rows of the split nodes, in their children."""
+        side = " ".join(f"WHEN f = {i} THEN CAST({c} AS DOUBLE)" for i, c in enumerate(features))
+        return f"""
+rws{k + 1} AS MATERIALIZED (SELECT r.* REPLACE (2 * r.node + (CASE WHEN (CASE {side} END) < cut THEN 1 ELSE 2 END) AS node) FROM rws{k} r JOIN best{k} b USING (node))"""
+
+    per = lambda k: " UNION ALL ".join(f"SELECT node, {i} AS f, CAST({c} AS DOUBLE) AS x, g, h FROM rws{k}" for i, c in enumerate(features))
+    names = " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(features))
+    return with_standin(f"""
+SELECT node, CASE f {names} END AS feature, cut, round(gain, 3) AS gain, CAST(NULL AS DOUBLE) AS value FROM (SELECT * FROM best0 UNION ALL SELECT * FROM best1)
+UNION ALL SELECT node, NULL, NULL, NULL, round({-eta!r} * G / (H + {lam}), 6) + 0e0 FROM (
+  SELECT node, sum(g) AS G, sum(h) AS H FROM (SELECT node, g, h FROM rws2
+    UNION ALL SELECT node, g, h FROM rws1 WHERE node NOT IN (SELECT node FROM best1)
+    UNION ALL SELECT node, g, h FROM rws0 WHERE node NOT IN (SELECT node FROM best0)) GROUP BY node)""", f"""{ctes},
+rws0 AS MATERIALIZED (SELECT CAST(0 AS INTEGER) AS node, * FROM ({rows})),
+cuts AS MATERIALIZED (SELECT f, x FROM (SELECT DISTINCT f, x FROM ({per(0)})) QUALIFY row_number() OVER (PARTITION BY f ORDER BY x) > 1),
+long0 AS MATERIALIZED ({per(0)}),{best(0)},{down(0)},
+long1 AS MATERIALIZED ({per(1)}),{best(1)},{down(1)}""")
+
+
+def first_tree(model, spark: SparkSession) -> DataFrame:
+    nodes = model.nodes(spark).filter(F.col("tree") == 0).select("node", "feature", "cut", "gain", "value")
+    return rounded(rounded(nodes, ["gain"], 3), ["value"]).withColumn("value", F.col("value") + F.lit(0.0))
+
+
+# --- F3, F6: the first tree of the squared-error booster, written out ---
+@register("reference_tree", _tree_sql(
+    "SELECT V * (T - A) AS g, V AS h, VehPower, VehAge, DrivAge FROM (SELECT *, vv + abs((SELECT min(vv) FROM sim WHERE split = 'train')) + 1e-6 AS V FROM sim WHERE split = 'train')",
+    SIM_FEATURES, 0.1, f"""
+sim AS (SELECT CAST(claim IS NOT NULL AS DOUBLE) AS A, ln(nm) - ln(nt) AS T, CAST(np - nm AS DOUBLE) / 1e4 AS vv,
+  coalesce(CAST(kw AS DOUBLE), -999e0) AS VehPower, CAST(polref % 20 AS DOUBLE) AS VehAge, coalesce(CAST(clientage AS DOUBLE), -999e0) AS DrivAge,
+  CASE WHEN {TEST_SPLIT.replace('1234', '123')} THEN 'test' ELSE 'train' END AS split FROM priced)"""))
+def q_reference_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return first_tree(reference_trees(spark, sf_dir, replace(REFERENCE_TREES, rounds=1, max_depth=2)), spark)
+
+
+# --- F2: the first tree under the profit objective, written out, and the comparison with a baseline ---
+@register("claim_tree", _tree_sql(
+    "SELECT typ * (mk * 0.25e0 - label * 0.5e0) AS g, typ * (label * 0.25e0) AS h, kw, clientage, zip FROM scal", ["kw", "clientage", "zip"], 0.05,
+    CLASSIFIER_CTES + """,
+scal AS (SELECT s.*, nm / (SELECT med FROM med) AS mk,
+  exp(-0.5e0 * sqrt(pow((kw - st.mu_kw) / st.sd_kw, 2) + pow((clientage - st.mu_age) / st.sd_age, 2) + pow((zip - st.mu_zip) / st.sd_zip, 2))) AS typ
+  FROM strat s, st WHERE split = 'train')"""))
+def q_claim_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .claim_model import classifier_frame, custom_trees
+    train = classifier_frame(spark, sf_dir).filter(F.col("split") == "train")
+    return first_tree(custom_trees(train, TreeConfig(rounds=1, max_depth=2)), spark)
+
+
+@register("claim_models")
+def q_claim_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log loss and AUC on the test split: trees under the profit objective beside the plain baseline, ten trees each."""
+    from .claim_model import compare_models
+    return compare_models(spark, sf_dir, TreeConfig(rounds=10), baseline_iter=10)
+
+
+# --- S7: a tree model stored and read back gives the same prices ---
+@register("tree_io", with_standin("SELECT polref, CAST(true AS BOOLEAN) AS same FROM priced WHERE clientage IS NOT NULL AND nm IS NOT NULL"))
+def q_tree_io(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import trees as TR
-    d = SP.split(sim_quotes(spark, sf_dir), "polref", 0.8, seed=123)
-    d = d.withColumn("is_val", F.col("split") == "test")
-    # shift the weight column on the training rows (P32); base margin T enters as offset
-    mn = d.filter(~F.col("is_val")).agg(F.min("V")).scalar()
-    d = d.withColumns({"V": F.col("V") + F.abs(mn) + F.lit(1e-6), "resid": F.col("A") - F.col("T")})
-    feats = ["VehPower", "VehAge", "DrivAge"]
-    from ..functions.scalar import fill_features
-    d = fill_features(d, feats)  # pyspark.ml trees take no missing values: -999 level (P5)
-    _, model = TR.gbt_baseline(d, feats, "resid", weight="V", validation="is_val",
-                               max_depth=3, step=0.1, max_iter=500)
-    return TR.importance(spark, model, feats)
+    from ..sources import files as FL
+    from .claim_model import classifier_frame, custom_trees
+    d = classifier_frame(spark, sf_dir)
+    model = custom_trees(d, TreeConfig(rounds=2, max_depth=3))
+    path = FL.scratch_path(spark, "trees")
+    TR.save_trees(model, spark, path)
+    both = TR.load_trees(spark, path).predict(model.predict(d, "pred"), "again")
+    return both.select("polref", (F.col("pred") == F.col("again")).alias("same"))
 
 
 # --- A1 as a Structured Streaming job over arriving claim files ---

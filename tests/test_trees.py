@@ -40,3 +40,82 @@ def test_boosting_reduces_squared_error(spark):
     model = TR.fit_trees(df, ["a", "b"], squared, ["y"], TreeConfig(rounds=5, max_depth=3, eta=0.5))
     pred = model.predict(df).toPandas()["pred"].to_numpy()
     assert np.mean((pred - y) ** 2) < 0.25 * np.var(y)
+
+
+def brute_trees(x, g_of, rounds, depth, eta, lam, base):
+    """Exact greedy boosting over all distinct values, by full recursion on numpy arrays."""
+    pred, gains = base.copy(), {}
+
+    def grow(rows, g, h, d):
+        G, H = g[rows].sum(), h[rows].sum()
+        best = None
+        for f in range(x.shape[1]):
+            for c in np.unique(x[:, f])[1:]:
+                left = rows & (x[:, f] < c)
+                GL, HL = g[left].sum(), h[left].sum()
+                if HL < 1 or H - HL < 1:
+                    continue
+                gain = GL**2 / (HL + lam) + (G - GL) ** 2 / (H - HL + lam) - G**2 / (H + lam)
+                if best is None or gain > best[0] + 1e-9:
+                    best = (gain, f, c)
+        if d == 0 or best is None or best[0] <= 1e-12:
+            pred[rows] += -eta * G / (H + lam)
+            return
+        gain, f, c = best
+        gains.setdefault(f, []).append(gain)
+        grow(rows & (x[:, f] < c), g, h, d - 1)
+        grow(rows & ~(x[:, f] < c), g, h, d - 1)
+
+    for _ in range(rounds):
+        g, h = g_of(pred)
+        grow(np.ones(len(x), bool), g, h, depth)
+    return pred, gains
+
+
+def test_weighted_trees_with_a_margin_equal_exact_greedy(spark):
+    rng = np.random.default_rng(4)
+    n = 500
+    x = np.column_stack([rng.integers(0, 12, n), rng.integers(0, 7, n)]).astype(float)
+    pdf = pd.DataFrame({"a": x[:, 0], "b": x[:, 1], "y": x[:, 0] * 0.3 + (x[:, 1] > 3) + rng.normal(0, 0.2, n), "w": rng.random(n) + 0.5, "t": rng.normal(0, 0.1, n)})
+    held = pdf[:100].assign(y=rng.normal(5, 1, 100))
+    model = TR.fit_reference_trees(spark.createDataFrame(pdf), spark.createDataFrame(held), ["a", "b"], "y", "w", "t",
+                                   TreeConfig(rounds=3, max_depth=3, eta=0.3))
+    want, gains = brute_trees(x, lambda p: ((pdf.w * (p - pdf.y)).to_numpy(), pdf.w.to_numpy()), 3, 3, 0.3, 1.0, pdf.t.to_numpy().copy())
+    got = model.predict(spark.createDataFrame(pdf), base="t").toPandas()["pred"]
+    np.testing.assert_allclose(got, want, atol=1e-9)
+    table = {r.feature: (r.importance, r.splits) for r in model.importance(spark).collect()}
+    for f, name in enumerate("ab"):
+        np.testing.assert_allclose(table[name][0], np.mean(gains[f]))
+        assert table[name][1] == len(gains[f])
+    # held-out rows have no weight and no margin
+    start = model.predict(spark.createDataFrame(held), base=F.lit(0.5)).toPandas()
+    assert abs(np.mean((start.pred - held.y) ** 2) - model.history[-1]) < 1e-9
+
+
+def test_boosting_stops_after_its_patience(spark):
+    rng = np.random.default_rng(7)
+    pdf = pd.DataFrame({"a": rng.integers(0, 9, 300).astype(float), "y": rng.normal(size=300), "w": 1.0, "t": 0.0})
+    held = pd.DataFrame({"a": pdf.a, "y": 0.5})  # any step away from the start is worse
+    model = TR.fit_reference_trees(spark.createDataFrame(pdf), spark.createDataFrame(held), ["a"], "y", "w", "t",
+                                   TreeConfig(rounds=40, max_depth=2, eta=0.5), patience=3)
+    assert len(model.trees) <= 40 and model.best_round is not None and len(model.trees) - 1 - model.best_round == 3
+
+
+def test_missing_values_go_right_and_models_are_stored(spark, tmp_path):
+    rows = [(float(k % 10) if k % 4 else None, float(k % 4 == 0) * 5.0 + k % 10, 1.0) for k in range(400)] + [(float("nan"), 5.0, 1.0)] * 20
+    df = spark.createDataFrame(rows, "a double, y double, one double")
+    model = TR.fit_trees(df, ["a"], squared, ["y"], TreeConfig(rounds=4, max_depth=3, eta=0.5), base=1.5)
+    TR.save_trees(model, spark, f"{tmp_path}/trees")
+    again = TR.load_trees(spark, f"{tmp_path}/trees")
+    a, b = (m.predict(df).toPandas()["pred"].to_numpy() for m in (model, again))
+    assert (a == b).all() and len(again.trees) == 4
+    gone = np.array([r[0] is None or r[0] != r[0] for r in rows])
+    assert len(set(a[gone])) == 1
+
+
+def test_quantile_cuts_of_many_values_are_weighted(spark):
+    df = spark.range(10_000).selectExpr("CAST(id AS DOUBLE) AS x", "CASE WHEN id < 5000 THEN 3.0 ELSE 1.0 END AS w", "CAST(NULL AS DOUBLE) AS none")
+    cuts = TR.split_points(df, ["x", "none"], 8, F.col("w"))
+    assert cuts["none"] == [] and len(cuts["x"]) == 7
+    total = np.cumsum(np.where(np.arange(10_000) < 5000, 3.0, 1.0))
+    np.testing.assert_allclose(cuts["x"], [np.searchsorted(total, total[-1] * k / 8) for k in range(1, 8)], atol=1)
