@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import chunks
+from .common import chunks, free_name
 
 #: bytes of a piece that a matrix row holds at most
 LONGEST = 512
@@ -232,9 +232,9 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path, pattern)
         for batch in batches:
-            for part in chunks(batch, "_text"):
+            for part in chunks(batch, batch.num_columns - 1):
                 cols: dict[str, list] = {o: [] for o in outputs}
-                for ids in v.encode([t or "" for t in part.column("_text").to_pylist()]):
+                for ids in v.encode([t or "" for t in part.column(part.num_columns - 1).to_pylist()]):
                     back = v.decode(ids) if {"decoded", "decoded_sha256"} & set(outputs) else b""
                     for o in outputs:
                         cols[o].append({
@@ -246,7 +246,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text",
                 arrays += [pa.array(cols[o], FIELDS[o][0]) for o in outputs]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *outputs])
 
-    return df.select(*kept, df[text].alias("_text")).mapInArrow(run, schema)
+    return df.select(*kept, df[text].alias(free_name(df, "_text"))).mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFrame:
@@ -260,4 +260,4 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFram
             out = [v.decode(np.array([x for x in r or [] if x is not None], np.int64)) for r in lists.to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.binary())], names=[*kept, "decoded"])
 
-    return df.select(*kept, df[ids].alias("_ids")).mapInArrow(run, schema)
+    return df.select(*kept, df[ids].alias(free_name(df, "_ids"))).mapInArrow(run, schema)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,7 +34,33 @@ def text_key(col: Column) -> Column:
     return F.md5(F.coalesce(col, F.lit("")).cast("binary"))
 
 
-def chunks(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+def shielded(df: DataFrame, needed: Sequence[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """(the rows with all but the needed columns under names that no operator uses, what gives them their names back).
+
+    A column that the operator has made itself replaces one of the same name;
+    the others come back in their old order, new ones behind them.
+    """
+    stem = "__user_"
+    while any(c.startswith(stem) for c in df.columns):
+        stem += "_"
+    hidden = {c: f"{stem}{i}" for i, c in enumerate(df.columns) if c not in needed}
+
+    def back(out: DataFrame) -> DataFrame:
+        new = [c for c in out.columns if c not in hidden.values() and c not in df.columns]
+        names = {c: hidden[c] if c in hidden and c not in out.columns else c for c in df.columns}
+        return out.select(*(F.col(names[c]).alias(c) for c in df.columns if names[c] in out.columns), *new)
+
+    return df.select(*(F.col(f"`{c}`").alias(hidden.get(c, c)) for c in df.columns)), back
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores behind it as no column of the table has."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
+def chunks(batch: pa.RecordBatch, column: str | int) -> Iterator[pa.RecordBatch]:
     """Slices of an Arrow batch with about CHUNK_CHARS of text each (one row at least)."""
     import pyarrow.compute as pc
 
@@ -49,4 +75,4 @@ def chunks(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
         yield batch.slice(first)
 
 
-__all__ = ["CHUNK_CHARS", "by_size", "checkpoint", "chunks", "table", "text_key"]
+__all__ = ["CHUNK_CHARS", "by_size", "checkpoint", "chunks", "free_name", "shielded", "table", "text_key"]

@@ -24,7 +24,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_key
+from .common import shielded, text_key
 
 # fixed values: the word class and the letters that are lower-cased
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -124,21 +124,23 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text",
         F.array_sort(F.collect_set("item")).alias("_items"))
     found = found.select(F.col("key").alias("_key"), "spans", "_items")
     none = F.array().cast("array<struct<start:int,end:int>>")
-    out = docs.drop(*OUT).withColumns({"_key": text_key(F.col(text)), "n_words": F.size(words(F.col(text))).cast("long")})
+    rows, back = shielded(docs, [text])
+    out = rows.withColumns({"_key": text_key(F.col(text)), "n_words": F.size(words(F.col(text))).cast("long")})
     out = out.join(found, "_key", "left").withColumn("spans", F.coalesce("spans", none))
     items = F.coalesce("_items", F.array().cast("array<string>"))
-    return out.withColumns({
+    return back(out.withColumns({
         "n_hit": _covered(F.col("spans")),
         "n_items": F.size(items).cast("long"),
         "items_sha256": F.sha2(F.concat_ws(",", items), 256),
         "contaminated": F.size("spans") > 0,
-    }).drop("_key", "_items")
+    }).drop("_key", "_items"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The documents without a benchmark window, with their own columns."""
     bad = hits(docs, benchmark, text).select(F.col("key").alias("_key")).distinct()
-    return docs.withColumn("_key", text_key(F.col(text))).join(bad, "_key", "left_anti").select(*docs.columns)
+    rows, back = shielded(docs, [text])
+    return back(rows.withColumn("_key", text_key(F.col(text))).join(bad, "_key", "left_anti").drop("_key"))
 
 
 def remove_spans(marked: DataFrame, text: str = "text") -> DataFrame:
@@ -148,6 +150,7 @@ def remove_spans(marked: DataFrame, text: str = "text") -> DataFrame:
     word = lambda j: F.floor((j - F.col("_first")) / 2)
     kept = F.filter("_parts", lambda p, j: ~F.exists("spans", lambda s: (word(j) >= s["start"]) & (word(j) < s["end"])))
     cut = F.when(F.size("spans") > 0, F.concat_ws("", kept)).otherwise(F.col(text))
-    return (marked.withColumn("_parts", F.filter(parts, lambda p: F.length(p) > 0))
+    marked, back = shielded(marked, [text, "spans"])
+    return back(marked.withColumn("_parts", F.filter(parts, lambda p: F.length(p) > 0))
             .withColumn("_first", F.when(F.size("_parts") > 0, first).otherwise(0))
             .withColumn(text, cut).drop("_parts", "_first"))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_size, checkpoint
+from .common import by_size, checkpoint, shielded
 
 #: words of a line at least, for a near match
 LEAST = 8
@@ -206,12 +206,14 @@ def decisions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", limit
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", limit: int = BROADCAST_KEYS) -> DataFrame:
     """The documents with the duplicate lines cut out of their text (null stays null)."""
+    docs, back = shielded(docs, [doc_id, text])
     keep = F.filter(F.split(F.col(text), "\n"), lambda x, i: ~x.rlike(r"\S") | F.array_contains("_kept", i))
-    return _marked(docs, doc_id, text, limit).withColumn(text, F.array_join(keep, "\n")).drop("_kept").select(*docs.columns)
+    return back(_marked(docs, doc_id, text, limit).withColumn(text, F.array_join(keep, "\n")).drop("_kept"))
 
 
 def drop_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", limit: int = BROADCAST_KEYS) -> DataFrame:
     """Like dedup(), without the documents that had words and have none left."""
+    docs, back = shielded(docs, [doc_id, text])
     marked = _marked(docs, doc_id, text, limit).where((F.size("_kept") > 0) | ~F.coalesce(F.col(text), F.lit("")).rlike(r"\S"))
     keep = F.filter(F.split(F.col(text), "\n"), lambda x, i: ~x.rlike(r"\S") | F.array_contains("_kept", i))
-    return marked.withColumn(text, F.array_join(keep, "\n")).drop("_kept").select(*docs.columns)
+    return back(marked.withColumn(text, F.array_join(keep, "\n")).drop("_kept"))

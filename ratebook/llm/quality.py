@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks
+from .common import chunks, free_name
 from .labelled import logistic, remainder, sample, sigmoid
 
 BLOCK = 1024
@@ -77,12 +77,12 @@ def _mapped(df: DataFrame, model: Model, names: dict[str, T.DataType], make) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "_text"):
+            for part in chunks(batch, batch.num_columns - 1):
                 arrays = [part.column(i) for i in range(len(kept))]
-                arrays += make(differences(part.column("_text").to_pylist(), model))
+                arrays += make(differences(part.column(part.num_columns - 1).to_pylist(), model))
                 yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *names])
 
-    return df.select(*kept, F.col("text").alias("_text")).mapInArrow(run, schema)
+    return df.select(*kept, F.col("text").alias(free_name(df, "_text"))).mapInArrow(run, schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = SAMPLE_ROWS) -> Model:

@@ -21,14 +21,16 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import chunks
+from .common import chunks, free_name
 
 # fixed values: the three patterns with the least length of what they find
 ASSIGN = re.compile(
@@ -86,10 +88,11 @@ def excluded(run: str, encoding) -> bool:  # noqa: ANN001
 
 
 def token_spans(text: str, encoding, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:  # noqa: ANN001
-    out = []
+    """Spans of the token test that overlap none of `taken` (sorted): a run overlaps one if a span that starts before its end reaches beyond its start."""
+    out, starts, reach = [], [s for s, _, _ in taken], list(accumulate((e for _, _, e in taken), max))
     for m in RUN.finditer(text):
-        run = m[0]
-        if any(s < m.end() and m.start() < e for s, _, e in taken) or not random_like(run, len(run), encoding):
+        run, before = m[0], bisect_left(starts, m.end())
+        if before and reach[before - 1] > m.start() or not random_like(run, len(run), encoding):
             continue
         if not excluded(run, encoding):
             out.append((m.start(), 3, m.end()))
@@ -109,9 +112,9 @@ def scan(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoding(path, pattern)
         for batch in batches:
-            for part in chunks(batch, "_text"):
+            for part in chunks(batch, batch.num_columns - 1):
                 cols: dict[str, list] = {n: [] for n in names}
-                for t in part.column("_text").to_pylist():
+                for t in part.column(part.num_columns - 1).to_pylist():
                     base = base_spans(t or "")
                     more = token_spans(t or "", enc, base)
                     for k, n in enumerate(names[:3]):
@@ -123,4 +126,4 @@ def scan(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFram
                 arrays += [pa.array(cols[n], pa.string() if t == T.StringType() else pa.int64()) for n, t in SCHEMA]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *names])
 
-    return df.select(*kept, df[text].alias("_text")).mapInArrow(run, schema)
+    return df.select(*kept, df[text].alias(free_name(df, "_text"))).mapInArrow(run, schema)

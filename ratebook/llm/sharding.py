@@ -23,7 +23,7 @@ import heapq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, text_key
+from .common import checkpoint, shielded, text_key
 
 SHARDS = 24
 #: bundles a shard; items of the differencing are at most 2 x SHARDS x BUNDLES
@@ -93,8 +93,8 @@ def _placed(docs: DataFrame, shards: int, text: str) -> DataFrame:
 
 def shard_rows(docs: DataFrame, shards: int = SHARDS, text: str = "text") -> DataFrame:
     """All rows and columns with their shard (a column of that name is replaced); two broadcast joins, no shuffle of texts."""
-    clash = [c for c in ("size", "text_crc32", "shard") if c in docs.columns]
-    return _placed(docs.drop(*clash), shards, text).drop("size", "text_crc32", "_key", "_bundle", "_rows")
+    rows, back = shielded(docs, [text])
+    return back(_placed(rows, shards, text).drop("size", "text_crc32", "_key", "_bundle", "_rows"))
 
 
 def assign(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -106,7 +106,7 @@ def assign(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", text:
     before = Window.partitionBy("shard").orderBy("_bundle", "_cell").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (placed.groupBy("shard", "_bundle", "_cell").agg(F.count("*").alias("n"))
                .withColumn("_first", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n", "shard"))
-    within = Window.partitionBy("_bundle", "_cell").orderBy("doc_id")
+    within = Window.partitionBy("_bundle", "_cell").orderBy("doc_id", "size", "text_crc32")
     return (
         placed.withColumn("_no", F.row_number().over(within) - 1).join(offsets, ["_bundle", "_cell"])
         .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint, chunks
+from .common import checkpoint, chunks, free_name
 from .labelled import logistic, remainder, sample, sigmoid
 
 MODULO, HELD_OUT, THRESHOLD = 4, 2, 0.3
@@ -207,9 +207,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = np.array(model.weights)
         for batch in batches:
-            for part in chunks(batch, "_text"):
+            for part in chunks(batch, batch.num_columns - 1):
                 x, passages = [], []
-                for t in part.column("_text").to_pylist():
+                for t in part.column(part.num_columns - 1).to_pylist():
                     best, n_sig, found, n = _measure(t or "", model.lexicon, model.rate)
                     x.append([*_x(best, n_sig, n, model.rate), 1.0])
                     passages.append([{"score": s, "start": a, "end": b} for s, a, b in found])
@@ -218,7 +218,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 arrays += [pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32)), pa.array(passages, arrow)]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *names])
 
-    return docs.select(*kept, F.col("text").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*kept, F.col("text").alias(free_name(docs, "_text"))).mapInArrow(run, schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
