@@ -1,4 +1,9 @@
-"""Corpus pipeline: five stages from raw documents to token ids, each written as Parquet and read by the next."""
+"""Corpus pipeline: five stages from raw documents to token ids, each written as Parquet and read by the next.
+
+Defined cases: null and empty texts are empty documents, of which one stays after the near-dedup; rows of
+one doc_id are documents of their own; further columns, whatever their names, stay as they are up to the last
+stage, which returns doc_id, ids and digests; an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from ratebook.llm import bpe, decontaminate, lines, minhash, quality
-from ratebook.llm.common import table
+from ratebook.llm.common import shielded, table
 from ratebook.llm.queries import tokenizer
 from ratebook.session import ensure_checkpoint_dir
 
@@ -15,8 +20,9 @@ from ratebook.session import ensure_checkpoint_dir
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject (score 0.5 or more)."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    scored = quality.score(docs, model, "_score", "_predicted")
-    return scored.where("_predicted = 1").select(*docs.columns)
+    rows, back = shielded(docs, ["doc_id", "text"])
+    scored = quality.score(rows, model, "_score", "_predicted")
+    return back(scored.where("_predicted = 1").drop("_score", "_predicted"))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
