@@ -2,7 +2,8 @@
 
 enriched policies -> fit-scale targets -> split -> additive fit (or an
 external price table) -> model price -> profits -> renewal corridor ->
-sinks (price list as decimal-comma CSV, fitted table as Parquet) -> reports
+sinks (price list, renewals, scored test split, multipliers and claim changes
+as decimal-comma CSV, fitted table and coefficients as Parquet) -> reports
 (segments, classes, one-way with multipliers, curves).
 
 The scored table is checkpointed once into the shared folder; every report
@@ -41,6 +42,12 @@ class JobConfig:
     use_external_price: bool = False
 
 
+def renewal_columns(df: DataFrame) -> list[str]:
+    """What the renewal list holds: key, start, rating factors, competitor prices and the renewal corridor."""
+    corridor = ["market_low", "market_mean", "market_high", "clean_premium", "claim_premium", "renewal_premium", "renewal_factor"]
+    return ["polref", "policy_start_date", *FEATURES, "policy_premium", "a", "nt", "claim", *cols_like(df, r"^price_c[0-9]+$"), *corridor]
+
+
 def run_tariff_job(spark: SparkSession, sf_dir: str, out_dir: str, cfg: JobConfig = JobConfig()) -> dict:
     """Run the job; write sinks and reports under ``out_dir``; return small summaries."""
     pol = prepared(SI.policy_view(spark, sf_dir).drop("np"))
@@ -60,8 +67,10 @@ def run_tariff_job(spark: SparkSession, sf_dir: str, out_dir: str, cfg: JobConfi
     scored = cut_lineage(pol)
 
     FL.write_decimal_comma(price_list(scored, "polref", "np"), f"{out_dir}/price_list")
-    FL.write_decimal_comma(renewing_in(scored, cfg.renewal_month), f"{out_dir}/renewals")
+    FL.write_decimal_comma(renewing_in(scored, cfg.renewal_month).select(*renewal_columns(scored)), f"{out_dir}/renewals")
     FL.write_parquet(scored, f"{out_dir}/fitted")
+    test = scored.filter(F.col("split") == "test")
+    FL.write_decimal_comma(test, f"{out_dir}/test_split")
     R.segment_report(scored).write.mode("overwrite").parquet(f"{out_dir}/segments")
     J.add_class(scored, SI.policy_class(spark, sf_dir)).transform(R.class_report) \
         .write.mode("overwrite").parquet(f"{out_dir}/classes")
@@ -69,9 +78,11 @@ def run_tariff_job(spark: SparkSession, sf_dir: str, out_dir: str, cfg: JobConfi
     if coef is not None:
         one_way = J.with_multiplier(one_way, FT.multipliers(coef).select("feature_level", F.log("multiplier").alias("weight")))
         FT.save_coefficients(coef, f"{out_dir}/coefficients")
+        FL.write_decimal_comma(FT.multipliers(coef).select("feature", "level", "multiplier"), f"{out_dir}/multipliers")
     one_way.write.mode("overwrite").parquet(f"{out_dir}/one_way")
-    test = scored.filter(F.col("split") == "test")
-    W.axis_scaled(R.one_way_claims(test, FEATURES), "improve").write.mode("overwrite").parquet(f"{out_dir}/one_way_claims")
+    claims = cut_lineage(R.one_way_claims(test, FEATURES))
+    FL.write_decimal_comma(claims, f"{out_dir}/claim_changes")
+    W.axis_scaled(claims, "improve").write.mode("overwrite").parquet(f"{out_dir}/one_way_claims")
     part = F.when(F.col("m") > F.col("t"), "profit").when(F.col("m") <= F.col("t"), "loss")
     W.sorted_curves(scored.withColumn("part", part).filter(F.col("part").isNotNull()),
                     ["nt", "nm", "np", "a"], "polref", points=200, by=["part"]) \
