@@ -630,6 +630,19 @@ def q_reference_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first_tree(reference_trees(spark, sf_dir, replace(REFERENCE_TREES, rounds=1, max_depth=2)), spark)
 
 
+# --- M2: numeric matrix with its label ---
+@register("numeric_matrix", with_standin("""SELECT polref, CAST(label AS INTEGER) AS label, CAST(kw AS DOUBLE) AS x0, CAST(clientage AS DOUBLE) AS x1, CAST(zip AS DOUBLE) AS x2
+FROM cbase""", CLASSIFIER_CTES))
+def q_numeric_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.ml.functions import vector_to_array
+    from ..functions.scalar import fill_marker, require_all_except
+    cols = ["kw", "clientage", "zip"]
+    pol = SI.policy_view(spark, sf_dir).select("polref", F.col("claim").isNotNull().cast("int").alias("has_claim"), *cols, "nm")
+    pol = require_all_except(fill_marker(pol, ["kw"]), [*cols, "nm"], exempt=["kw"])
+    matrix = FT.assemble(pol, cols, "has_claim").withColumn("x", vector_to_array("features"))
+    return matrix.select("polref", "label", *[F.col("x")[i].alias(f"x{i}") for i in range(len(cols))])
+
+
 # --- F2: the first tree under the profit objective, written out, and the comparison with a baseline ---
 @register("claim_tree", _tree_sql(
     "SELECT typ * (mk * 0.25e0 - label * 0.5e0) AS g, typ * (label * 0.25e0) AS h, kw, clientage, zip FROM scal", ["kw", "clientage", "zip"], 0.05,
