@@ -1,7 +1,10 @@
+import collections
 import itertools
+import math
 import random
 
 import numpy as np
+import pytest
 
 from ratebook.llm import graph, hnsw, lines, minhash
 
@@ -80,6 +83,69 @@ def test_near_duplicates_equal_brute_force(spark):
     assert {r.doc_id: r.n_class for r in got}[8] == 2
 
 
+def noisy_docs():
+    """Two large groups about one text each, whose members differ by none to many edits out of few words, and unlike documents."""
+    rng = random.Random(11)
+    out = []
+    for seed, n in ((300, 160), (301, 90)):
+        base = passage(seed, 110).split()
+        for _ in range(n):
+            w = list(base)
+            for _ in range(rng.choice((0, 1, 1, 2, 2, 3, 4, 5))):
+                w[rng.randrange(len(w))] = f"edit{rng.randrange(3)}"
+            out.append(" ".join(w))
+    out += [passage(400 + k, 50) for k in range(350)]
+    out += [passage(400 + k, 50) + " " + passage(800, 6) for k in range(0, 350, 7)]
+    return list(enumerate(out))
+
+
+def weighted_classes(docs):
+    """doc_id -> smallest doc_id reached by links of weighted Jaccard similarity 0.8 or more, all pairs compared."""
+    features = []
+    for _, text in docs:
+        w = words(text)
+        features.append(collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)))
+    df = collections.Counter(x for f in features for x in f)
+    idf = {x: math.log(1 + min(len(docs) / n, 3)) for x, n in df.items()}
+    weights = [{x: (1 + math.log(n)) * idf[x] for x, n in f.items()} for f in features]
+    cls = list(range(len(docs)))
+
+    def root(x):
+        while cls[x] != x:
+            x = cls[x]
+        return x
+
+    similar = []
+    for a, b in itertools.combinations(range(len(docs)), 2):
+        both = sum(min(w, weights[b][x]) for x, w in weights[a].items() if x in weights[b])
+        sim = both / (sum(weights[a].values()) + sum(weights[b].values()) - both)
+        similar.append(sim)
+        if sim >= 0.8:
+            x, y = root(a), root(b)
+            cls[max(x, y)] = min(x, y)
+    return {docs[k][0]: docs[root(k)][0] for k in range(len(docs))}, similar
+
+
+@pytest.mark.parametrize("block", [minhash.BLOCK, 5])
+def test_large_groups_equal_weighted_brute_force(spark, monkeypatch, block):
+    """Every pair counts, those of a similarity between 0.3 and 0.8 too."""
+    docs = noisy_docs()
+    want, similar = weighted_classes(docs)
+    assert sum(0.3 <= s < 0.8 for s in similar) > 5000 and sum(s >= 0.8 for s in similar) > 1000
+    proved, blocks = [], minhash.linked_in_blocks
+
+    def seen(nodes, shingles, idf):
+        links = blocks(nodes, shingles, idf)
+        proved.append(links.count())
+        return links
+
+    monkeypatch.setattr(minhash, "linked_in_blocks", seen)
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "PIVOTS", 1)
+    got = {r.doc_id: r.class_id for r in minhash.classes(docs_df(spark, docs)).collect()}
+    assert proved and got == want
+
+
 def test_one_document_of_each_class_stays(spark):
     docs = near_docs()
     kept = minhash.drop_copies(docs_df(spark, docs))
