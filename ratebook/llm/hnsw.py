@@ -5,7 +5,8 @@ give no pairs.  A label's nodes are hashed into shards of about SHARD_ROWS; each
 builds one graph and is a single row from then on.  Every shard's nodes query every
 shard of their label, as a join of blocks by label.  Queries run as one vectorised
 beam search; the beam is widened for a query whose hits fill it, and for all while a
-recall audit stays below RECALL.  The audit compares queries, block by block, with all
+recall audit stays below RECALL.  Queries that a beam of WIDEST doesn't serve, those of
+large groups of near copies above all, are compared with the whole shard.  The audit compares queries, block by block, with all
 nodes of the shard until it has seen AUDIT true pairs of different nodes or has no
 queries left; the pairs that it sees are hits too.
 The cosine of each hit is computed again in double precision; only 0.98 and more is a
@@ -34,6 +35,8 @@ SIMILARITY = 0.98
 SHARD_ROWS = 8192
 #: neighbours a node keeps on upper levels, twice as many on the lowest; beams of building and querying
 NEIGHBOURS, BUILD_BEAM, BEAM = 12, 40, 24
+#: widest beam; a query that needs a wider one is compared with all nodes of the shard, which is exact and takes less work
+WIDEST = 96
 AUDIT, RECALL = 1000, 0.999
 BLOCK, AUDIT_BLOCK = 1024, 256
 
@@ -187,6 +190,10 @@ def _audit(x: np.ndarray, queries: np.ndarray, least: float, own: bool) -> tuple
     return a, b
 
 
+def _wider(beam: int, n: int) -> int:
+    return beam if beam <= WIDEST and beam < n else n
+
+
 def hits(x: np.ndarray, levels: list[np.ndarray], order: np.ndarray, queries: np.ndarray, least: float, own: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(query, node) of all pairs of a similarity of about `least` or more that the audited search finds."""
     n, beam = len(x), min(BEAM, len(x))
@@ -217,11 +224,11 @@ def hits(x: np.ndarray, levels: list[np.ndarray], order: np.ndarray, queries: np
             here = other & np.isin(true_q, todo) & ~np.isin(true_q, np.concatenate(more))
             want = true_q[here] * n + true_n[here]
             if np.isin(want, np.concatenate([q * n + c for q, c in found])).sum() < RECALL * len(want):
-                beam = min(2 * beam, n)
+                beam = _wider(2 * beam, n)
                 continue  # all again, with a wider beam
         out += found
         todo = np.concatenate(more) if more and beam < n else np.empty(0, np.int64)
-        beam = min(4 * beam, n)
+        beam = _wider(4 * beam, n)
     if not out:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     a, b = map(np.concatenate, zip(*out, strict=True))
