@@ -1,11 +1,12 @@
 """Near-duplicate documents by improved consistent weighted sampling (ICWS).
 
 A document's features are its 5-word shingles (all its words if it has fewer), with
-weight (1 + ln tf) * ln(1 + min(N / df, RARE)).  All shingles in at most N / RARE of
-the N documents have the same idf, so only the more frequent ones
-need a table.  There are at most RARE times the mean number of shingles a document
-of them, at any N.  They are counted exactly: a count-min sketch leaves the shingles
-in cells of enough rows, and those are counted one by one.
+weight (1 + ln tf) * ln(1 + N / df): of N documents df hold the shingle.  Every df is
+counted exactly, copies included.  The distinct shingles of each block of documents are
+dealt to cells by their hash and added up there; what a cell returns to a block are the
+df of 2 and more.  So no task or broadcast holds a table of all shingles.  The
+functions take a bound `rare` of N / df too, at which the idf becomes flat: with 3 a
+group of near copies of a third of all texts keeps full weights.  The queries set none.
 
 Each document gets BANDS x ROWS consistent weighted samples.  Draws (r, c, beta) come
 from tables indexed by a hash of the shingle, the sample is the shingle of least
@@ -35,7 +36,10 @@ gives an empty result; other columns are carried by drop_copies().
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -48,10 +52,14 @@ from .graph import components
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 16, 4
-#: a shingle weighs less only if more than one in RARE texts hold it, so a near-copy group of a third of all texts keeps full weights
-RARE = 3
-#: cells of the count-min sketch, and entries of each table of draws
-CELLS, DRAWS = 1 << 16, 1 << 14
+#: bound of N / df that the functions use unless told otherwise
+RARE = 3.0
+#: documents of a block whose shingles are counted together, and shingles of a cell, on average
+ROWS_TOGETHER, CELL = 512, 500_000
+#: entries of each table of draws, and df whose samples at tf 1 are tabled
+DRAWS, TABLED = 1 << 14, 4
+#: shingles that one numpy round handles, one document at least
+SLICE = 150_000
 SMALL = 32
 #: nodes of a block that is compared with another at once, and their shingles, on average
 BLOCK, BLOCK_SHINGLES = 32, 4096
@@ -61,7 +69,6 @@ PIVOTS = 16
 LIKE = 0.02
 #: candidate documents whose keys are broadcast to fetch their shingles; more are joined by shuffle
 BROADCAST_KEYS = 200_000
-BASE_IDF = float(np.log(1 + RARE))
 
 
 def _words(text: Column) -> Column:
@@ -91,68 +98,89 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(column)), lens), h ^ h >> np.uint64(32)
 
 
-def _cell(h: np.ndarray) -> np.ndarray:
-    return (h * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)).astype(np.int64)
+def _slices(batch: pa.RecordBatch | pa.Table, column: str | int) -> Iterator[pa.RecordBatch]:
+    """Slices of about SLICE entries of a list column, of one row at least."""
+    for one in batch.to_batches() if isinstance(batch, pa.Table) else [batch]:
+        ends = np.asarray(one.column(column).offsets.to_numpy(), np.int64)[1:]
+        ends = ends - (ends[0] - len(one.column(column)[0]) if len(ends) else 0)
+        cuts = np.flatnonzero(np.diff(ends // SLICE)) + 1
+        for first, last in zip([0, *cuts.tolist()], [*cuts.tolist(), one.num_rows], strict=True):
+            if last > first:
+                yield one.slice(first, last - first)
 
 
-def frequent(sh: DataFrame, n_docs: int) -> dict[int, float]:
-    """idf of each shingle in more than n_docs / RARE documents; at most RARE x their mean length of them."""
-    least = n_docs / RARE
+def stored(docs: DataFrame) -> DataFrame:
+    """shingled(), written, with the number of the block whose shingles are counted together."""
+    block = F.floor(F.monotonically_increasing_id() / ROWS_TOGETHER)
+    return checkpoint(shingled(docs).withColumn("block", block))
 
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CELLS, np.int64)
-        for batch in batches:
-            total += np.bincount(_cell(_flat(batch.column(0))[1]), minlength=CELLS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["cell", "n"])
-
-    sh = sh.select("shingles")
-    cells = sh.mapInArrow(sketch, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") > least)
-    hot = np.zeros(CELLS, bool)
-    hot[[r["cell"] for r in cells.select("cell").collect()]] = True  # CELLS rows at most
-    if not hot.any():
-        return {}
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def frequent(sh: DataFrame, cells: int) -> DataFrame:
+    """(block, hs, dfs): for each block of stored() the shingles it shares with other documents or holds twice, with their df (2 or more)."""
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, h = _flat(batch.column(0))
-            some = hot[_cell(h)]
-            row, h = row[some], h[some]
-            order = np.lexsort((row, h))
-            row, h = row[order], h[order]
-            once = np.ones(len(h), bool)
-            once[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1])
-            values, n = np.unique(h[once], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
-
-    rows = sh.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("df")).where(F.col("df") > least)
-    return {r["h"]: float(np.log(1 + n_docs / r["df"])) for r in rows.collect()}
-
-
-class Weights:
-    """Weights of shingles, vectorised over sorted arrays of the frequent ones."""
-
-    def __init__(self, idf: dict[int, float]) -> None:
-        hashes = np.array(sorted(idf), np.int64)
-        self.idf = np.array([idf[int(h)] for h in hashes])
-        order = np.argsort(hashes.view(np.uint64))
-        self.hashes, self.idf = hashes.view(np.uint64)[order], self.idf[order]
-
-    def counted(self, row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, shingle, weight) of the distinct shingles of each row, by row."""
+            for part in _slices(batch, 1):
+                column = part.column(1)
+                row = np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy())).astype(np.uint64)
+                h = column.flatten().to_numpy(zero_copy_only=False).view(np.uint32).astype(np.uint64)
+                once = np.unique(row << np.uint64(32) | h)  # a shingle counts once a document
+                block = part.column(0).to_numpy()
+                names, at = np.unique(block, return_inverse=True)
+                key, n = np.unique(at.astype(np.uint64)[(once >> np.uint64(32)).astype(np.int64)] << np.uint64(32) | once & np.uint64(0xFFFFFFFF), return_counts=True)
+                h = key & np.uint64(0xFFFFFFFF)
+                cell = (h * np.uint64(cells) >> np.uint64(32)).astype(np.int64)
+                which = (key >> np.uint64(32)).astype(np.int64)
+                starts = np.flatnonzero(np.append(True, (which[1:] != which[:-1]) | (cell[1:] != cell[:-1]))) if len(key) else np.empty(0, np.int64)
+                ends = pa.array(np.append(starts, len(key)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(cell[starts].astype(np.int32)), pa.array(names[which[starts]]),
+                     pa.ListArray.from_arrays(ends, pa.array(h.astype(np.uint32).view(np.int32))), pa.ListArray.from_arrays(ends, pa.array(n.astype(np.int32)))],
+                    names=["cell", "block", "hs", "ns"])
+
+    def count(table: pa.Table) -> pa.Table:
+        hs, ns = table.column("hs").combine_chunks(), table.column("ns").combine_chunks()
+        row = np.repeat(np.arange(len(hs)), np.diff(hs.offsets.to_numpy()))
+        h = hs.flatten().to_numpy(zero_copy_only=False)
+        _, at = np.unique(h, return_inverse=True)
+        df = np.bincount(at, ns.flatten().to_numpy(zero_copy_only=False)).astype(np.int32)[at]
+        some = df > 1
+        ends = pa.array(np.append(0, np.cumsum(np.bincount(row[some], minlength=len(hs)))).astype(np.int32))
+        out = pa.table([table.column("block").combine_chunks(), pa.ListArray.from_arrays(ends, pa.array(h[some])), pa.ListArray.from_arrays(ends, pa.array(df[some]))],
+                       names=["block", "hs", "dfs"])
+        return out.filter(pa.array(np.diff(np.asarray(ends)) > 0))
+
+    rows = sh.select("block", "shingles").mapInArrow(dealt, "cell int, block long, hs array<int>, ns array<int>")
+    return rows.groupBy("cell").applyInArrow(count, "block long, hs array<int>, dfs array<int>")
+
+
+class Weights(NamedTuple):
+    """What makes weights of tf and df: the number of documents, and the bound of N / df."""
+
+    n: int
+    rare: float
+
+    def idf(self, df: np.ndarray | int) -> np.ndarray:
+        return np.log1p(np.minimum(self.n / df, self.rare))
+
+    def counted(self, row: np.ndarray, h: np.ndarray, df: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row, shingle, weight, df, or 0 where tf is over 1) of the distinct shingles of each row, by row."""
         order = np.lexsort((h, row))
-        row, h = row[order], h[order]
+        row, h, df = row[order], h[order], df[order]
         new = np.ones(len(h), bool)
         new[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1])
         at = np.flatnonzero(new)
         tf = np.diff(np.append(at, len(h)))
-        row, h = row[at], h[at]
-        w = np.full(len(h), BASE_IDF)
-        if len(self.hashes):
-            i = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-            hit = self.hashes[i] == h
-            w[hit] = self.idf[i[hit]]
-        return row, h, np.where(tf > 1, w * (1 + np.log(tf)), w)
+        row, h, df = row[at], h[at], df[at]
+        return row, h, self.idf(df) * (1 + np.log(tf)), np.where(tf > 1, 0, df)
+
+    def of(self, lists: pa.Array, dfs: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, shingle, weight) of the distinct shingles of a list column whose df are packed()."""
+        each = [np.frombuffer(zlib.decompress(x), np.int32) for x in dfs.to_pylist()]
+        return self.counted(*_flat(lists), np.concatenate(each) if each else np.empty(0, np.int32))[:3]
+
+
+def packed(df: np.ndarray) -> bytes:
+    return zlib.compress(df.astype(np.int32).tobytes(), 1)  # most are 1
 
 
 def _draws(k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -166,50 +194,72 @@ def _least(w: np.ndarray | float, r: np.ndarray, c: np.ndarray, beta: np.ndarray
     return (c / (y * np.exp(r))).astype(np.float32)
 
 
-def bands(sh: DataFrame, idf: dict[int, float]) -> DataFrame:
-    """(key, bands, w): BANDS hashes of ROWS samples each, and the total weight; no row for texts without words."""
+@lru_cache(maxsize=1)
+def _tables(weights: Weights) -> tuple[list, list[np.ndarray]]:
+    """The draws of each sample, and a of the df 1 .. TABLED at tf 1, one behind the other."""
+    draws = [_draws(k) for k in range(BANDS * ROWS)]
+    return draws, [np.concatenate([_least(weights.idf(df), *d) for df in range(1, TABLED + 1)]) for d in draws]
+
+
+def bands(sh: DataFrame, weights: Weights, cells: int) -> DataFrame:
+    """(key, df, bands, w): df of the shingles in their order, packed, BANDS hashes of ROWS samples each, and the total weight.
+
+    One row for each document of stored() that has words.
+    """
     odd = np.random.default_rng(17).integers(0, 2**62, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     shift = np.uint64(64 - (DRAWS - 1).bit_length())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = Weights(idf)
-        draws = [_draws(k) for k in range(BANDS * ROWS)]
-        base = [_least(BASE_IDF, *d) for d in draws]
-        for batch in batches:
-            for first in range(0, batch.num_rows, 1000):
-                part = batch.slice(first, 1000)
-                row, h, w = weights.counted(*_flat(part.column(1)))
-                starts = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.empty(0, np.int64)
-                other = np.flatnonzero(w != BASE_IDF)
-                low = h ^ h >> np.uint64(32)
-                out = np.zeros((len(starts), BANDS), np.uint64)
-                for k in range(BANDS * ROWS if len(starts) else 0):
-                    i = (h * odd[k] >> shift).astype(np.int64)
-                    a = base[k][i]
-                    if len(other):
-                        j = i[other]
-                        a[other] = _least(w[other], *(d[j] for d in draws[k]))
-                    # positive floats are ordered as their bits are; the shingle makes the sample's name
-                    name = a.view(np.uint32).astype(np.uint64) << np.uint64(32) | low & np.uint64(0xFFFFFFFF)
-                    b = k // ROWS
-                    x = (out[:, b] ^ np.minimum.reduceat(name, starts)) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(b + 1)
-                    out[:, b] = x ^ x >> np.uint64(29)
-                keys = part.column(0).take(pa.array(row[starts]))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(starts) * BANDS + 1, BANDS, dtype=np.int32)), pa.array(out.ravel().view(np.int64)))
-                total = np.add.reduceat(w, starts) if len(starts) else np.empty(0)
-                yield pa.RecordBatch.from_arrays([keys, lists, pa.array(total)], names=["key", "bands", "w"])
-
-    return sh.mapInArrow(run, "key binary, bands array<long>, w double")
-
-
-def verified(pairs: DataFrame, shingles: DataFrame, idf: dict[int, float], least: float = SIMILARITY) -> DataFrame:
+    kind = "key binary, df binary, bands array<long>, w double"
+    schema = pa.schema([("key", pa.binary()), ("df", pa.binary()), ("bands", pa.list_(pa.int64())), ("w", pa.float64())])
+
+    def run(docs: pa.Table, shared: pa.Table) -> pa.Table:
+        draws, base = _tables(weights)
+        known = shared.column("hs").combine_chunks().flatten().to_numpy(zero_copy_only=False) if shared.num_rows else np.empty(0, np.int32)
+        known, at = np.unique(known, return_index=True)
+        dfs = shared.column("dfs").combine_chunks().flatten().to_numpy(zero_copy_only=False)[at] if shared.num_rows else known
+        out = []
+        for part in _slices(docs, "shingles"):
+            lists = part.column("shingles")
+            raw = lists.flatten().to_numpy(zero_copy_only=False)
+            df = np.ones(len(raw), np.int32)
+            if len(known):
+                i = np.minimum(np.searchsorted(known, raw), len(known) - 1)
+                df = np.where(known[i] == raw, dfs[i], df)
+            ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            row, h, w, d = weights.counted(*_flat(lists), df)
+            starts = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.empty(0, np.int64)
+            tabled = (d > 0) & (d <= TABLED)
+            other = np.flatnonzero(~tabled)
+            low = h ^ h >> np.uint64(32)
+            place = np.where(tabled, (d - 1).astype(np.int64) * DRAWS, 0)
+            hashes = np.zeros((len(starts), BANDS), np.uint64)
+            for k in range(BANDS * ROWS if len(starts) else 0):
+                i = (h * odd[k] >> shift).astype(np.int64)
+                a = base[k][place + i]
+                if len(other):
+                    j = i[other]
+                    a[other] = _least(w[other], *(x[j] for x in draws[k]))
+                # positive floats are ordered as their bits are; the shingle makes the sample's name
+                name = a.view(np.uint32).astype(np.uint64) << np.uint64(32) | low & np.uint64(0xFFFFFFFF)
+                b = k // ROWS
+                x = (hashes[:, b] ^ np.minimum.reduceat(name, starts)) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(b + 1)
+                hashes[:, b] = x ^ x >> np.uint64(29)
+            some = row[starts]
+            out.append(pa.RecordBatch.from_arrays(
+                [part.column("key").take(pa.array(some)), pa.array([packed(df[ends[r] : ends[r + 1]]) for r in some], pa.binary()),
+                 pa.ListArray.from_arrays(pa.array(np.arange(0, len(starts) * BANDS + 1, BANDS, dtype=np.int32)), pa.array(hashes.ravel().view(np.int64))),
+                 pa.array(np.add.reduceat(w, starts) if len(starts) else np.empty(0))], schema=schema))
+        return pa.Table.from_batches(out, schema)
+
+    rows = sh.select("block", "key", "shingles").where(F.size("shingles") > 0)
+    return rows.groupBy("block").cogroup(frequent(rows, cells).groupBy("block")).applyInArrow(run, kind)
+
+
+def verified(pairs: DataFrame, shingles: DataFrame, weights: Weights, least: float = SIMILARITY) -> DataFrame:
     """The pairs (a, b) whose weighted Jaccard similarity is at least `least`, with it as sim."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = Weights(idf)
         for batch in batches:
-            for first in range(0, batch.num_rows, 1000):
-                part = batch.slice(first, 1000)
-                sides = [weights.counted(*_flat(part.column(c))) for c in (2, 3)]
+            for part in _slices(batch, 2):
+                sides = [weights.of(part.column(c), part.column(c + 1)) for c in (2, 4)]
                 row, h, w = (np.concatenate(x) for x in zip(*sides, strict=True))
                 order = np.lexsort((h, row))
                 row, h, w = row[order], h[order], w[order]
@@ -220,12 +270,12 @@ def verified(pairs: DataFrame, shingles: DataFrame, idf: dict[int, float], least
                 out = pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sim)], names=["a", "b", "sim"])
                 yield out.filter(pa.array(sim >= least - 1e-12))
 
-    one = shingles.select(F.col("key").alias("a"), F.col("shingles").alias("x"))
-    two = shingles.select(F.col("key").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary, sim double")
+    one = shingles.select(F.col("key").alias("a"), F.col("shingles").alias("x"), F.col("df").alias("x_df"))
+    two = shingles.select(F.col("key").alias("b"), F.col("shingles").alias("y"), F.col("df").alias("y_df"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "x_df", "y", "y_df").mapInArrow(run, "a binary, b binary, sim double")
 
 
-def linked_in_blocks(nodes: DataFrame, shingles: DataFrame, idf: dict[int, float]) -> DataFrame:
+def linked_in_blocks(nodes: DataFrame, shingles: DataFrame, weights: Weights) -> DataFrame:
     """Links (a, b) between nodes of different classes that share a bucket; nodes (bucket, key, w, s, c, n), c the class so far.
 
     Nodes of like total weight and like shared weight that have the same fullest
@@ -236,14 +286,14 @@ def linked_in_blocks(nodes: DataFrame, shingles: DataFrame, idf: dict[int, float
     stands for about BLOCK * BLOCK pairs, and no task needs a bucket or group whole.
     """
     one = nodes.groupBy("key").agg(F.max(F.struct("n", "bucket"))["bucket"].alias("home"), F.first("w").alias("w"), F.first("s").alias("s"), F.first("c").alias("c"))
-    one = one.join(shingles.select("key", "shingles"), "key").withColumn("like", F.floor(F.log("w") / LIKE)).withColumn("open", F.floor(F.col("s") / F.col("w") / LIKE))
+    one = one.join(shingles.select("key", "shingles", "df"), "key").withColumn("like", F.floor(F.log("w") / LIKE)).withColumn("open", F.floor(F.col("s") / F.col("w") / LIKE))
     own = one.groupBy("home", "c").agg(F.count("*").alias("same")).where(F.col("same") >= BLOCK).select("home", "c", F.col("c").alias("whole"))
     one = one.join(own, ["home", "c"], "left").withColumn("whole", F.coalesce("whole", F.lit(b""))).drop("c")
     kind = ["home", "whole", "like", "open"]
     sizes = one.groupBy(kind).agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(F.size("shingles")) / BLOCK_SHINGLES)).alias("parts"))
     block = F.xxhash64(*kind, F.pmod(F.xxhash64("key", F.lit(7)), "parts"))
-    one = checkpoint(one.join(sizes, kind).select(block.alias("block"), "key", "w", "s", "whole", "shingles"))
-    blocks = one.groupBy("block").agg(F.collect_list("key").alias("keys"), F.collect_list("shingles").alias("lists"))
+    one = checkpoint(one.join(sizes, kind).select(block.alias("block"), "key", "w", "s", "whole", "shingles", "df"))
+    blocks = one.groupBy("block").agg(F.collect_list("key").alias("keys"), F.collect_list("shingles").alias("lists"), F.collect_list("df").alias("dfs"))
     bounds = one.groupBy("block").agg(F.min("w").alias("w"), F.max("s").alias("s"), F.first("whole").alias("whole"))
     met = nodes.select("bucket", "key").join(one.select("key", "block"), "key").select("bucket", "block").distinct()
     met = checkpoint(met.join(bounds, "block"))
@@ -252,15 +302,14 @@ def linked_in_blocks(nodes: DataFrame, shingles: DataFrame, idf: dict[int, float
     work = x.join(y, "bucket").where((F.col("x_block") <= F.col("y_block")) & apart & _near("x_w", "x_s", "y_w", "y_s")).select("x_block", "y_block").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = Weights(idf)
         for batch in batches:
             for i in range(batch.num_rows):
-                keys, lists, other_keys, others = (batch.column(c).slice(i, 1).flatten() for c in range(4))
-                node, h, w = weights.counted(*_flat(lists))
+                keys, lists, dfs, other_keys, others, other_dfs = (batch.column(c).slice(i, 1).flatten() for c in range(6))
+                node, h, w = weights.of(lists, dfs)
                 held, at = np.unique(h, return_inverse=True)
                 of_node = np.zeros((len(keys), len(held)))
                 of_node[node, at] = w
-                row, h, w = weights.counted(*_flat(others))
+                row, h, w = weights.of(others, other_dfs)
                 total = np.bincount(row, w, len(other_keys))
                 at = np.minimum(np.searchsorted(held, h), len(held) - 1)
                 hit = held[at] == h
@@ -269,8 +318,8 @@ def linked_in_blocks(nodes: DataFrame, shingles: DataFrame, idf: dict[int, float
                 a, b = np.nonzero(both >= (of_node.sum(1)[:, None] + total - both) * (SIMILARITY - 1e-12))
                 yield pa.RecordBatch.from_arrays([keys.take(pa.array(a)), other_keys.take(pa.array(b))], names=["a", "b"])
 
-    sides = [blocks.select(F.col("block").alias(f"{side}_block"), F.col("keys").alias(f"{side}_keys"), F.col("lists").alias(f"{side}_lists")) for side in "xy"]
-    rows = work.join(sides[0], "x_block").join(sides[1], "y_block").select("x_keys", "x_lists", "y_keys", "y_lists")
+    sides = [blocks.select(F.col("block").alias(f"{side}_block"), F.col("keys").alias(f"{side}_keys"), F.col("lists").alias(f"{side}_lists"), F.col("dfs").alias(f"{side}_dfs")) for side in "xy"]
+    rows = work.join(sides[0], "x_block").join(sides[1], "y_block").select("x_keys", "x_lists", "x_dfs", "y_keys", "y_lists", "y_dfs")
     return rows.mapInArrow(run, "a binary, b binary").where("a <> b")
 
 
@@ -278,34 +327,33 @@ def _pairs(rows: DataFrame) -> DataFrame:
     return rows.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def private(sh: DataFrame, idf: dict[int, float]) -> DataFrame:
+def private(sh: DataFrame, weights: Weights) -> DataFrame:
     """(node, own): of each document of sh (node is xxhash64 of its key) the weight of the shingles that no other one of sh holds, if any."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = Weights(idf)
         for batch in batches:
-            for first in range(0, batch.num_rows, 1000):
-                part = batch.slice(first, 1000)
-                row, h, w = weights.counted(*_flat(part.column(1)))
+            for part in _slices(batch, 1):
+                row, h, w = weights.of(part.column(1), part.column(2))
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(h.view(np.int64)), pa.array(w)], names=["node", "h", "w"])
 
-    held = sh.select(F.xxhash64("key").alias("node"), "shingles").mapInArrow(run, "node long, h long, w double")
+    held = sh.select(F.xxhash64("key").alias("node"), "shingles", "df").mapInArrow(run, "node long, h long, w double")
     once = held.groupBy("h").agg(F.count("*").alias("n"), F.max("node").alias("node"), F.max("w").alias("w")).where("n = 1")
     return once.groupBy("node").agg(F.sum("w").alias("own"))
 
 
-def united(sh: DataFrame) -> DataFrame:
-    """(id, component): each key that is linked to one of another word sequence, with the smallest key that it reaches."""
-    sh = sh.select("key", "shingles")
-    idf = frequent(sh, sh.count())
+def united(sh: DataFrame, rare: float = RARE) -> DataFrame:
+    """(id, component): each key of stored() that is linked to one of another word sequence, with the smallest key that it reaches."""
+    n, total = sh.agg(F.count("*"), F.coalesce(F.sum(F.size("shingles")), F.lit(0))).first()
+    weights = Weights(n, rare)
+    sh = sh.select("block", "key", "shingles")
     # written, since the buckets are counted and then joined: the samples are drawn once
-    sketches = checkpoint(bands(sh, idf).groupBy("key").agg(F.first("bands").alias("bands"), F.first("w").alias("w")))
+    sketches = checkpoint(bands(sh, weights, 1 + total // CELL).groupBy("key").agg(F.first("bands").alias("bands"), F.first("w").alias("w"), F.first("df").alias("df")))
     rows = sketches.select("key", "w", F.posexplode("bands").alias("band", "h")).select("key", "w", F.xxhash64("band", "h").alias("bucket"))
     members = checkpoint(rows.join(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket"))
     wanted = members.groupBy("key").agg(F.max("n").alias("most"))
     # one row of shingles for each candidate; they alone are shuffled
     shingles = sh.join(by_size(wanted, wanted.count(), BROADCAST_KEYS), "key").groupBy("key").agg(F.first("shingles").alias("shingles"), F.first("most").alias("most"))
-    shingles = checkpoint(shingles)
-    own = private(shingles.where(F.col("most") > SMALL), idf)
+    shingles = checkpoint(shingles.join(sketches.select("key", "df"), "key"))
+    own = private(shingles.where(F.col("most") > SMALL), weights)
     big = members.where(F.col("n") > SMALL).withColumn("node", F.xxhash64("key")).join(own, "node", "left")
     big = big.select("bucket", "key", "w", F.coalesce(F.col("w") - F.col("own"), "w").alias("s"))
     # the other nodes can be like none; what is left of a bucket has its least private node in the middle
@@ -318,7 +366,7 @@ def united(sh: DataFrame) -> DataFrame:
     pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.key") < F.col("y.key")) & _close("x.w", "y.w"))
     pairs = pairs.select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
     pairs = pairs.unionByName(big.where(_near("w", "s", "rep_w", "rep_s")).select(F.col("rep").alias("a"), F.col("key").alias("b")))
-    found = verified(_pairs(pairs), shingles, idf).select("a", "b")
+    found = verified(_pairs(pairs), shingles, weights).select("a", "b")
     before = None
     while True:
         at = components(found)
@@ -340,10 +388,10 @@ def united(sh: DataFrame) -> DataFrame:
         drawn = drawn.select("bucket", F.col("key").alias("pivot"), F.col("w").alias("pivot_w"), F.col("s").alias("pivot_s"), F.col("c").alias("pivot_c"))
         pairs = left.join(drawn, "bucket").where((F.col("c") != F.col("pivot_c")) & _near("w", "s", "pivot_w", "pivot_s"))
         pairs = pairs.select(F.col("pivot").alias("a"), F.col("key").alias("b"))
-        found = found.unionByName(verified(_pairs(pairs), shingles, idf).select("a", "b"))
+        found = found.unionByName(verified(_pairs(pairs), shingles, weights).select("a", "b"))
     sizes = big.groupBy("bucket").agg(F.count("*").alias("n")).join(left.select("bucket").distinct(), "bucket")
     nodes = placed.select("bucket", "key", "w", "s", "c").join(sizes, "bucket")
-    return components(found.unionByName(linked_in_blocks(nodes, shingles, idf)))
+    return components(found.unionByName(linked_in_blocks(nodes, shingles, weights)))
 
 
 def _close(a: str, b: str) -> Column:
@@ -357,10 +405,10 @@ def _near(w: str, s: str, other_w: str, other_s: str) -> Column:
     return common >= (F.col(w) + F.col(other_w) - common) * (SIMILARITY - 1e-9)
 
 
-def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rare: float = RARE) -> DataFrame:
     """doc_id, class_id (smallest doc_id of its class), n_class (documents in it), kept (doc_id = class_id) of every document."""
-    sh = checkpoint(shingled(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))))
-    return sh.select("doc_id", "key").join(class_table(sh), "key").select(
+    sh = stored(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
+    return sh.select("doc_id", "key").join(class_table(sh, rare), "key").select(
         "doc_id", "class_id", "n_class", (F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False))).alias("kept"))
 
 
@@ -370,10 +418,10 @@ def _keyed(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn("key", F.unhex(F.md5(F.when(F.size(w) > 0, F.concat_ws(" ", w)).otherwise(F.concat(F.lit("\n"), low)).cast("binary"))))
 
 
-def class_table(sh: DataFrame) -> DataFrame:
-    """(key, class_id, n_class, class_key): one row for each word sequence of shingled()."""
+def class_table(sh: DataFrame, rare: float = RARE) -> DataFrame:
+    """(key, class_id, n_class, class_key): one row for each word sequence of stored()."""
     keys = sh.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
-    comp = united(sh).withColumnRenamed("id", "key")
+    comp = united(sh, rare).withColumnRenamed("id", "key")
     keys = keys.join(comp, "key", "left").withColumn("component", F.coalesce("component", "key"))
     # of equal least ids (null ones too) the smallest key stands for the class
     whole = keys.groupBy("component").agg(F.min("least").alias("class_id"), F.sum("n").alias("n_class"),
@@ -381,9 +429,9 @@ def class_table(sh: DataFrame) -> DataFrame:
     return keys.select("key", "component").join(whole, "component").drop("component")
 
 
-def drop_copies(docs: DataFrame) -> DataFrame:
+def drop_copies(docs: DataFrame, rare: float = RARE) -> DataFrame:
     """One document of each class with its own columns: the one of smallest doc_id."""
-    table = class_table(checkpoint(shingled(docs.select("doc_id", "text")))).where("key = class_key").select(F.col("key").alias("_key"), F.col("class_id").alias("_class"))
+    table = class_table(stored(docs.select("doc_id", "text")), rare).where("key = class_key").select(F.col("key").alias("_key"), F.col("class_id").alias("_class"))
     rows, back = shielded(docs, ["doc_id", "text"])
     keyed = _keyed(rows).withColumnRenamed("key", "_key")
     return back(keyed.join(table, "_key").where(F.col("doc_id").eqNullSafe(F.col("_class"))).dropDuplicates(["_key"]).drop("_key", "_class"))

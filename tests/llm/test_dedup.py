@@ -277,3 +277,37 @@ def test_audit_sees_rare_partners():
         graphs = [np.full_like(g, -1) for g in levels] if broken else levels
         a, b = hnsw.hits(x, graphs, order, q, 0.98)
         assert set(zip(a.tolist(), b.tolist(), strict=True)) == set(zip(at.tolist(), at[::-1].tolist(), strict=True))
+
+
+def test_every_df_is_counted_and_weighs(spark):
+    """Classes under the whole idf, ln(1 + N / df) at any df, equal those of all pairs, and differ from those of a flat one."""
+    rng = random.Random(5)
+    docs = []
+    for g in range(40):  # pairs whose common part is rare or held by many others
+        common = passage(900 + g % 4, 30)
+        for _ in range(2):
+            w = (passage(1000 + g, rng.choice((40, 60, 80, 120))) + " " + common).split()
+            for _ in range(rng.choice((0, 1, 2, 3))):
+                w[rng.randrange(len(w))] = f"edit{rng.randrange(50)}"
+            docs.append(" ".join(w))
+    base = passage(77, 60)
+    docs += [mutated(base, [k]) for k in range(0, 60, 2)]
+    docs = list(enumerate([*docs, docs[0], docs[0]]))
+    features = [collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for w in (words(t) for _, t in docs)]
+    df = collections.Counter(x for f in features for x in f)
+    want = {}
+    for rare in (3.0, math.inf):
+        weight = [{x: (1 + math.log(n)) * math.log(1 + min(len(docs) / df[x], rare)) for x, n in f.items()} for f in features]
+        cls = list(range(len(docs)))
+        for a, b in itertools.combinations(range(len(docs)), 2):
+            both = sum(min(w, weight[b][x]) for x, w in weight[a].items() if x in weight[b])
+            if both >= 0.8 * (sum(weight[a].values()) + sum(weight[b].values()) - both):
+                old, new = max(cls[a], cls[b]), min(cls[a], cls[b])
+                cls = [new if c == old else c for c in cls]
+        want[rare] = dict(enumerate(cls))
+    assert want[3.0] != want[math.inf]
+    for rare, classes in want.items():
+        assert {r.doc_id: r.class_id for r in minhash.classes(docs_df(spark, docs), rare=rare).collect()} == classes
+    sh = minhash.stored(docs_df(spark, docs))
+    got = {h & 0xFFFFFFFF: n for r in minhash.frequent(sh, 3).collect() for h, n in zip(r.hs, r.dfs, strict=True)}
+    assert sorted(got.values()) == sorted(n for n in df.values() if n > 1)
