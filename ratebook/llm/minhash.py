@@ -4,7 +4,9 @@ A document's features are its 5-word shingles (all its words if it has fewer), w
 weight (1 + ln tf) * ln(1 + N / df): of N documents df hold the shingle.  Every df is
 counted exactly, copies included.  The distinct shingles of each block of documents are
 dealt to cells by their hash and added up there; what a cell returns to a block are the
-df of 2 and more.  So no task or broadcast holds a table of all shingles.  The
+df of 2 and more.  So no task or broadcast holds a table of all shingles.  Both ways
+the sorted hashes go as gaps of two halves, of which the upper is mostly 0; those of a
+document are written and shuffled sorted too, in 3 bytes and a bit or so each.  The
 functions take a bound `rare` of N / df too, at which the idf becomes flat: with 3 a
 group of near copies of a third of all texts keeps full weights.  The queries set none.
 
@@ -58,8 +60,8 @@ RARE = 3.0
 ROWS_TOGETHER, CELL = 512, 500_000
 #: entries of each table of draws, and df whose samples at tf 1 are tabled
 DRAWS, TABLED = 1 << 14, 4
-#: shingles that one numpy round handles, one document at least
-SLICE = 150_000
+#: shingles that one numpy round handles, one document at least; those dealt at once, for gaps of 16 bits
+SLICE, DEALT = 150_000, 600_000
 SMALL = 32
 #: nodes of a block that is compared with another at once, and their shingles, on average
 BLOCK, BLOCK_SHINGLES = 32, 4096
@@ -109,21 +111,118 @@ def _slices(batch: pa.RecordBatch | pa.Table, column: str | int) -> Iterator[pa.
                 yield one.slice(first, last - first)
 
 
+def _binary(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    ends = np.append(0, np.cumsum(sizes)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, where each value ends, 0 first) of a binary column."""
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
+    return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data else np.empty(0, np.uint8), ends - ends[0]
+
+
+def _sorted(h: np.ndarray, n: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Ascending 32-bit hashes, n of each row, in 3 bytes and a bit or so each: the lower bytes, and a bit set at (upper byte + place in the row)."""
+    row = np.repeat(np.arange(len(n)), n)
+    place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+    sizes = np.where(n > 0, (n + 255 + 7) // 8, 0)
+    bits = np.zeros(8 * int(sizes.sum()), np.uint8)
+    bits[8 * (np.cumsum(sizes) - sizes)[row] + (h >> np.uint64(24)).astype(np.int64) + place] = 1
+    return _binary(h.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3], 3 * n), _binary(np.packbits(bits), sizes)
+
+
+def _unsorted(low: pa.Array, high: pa.Array) -> pa.Array:
+    """The hashes of _sorted() as lists of int."""
+    data, ends = _bytes(low)
+    ends = ends // 3
+    n = np.diff(ends)
+    h = np.zeros((len(data) // 3, 4), np.uint8)
+    h[:, :3] = data.reshape(-1, 3)
+    data, starts = _bytes(high)
+    place = np.arange(len(h)) - np.repeat(ends[:-1], n)
+    h[:, 3] = np.flatnonzero(np.unpackbits(data)) - np.repeat(8 * starts[:-1], n) - place
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(h.view("<u4").ravel().view(np.int32)))
+
+
+def _read(batch: pa.RecordBatch | pa.Table, most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Slices of rows of stored() of about `most` shingles, of one row at least, with their lists behind the other columns."""
+    for one in batch.to_batches() if isinstance(batch, pa.Table) else [batch]:
+        cuts = np.flatnonzero(np.diff(_bytes(one.column("low"))[1][1:] // (3 * most))) + 1
+        for first, last in zip([0, *cuts.tolist()], [*cuts.tolist(), one.num_rows], strict=True):
+            if last > first:
+                part = one.slice(first, last - first)
+                names = [c for c in part.schema.names if c not in ("low", "high")]
+                lists = _unsorted(part.column("low"), part.column("high"))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), lists], names=[*names, "shingles"])
+
+
+def listed(rows: DataFrame) -> DataFrame:
+    """(key, most, shingles): of rows (key, most, low, high), with the hashes as lists."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from _read(batch)
+
+    return rows.select("key", "most", "low", "high").mapInArrow(run, "key binary, most long, shingles array<int>")
+
+
+def _gaps(h: np.ndarray, ends: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Lists that end at `ends`, each of ascending 32-bit hashes, as lists of the lower and upper halves of what each adds to the one before."""
+    h = h.astype(np.int64)
+    gap = np.diff(h, prepend=0)
+    first = ends[:-1][np.diff(ends) > 0]
+    gap[first] = h[first]
+    at = pa.array(ends.astype(np.int32))
+    return tuple(pa.ListArray.from_arrays(at, pa.array(x.astype(np.uint16).view(np.int16))) for x in (gap & 0xFFFF, gap >> 16))
+
+
+def _from_gaps(low: pa.Array, high: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, where each list ends) of _gaps()."""
+    ends = np.append(0, np.cumsum(np.diff(low.offsets.to_numpy()), dtype=np.int64))
+    low, high = (x.flatten().to_numpy(zero_copy_only=False).view(np.uint16).astype(np.int64) for x in (low, high))
+    total = np.append(0, np.cumsum(high << 16 | low))
+    return (total[1:] - np.repeat(total[ends[:-1]], np.diff(ends))).astype(np.uint32), ends
+
+
 def stored(docs: DataFrame) -> DataFrame:
-    """shingled(), written, with the number of the block whose shingles are counted together."""
-    block = F.floor(F.monotonically_increasing_id() / ROWS_TOGETHER)
-    return checkpoint(shingled(docs).withColumn("block", block))
+    """(doc_id, key, block, n, low, high): shingled(), written with the n hashes _sorted(), and the block whose shingles are counted together."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _slices(batch, 3):
+                lists = part.column(3)
+                n = np.diff(lists.offsets.to_numpy())
+                row = np.repeat(np.arange(len(n), dtype=np.uint64), n)
+                h = np.sort(row << np.uint64(32) | lists.flatten().to_numpy(zero_copy_only=False).view(np.uint32).astype(np.uint64))
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(n.astype(np.int32)), *_sorted(h & np.uint64(0xFFFFFFFF), n)],
+                                                 names=["doc_id", "key", "block", "n", "low", "high"])
+
+    sh = shingled(docs).withColumn("block", F.floor(F.monotonically_increasing_id() / ROWS_TOGETHER))
+    kind = sh.schema["doc_id"].dataType.simpleString()
+    return checkpoint(sh.select("doc_id", "key", "block", "shingles").mapInArrow(run, f"doc_id {kind}, key binary, block long, n int, low binary, high binary"))
 
 
 def frequent(sh: DataFrame, cells: int) -> DataFrame:
     """(block, hs, dfs): for each block of stored() the shingles it shares with other documents or holds twice, with their df (2 or more)."""
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, ends = _from_gaps(batch.column(1), batch.column(2))
+            hs = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(h.view(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), hs, batch.column(3)], names=["block", "hs", "dfs"])
+
+    return _frequent(sh, cells).mapInArrow(read, "block long, hs array<int>, dfs array<int>")
+
+
+def _frequent(sh: DataFrame, cells: int) -> DataFrame:
+    """(block, low, high, dfs): frequent(), with the shingles as _gaps()."""
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _slices(batch, 1):
+            for part in _read(batch, DEALT):
                 column = part.column(1)
                 row = np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy())).astype(np.uint64)
                 h = column.flatten().to_numpy(zero_copy_only=False).view(np.uint32).astype(np.uint64)
-                once = np.unique(row << np.uint64(32) | h)  # a shingle counts once a document
+                once = np.sort(row << np.uint64(32) | h)
+                once = once[np.append(True, once[1:] != once[:-1])[: len(once)]]  # a shingle counts once a document
                 block = part.column(0).to_numpy()
                 names, at = np.unique(block, return_inverse=True)
                 key, n = np.unique(at.astype(np.uint64)[(once >> np.uint64(32)).astype(np.int64)] << np.uint64(32) | once & np.uint64(0xFFFFFFFF), return_counts=True)
@@ -131,26 +230,26 @@ def frequent(sh: DataFrame, cells: int) -> DataFrame:
                 cell = (h * np.uint64(cells) >> np.uint64(32)).astype(np.int64)
                 which = (key >> np.uint64(32)).astype(np.int64)
                 starts = np.flatnonzero(np.append(True, (which[1:] != which[:-1]) | (cell[1:] != cell[:-1]))) if len(key) else np.empty(0, np.int64)
-                ends = pa.array(np.append(starts, len(key)).astype(np.int32))
+                ends = np.append(starts, len(key))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(cell[starts].astype(np.int32)), pa.array(names[which[starts]]),
-                     pa.ListArray.from_arrays(ends, pa.array(h.astype(np.uint32).view(np.int32))), pa.ListArray.from_arrays(ends, pa.array(n.astype(np.int32)))],
-                    names=["cell", "block", "hs", "ns"])
+                    [pa.array(cell[starts].astype(np.int32)), pa.array(names[which[starts]]), *_gaps(h, ends),
+                     pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(n.astype(np.int32)))],
+                    names=["cell", "block", "low", "high", "ns"])
 
     def count(table: pa.Table) -> pa.Table:
-        hs, ns = table.column("hs").combine_chunks(), table.column("ns").combine_chunks()
-        row = np.repeat(np.arange(len(hs)), np.diff(hs.offsets.to_numpy()))
-        h = hs.flatten().to_numpy(zero_copy_only=False)
+        low, high, ns = (table.column(c).combine_chunks() for c in ("low", "high", "ns"))
+        h, ends = _from_gaps(low, high)
+        row = np.repeat(np.arange(len(ns)), np.diff(ends))
         _, at = np.unique(h, return_inverse=True)
         df = np.bincount(at, ns.flatten().to_numpy(zero_copy_only=False)).astype(np.int32)[at]
         some = df > 1
-        ends = pa.array(np.append(0, np.cumsum(np.bincount(row[some], minlength=len(hs)))).astype(np.int32))
-        out = pa.table([table.column("block").combine_chunks(), pa.ListArray.from_arrays(ends, pa.array(h[some])), pa.ListArray.from_arrays(ends, pa.array(df[some]))],
-                       names=["block", "hs", "dfs"])
-        return out.filter(pa.array(np.diff(np.asarray(ends)) > 0))
+        ends = np.append(0, np.cumsum(np.bincount(row[some], minlength=len(ns))))
+        dfs = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(df[some]))
+        out = pa.table([table.column("block").combine_chunks(), *_gaps(h[some], ends), dfs], names=["block", "low", "high", "dfs"])
+        return out.filter(pa.array(np.diff(ends) > 0))
 
-    rows = sh.select("block", "shingles").mapInArrow(dealt, "cell int, block long, hs array<int>, ns array<int>")
-    return rows.groupBy("cell").applyInArrow(count, "block long, hs array<int>, dfs array<int>")
+    rows = sh.select("block", "low", "high").mapInArrow(dealt, "cell int, block long, low array<smallint>, high array<smallint>, ns array<int>")
+    return rows.groupBy("cell").applyInArrow(count, "block long, low array<smallint>, high array<smallint>, dfs array<int>")
 
 
 class Weights(NamedTuple):
@@ -213,11 +312,11 @@ def bands(sh: DataFrame, weights: Weights, cells: int) -> DataFrame:
 
     def run(docs: pa.Table, shared: pa.Table) -> pa.Table:
         draws, base = _tables(weights)
-        known = shared.column("hs").combine_chunks().flatten().to_numpy(zero_copy_only=False) if shared.num_rows else np.empty(0, np.int32)
+        known = _from_gaps(*(shared.column(c).combine_chunks() for c in ("low", "high")))[0].view(np.int32) if shared.num_rows else np.empty(0, np.int32)
         known, at = np.unique(known, return_index=True)
         dfs = shared.column("dfs").combine_chunks().flatten().to_numpy(zero_copy_only=False)[at] if shared.num_rows else known
         out = []
-        for part in _slices(docs, "shingles"):
+        for part in _read(docs):
             lists = part.column("shingles")
             raw = lists.flatten().to_numpy(zero_copy_only=False)
             df = np.ones(len(raw), np.int32)
@@ -250,8 +349,8 @@ def bands(sh: DataFrame, weights: Weights, cells: int) -> DataFrame:
                  pa.array(np.add.reduceat(w, starts) if len(starts) else np.empty(0))], schema=schema))
         return pa.Table.from_batches(out, schema)
 
-    rows = sh.select("block", "key", "shingles").where(F.size("shingles") > 0)
-    return rows.groupBy("block").cogroup(frequent(rows, cells).groupBy("block")).applyInArrow(run, kind)
+    rows = sh.where("n > 0").select("block", "key", "low", "high")
+    return rows.groupBy("block").cogroup(_frequent(rows, cells).groupBy("block")).applyInArrow(run, kind)
 
 
 def verified(pairs: DataFrame, shingles: DataFrame, weights: Weights, least: float = SIMILARITY) -> DataFrame:
@@ -342,17 +441,17 @@ def private(sh: DataFrame, weights: Weights) -> DataFrame:
 
 def united(sh: DataFrame, rare: float = RARE) -> DataFrame:
     """(id, component): each key of stored() that is linked to one of another word sequence, with the smallest key that it reaches."""
-    n, total = sh.agg(F.count("*"), F.coalesce(F.sum(F.size("shingles")), F.lit(0))).first()
+    n, total = sh.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     weights = Weights(n, rare)
-    sh = sh.select("block", "key", "shingles")
+    sh = sh.select("block", "key", "n", "low", "high")
     # written, since the buckets are counted and then joined: the samples are drawn once
     sketches = checkpoint(bands(sh, weights, 1 + total // CELL).groupBy("key").agg(F.first("bands").alias("bands"), F.first("w").alias("w"), F.first("df").alias("df")))
     rows = sketches.select("key", "w", F.posexplode("bands").alias("band", "h")).select("key", "w", F.xxhash64("band", "h").alias("bucket"))
     members = checkpoint(rows.join(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket"))
     wanted = members.groupBy("key").agg(F.max("n").alias("most"))
     # one row of shingles for each candidate; they alone are shuffled
-    shingles = sh.join(by_size(wanted, wanted.count(), BROADCAST_KEYS), "key").groupBy("key").agg(F.first("shingles").alias("shingles"), F.first("most").alias("most"))
-    shingles = checkpoint(shingles.join(sketches.select("key", "df"), "key"))
+    shingles = sh.join(by_size(wanted, wanted.count(), BROADCAST_KEYS), "key").groupBy("key").agg(*(F.first(c).alias(c) for c in ("low", "high", "most")))
+    shingles = checkpoint(listed(shingles).join(sketches.select("key", "df"), "key"))
     own = private(shingles.where(F.col("most") > SMALL), weights)
     big = members.where(F.col("n") > SMALL).withColumn("node", F.xxhash64("key")).join(own, "node", "left")
     big = big.select("bucket", "key", "w", F.coalesce(F.col("w") - F.col("own"), "w").alias("s"))

@@ -2,6 +2,7 @@ import collections
 import itertools
 import math
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -311,3 +312,38 @@ def test_every_df_is_counted_and_weighs(spark):
     sh = minhash.stored(docs_df(spark, docs))
     got = {h & 0xFFFFFFFF: n for r in minhash.frequent(sh, 3).collect() for h, n in zip(r.hs, r.dfs, strict=True)}
     assert sorted(got.values()) == sorted(n for n in df.values() if n > 1)
+
+
+def test_dealt_shingles_are_short(spark):
+    """A shingle on its way to its cell and back takes about 2 bytes of hash instead of 4, and comes back whole."""
+    rng = np.random.default_rng(4)
+    lists = [np.unique(rng.integers(0, 2**32, n)) for n in (0, 250_000, 1, 0, 3)] + [np.array([0, 65_535, 65_536, 2**31, 2**32 - 1])]
+    ends = np.append(0, np.cumsum([len(x) for x in lists]))
+    low, high = minhash._gaps(np.concatenate(lists), ends)
+    h, back = minhash._from_gaps(low, high)
+    assert np.array_equal(h, np.concatenate(lists)) and np.array_equal(back, ends)
+    h, back = minhash._from_gaps(low.slice(1, 3), high.slice(1, 3))
+    assert np.array_equal(h, np.concatenate(lists[1:4])) and back[-1] == len(h)
+    sent = np.asarray(low.flatten()).tobytes(), np.asarray(high.flatten()).tobytes()
+    assert len(sent[0]) == 2 * ends[-1] and len(zlib.compress(sent[1], 1)) < 0.4 * ends[-1]
+    sh = minhash.stored(docs_df(spark, [(k, passage(k % 7, 50)) for k in range(20)]))
+    rows = minhash._frequent(sh, 3).collect()
+    assert rows and dict(minhash._frequent(sh, 3).dtypes) == {"block": "bigint", "low": "array<smallint>", "high": "array<smallint>", "dfs": "array<int>"}
+    assert sum(len(r.low) for r in rows) == sum(len(r.hs) for r in minhash.frequent(sh, 3).collect())
+
+
+def test_written_shingles_are_short(spark):
+    """A document's hashes come back whole from 3 bytes and a bit or so each, also from slices and of empty documents."""
+    rng = np.random.default_rng(6)
+    lists = [np.sort(rng.integers(0, 2**32, n)) for n in (0, 1, 500, 0, 70_000, 3)] + [np.array([0, 0, 2**24, 2**32 - 1, 2**32 - 1])]
+    low, high = minhash._sorted(np.concatenate(lists).astype(np.uint64), np.array([len(x) for x in lists]))
+    for first, last in ((0, 7), (2, 5), (3, 3)):
+        got = minhash._unsorted(low.slice(first, last - first), high.slice(first, last - first)).to_pylist()
+        assert [[h & 0xFFFFFFFF for h in x] for x in got] == [x.tolist() for x in lists[first:last]]
+    assert low.nbytes + high.nbytes < 3.2 * sum(map(len, lists))
+    docs = docs_df(spark, [(0, passage(1, 300)), (1, None), (2, "..."), (3, passage(2, 900))])
+    plain = {r.key: sorted(h & 0xFFFFFFFF for h in r.shingles) for r in minhash.shingled(docs).collect()}
+    rows = minhash.stored(docs)
+    assert {r.key: r.n for r in rows.collect()} == {k: len(x) for k, x in plain.items()}
+    got = minhash.listed(rows.selectExpr("key", "1L as most", "low", "high")).collect()
+    assert {r.key: [h & 0xFFFFFFFF for h in r.shingles] for r in got} == plain
