@@ -42,7 +42,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, and digests of the ids and of the bytes that they decode to."""
-    return bpe.encode(docs.select("doc_id", "text"), *tokenizer(), outputs=("n_tokens", "ids", "ids_sha256", "decoded_sha256")).drop("text")
+    return bpe.encode(docs.select("doc_id", "text"), *tokenizer(), outputs=("n_tokens", "ids", "ids_sha256", "decoded_sha256"), keep_text=False)
 
 
 STAGES = [

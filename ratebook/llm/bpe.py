@@ -26,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import chunks, free_name
+from .common import chunks, free_name, lean, shipped
 
 #: bytes of a piece that a matrix row holds at most
 LONGEST = 512
+#: characters of text whose distinct pieces a task holds at once
+SLICE_CHARS = 1_000_000
 NONE = np.int32(2**31 - 1)
 EMPTY = np.uint64(2**64 - 1)
 TABLE_BITS = 20
@@ -221,20 +223,23 @@ def _schema(df: DataFrame, outputs: tuple[str, ...]) -> tuple[list[str], T.Struc
 
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text",
-           outputs: tuple[str, ...] = ("ids", "n_tokens")) -> DataFrame:
+           outputs: tuple[str, ...] = ("ids", "n_tokens"), keep_text: bool = True) -> DataFrame:
     """The rows with the outputs asked for: ids, n_tokens, ids_sha256, decoded, decoded_sha256.
 
     The decoded ones come from the ids, not from the text; digests are made in the
-    task, so the ids of a whole corpus need not be shipped to check them.
+    task, so the ids of a whole corpus need not be shipped to check them.  Without
+    keep_text the text isn't among the columns that come back.
     """
-    kept, schema = _schema(df, outputs)
+    kept, schema = _schema(df if keep_text else df.drop(text), outputs)
+    rows, at = shipped(df, kept, text)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path, pattern)
         for batch in batches:
-            for part in chunks(batch, batch.num_columns - 1):
+            for part in chunks(batch, at, SLICE_CHARS):
                 cols: dict[str, list] = {o: [] for o in outputs}
-                for ids in v.encode([t or "" for t in part.column(part.num_columns - 1).to_pylist()]):
+                for ids in v.encode([t or "" for t in part.column(at).to_pylist()]):
                     back = v.decode(ids) if {"decoded", "decoded_sha256"} & set(outputs) else b""
                     for o in outputs:
                         cols[o].append({
@@ -246,7 +251,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text",
                 arrays += [pa.array(cols[o], FIELDS[o][0]) for o in outputs]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *outputs])
 
-    return df.select(*kept, df[text].alias(free_name(df, "_text"))).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator, Sequence
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -60,14 +62,34 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def chunks(batch: pa.RecordBatch, column: str | int) -> Iterator[pa.RecordBatch]:
-    """Slices of an Arrow batch with about CHUNK_CHARS of text each (one row at least)."""
+def shipped(df: DataFrame, kept: Sequence[str], text: str) -> tuple[DataFrame, int]:
+    """(the kept columns and the text, the place of the text): a text that is kept goes to the Python workers once."""
+    if text in kept:
+        return df.select(*kept), list(kept).index(text)
+    return df.select(*kept, df[text].alias(free_name(df, "_text"))), len(kept)
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The function of a mapInArrow, which at its end gives freed memory back to the system: reused workers would keep it for later stages."""
+    @wraps(run)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim:
+            trim(0)
+
+    return whole
+
+
+def chunks(batch: pa.RecordBatch, column: str | int, chars: int = CHUNK_CHARS) -> Iterator[pa.RecordBatch]:
+    """Slices of an Arrow batch with about so many characters of text each (one row at least)."""
     import pyarrow.compute as pc
 
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     first, total = 0, 0
     for i, n in enumerate(sizes):
-        if i > first and total + n > CHUNK_CHARS:
+        if i > first and total + n > chars:
             yield batch.slice(first, i - first)
             first, total = i, 0
         total += n
@@ -75,4 +97,4 @@ def chunks(batch: pa.RecordBatch, column: str | int) -> Iterator[pa.RecordBatch]
         yield batch.slice(first)
 
 
-__all__ = ["CHUNK_CHARS", "by_size", "checkpoint", "chunks", "free_name", "shielded", "table", "text_key"]
+__all__ = ["CHUNK_CHARS", "by_size", "checkpoint", "chunks", "free_name", "lean", "shielded", "shipped", "table", "text_key"]

@@ -31,12 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_size, checkpoint, shielded
+from .common import by_size, checkpoint, lean, shielded
 
 #: words of a line at least, for a near match
 LEAST = 8
 #: rows of a key table that are broadcast; more are joined by shuffle
 BROADCAST_KEYS = 300_000
+#: words that one numpy round handles, of one document at least
+SLICE = 300_000
 ONE, TWO = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F  # odd bases of the running sums
 
 
@@ -82,11 +84,23 @@ def hashed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     return docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(t).alias("dk"), F.transform(F.split(t, "\n"), words).alias("lines"))
 
 
+def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Slices with about SLICE words of a column of lists (documents) of lists (lines), one row at least."""
+    docs = np.asarray(batch.column(column).offsets.to_numpy(), np.int64)
+    ends = np.asarray(batch.column(column).flatten().offsets.to_numpy(), np.int64)[docs - docs[0]]
+    first = 0
+    while first < batch.num_rows:
+        last = max(int(np.searchsorted(ends, ends[first] + SLICE, "right")) - 1, first + 1)
+        yield batch.slice(first, last - first)
+        first = last
+
+
 def _line_keys(rows: DataFrame) -> DataFrame:
     """(doc_id, dk, line, h1, h2, halves) of each line with words."""
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            s, t = Sums(batch.column(2), ONE), Sums(batch.column(2), TWO, ONE)
+        for part in (p for batch in batches for p in _slices(batch, 2)):
+            s, t = Sums(part.column(2), ONE), Sums(part.column(2), TWO, ONE)
             zero = np.zeros(len(s.n), np.int64)
             h1, h2 = _mixed(s.part(s.start, zero, s.n), s.n), _mixed(t.part(t.start, zero, t.n), s.n)
             halves = np.zeros((len(s.n), 4), np.uint64)
@@ -100,7 +114,7 @@ def _line_keys(rows: DataFrame) -> DataFrame:
             flat = halves[np.arange(4)[None, :] < count[:, None]]
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)).astype(np.int32)), pa.array(flat.view(np.int64)))
             out = pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(s.doc)), batch.column(1).take(pa.array(s.doc)), pa.array(s.line.astype(np.int32)),
+                [part.column(0).take(pa.array(s.doc)), part.column(1).take(pa.array(s.doc)), pa.array(s.line.astype(np.int32)),
                  pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), lists], names=["doc_id", "dk", "line", "h1", "h2", "halves"])
             yield out.filter(pa.array(some))
 
@@ -110,6 +124,7 @@ def _line_keys(rows: DataFrame) -> DataFrame:
 
 def _variants(lines: DataFrame) -> DataFrame:
     """(core, place, doc_id, dk, line, h1): the line without the word at place, and the whole line at place -1."""
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first in range(0, batch.num_rows, 2000):

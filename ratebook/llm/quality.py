@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, free_name
+from .common import chunks, lean, shipped
 from .labelled import logistic, remainder, sample, sigmoid
 
 BLOCK = 1024
@@ -74,15 +74,17 @@ def differences(texts: list[str | None], model: Model) -> np.ndarray:
 def _mapped(df: DataFrame, model: Model, names: dict[str, T.DataType], make) -> DataFrame:  # noqa: ANN001
     kept = [c for c in df.columns if c not in names]
     schema = T.StructType([*(df.schema[c] for c in kept), *(T.StructField(n, t) for n, t in names.items())])
+    rows, at = shipped(df, kept, "text")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, batch.num_columns - 1):
+            for part in chunks(batch, at):
                 arrays = [part.column(i) for i in range(len(kept))]
-                arrays += make(differences(part.column(part.num_columns - 1).to_pylist(), model))
+                arrays += make(differences(part.column(at).to_pylist(), model))
                 yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *names])
 
-    return df.select(*kept, F.col("text").alias(free_name(df, "_text"))).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = SAMPLE_ROWS) -> Model:

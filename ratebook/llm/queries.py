@@ -59,7 +59,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe.encode(docs, *tokenizer(), outputs=("n_tokens", "ids_sha256", "decoded_sha256")).drop("text")
+    return bpe.encode(docs, *tokenizer(), outputs=("n_tokens", "ids_sha256", "decoded_sha256"), keep_text=False)
 
 
 def op11_rank_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
