@@ -48,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_size, checkpoint, shielded
+from .common import by_size, checkpoint, lean, shielded
 from .decontaminate import WORD, _joined
 from .graph import components
 
@@ -160,6 +160,7 @@ def _read(batch: pa.RecordBatch | pa.Table, most: int = SLICE) -> Iterator[pa.Re
 
 def listed(rows: DataFrame) -> DataFrame:
     """(key, most, shingles): of rows (key, most, low, high), with the hashes as lists."""
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield from _read(batch)
@@ -187,6 +188,7 @@ def _from_gaps(low: pa.Array, high: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def stored(docs: DataFrame) -> DataFrame:
     """(doc_id, key, block, n, low, high): shingled(), written with the n hashes _sorted(), and the block whose shingles are counted together."""
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _slices(batch, 3):
@@ -204,6 +206,7 @@ def stored(docs: DataFrame) -> DataFrame:
 
 def frequent(sh: DataFrame, cells: int) -> DataFrame:
     """(block, hs, dfs): for each block of stored() the shingles it shares with other documents or holds twice, with their df (2 or more)."""
+    @lean
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             h, ends = _from_gaps(batch.column(1), batch.column(2))
@@ -215,6 +218,7 @@ def frequent(sh: DataFrame, cells: int) -> DataFrame:
 
 def _frequent(sh: DataFrame, cells: int) -> DataFrame:
     """(block, low, high, dfs): frequent(), with the shingles as _gaps()."""
+    @lean
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _read(batch, DEALT):
@@ -355,6 +359,7 @@ def bands(sh: DataFrame, weights: Weights, cells: int) -> DataFrame:
 
 def verified(pairs: DataFrame, shingles: DataFrame, weights: Weights, least: float = SIMILARITY) -> DataFrame:
     """The pairs (a, b) whose weighted Jaccard similarity is at least `least`, with it as sim."""
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _slices(batch, 2):
@@ -400,6 +405,7 @@ def linked_in_blocks(nodes: DataFrame, shingles: DataFrame, weights: Weights) ->
     apart = (F.col("x_whole") != F.col("y_whole")) | (F.length("x_whole") == 0)
     work = x.join(y, "bucket").where((F.col("x_block") <= F.col("y_block")) & apart & _near("x_w", "x_s", "y_w", "y_s")).select("x_block", "y_block").distinct()
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
@@ -428,6 +434,7 @@ def _pairs(rows: DataFrame) -> DataFrame:
 
 def private(sh: DataFrame, weights: Weights) -> DataFrame:
     """(node, own): of each document of sh (node is xxhash64 of its key) the weight of the shingles that no other one of sh holds, if any."""
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _slices(batch, 1):
