@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import ctypes
+import gc
+import time
 from collections.abc import Callable, Iterator, Sequence
 from functools import wraps
 
@@ -26,6 +28,31 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def checkpoint_tidy(df: DataFrame) -> DataFrame:
+    """checkpoint() that removes the shuffle files of its job at its end, not when the driver happens to collect its garbage.
+
+    Only for plans without joins: adaptive execution may leave a side of a join running whose shuffle would then be gone.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, "false")
+    conf.set(key, "true")
+    try:
+        return checkpoint(df.select("*"))  # a plan of its own, made under that setting
+    finally:
+        conf.set(key, before)
+
+
+def freed(spark: SparkSession) -> None:
+    """Has the driver drop what no table refers to, so that Spark's cleaner removes the files of those shuffles and checkpoints now.
+
+    One collection leaves tables whose owners are only cleared after it.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
+
+
 def by_size(small: DataFrame, rows: int, limit: int) -> DataFrame:
     """Broadcast hint only for a side whose counted rows are within the limit."""
     return F.broadcast(small) if rows <= limit else small
@@ -97,4 +124,4 @@ def chunks(batch: pa.RecordBatch, column: str | int, chars: int = CHUNK_CHARS) -
         yield batch.slice(first)
 
 
-__all__ = ["CHUNK_CHARS", "by_size", "checkpoint", "chunks", "free_name", "lean", "shielded", "shipped", "table", "text_key"]
+__all__ = ["CHUNK_CHARS", "by_size", "checkpoint", "checkpoint_tidy", "chunks", "free_name", "freed", "lean", "shielded", "shipped", "table", "text_key"]

@@ -10,6 +10,12 @@ document are written and shuffled sorted too, in 3 bytes and a bit or so each.
 functions take a bound `rare` of N / df too, at which the idf becomes flat: with 3 a
 group of near copies of a third of all texts keeps full weights.  The queries set none.
 
+Under the whole idf what a group of copies shares weighs less the larger the group is,
+and the edits of each most of all: copies that differ in a few words fall below the
+similarity.  With `plain` the pairs that reach it without the idf are links too.  They
+are found and proved first, in the same way by samples of their own, for which no df
+is counted; then the idf's links are added to their classes.
+
 Each document gets BANDS x ROWS consistent weighted samples.  Draws (r, c, beta) come
 from tables indexed by a hash of the shingle, the sample is the shingle of least
 a = c / (y e^r) with its y, so two documents agree on one with the probability of
@@ -48,14 +54,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_size, checkpoint, lean, shielded
+from .common import by_size, checkpoint, checkpoint_tidy, freed, lean, shielded
 from .decontaminate import WORD, _joined
 from .graph import components
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 16, 4
-#: bound of N / df that the functions use unless told otherwise
-RARE = 3.0
+#: bound of N / df that the functions use unless told otherwise, and one that makes every idf the same
+RARE, PLAIN = 3.0, 1.0
 #: documents of a block whose shingles are counted together, and shingles of a cell, on average
 ROWS_TOGETHER, CELL = 512, 500_000
 #: entries of each table of draws, and df whose samples at tf 1 are tabled
@@ -314,13 +320,9 @@ def bands(sh: DataFrame, weights: Weights, cells: int) -> DataFrame:
     kind = "key binary, df binary, bands array<long>, w double"
     schema = pa.schema([("key", pa.binary()), ("df", pa.binary()), ("bands", pa.list_(pa.int64())), ("w", pa.float64())])
 
-    def run(docs: pa.Table, shared: pa.Table) -> pa.Table:
+    def sampled(parts: Iterator[pa.RecordBatch], known: np.ndarray, dfs: np.ndarray) -> Iterator[pa.RecordBatch]:
         draws, base = _tables(weights)
-        known = _from_gaps(*(shared.column(c).combine_chunks() for c in ("low", "high")))[0].view(np.int32) if shared.num_rows else np.empty(0, np.int32)
-        known, at = np.unique(known, return_index=True)
-        dfs = shared.column("dfs").combine_chunks().flatten().to_numpy(zero_copy_only=False)[at] if shared.num_rows else known
-        out = []
-        for part in _read(docs):
+        for part in parts:
             lists = part.column("shingles")
             raw = lists.flatten().to_numpy(zero_copy_only=False)
             df = np.ones(len(raw), np.int32)
@@ -347,13 +349,25 @@ def bands(sh: DataFrame, weights: Weights, cells: int) -> DataFrame:
                 x = (hashes[:, b] ^ np.minimum.reduceat(name, starts)) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(b + 1)
                 hashes[:, b] = x ^ x >> np.uint64(29)
             some = row[starts]
-            out.append(pa.RecordBatch.from_arrays(
+            yield pa.RecordBatch.from_arrays(
                 [part.column("key").take(pa.array(some)), pa.array([packed(df[ends[r] : ends[r + 1]]) for r in some], pa.binary()),
                  pa.ListArray.from_arrays(pa.array(np.arange(0, len(starts) * BANDS + 1, BANDS, dtype=np.int32)), pa.array(hashes.ravel().view(np.int64))),
-                 pa.array(np.add.reduceat(w, starts) if len(starts) else np.empty(0))], schema=schema))
-        return pa.Table.from_batches(out, schema)
+                 pa.array(np.add.reduceat(w, starts) if len(starts) else np.empty(0))], schema=schema)
+
+    def run(docs: pa.Table, shared: pa.Table) -> pa.Table:
+        known = _from_gaps(*(shared.column(c).combine_chunks() for c in ("low", "high")))[0].view(np.int32) if shared.num_rows else np.empty(0, np.int32)
+        known, at = np.unique(known, return_index=True)
+        dfs = shared.column("dfs").combine_chunks().flatten().to_numpy(zero_copy_only=False)[at] if shared.num_rows else known
+        return pa.Table.from_batches(list(sampled(_read(docs), known, dfs)), schema)
+
+    @lean
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from sampled(_read(batch), np.empty(0, np.int32), np.empty(0, np.int32))
 
     rows = sh.where("n > 0").select("block", "key", "low", "high")
+    if weights.rare <= PLAIN:  # no weight depends on a df
+        return rows.select("key", "low", "high").mapInArrow(alike, kind)
     return rows.groupBy("block").cogroup(_frequent(rows, cells).groupBy("block")).applyInArrow(run, kind)
 
 
@@ -446,13 +460,27 @@ def private(sh: DataFrame, weights: Weights) -> DataFrame:
     return once.groupBy("node").agg(F.sum("w").alias("own"))
 
 
-def united(sh: DataFrame, rare: float = RARE) -> DataFrame:
-    """(id, component): each key of stored() that is linked to one of another word sequence, with the smallest key that it reaches."""
+def still_apart(pairs: DataFrame, at: DataFrame) -> DataFrame:
+    """The pairs (a, b) that components (id, component) don't unite."""
+    few = by_size(at, at.count(), BROADCAST_KEYS)
+    for side in "ab":
+        own = few.select(F.col("id").alias(side), F.col("component").alias(f"of_{side}"))
+        pairs = pairs.join(own, side, "left").withColumn(f"of_{side}", F.coalesce(f"of_{side}", side))
+    return pairs.where("of_a <> of_b").select("a", "b")
+
+
+def united(sh: DataFrame, rare: float = RARE, known: DataFrame | None = None) -> DataFrame:
+    """(id, component): each key of stored() that is linked to one of another word sequence, with the smallest key that it reaches.
+
+    The components `known` are united already: what is found is added to them.
+    """
     n, total = sh.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     weights = Weights(n, rare)
+    if known is not None:
+        freed(sh.sparkSession)  # what the links before this took
     sh = sh.select("block", "key", "n", "low", "high")
     # written, since the buckets are counted and then joined: the samples are drawn once
-    sketches = checkpoint(bands(sh, weights, 1 + total // CELL).groupBy("key").agg(F.first("bands").alias("bands"), F.first("w").alias("w"), F.first("df").alias("df")))
+    sketches = checkpoint_tidy(bands(sh, weights, 1 + total // CELL).groupBy("key").agg(F.first("bands").alias("bands"), F.first("w").alias("w"), F.first("df").alias("df")))
     rows = sketches.select("key", "w", F.posexplode("bands").alias("band", "h")).select("key", "w", F.xxhash64("band", "h").alias("bucket"))
     members = checkpoint(rows.join(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket"))
     wanted = members.groupBy("key").agg(F.max("n").alias("most"))
@@ -472,7 +500,10 @@ def united(sh: DataFrame, rare: float = RARE) -> DataFrame:
     pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.key") < F.col("y.key")) & _close("x.w", "y.w"))
     pairs = pairs.select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
     pairs = pairs.unionByName(big.where(_near("w", "s", "rep_w", "rep_s")).select(F.col("rep").alias("a"), F.col("key").alias("b")))
-    found = verified(_pairs(pairs), shingles, weights).select("a", "b")
+    pairs = _pairs(pairs)
+    found = verified(pairs if known is None else still_apart(pairs, known), shingles, weights).select("a", "b")
+    if known is not None:
+        found = found.unionByName(known.select(F.col("id").alias("a"), F.col("component").alias("b")))
     before = None
     while True:
         at = components(found)
@@ -511,10 +542,13 @@ def _near(w: str, s: str, other_w: str, other_s: str) -> Column:
     return common >= (F.col(w) + F.col(other_w) - common) * (SIMILARITY - 1e-9)
 
 
-def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rare: float = RARE) -> DataFrame:
-    """doc_id, class_id (smallest doc_id of its class), n_class (documents in it), kept (doc_id = class_id) of every document."""
+def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rare: float = RARE, plain: bool = False) -> DataFrame:
+    """doc_id, class_id (smallest doc_id of its class), n_class (documents in it), kept (doc_id = class_id) of every document.
+
+    plain: texts that are similar without the idf are linked too.
+    """
     sh = stored(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
-    return sh.select("doc_id", "key").join(class_table(sh, rare), "key").select(
+    return sh.select("doc_id", "key").join(class_table(sh, rare, plain), "key").select(
         "doc_id", "class_id", "n_class", (F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False))).alias("kept"))
 
 
@@ -524,10 +558,10 @@ def _keyed(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn("key", F.unhex(F.md5(F.when(F.size(w) > 0, F.concat_ws(" ", w)).otherwise(F.concat(F.lit("\n"), low)).cast("binary"))))
 
 
-def class_table(sh: DataFrame, rare: float = RARE) -> DataFrame:
+def class_table(sh: DataFrame, rare: float = RARE, plain: bool = False) -> DataFrame:
     """(key, class_id, n_class, class_key): one row for each word sequence of stored()."""
     keys = sh.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
-    comp = united(sh, rare).withColumnRenamed("id", "key")
+    comp = united(sh, rare, united(sh, PLAIN) if plain else None).withColumnRenamed("id", "key")
     keys = keys.join(comp, "key", "left").withColumn("component", F.coalesce("component", "key"))
     # of equal least ids (null ones too) the smallest key stands for the class
     whole = keys.groupBy("component").agg(F.min("least").alias("class_id"), F.sum("n").alias("n_class"),

@@ -46,7 +46,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.classes(table(spark, sf_dir, "documents"), rare=float("inf"))
+    return minhash.classes(table(spark, sf_dir, "documents"), rare=float("inf"), plain=True)
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
